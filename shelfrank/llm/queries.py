@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lm, shards, simhash
+from . import bpe, decontaminate, langid, lm, neighbours, quality, shards, simhash
 from .shared import crc_fold, table
 
 
@@ -61,11 +61,31 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_fold("doc_id") == 0)
+    found = langid.identify(docs, langid.fit(docs.where("not held_out")), keep=["held_out"])
+    return found.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", langid.confidence().alias("score"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_fold("doc_id") == 0)
+    labels = table(spark, sf_dir, "labels").where(crc_fold("doc_id") != 0)
+    found = quality.score(docs, quality.fit(docs, labels), keep=["held_out"])
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
     "op3_lm_score": op3_lm_score,
+    "op6_neighbours": op6_neighbours,
     "op7_shards": op7_shards,
     "op8_bpe": op8_bpe,
+    "op9_langid": op9_langid,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL}
