@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lm, neighbours, quality, shards, simhash
+from . import bpe, decontaminate, langid, licenses, lm, neighbours, pii, quality, shards, simhash
 from .shared import crc_fold, table
 
 
+#: The key of the registered queries; a deployment brings its own.
+PII_KEY = "registered-query"
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -61,6 +65,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.summary(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return found.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_pii"), F.array_join(F.array_sort(F.array_distinct("pii_kinds")), ",").alias("kinds"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
@@ -82,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
     "op3_lm_score": op3_lm_score,
+    "op4_licenses": op4_licenses,
+    "op5_pii": op5_pii,
     "op6_neighbours": op6_neighbours,
     "op7_shards": op7_shards,
     "op8_bpe": op8_bpe,
