@@ -110,13 +110,20 @@ class Coder:
 _TO_MAPPED = {b: _MAPPED[b] for b in range(256)}
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", real: bool = False) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256), or with real the ids and the decoded text: (id, ids, decoded).
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, real: bool = False) -> DataFrame:
+    """(id, keep..., n_tokens, ids_sha256, decoded_sha256), and with real the ids and the decoded text as well.
 
-    A row for each row of docs; a null text is empty. path: the rank file, read on the driver only.
+    A row for each row of docs; a null text is empty. path: the rank file, read on the driver only. keep: columns to
+    carry along, of names other than those and "text".
     """
     ranks = read_ranks(path)
     held = docs.sparkSession.sparkContext.broadcast((ranks, model_bytes(ranks)))  # fixed by the rank file
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(keep or []))
+    new = ["0L n_tokens", "'' ids_sha256", "'' decoded_sha256", *(["array(0) ids", "'' decoded"] if real else [])]
+    out = rows.drop("text").selectExpr("*", *new).schema
+
+    def digests(parts: list[bytes]) -> pa.Array:
+        return pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(*held.value, pattern)
@@ -124,13 +131,11 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
             for run in pieces(batch, 128):
                 ids = list(coder.encode(run.column("text").to_pylist()))
                 back = list(map(coder.decode, ids))
+                cols = {"n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()), "ids_sha256": digests(ids), "decoded_sha256": digests(back)}
                 if real:
-                    cols = {"ids": pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], pa.list_(pa.int32())), "decoded": pa.array([b.decode() for b in back], pa.string())}
-                else:
-                    digest = lambda parts: pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())
-                    cols = {"n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()), "ids_sha256": digest(ids), "decoded_sha256": digest(back)}
-                yield pa.RecordBatch.from_arrays([run.column("id"), *cols.values()], ["id", *cols])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(over, f"id {kind}, " + ("ids array<int>, decoded string" if real else "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+                    flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                    cols["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(i) // 4 for i in ids)]), pa.int32()), flat)
+                    cols["decoded"] = pa.array([b.decode() for b in back], pa.string())
+                yield pa.RecordBatch.from_arrays([cols[c] if c in cols else run.column(c) for c in out.names], out.names)
+
+    return rows.mapInArrow(over, out)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
-from math import comb, log2
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +29,10 @@ from .components import connected_components
 from .shared import pieces, space_words, staged, texts_of
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
-#: Fingerprints that one task compares under one value at once.
-BUCKET_ROWS = 16384
-#: What looking one probe up costs, in comparisons of candidates.
-PROBE_COST = 4.0
+#: Rows that one task compares under one value at once.
+BUCKET_ROWS = 1 << 16
+#: What one stored or probing row costs, in comparisons of candidates.
+PROBE_COST = 1000.0
 _CHUNK = 1 << 15
 
 
@@ -123,7 +123,7 @@ class Plan:
                 dist = np.stack([sum(dist[:, a] * t[:, d - a] for a in range(d + 1)) for d in range(self.radius + 1)], 1)
             within = np.cumsum(dist, 1) * self.n
             for t in range(self.radius + 1):
-                out[:, i, t + 1] = within[:, t] + PROBE_COST * sum(comb(len(bits), d) for d in range(t + 1))
+                out[:, i, t + 1] = within[:, t] + PROBE_COST * (sum(comb(len(bits), d) for d in range(t + 1)) - 1)
         return out
 
     def allocate(self, fps: np.ndarray) -> np.ndarray:
@@ -142,21 +142,24 @@ class Plan:
             left = left - out[:, i]
         return out - 1
 
-    def keys(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bucket, fingerprint): each under its own value everywhere and under the values that it probes."""
+    def keys(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket, fingerprint, probing): each stored under its own value in every partition, and probing others."""
         thresholds, buckets, owners = self.allocate(fps), [], []
         for i, bits in enumerate(self.parts):
-            own = _values(fps, bits)
-            buckets.append(own | i << 60)
+            buckets.append(_values(fps, bits) | i << 59)
             owners.append(fps)
+        n_stored = len(fps) * len(self.parts)
+        for i, bits in enumerate(self.parts):
+            own = _values(fps, bits)
             for t in range(1, self.radius + 1):
                 for mask in _masks(len(bits), t):
                     on = thresholds[:, i] >= t
                     if not on.any():
                         break
-                    buckets.append((own[on] ^ mask) | i << 60)
+                    buckets.append((own[on] ^ mask) | i << 59)
                     owners.append(fps[on])
-        return np.concatenate(buckets), np.concatenate(owners)
+        out = np.concatenate(buckets)
+        return out, np.concatenate(owners), np.arange(len(out)) >= n_stored
 
 
 def sub_blocks(parts: list[list[int]]) -> list[list[tuple[int, list[int]]]]:
@@ -174,6 +177,20 @@ def _masks(width: int, weight: int) -> Iterator[int]:
         yield sum(1 << b for b in at)
 
 
+def how_many(n: int, radius: int) -> int:
+    """The number of partitions that is cheapest for n fingerprints if bits were fair and thresholds even."""
+
+    def cost(parts: int) -> float:
+        total = 0.0
+        for i in range(parts):
+            width, t = 64 // parts + (i < 64 % parts), (radius + 1) // parts + (i < (radius + 1) % parts) - 1
+            ball = sum(comb(width, d) for d in range(t + 1))
+            total += PROBE_COST * max(ball, 1) + n * ball / 2**width
+        return total
+
+    return min(range(2, 9), key=cost)
+
+
 def _summed(fps: DataFrame, size: int, count) -> np.ndarray:
     """Sums an array of fixed size that count() makes of each batch of fingerprints."""
 
@@ -196,47 +213,67 @@ def plan_search(fps: DataFrame, radius: int = RADIUS) -> Plan:
     """Fits a Plan on counts over all fingerprints: 64 x 64 for the grouping, 256 for each block of bits."""
     pairs = _summed(fps, 4096, lambda x: (b := _bits(x).astype(np.float64)).T @ b).reshape(64, 64)
     n = fps.count()
-    parts = group_bits(pairs, n, int(min(4, max(2, round(64 / max(1.0, log2(max(n, 2))))))))
+    parts = group_bits(pairs, n, how_many(n, radius))
     blocks = [x for own in sub_blocks(parts) for x in own]
     counts = _summed(fps, 256 * len(blocks), lambda x: np.stack([np.bincount(_values(x, own), minlength=256) for _, own in blocks]))
     return Plan(parts, {j: counts.reshape(-1, 256)[j].astype(float) for j, _ in blocks}, n, radius)
 
 
-def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Positions of links that join all that is linked among fps, at most len(fps) - 1 of them."""
-    out, free = [], np.arange(len(fps))
-    if len(fps) <= 2048:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
-        free = np.flatnonzero(near.sum(1) > 1)
+def forest(stored: np.ndarray, probing: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that join whatever links of stored fingerprints, with each other and with probing ones, join.
+
+    Positions count on from stored into probing. Two probing fingerprints are never compared: they meet where one of
+    them is stored. Few links are all returned; many are reduced to at most one a fingerprint.
+    """
+    both = np.concatenate([stored, probing])
+    n, m = len(stored), len(both)
+    step = max(1, (1 << 21) // m)
+    count, in_rows, in_cols = 0, np.zeros(n, bool), np.zeros(m, bool)
+    found: list[np.ndarray] = []
+    for at in range(0, n, step):
+        near = np.bitwise_count(stored[at : at + step, None] ^ both[None, :]) <= radius
+        near[np.arange(len(near)), at + np.arange(len(near))] = False
+        if near.any():
+            count += int(near.sum())
+            in_rows[at : at + step] = near.any(1)
+            in_cols |= near.any(0)
+            if count <= 2 * m:
+                found.append(np.argwhere(near) + (at, 0))
+    if count <= 2 * m:
+        return [(int(a), int(b)) for a, b in np.concatenate(found)] if found else []
+    # Dense: walk from each node to what isn't reached yet, which soon is little.
+    in_cols[:n] |= in_rows
+    free, out = np.flatnonzero(in_cols), []
     while len(free):
         queue, free = [free[0]], free[1:]
         while queue and len(free):
             at = queue.pop()
-            hit = np.bitwise_count(fps[free] ^ fps[at]) <= radius
-            if hit.any():
-                found = free[hit]
-                out += [(at, x) for x in found]
-                queue += list(found)
-                free = free[~hit]
+            may = free if at < n else free[free < n]
+            hit = may[np.bitwise_count(both[may] ^ both[at]) <= radius]
+            if len(hit):
+                out += [(int(at), int(x)) for x in hit]
+                queue += list(hit)
+                free = np.setdiff1d(free, hit, assume_unique=True)
     return out
 
 
-def _links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal keys: short runs compared by shifts, longer ones by a spanning forest."""
+def _links(keys: np.ndarray, fps: np.ndarray, probing: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal keys, in each of which stored fingerprints come before probing ones."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
+    stored = np.add.reduceat(~probing, starts)
     a, b = [], []
     short = np.repeat(sizes <= 8, sizes)
-    for k in range(1, 8):
-        i = np.flatnonzero((keys[k:] == keys[:-k]) & short[k:])
+    for k in range(1, 8):  # short runs are compared by shifts
+        i = np.flatnonzero((keys[k:] == keys[:-k]) & short[k:] & ~probing[:-k])
         if not len(i):
             break
         i = i[np.bitwise_count(fps[i] ^ fps[i + k]) <= radius]
         a.append(fps[i])
         b.append(fps[i + k])
-    for s, size in zip(starts[sizes > 8], sizes[sizes > 8], strict=True):
-        own = fps[s : s + size]
-        if pairs := forest(own, radius):
+    for r in np.flatnonzero((sizes > 8) & (stored > 0)):
+        own = fps[starts[r] : starts[r] + sizes[r]]
+        if pairs := forest(own[: stored[r]], own[stored[r] :], radius):
             at = np.array(pairs)
             a.append(own[at[:, 0]])
             b.append(own[at[:, 1]])
@@ -244,6 +281,30 @@ def _links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
+class _Joined:
+    """Union-find over what a task has linked so far, to pass on only links that join something."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def new(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keep = np.zeros(len(a), bool)
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = self.root(x), self.root(y)
+            if x != y:
+                self.up[x] = y
+                keep[i] = True
+        if len(self.up) > 2_000_000:
+            self.up.clear()
+        return keep
+
+
 def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b): links among distinct fingerprints, enough of them to connect all that is linked.
 
@@ -255,35 +316,36 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS)
         for batch in batches:
             all_fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(all_fps), 4096):
-                buckets, owners = plan.value.keys(all_fps[at : at + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(owners.view(np.int64))], ["bucket", "fp"])
+                buckets, owners, probing = plan.value.keys(all_fps[at : at + 4096])
+                yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(owners.view(np.int64)), pa.array(probing)], ["bucket", "fp", "probing"])
 
     def compare(batches):
-        rest_k, rest_f = np.empty(0, np.int64), np.empty(0, np.uint64)
+        joined, rest = _Joined(), (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool))
         for batch in _and_end(batches):
             if batch is None:
-                k, f, cut = rest_k, rest_f, len(rest_k)
+                now, cut = rest, len(rest[0])
             else:
-                k = np.r_[rest_k, batch.column("cell").to_numpy(zero_copy_only=False)]
-                f = np.r_[rest_f, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)]
-                cut = int(np.searchsorted(k, k[-1])) if len(k) else 0  # the last run may go on in the next batch
-            rest_k, rest_f = k[cut:], f[cut:]
+                cells, fps, probing = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "fp", "probing"))
+                now = tuple(np.concatenate(x) for x in zip(rest, (cells, fps.view(np.uint64), probing), strict=True))
+                cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last run may go on in the next batch
+            rest = tuple(x[cut:] for x in now)
             if cut:
-                a, b = _links(k[:cut], f[:cut], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+                a, b = _links(*(x[:cut] for x in now), radius)
+                new = joined.new(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64))], ["a", "b"])
 
-    keys = staged(fps.select("fp").mapInArrow(deal, "bucket long, fp long"), "simhash-keys")
+    keys = staged(fps.select("fp").mapInArrow(deal, "bucket long, fp long, probing boolean"), "simhash-keys")
     hot = keys.groupBy("bucket").count().where(F.col("count") > bucket_rows)
-    cells = keys.select(F.col("bucket").alias("cell"), "fp")
+    cells = keys.select(F.col("bucket").alias("cell"), "fp", "probing")
     if hot.head(1):
         # A hot bucket's rows go to chunks; each pair of chunks is a cell of its own, named by a hash. A collision
         # only makes two cells one, and what meets is verified.
         dealt = keys.join(hot, "bucket", "left").withColumn("g", F.ceil(F.coalesce("count", F.lit(1)) / bucket_rows))
         mine = F.pmod(F.xxhash64("fp"), F.col("g"))
         others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda x: F.xxhash64("bucket", F.least(x, mine), F.greatest(x, mine)))
-        cells = dealt.select(F.explode(F.when(F.col("g") > 1, others).otherwise(F.array("bucket"))).alias("cell"), "fp")
+        cells = dealt.select(F.explode(F.when(F.col("g") > 1, others).otherwise(F.array("bucket"))).alias("cell"), "fp", "probing")
     n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
+    return cells.repartition(n, "cell").sortWithinPartitions("cell", "probing").mapInArrow(compare, "a long, b long")
 
 
 def _and_end(batches):
@@ -301,6 +363,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = staged(fingerprints(docs, id_col, text_col, shingle), "simhash")
     nodes = staged(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     roots = connected_components(links(nodes, radius), "simhash-links")
+    # Ids may be of any ordered type, structs too.
     known = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = known.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(known.join(names, "root").select("fp", "component_id"), "fp", "left").select("id", "fp", "component_id")
