@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Inside a character class: all blanks, the byte order mark and line separators included.
-BLANKS = r"\t-\r    -     　﻿"
+BLANKS = r"\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 BLANK = f"[{BLANKS}]"
 _EDGE_BEFORE, _EDGE_AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
@@ -60,7 +60,7 @@ def base_model(title: Text) -> Column:
     out = F.coalesce(col(title), F.lit(""))
     for pattern in (
         r"\([^)]*\)",
-        rf"(?i){size}{BLANK}*(?:ROM|RAM){_EDGE_AFTER}|(?i){size}{_EDGE_AFTER}{BLANK}*",
+        rf"(?i){size}{BLANK}*(?:ROM|RAM){_EDGE_AFTER}|(?i){size}(?:{BLANK}+(?=[A-Za-z0-9_])|{_EDGE_AFTER})",
         rf"(?i){_EDGE_BEFORE}[0-9]+{BLANK}*(?:GB|TB){_EDGE_AFTER}",
         rf"(?i){_EDGE_BEFORE}(?:{'|'.join(COLOURS)}){_EDGE_AFTER}",
     ):

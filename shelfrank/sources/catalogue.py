@@ -8,42 +8,22 @@ from pyspark.sql import functions as F
 from . import schemas
 
 
-def read_catalogue(spark: SparkSession, path: str, layout: str = "json") -> DataFrame:
+def read_catalogue(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
     """Product records with their place in the input as _ordinal.
 
-    layout "json" reads one JSON array a file; its elements are numbered as they stand. "parquet" and "lines" (a
-    record a line) scale: rows are numbered by file and place in it, which orders them but leaves gaps.
-    Numbers where the schema has text come as text; `read_variants` tells them apart.
+    layout "array" reads one JSON array a file, which one task parses; "lines" (a record a line) and "parquet" are for
+    catalogues of any size. Rows are numbered by file and place in it, which orders them but may leave gaps. Numbers
+    where the schema has text come as text; `read_variants` tells them apart.
     """
-    if layout == "json":
-        # An array is one record to the reader, so it is read as text and its elements counted before they part.
-        whole = spark.read.text(path, wholetext=True)
-        parsed = whole.select(F.input_file_name().alias("file"), F.posexplode(F.from_json("value", f"array<struct<{_colon(schemas.CATALOGUE)}>>")).alias("at", "r"))
-        return parsed.select("r.*", F.col("at").cast("bigint").alias("_ordinal"))
     reader = spark.read.schema(schemas.CATALOGUE)
-    rows = reader.parquet(path) if layout == "parquet" else reader.json(path)
+    rows = reader.parquet(path) if layout == "parquet" else reader.option("multiLine", layout == "array").json(path)
     return rows.withColumn("_ordinal", F.monotonically_increasing_id())
 
 
-def _colon(ddl: str) -> str:
-    """A top-level column list as struct fields."""
-    out, depth, start, parts = [], 0, 0, []
-    for i, c in enumerate(ddl):
-        depth += (c == "<") - (c == ">")
-        if c == "," and depth == 0:
-            parts.append(ddl[start:i])
-            start = i + 1
-    for part in [*parts, ddl[start:]]:
-        name, kind = part.strip().split(" ", 1)
-        out.append(f"{name}: {kind}")
-    return ", ".join(out)
-
-
 def read_variants(spark: SparkSession, path: str) -> DataFrame:
-    """(_ordinal, record variant) of a JSON array: keeps whether a value was a number, a text, null or absent."""
-    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("all"))
-    whole.createOrReplaceTempView("__catalogue_variants")
-    return spark.sql("SELECT cast(pos AS bigint) AS _ordinal, value AS record FROM __catalogue_variants, LATERAL variant_explode(all)")
+    """(_ordinal, record) of a JSON array, as variants: keeps whether a value was a number, a text, null or absent."""
+    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("body"))
+    return spark.sql("SELECT cast(e.pos AS bigint) AS _ordinal, e.value AS record FROM {whole}, LATERAL variant_explode(body) AS e", whole=whole)
 
 
 def only_text(record: Column | str, path: str) -> Column:
