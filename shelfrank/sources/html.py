@@ -27,7 +27,7 @@ _SCOPE = {"li": {"ul", "ol"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr"
 _BLANKS = "\t\n\v\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
     attrs: dict[str, str]
@@ -198,7 +198,15 @@ def records(pages: DataFrame, read, fields: str, id_col: str = "page_id", html_c
 
 
 def _top_level(ddl: str) -> list[str]:
-    return re.split(r",\s*(?![^<]*>)", ddl)
+    """A column list's parts; commas inside types don't count."""
+    parts, depth = [""], 0
+    for c in ddl:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
 
 
 def listing(pages: DataFrame, layout: ListingLayout = ListingLayout(), cap: int | None = None, **columns: str) -> DataFrame:

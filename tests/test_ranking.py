@@ -1,0 +1,246 @@
+"""The ranking against a list-based version, its invariants and its plan."""
+
+import json
+import math
+import random
+
+import pytest
+
+from shelfrank.operators import dedup, matching, report, scoring
+from shelfrank.plans import planner, recommend
+from shelfrank.sources import catalogue, schemas
+
+from .conftest import plan_of
+
+WEIGHTS = {"batteryEndurance": 0.2, "displayQuality": 0.2, "cpuPerformance": 0.15, "gpuPerformance": 0.15, "cameraQuality": 0.1, "ramCapacity": 0.1, "romCapacity": 0.1}
+
+
+def record(i, rng):
+    maybe = lambda v, p=0.1: None if rng.random() < p else v
+    cams = lambda: maybe([{"megapixel": maybe(rng.choice([2.0, 12.0, 50.0, -5.0]), 0.2), "position": "main", "type": "w"} for _ in range(rng.randint(0, 3))], 0.05)
+    return {
+        "_id": f"d{i}", "link": f"/{i}", "title": f"Phone {i % 7}", "brand": "b", "price": maybe(float(rng.randint(5, 40) * 1000), 0.05), "images": maybe(["x"], 0.5),
+        "parseHtmlSpec": {"meta": {"lifecycle": rng.choice(["unknown", "considerable", "old"])}, "specs": {"memory": {"ram": "8 GB"}}},
+        "normalizedSpecs": {
+            "specs": {"memory": {"ram": maybe(rng.choice(["8 GB", "12GB", "512 MB", "0 GB"])), "storage": maybe(rng.choice(["128 GB", "1 TB", "256 GB, up to 1 TB"]))}},
+            "extracted": {
+                "battery": {"capacity": maybe({"value": maybe(float(rng.randint(3000, 6000))), "unit": "mAh"})},
+                "display": {"type": {"type": "OLED", "score": maybe(float(rng.randint(0, 10)))}, "ppi": maybe({"value": maybe(float(rng.randint(200, 500))), "unit": "ppi"}), "refreshRate": {"value": maybe(120.0, 0.3), "unit": "Hz"}, "brightness": None},
+                "camera": {"rearCamera": cams(), "frontCamera": cams()},
+                "technical": {"chipset": rng.choice(["c1", " ", None]), "benchmark": {"antutu": {"breakdown": {"CPU": maybe(rng.choice(["448527", "1,234", "12abc", "x", ""])), "GPU": maybe(rng.choice(["5e2", ".5", "Infinity"]), 0.05)}}}},
+            },
+        },
+    }
+
+
+def prefix(s):
+    import re
+
+    m = re.match(r"\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", s or "")
+    return float(m[1]) if m and math.isfinite(float(m[1])) else None
+
+
+def size(s, units):
+    import re
+
+    for unit, times in units:
+        if m := re.search(rf"(\d+(?:\.\d+)?)\s*{unit}", s or "", re.I):
+            return float(m[1]) * times or None
+    return None
+
+
+def values(r):
+    n = r["normalizedSpecs"]
+    x, mem = n["extracted"], n["specs"]["memory"]
+    box = lambda b: b["value"] if b else None
+    largest = lambda cs: max((c["megapixel"] for c in cs or [] if c["megapixel"] is not None and c["megapixel"] > -1), default=None)
+    scores = x["technical"]["benchmark"]["antutu"]["breakdown"]
+    d = x["display"]
+    return {"capacity": box(x["battery"]["capacity"]), "displayType": d["type"]["score"], "ppi": box(d["ppi"]), "refreshRate": box(d["refreshRate"]), "brightness": box(d["brightness"]), "cpu": prefix(scores["CPU"]), "gpu": prefix(scores["GPU"]), "rearCamera": largest(x["camera"]["rearCamera"]), "frontCamera": largest(x["camera"]["frontCamera"]), "ram": size(mem["ram"], [("GB", 1)]), "rom": size(mem["storage"], [("TB", 1024), ("GB", 1)])}
+
+
+NEEDED = {"batteryEndurance": ["capacity"], "displayQuality": ["displayType"], "cpuPerformance": ["cpu"], "gpuPerformance": ["gpu"], "cameraQuality": ["rearCamera", "frontCamera"], "ramCapacity": ["ram"], "romCapacity": ["rom"]}
+SHARES = {"batteryEndurance": [("capacity", 1)], "displayQuality": [("displayType", 0.5), ("ppi", 0.2), ("refreshRate", 0.15), ("brightness", 0.15)], "cpuPerformance": [("cpu", 1)], "gpuPerformance": [("gpu", 1)], "cameraQuality": [("rearCamera", 0.7), ("frontCamera", 0.3)], "ramCapacity": [("ram", 1)], "romCapacity": [("rom", 1)]}
+
+
+def expected(records, n):
+    rows = [(i, r, values(r)) for i, r in enumerate(records)]
+    rows = [x for x in rows if all(x[2][k] is not None for ks in NEEDED.values() for k in ks)]
+    bounds = {}
+    for k in rows[0][2] if rows else []:
+        own = [v[k] for _, _, v in rows if v[k] is not None]
+        bounds[k] = (min(own), max(own)) if own else (0, 10 if k == "displayType" else 1)
+
+    def norm(k, v):
+        lo, hi = bounds[k]
+        return 0.0 if v is None else 0.5 if hi == lo else max(0.0, min(1.0, (v - lo) / (hi - lo)))
+
+    out = [(-sum(WEIGHTS[c] * sum(s * norm(k, v[k]) for k, s in parts) for c, parts in SHARES.items()), i, r["_id"]) for i, r, v in rows]
+    return [(x[2], -x[0]) for x in sorted((round(t, 12), i, d) for t, i, d in out)[:n]]
+
+
+@pytest.fixture(scope="module")
+def records():
+    rng = random.Random(11)
+    return [record(i, rng) for i in range(400)]
+
+
+@pytest.fixture(scope="module")
+def devices(spark, records, tmp_path_factory):
+    path = tmp_path_factory.mktemp("cat") / "devices.json"
+    path.write_text(json.dumps(records))
+    return catalogue.read_catalogue(spark, str(path))
+
+
+def test_ordinals_follow_the_array(devices):
+    assert [r["_id"] for r in devices.orderBy("_ordinal").select("_id").collect()] == [f"d{i}" for i in range(400)]
+
+
+def test_rank_equals_the_list_version(devices, records):
+    found = scoring.rank(devices, WEIGHTS, 25).select("_id", "totalWeightedScore").collect()
+    wanted = expected(records, 25)
+    assert [r[0] for r in found] == [w[0] for w in wanted]
+    assert [r[1] for r in found] == pytest.approx([w[1] for w in wanted])
+
+
+def test_invariants(devices):
+    rows = scoring.presented(scoring.rank(devices, WEIGHTS, 20)).collect()
+    totals = [r["totalWeightedScore"] for r in rows]
+    assert len(rows) <= 20 and totals == sorted(totals, reverse=True) and all(0 <= t <= 1 + 1e-9 for t in totals)
+    assert all(0 <= r[c.name]["rawScore"] <= 1 for r in rows for c in scoring.CATEGORIES)
+    assert all(r["images"] is not None for r in rows)
+
+
+def test_a_filtered_row_changes_nothing(devices):
+    near = devices.where("price > 8000")
+    assert scoring.rank(near, WEIGHTS, 5).select("_id").collect() == scoring.rank(near.union(devices.where("price = 1")), WEIGHTS, 5).select("_id").collect()
+
+
+def test_no_rows_give_no_rows(devices):
+    assert scoring.rank(devices.where("false"), WEIGHTS).count() == 0
+
+
+def test_top_n_is_one_operator(devices):
+    assert "TakeOrderedAndProject" in plan_of(scoring.rank(devices, WEIGHTS, 8))
+
+
+@pytest.mark.parametrize("broken", [{**WEIGHTS, "ramCapacity": 0.9}, {"ramCapacity": 1.0}, {**WEIGHTS, "ramCapacity": -0.1, "romCapacity": 0.3}])
+def test_weights_are_held_to_their_contract(broken):
+    with pytest.raises(ValueError):
+        scoring.checked_weights(broken)
+
+
+def test_tracking_tells_what_failed(devices, records):
+    rows = {r["_id"]: r["steps"] for r in scoring.tracked(devices, WEIGHTS).collect()}
+    for r in records:
+        v = values(r)
+        failed = [c for c, ks in NEEDED.items() if any(v[k] is None for k in ks)]
+        first = json.loads(rows[r["_id"]][0]["details"])
+        assert first == {"valid": not failed, "failedProcessors": failed}
+        assert len(rows[r["_id"]]) == (1 if failed else 2)
+
+
+def test_report(devices, records, tmp_path):
+    found = report.document(devices)
+    assert found["totalRecords"] == 400
+    counts = {p["processor"]: p["failedCount"] for p in found["processorFailures"]}
+    for c, ks in NEEDED.items():
+        assert counts.get(c, 0) == sum(any(values(r)[k] is None for k in ks) for r in records)
+    assert [p["failedCount"] for p in found["processorFailures"]] == sorted(counts.values(), reverse=True)
+    ram = next(p for p in found["processorFailures"] if p["processor"] == "ramCapacity")
+    wanted = {}
+    for r in records:
+        if values(r)["ram"] is None:
+            wanted.setdefault(r["normalizedSpecs"]["specs"]["memory"]["ram"] or "MISSING", []).append(r["_id"])
+    assert [(v["value"]["ram"], v["documentIds"]) for v in ram["failedValues"]] == list(wanted.items())
+    (tmp_path / "processor-failures-4.json").write_text("{}")
+    assert report.write_numbered(found, str(tmp_path)).name == "processor-failures-5.json"
+
+
+def test_variants_tell_numbers_from_texts(spark, tmp_path):
+    path = tmp_path / "v.json"
+    path.write_text('[{"a": {"cpu": "456"}}, {"a": {"cpu": 456}}, {"a": {"cpu": null}}, {"a": {}}]')
+    rows = catalogue.read_variants(spark, str(path)).orderBy("_ordinal").select(catalogue.only_text("record", "$.a.cpu"), catalogue.only_number("record", "$.a.cpu")).collect()
+    assert [tuple(r) for r in rows] == [("456", None), (None, 456.0), (None, None), (None, None)]
+
+
+def test_export(spark, devices, tmp_path):
+    catalogue.export(catalogue.exportable(devices), str(tmp_path / "out"), single=True)
+    back = spark.read.schema(schemas.CATALOGUE).json(str(tmp_path / "out"))
+    assert back.count() == devices.where("parseHtmlSpec.meta.lifecycle in ('unknown', 'considerable')").count()
+    with pytest.raises(ValueError):
+        catalogue.export(devices.where("false"), str(tmp_path / "none"))
+
+
+def test_first_of_each_title(devices):
+    rows = dedup.first_by_title(devices).select("_id").collect()
+    assert sorted(r[0] for r in rows) == [f"d{i}" for i in range(7)]
+
+
+def brute_match(left, right):
+    import re
+
+    out = {}
+    for i, a in enumerate(left):
+        la = {t for t in re.sub(r"\s*\([^)]*\)", "", a).lower().split()}
+        best = 0
+        for j, b in enumerate(right):
+            rb = b.lower().split()
+            s = sum(t in la for t in rb) / max(1, len(la | set(rb)))
+            if s > best:
+                best, at = s, j
+        if best > 0.4:
+            out[i] = (at, best)
+    return out
+
+
+def test_match_equals_all_pairs(spark):
+    rng = random.Random(5)
+    words = "pro max plus one two red note air mini ultra".split()
+    title = lambda: " ".join(rng.choices(words, k=rng.randint(1, 5))) + rng.choice(["", " (Blue)", " Pro"])
+    left, right = [title() for _ in range(60)], [title() for _ in range(90)]
+    frame = lambda ts: spark.createDataFrame(list(enumerate(ts)), "_ordinal long, title string")
+    found = matching.best_matches(frame(left), frame(right))
+    assert {r["left_id"]: (r["right_id"], r["score"]) for r in found.collect()} == {k: (a, pytest.approx(s)) for k, (a, s) in brute_match(left, right).items()}
+    assert "CartesianProduct" not in plan_of(found) and "NestedLoop" not in plan_of(found)
+
+
+def test_recommendation(devices):
+    found = recommend.recommend(devices, "camera phone between 6k and 30k")
+    rows = recommend.with_verdicts(found).collect()
+    assert 0 < len(rows) <= 8 and all(6000 <= r["price"] <= 31000 for r in rows if r["price"] is not None)
+    assert all(r["verdict"].startswith("Good if") and len(r["verdict"].split()) <= 30 for r in rows)
+    assert found.short().columns == ["title", "link", "score"]
+    assert recommend.recommend(devices, "phone under 20k, can extend").questions == [planner.EXTENSION_QUESTION]
+    assert recommend.recommend(devices, "phone with a budget of 30000").ranked.count() == 0
+    with pytest.raises(ValueError):
+        recommend.recommend(devices, "  ")
+
+
+def test_requests_are_parsed_alike_in_columns_and_alone(spark):
+    given = ["Show me phones under 15k please", "between 5,000 and 10k tablets", "below 900", "hi", "x", "under ,", "I want a phone"]
+    rows = spark.createDataFrame([(g,) for g in given], "x string").select(planner.price_phrases("x").alias("p")).select("p.*").collect()
+    for g, r in zip(given, rows, strict=True):
+        alone = planner.parse_request(g)
+        assert (alone.max_price, alone.min_price, alone.text) == (r["max_price"], r["min_price"], r["keywords"])
+    assert planner.parse_request("Smartphones with budget 30000, can extend by 2000").budget.extension == 2000
+    assert planner.parse_request("Can't extend this is my limit, budget 25000").budget == planner.Budget(25000.0, None)
+
+
+def test_search_addresses(spark):
+    from pyspark.sql import functions as F
+
+    from shelfrank.operators.filters import Query
+
+    plain, full = Query("a b~*"), Query("p", 500.0, 10.5, ["A&B"], "128 GB", ["4 GB", "6 GB"])
+    none, strings = F.lit(None), "array<string>"
+    one = spark.range(1)
+    assert one.select(planner.search_addresses(F.lit("a b~*"), none.cast("double"), none.cast("double"), none.cast(strings), none.cast("string"), none.cast(strings))).first()[0] == planner.search_address(plain)
+    wide = planner.search_addresses(F.lit("p"), F.lit(10.5), F.lit(500.0), F.array(F.lit("A&B")), F.lit("128 GB"), F.array(F.lit("4 GB"), F.lit("6 GB")))
+    assert one.select(wide).first()[0] == planner.search_address(full)
+    assert "p%5B%5D=facets.ram%5B%5D%3D6+GB" in planner.search_address(full)
+
+
+def test_keyword_weights_keep_the_contract():
+    assert scoring.checked_weights(planner.keyword_weights("gaming camera"))
+    assert planner.keyword_weights(" ").questions == planner.BLANK_QUESTIONS
