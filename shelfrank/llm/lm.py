@@ -254,7 +254,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
                     fresh = before["base"].null_count == run.num_rows
                     state = {"norm": norm}
                     for c, kind in (("base", np.float64), ("known", np.int64)):
-                        state[c] = np.zeros(run.num_rows, kind) if fresh else before[c].to_numpy(zero_copy_only=False)
+                        state[c] = np.zeros(run.num_rows, kind) if fresh else before[c].to_numpy(zero_copy_only=False).copy()
                     for c in ("word", "pair"):
                         state[c] = np.zeros(len(tokens), np.uint8) if fresh else np.frombuffer(b"".join(before[c].to_pylist()), np.uint8).copy()
                     _spread(tokens, starts, held.value, state)
