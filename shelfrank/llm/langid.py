@@ -25,7 +25,7 @@ SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 96, 3000, 112 << 10
 BLOCK_BYTES, LEVEL, TIE_LEVEL = 1024, 9, 3
 UNKNOWN = "und"
 #: Rejection: margins below this, of texts with at least so many bytes of words.
-NARROW_MARGIN, MEASURED_BYTES = 0.005, 256
+NARROW_MARGIN, MEASURED_BYTES = 0.002, 256
 #: The margin at which a prediction counts as certain.
 SURE_MARGIN = 0.05
 _LETTER, _OTHERS = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}]+")
