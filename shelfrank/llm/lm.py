@@ -34,6 +34,7 @@ MU = 200.0
 BITS_PER_ENTRY, PROBES = 8, 5
 #: Of filter and word counts, broadcast at once.
 BROADCAST_BYTES = 160 << 20
+#: At the least; eight for each partition of the training texts, so that a segment's size doesn't follow the input's.
 SEGMENTS = 64
 START, END = b" start", b""  # neither can be a word
 _HASH = partial(xxhash.xxh64_digest, seed=0)
@@ -234,7 +235,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     along, of names other than those and "text".
     """
     spark = docs.sparkSession
-    segments = max(SEGMENTS, 2 * training.rdd.getNumPartitions())
+    segments = max(SEGMENTS, 8 * training.rdd.getNumPartitions())
     model = staged(count_events(training, segments, text_col), "lm-segments")
     n, distinct, size = model.agg(F.sum("tokens"), F.sum(F.octet_length("words") / 8), F.sum(F.octet_length("words") * 2 + F.octet_length("bits"))).first()
     n, distinct = int(n or 0), int(distinct or 0)
