@@ -33,6 +33,7 @@ RADIUS, SHINGLE, SEED = 3, 3, 42
 BUCKET_ROWS = 1 << 16
 #: What one stored or probing row costs, in comparisons of candidates.
 PROBE_COST = 1000.0
+SALTS = 32
 _CHUNK = 1 << 15
 
 
@@ -363,7 +364,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = staged(fingerprints(docs, id_col, text_col, shingle), "simhash")
     nodes = staged(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     roots = connected_components(links(nodes, radius), "simhash-links")
-    # Ids may be of any ordered type, structs too.
-    known = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(known.join(names, "root").select("fp", "component_id"), "fp", "left").select("id", "fp", "component_id")
+    # Only linked fingerprints have a component to look up. A large component's name goes out in SALTS copies, so that
+    # its members needn't meet in one task.
+    linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "least", "root")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    names = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", copies)
+    members = linked.select("fp", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
+    named = members.join(names, ["root", "salt"]).select("fp", "component_id")
+    known = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return rows.join(known, "fp", "left").select("id", "fp", "component_id")
