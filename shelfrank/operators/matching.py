@@ -21,7 +21,9 @@ def match_scores(left: DataFrame, right: DataFrame, left_id: str, left_title: st
     a = left.select(F.col(left_id).alias("l"), F.array_distinct(text.tokens(text.without_brackets(left_title))).alias("ws"))
     b = right.select(F.col(right_id).alias("r"), text.tokens(right_title).alias("ws"))
     words_a = a.select("l", F.size("ws").alias("nl"), F.explode("ws").alias("w"))
-    words_b = b.select("r", F.size(F.array_distinct("ws")).alias("nr"), F.explode("ws").alias("w")).groupBy("r", "nr", "w").agg(F.count("*").alias("c"))
+    # A title's repeats are counted inside its row, without a shuffle.
+    counted = F.transform(F.array_distinct("ws"), lambda w: F.struct(w.alias("w"), F.size(F.filter("ws", lambda x: x == w)).alias("c")))
+    words_b = b.select("r", F.explode(counted).alias("t"), F.size(F.array_distinct("ws")).alias("nr")).select("r", "nr", "t.w", "t.c")
     shared = words_a.join(words_b, "w").groupBy("l", "r", "nl", "nr").agg(F.sum("c").alias("bag"), F.count("*").alias("both"))
     score = F.col("bag").cast("double") / (F.col("nl") + F.col("nr") - F.col("both"))
     return shared.select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), score.alias("score"))
