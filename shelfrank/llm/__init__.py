@@ -1,8 +1 @@
 """Operators for preparing training corpora. Nothing else in the package imports this subpackage."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions for Python workers travel with the plan, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .shared import by_batch
 
-#: The bounded sample a dictionary is made of: rows for each language, characters of each row, bytes in all.
-SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 96, 3000, 112 << 10
+#: The bounded sample a dictionary is made of: rows for each language, bytes of a row's text, bytes in all. Texts up to
+#: that size are taken whole and first; longer ones are cut, and used where a language has too few others.
+SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 96, 8192, 112 << 10
 BLOCK_BYTES, LEVEL, TIE_LEVEL = 1024, 9, 3
 UNKNOWN = "und"
 #: Rejection: margins below this, of texts with at least so many bytes of words.
@@ -47,8 +48,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     for lang, n in sizes:  # only rows that can be among the lowest are sorted
         share = min(1.0, 8 * rows / n + 0.001)
         wanted = wanted | ((F.col(lang_col) == lang) & (order <= min(2**63 - 1, int((2 * share - 1) * 2**63))))
-    sample = usable.where(wanted).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"), order.alias("at"))
-    first = sample.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).where(F.col("n") <= rows)
+    sample = usable.where(wanted).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_BYTES).alias("text"), (F.octet_length(text_col) > SAMPLE_BYTES).alias("cut"), order.alias("at"))
+    first = sample.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("cut", "at", "text"))).where(F.col("n") <= rows)
     texts: dict[str, list[str]] = {}
     for r in first.orderBy("lang", "n").collect():
         if _LETTER.search(r["text"]):

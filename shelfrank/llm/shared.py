@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where a session on one machine stages tables if it names no folder.
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
 #: Deletes ASCII case and turns every byte outside [0-9a-z\x80-\xff] into a space, so that
@@ -44,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = LOCAL_FALLBACK
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
