@@ -37,36 +37,37 @@ SALTS = 32
 _CHUNK = 1 << 15
 
 
-def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
+def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Majority bits of the XXH64 values of the word shingles, repeats included; 0 without words."""
     if not words:
         return 0
     if len(words) < shingle:
-        grams = iter([b" ".join(words)])
-        n = 1
+        grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-        n = len(words) - shingle + 1
-    packed = b"".join(map(partial(xxhash.xxh64_digest, seed=SEED), grams))
+    packed = b"".join(map(partial(xxhash.xxh64_digest, seed=seed), grams))
     total = np.zeros(64, np.int64)
     for at in range(0, len(packed), 8 * _CHUNK):
         bits = np.unpackbits(np.frombuffer(packed, np.uint8, min(8 * _CHUNK, len(packed) - at), at)).reshape(-1, 64)
         full = len(bits) // 128 * 128  # sums of 128 rows fit in a byte
         total += bits[:full].reshape(-1, 128, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[full:].sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * total > len(packed) // 8).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): a row for each row of docs; fp is the fingerprint as a signed long. Null or wordless texts get 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """(id, fp, fp1, ...): a row for each row of docs with a fingerprint for each seed, as signed longs. Null or wordless
+    texts get 0."""
+    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in pieces(batch):
-                fps = np.array([fingerprint(space_words(t), shingle) for t in texts_of(run, "text")], np.uint64)
-                yield pa.RecordBatch.from_arrays([run.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
+                words = [space_words(t) for t in texts_of(run, "text")]
+                fps = [np.array([fingerprint(w, shingle, seed) for w in words], np.uint64).view(np.int64) for seed in seeds]
+                yield pa.RecordBatch.from_arrays([run.column("id"), *map(pa.array, fps)], ["id", *names])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(over, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(over, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -373,3 +374,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = members.join(names, ["root", "salt"]).select("fp", "component_id")
     known = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(known, "fp", "left").select("id", "fp", "component_id")
+
+
+def near_duplicates_by_any(docs: DataFrame, id_col: str, text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """(id, component_id): like near_duplicates, but texts link if their fingerprints of any seed do.
+
+    Distances of one pair's fingerprints under several seeds scatter independently, so pairs near the radius that one
+    misses are mostly found by another. Ids are not null and may be of any ordered type.
+    """
+    rows = staged(fingerprints(docs, id_col, text_col, shingle, seeds), "simhash")
+    names = [c for c in rows.columns if c != "id"]
+    groups = staged(rows.groupBy(*names).agg(F.min("id").alias("node")), "simhash-groups")
+    edges = None
+    for name in names:
+        # Every fingerprint is named after its least group; groups that share it and fingerprints that link hang on that.
+        named = staged(groups.groupBy(name).agg(F.min("node").alias("least")).withColumnRenamed(name, "fp"), "simhash-nodes")
+        shared = groups.join(named, groups[name] == named["fp"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        ends = links(named, radius).join(named.select(F.col("fp").alias("a"), F.col("least").alias("la")), "a").join(named.select(F.col("fp").alias("b"), F.col("least").alias("lb")), "b")
+        own = shared.union(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        edges = own if edges is None else edges.union(own)
+    roots = connected_components(edges, "simhash-links")  # the root of a component is its least node, so its least id
+    known = groups.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
+    return rows.join(known, names).select("id", "component_id")

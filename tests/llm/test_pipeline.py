@@ -17,7 +17,7 @@ def corpus(spark, tmp_path_factory):
     near = texts[3].split()
     near[10] = "other"
     passage = " ".join(prose(rng, "de", 40).split())
-    texts += [texts[0], texts[0], " ".join(near), "12345 !!", None, "", texts[5] + " " + passage, "write to jo@mail.example.com or call 415-555-2671"]
+    texts += [texts[0], texts[0], " ".join(near), "12345 !!", None, "", prose(rng, "en", 60) + " " + passage, "write to jo@mail.example.com or call 415-555-2671"]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
     place = tmp_path_factory.mktemp("corpus")
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{place}/documents.parquet")
@@ -36,7 +36,7 @@ def test_stages_take_effect(spark, corpus):
     n = len(texts)
     assert kept[0] - kept[1] == {n - 5, n - 4, n - 3}
     rows = [(i, texts[i]) for i in sorted(kept[1])]
-    assert kept[2] == {c for d, _, c in plain_components(rows, corpus_pipeline.RADIUS, corpus_pipeline.SHINGLE)}
+    assert kept[2] == {c for d, _, c in plain_components(rows, corpus_pipeline.RADIUS, corpus_pipeline.SHINGLE, corpus_pipeline.SEEDS)}
     assert kept[1] - kept[2] >= {60, 61, 62}
     assert kept[2] - kept[3] == {n - 2}
     last = {r["doc_id"]: r for r in docs.collect()}

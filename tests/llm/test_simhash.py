@@ -7,7 +7,7 @@ from shelfrank.llm.components import connected_components
 from shelfrank.llm.shared import staged
 
 
-def plain_fingerprint(text, k=3):
+def plain_fingerprint(text, k=3, seed=42):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words, word = [], ""
     for c in low + " ":
@@ -17,7 +17,7 @@ def plain_fingerprint(text, k=3):
         else:
             word += c
     grams = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [" ".join(words)] * bool(words)
-    hashes = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), seed=seed) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
@@ -35,9 +35,10 @@ def closure(nodes, links):
     return {n: root(n) for n in nodes}
 
 
-def plain_components(rows, radius, k=3):
-    fps = [plain_fingerprint(t, k) for _, t in rows]
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= radius]
+def plain_components(rows, radius, k=3, seeds=(42,)):
+    each = [[plain_fingerprint(t, k, seed) for _, t in rows] for seed in seeds]
+    fps = each[0]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if any((f[i] ^ f[j]).bit_count() <= radius for f in each)]
     roots = closure(range(len(rows)), links)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -54,8 +55,15 @@ def test_equals_brute_force(docs, awkward, radius, k):
     assert got == order(plain_components(awkward, radius, k))
 
 
+@pytest.mark.parametrize(("radius", "seeds"), [(9, (42, 43)), (24, (1, 2, 3))])
+def test_any_of_several_seeds(docs, awkward, radius, seeds):
+    rows = [(d, t) for d, t in awkward if d is not None]
+    found = simhash.near_duplicates_by_any(docs.where("doc_id is not null"), "doc_id", radius=radius, shingle=2, seeds=seeds)
+    assert sorted((r["id"], r["component_id"]) for r in found.collect()) == sorted((d, c) for d, _, c in plain_components(rows, radius, 2, seeds))
+
+
 def test_no_rows(no_docs):
-    assert simhash.near_duplicates(no_docs).count() == 0
+    assert simhash.near_duplicates(no_docs).count() == 0 and simhash.near_duplicates_by_any(no_docs, "doc_id").count() == 0
 
 
 @pytest.mark.parametrize("bucket_rows", [1 << 16, 40])
