@@ -372,7 +372,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", copies)
     members = linked.select("fp", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
     named = members.join(names, ["root", "salt"]).select("fp", "component_id")
-    known = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Staged, so that both sides of the last join are dealt out for it and a fingerprint of many copies can be split.
+    known = staged(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-known")
     return rows.join(known, "fp", "left").select("id", "fp", "component_id")
 
 
