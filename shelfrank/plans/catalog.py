@@ -374,7 +374,17 @@ def number_text(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.number_text("l_quantity").alias("quantity"))
 
 
-@query("html_title", "SELECT page_id, nullif(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&'), '') AS title, nullif(replace(trim(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)), '&amp;', '&'), '') AS heading FROM pages")
+def _unescaped(x: str) -> str:
+    """Entities decoded in SQL; a title may be cut in the middle of its last one."""
+    for entity, char in (("&quot;?", '"'), ("&lt;?", "<"), ("&gt;?", ">"), ("&amp;?", "&")):
+        x = f"regexp_replace({x}, '{entity}', '{char}', 'g')"
+    return x
+
+
+_TITLE, _HEADING = (_unescaped(f"trim(regexp_extract(html, '<{tag}[^>]*>([^<]*)</{tag}>', 1))") for tag in ("title", "h1"))
+
+
+@query("html_title", f"SELECT page_id, nullif({_TITLE}, '') AS title, nullif({_HEADING}, '') AS heading FROM pages")
 def html_title(spark, sf_dir):
     return _outlines(spark, sf_dir).select("page_id", "title", "heading")
 
