@@ -33,7 +33,6 @@ RADIUS, SHINGLE, SEED = 3, 3, 42
 BUCKET_ROWS = 1 << 16
 #: What one stored or probing row costs, in comparisons of candidates.
 PROBE_COST = 1000.0
-SALTS = 32
 _CHUNK = 1 << 15
 
 
@@ -365,14 +364,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = staged(fingerprints(docs, id_col, text_col, shingle), "simhash")
     nodes = staged(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
     roots = connected_components(links(nodes, radius), "simhash-links")
-    # Only linked fingerprints have a component to look up. A large component's name goes out in SALTS copies, so that
-    # its members needn't meet in one task.
+    # Only linked fingerprints have a component to look up. Names are staged, so that both sides of the join with them are
+    # dealt out for it, and adaptive execution can split a component of many members.
     linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "least", "root")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    names = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", copies)
-    members = linked.select("fp", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
-    named = members.join(names, ["root", "salt"]).select("fp", "component_id")
-    # Staged, so that both sides of the last join are dealt out for it and a fingerprint of many copies can be split.
+    names = staged(linked.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-names")
+    named = linked.select("fp", "root").join(names, "root").select("fp", "component_id")
+    # Staged for the same reason: a fingerprint may have many copies.
     known = staged(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-known")
     return rows.join(known, "fp", "left").select("id", "fp", "component_id")
 
