@@ -36,6 +36,8 @@ BITS_PER_ENTRY, PROBES = 8, 5
 BROADCAST_BYTES = 160 << 20
 #: At the least; eight for each partition of the training texts, so that a segment's size doesn't follow the input's.
 SEGMENTS = 64
+#: Distinct events that a task sums before it sends them on.
+KEPT_EVENTS = 1_500_000
 START, END = b" start", b""  # neither can be a word
 _HASH = partial(xxhash.xxh64_digest, seed=0)
 _U = np.uint64
@@ -185,7 +187,7 @@ def count_events(docs: DataFrame, segments: int, text_col: str = "text") -> Data
                 for kind, keys in ((0, tokens), (1, pair_hashes(tokens, starts))):
                     kept[kind].append(summed(keys))
                     size += len(kept[kind][-1][0])
-            if size > 4_000_000:
+            if size > KEPT_EVENTS:
                 yield from emit()
                 size = 0
         yield from emit()
