@@ -13,22 +13,26 @@ Counting: each task sums its own events in arrays and sends, for every segment o
 a segment's owner adds the blocks up, keeps the words' exact counts and fills the segment's part of the filter.
 A frequent event is one entry a task, so no key is hot. Events go by 64-bit hashes; words are never gathered.
 
-The segments are broadcast as long as they fit in BROADCAST_BYTES together. Beyond it they are dealt into shards of
-that size, and the texts pass over one shard after another (staged between), gathering each token's levels.
+The segments are broadcast as long as they fit in BROADCAST_BYTES together. Beyond it they stay where they are: each run
+of texts sends its distinct events to the segments' owners and gets counts and levels back, in two shuffles of packed
+blocks, however large the model is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import crc_fold, discard, pieces, space_words, staged, texts_of
+from .shared import crc_fold, pieces, space_words, staged, texts_of
 
 MU = 200.0
 BITS_PER_ENTRY, PROBES = 8, 5
@@ -207,78 +211,120 @@ def count_events(docs: DataFrame, segments: int, text_col: str = "text") -> Data
     return sent.groupBy("seg").applyInArrow(own, "seg int, words binary, ns binary, bits binary, tokens long")
 
 
-def _spread(tokens: np.ndarray, starts: np.ndarray, shard: Shard, state: dict) -> None:
-    """Adds to the state of a run of texts what one shard knows of their tokens."""
-    words, back = np.unique(tokens, return_inverse=True)
-    held = shard.holds(words)
-    counts = np.where(held, shard.exact(words), np.uint64(0)).astype(np.float64)
-    terms = np.where(held, np.log10((counts + 0.5) / state["norm"]), 0.0)
-    state["base"] += np.add.reduceat(terms[back], starts[:-1])
-    state["known"] += np.add.reduceat((counts > 0)[back].astype(np.int64), starts[:-1])
-    state["word"] |= shard.levels(words)[back]
-    state["pair"] |= shard.levels(pair_hashes(tokens, starts))
+@dataclass
+class Settings:
+    """Of the model as a whole."""
 
+    train_tokens: int
+    norm: float
+    n_docs: int
+    mu: float
 
-def _score(starts: np.ndarray, state: dict, n_docs: int, mu: float) -> np.ndarray:
-    """The model's log10 probability of each text, from its tokens' levels."""
-    word = count_of(state["word"])
-    history = np.r_[0.0, word[:-1]]
-    history[starts[:-1]] = n_docs
-    prior = (word + 0.5) / state["norm"]
-    both = np.minimum(count_of(state["pair"]), history)
-    return np.add.reduceat(np.log10((both + mu * prior) / (history + mu)), starts[:-1])
+    def columns(self, starts: np.ndarray, back: np.ndarray, counts: np.ndarray, word: np.ndarray, pair: np.ndarray) -> dict:
+        """Results of a run of texts. counts: exact, of the distinct words that back points to; word and pair: the
+        filter's levels for each token."""
+        terms = np.log10((counts.astype(np.float64) + 0.5) / self.norm)
+        add = lambda x: np.add.reduceat(x, starts[:-1])
+        seen = count_of(word)
+        history = np.r_[0.0, seen[:-1]]
+        history[starts[:-1]] = self.n_docs
+        both = np.minimum(count_of(pair), history)
+        model = np.log10((both + self.mu * (seen + 0.5) / self.norm) / (history + self.mu))
+        rows = len(starts) - 1
+        return {"n_tokens": np.diff(starts), "n_known": add((counts > 0)[back].astype(np.int64)), "train_tokens": np.full(rows, self.train_tokens), "base_score": add(terms[back]), "score": add(model)}
+
+
+def _by_broadcast(rows: DataFrame, out, model: DataFrame, segments: int, settings: Settings) -> DataFrame:
+    """Scores where the texts lie, with the whole model on every worker."""
+    held = rows.sparkSession.sparkContext.broadcast(Shard([tuple(r) for r in model.toLocalIterator()], segments))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in pieces(batch):
+                tokens, starts = token_hashes(texts_of(run, "text"))
+                words, back = np.unique(tokens, return_inverse=True)
+                shard = held.value
+                cols = settings.columns(starts, back, shard.exact(words), shard.levels(words)[back], shard.levels(pair_hashes(tokens, starts)))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[c]) if c in cols else run.column(c) for c in out.names], out.names)
+
+    return rows.mapInArrow(over, out)
+
+
+def _by_segments(rows: DataFrame, out, model: DataFrame, segments: int, settings: Settings) -> DataFrame:
+    """Scores by asking each segment's owner: the distinct events of every run of texts go to their segments in packed
+    blocks, counts and levels come back, and each run is scored from its answers. No task holds more than a run, or a
+    segment and what is asked of it."""
+    numbered = rows.drop("run").selectExpr("*", "0L run").schema
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for run in pieces(batch):
+                yield pa.RecordBatch.from_arrays([*run.columns, pa.array(np.full(run.num_rows, at))], numbered.names)
+                at += 1
+
+    texts = staged(rows.mapInArrow(number, numbered), "lm-texts")  # from here on a run's number is fixed
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = batch.column("run").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if len(number) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                tokens, starts = token_hashes(texts_of(batch.slice(a, b - a), "text"))
+                for kind, keys in ((0, np.unique(tokens)), (1, np.unique(pair_hashes(tokens, starts)))):
+                    seg = (keys % _U(segments)).astype(np.int32)
+                    order = np.argsort(seg, kind="stable")
+                    at = np.flatnonzero(np.r_[True, np.diff(seg[order]) != 0, True])
+                    blocks = [keys[order[x:y]].tobytes() for x, y in zip(at, at[1:], strict=False)]
+                    yield pa.RecordBatch.from_arrays([pa.array(seg[order][at[:-1]]), pa.array([number[a]] * len(blocks), pa.int64()), pa.array([kind] * len(blocks), pa.int32()), pa.array(blocks, pa.binary())], ["seg", "run", "kind", "keys"])
+
+    def answer(own: pa.Table, asked: pa.Table) -> pa.Table:
+        shard = Shard([tuple(r[c] for c in ("seg", "words", "ns", "bits")) for r in own.to_pylist()], segments)
+        counts, levels = [], []
+        for kind, block in zip(asked.column("kind").to_pylist(), asked.column("keys").to_pylist(), strict=True):
+            keys = np.frombuffer(block, _U)
+            counts.append(shard.exact(keys).tobytes() if kind == 0 else b"")
+            levels.append(shard.levels(keys).tobytes())
+        return pa.table({"run": asked.column("run"), "kind": asked.column("kind"), "keys": asked.column("keys"), "counts": pa.array(counts, pa.binary()), "levels": pa.array(levels, pa.binary())})
+
+    def score(own: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(own):
+            return out_schema.empty_table()
+        known = {}
+        for kind in (0, 1):
+            part = told.filter(pa.compute.equal(told.column("kind"), kind))
+            joined = lambda c, t: np.frombuffer(b"".join(part.column(c).to_pylist()), t)  # noqa: E731, B023
+            keys, order = np.unique(joined("keys", _U), return_index=True)
+            known[kind] = keys, joined("levels", np.uint8)[order], joined("counts", np.uint64)[order] if kind == 0 else None
+        tokens, starts = token_hashes(own.column("text").cast(pa.binary()).to_pylist())
+        words, back = np.unique(tokens, return_inverse=True)
+        at = np.searchsorted(known[0][0], words)
+        pairs = np.searchsorted(known[1][0], pair_hashes(tokens, starts))
+        cols = settings.columns(starts, back, known[0][2][at], known[0][1][at][back], known[1][1][pairs])
+        return pa.table([pa.array(cols[c]) if c in cols else own.column(c) for c in out.names], out.names)
+
+    out_schema = to_arrow_schema(out)
+    asked = texts.select("run", "text").mapInArrow(ask, "seg int, run long, kind int, keys binary")
+    told = model.groupBy("seg").cogroup(asked.groupBy("seg")).applyInArrow(answer, "run long, kind int, keys binary, counts binary, levels binary")
+    return texts.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(score, out)
 
 
 def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, mu: float = MU, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score): a row for each row of docs.
+    """(id, keep..., n_tokens, n_known, train_tokens, base_score, score): a row for each row of docs.
 
     The model learns from training's whole texts. A null text is empty: its only token is the end. Repeated rows count
     as often as they stand. Without training rows every probability is the smoothing's own. keep: columns to carry
-    along, of names other than those and "text".
+    along, of names other than those, "text" and "run".
     """
-    spark = docs.sparkSession
     segments = max(SEGMENTS, 8 * training.rdd.getNumPartitions())
     model = staged(count_events(training, segments, text_col), "lm-segments")
     n, distinct, size = model.agg(F.sum("tokens"), F.sum(F.octet_length("words") / 8), F.sum(F.octet_length("words") * 2 + F.octet_length("bits"))).first()
     n, distinct = int(n or 0), int(distinct or 0)
-    n_docs = training.count()
-    norm = n + 0.5 * (distinct + 1)
-    shards = max(1, -(-int(size or 0) // broadcast_bytes))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(keep or []), *(F.lit(None).cast(t).alias(c) for c, t in (("base", "double"), ("known", "long"), ("word", "binary"), ("pair", "binary"))))
-
-    def step(rows: DataFrame, held, last: bool) -> DataFrame:
-        out = rows.drop("text", "base", "known", "word", "pair").selectExpr("*", "0L n_tokens", "0L n_known", f"{n}L train_tokens", "0D base_score", "0D score").schema if last else rows.schema
-
-        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for run in pieces(batch):
-                    tokens, starts = token_hashes(texts_of(run, "text"))
-                    before = {c: run.column(c) for c in ("base", "known", "word", "pair")}
-                    fresh = before["base"].null_count == run.num_rows
-                    state = {"norm": norm}
-                    for c, kind in (("base", np.float64), ("known", np.int64)):
-                        state[c] = np.zeros(run.num_rows, kind) if fresh else before[c].to_numpy(zero_copy_only=False).copy()
-                    for c in ("word", "pair"):
-                        state[c] = np.zeros(len(tokens), np.uint8) if fresh else np.frombuffer(b"".join(before[c].to_pylist()), np.uint8).copy()
-                    _spread(tokens, starts, held.value, state)
-                    cols = {"base": state["base"], "known": state["known"]}
-                    if last:
-                        cols |= {"n_tokens": np.diff(starts), "n_known": state["known"], "train_tokens": np.full(run.num_rows, n), "base_score": state["base"], "score": _score(starts, state, n_docs, mu)}
-                    else:
-                        cols |= {c: [state[c][a:b].tobytes() for a, b in zip(starts, starts[1:], strict=False)] for c in ("word", "pair")}
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[c]) if c in cols else run.column(c) for c in out.names], out.names)
-
-        return rows.mapInArrow(over, out)
-
-    for k in range(shards):
-        own = model.where(F.col("seg") % shards == k).select("seg", "words", "ns", "bits")
-        held = spark.sparkContext.broadcast(Shard([tuple(r) for r in own.toLocalIterator()], segments))
-        before, rows = rows, step(rows, held, k + 1 == shards)
-        if k + 1 < shards:
-            rows = staged(rows, "lm-levels")
-            if k:
-                discard(before)
-    return rows
+    settings = Settings(n, n + 0.5 * (distinct + 1), training.count(), mu)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(keep or []))
+    out = rows.drop("text").selectExpr("*", "0L n_tokens", "0L n_known", "0L train_tokens", "0D base_score", "0D score").schema
+    route = _by_broadcast if int(size or 0) <= broadcast_bytes else _by_segments
+    return route(rows, out, model.select("seg", "words", "ns", "bits"), segments, settings)
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", held: int = 1) -> DataFrame:
