@@ -34,3 +34,24 @@ def best_matches(left: DataFrame, right: DataFrame, left_id: str = "_ordinal", l
     found = match_scores(left, right, left_id, left_title, right_id, right_title).where(F.col("score") > threshold)
     first = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id"))
     return found.withColumn("n", first).where("n = 1").drop("n")
+
+
+def enriched_matches(listings: DataFrame, devices: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The matched device of each listing that has one: the device's columns, realTitle (the listing's), images never
+    null and dbRecordId. _ordinal is the listing's, so later ties keep the listings' order."""
+    found = best_matches(listings, devices, threshold=threshold)
+    titles = listings.select(F.col("_ordinal").alias("left_id"), F.col("title").alias("realTitle"))
+    rows = found.join(titles, "left_id").join(devices.withColumnRenamed("_ordinal", "right_id"), "right_id")
+    rest = [c for c in devices.columns if c not in ("_ordinal", "images")]
+    return rows.select(*rest, F.coalesce("images", F.array().cast("array<string>")).alias("images"), "realTitle", F.col("_id").alias("dbRecordId"), F.col("left_id").alias("_ordinal"))
+
+
+def match_steps(listings: DataFrame, devices: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(_ordinal, title, step): for each listing whether it matched, its best score, the device and, if not, why."""
+    best = best_matches(listings, devices, threshold=0.0).withColumnRenamed("left_id", "_ordinal")
+    rows = listings.select("_ordinal", "title").join(best, "_ordinal", "left")
+    matched = F.coalesce(F.col("score") > threshold, F.lit(False))
+    score = F.coalesce("score", F.lit(0.0))
+    reason = F.when(~matched, F.concat(F.lit("Match score "), text.number_text(score), F.lit(f" below threshold {threshold}")))
+    details = F.to_json(F.struct(matched.alias("matched"), score.alias("score"), F.col("right_id").alias("dbProduct"), reason.alias("reason")))
+    return rows.select("_ordinal", "title", F.struct(F.lit("dbMatch").alias("name"), details.alias("details")).alias("step"))

@@ -257,6 +257,33 @@ def fuzzy_match(spark, sf_dir):
     return matching.best_matches(left, right, "p_partkey", "title", "p_partkey", "title")
 
 
+def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth part's title with a colour in brackets, every tenth in words that match nothing."""
+    shown = F.when(F.col("p_partkey") % 10 == 0, F.lit("no such thing")).otherwise(F.concat_ws(" ", "p_name", "p_brand", F.lit("(Blue)")))
+    return table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("_ordinal"), shown.alias("title"))
+
+
+_MATCHED = rf"""l AS (SELECT p_partkey AS lid, CASE WHEN p_partkey % 10 = 0 THEN 'no such thing' ELSE p_name || ' ' || p_brand || ' (Blue)' END AS shown FROM part WHERE p_partkey % 5 = 0),
+  lt AS (SELECT lid, shown, list_distinct([t FOR t IN string_split_regex(lower(regexp_replace(shown, '\s*\([^)]*\)', '', 'g')), '\s+') IF t <> '']) AS ws FROM l),
+  rt AS (SELECT id AS rid, [t FOR t IN string_split_regex(lower(title), '\s+') IF t <> ''] AS ts FROM cat),
+  b AS (SELECT lid, shown, rid, score FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY score DESC, rid) AS n FROM (SELECT lid, shown, rid, len([t FOR t IN ts IF list_contains(ws, t)])::DOUBLE / len(list_distinct(list_concat(ws, ts))) AS score FROM lt, rt)) WHERE n = 1)"""
+
+
+@query("match_steps", f"WITH {CAT}, {_MATCHED} SELECT lid AS id, score > 0.4 AS matched, score, CASE WHEN score > 0 THEN rid END AS product FROM b")
+def match_steps(spark, sf_dir):
+    found = matching.match_steps(_listings(spark, sf_dir), adapter.catalogue(spark, sf_dir))
+    told = found.select(F.col("_ordinal").alias("id"), F.from_json("step.details", "matched boolean, score double, dbProduct long").alias("d"))
+    return told.select("id", "d.matched", "d.score", F.col("d.dbProduct").alias("product"))
+
+
+@query("match_and_rank", f"WITH {CAT}, {_MATCHED}, ok AS (SELECT b.lid, b.shown, cat.* FROM b JOIN cat ON rid = id WHERE score > 0.4 AND {VALID}), {CTX} SELECT lid, shown AS title, id::VARCHAR AS device, {TOTAL} AS total FROM ok, ctx ORDER BY total DESC, lid LIMIT 20")
+def match_and_rank(spark, sf_dir):
+    from .recommend import match_and_rank as run
+
+    found = run(_listings(spark, sf_dir), adapter.catalogue(spark, sf_dir), WEIGHTS)
+    return found.select(F.col("_ordinal").alias("lid"), F.col("realTitle").alias("title"), F.col("dbRecordId").alias("device"), F.col("totalWeightedScore").alias("total"))
+
+
 def _failing_sql(name: str, where: str, value: str) -> str:
     return f"SELECT '{name}' AS processor, {value} AS value, id FROM cat WHERE {where}"
 

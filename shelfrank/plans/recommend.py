@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators import filters, scoring
+from ..operators import filters, matching, scoring
 from ..operators.filters import Clarification
 from . import planner
 
@@ -46,6 +46,11 @@ def recommend(devices: DataFrame, request: str, parse: planner.QueryParser = pla
     return Recommendation(ranked, [], weights, request)
 
 
+def match_and_rank(listings: DataFrame, devices: DataFrame, weights: scoring.Weights, n: int = 20) -> DataFrame:
+    """The n best of the devices that listings match by title."""
+    return scoring.rank(matching.enriched_matches(listings, devices), weights, n)
+
+
 def with_verdicts(found: Recommendation, say: planner.VerdictProvider = planner.score_verdict) -> DataFrame:
     """The ranked products, at most a page of them, each with a verdict."""
     rows = [r.asDict(recursive=True) for r in found.ranked.collect()]  # n rows
