@@ -156,9 +156,10 @@ def raw_score(category: Category) -> Column:
     return total
 
 
-def scored(rows: DataFrame, weights: Weights, categories: tuple[Category, ...] = CATEGORIES) -> DataFrame:
-    """rows with a struct (rawScore, weightedScore) for each category and their sum, added in the categories' order."""
-    beside = rows.crossJoin(F.broadcast(context(rows, categories)))  # the context is one row
+def scored(rows: DataFrame, weights: Weights, categories: tuple[Category, ...] = CATEGORIES, among: DataFrame | None = None) -> DataFrame:
+    """rows with a struct (rawScore, weightedScore) for each category and their sum, added in the categories' order.
+    among: the rows that scores are relative to, rows themselves by default."""
+    beside = rows.crossJoin(F.broadcast(context(rows if among is None else among, categories)))  # the context is one row
     bounds = [f"{p.name}_{end}" for p in _parts(categories) for end in ("min", "max")]
     raws = beside.withColumn("_raw", F.struct(*(raw_score(c).alias(c.name) for c in categories))).drop(*bounds)
     each = {c.name: F.struct(F.col("_raw")[c.name].alias("rawScore"), (F.col("_raw")[c.name] * F.lit(float(weights[c.name]))).alias("weightedScore")) for c in categories}
@@ -193,10 +194,9 @@ def tracked(devices: DataFrame, weights: Weights, categories: tuple[Category, ..
     record; `first_by_title` in the dedup module gives one for each title.
     """
     rows = derive(devices, categories)
-    ranked = scored(validated(rows, categories), weights, categories)
-    totals = ranked.select(F.col("_ordinal").alias("_o"), F.to_json(F.struct(F.col("totalWeightedScore").alias("total"), *(c.name for c in categories))).alias("_scoring"))
-    failed = failed_categories(categories)
-    joined = rows.withColumn("_failed", failed).join(totals, F.col("_ordinal") == F.col("_o"), "left")
+    all_of = scored(rows, weights, categories, among=validated(rows, categories)).withColumn("_failed", failed_categories(categories))
     step = lambda name, details: F.struct(F.lit(name).alias("name"), details.alias("details"))
-    checks = step("validation", F.to_json(F.struct((F.size("_failed") == 0).alias("valid"), F.col("_failed").alias("failedProcessors"))))
-    return joined.select("_id", "title", "_ordinal", F.array_compact(F.array(checks, F.when(F.col("_scoring").isNotNull(), step("scoring", F.col("_scoring"))))).alias("steps"))
+    passed = F.size("_failed") == 0
+    checks = step("validation", F.to_json(F.struct(passed.alias("valid"), F.col("_failed").alias("failedProcessors"))))
+    totals = step("scoring", F.to_json(F.struct(F.col("totalWeightedScore").alias("total"), *(c.name for c in categories))))
+    return all_of.select("_id", "title", "_ordinal", F.array_compact(F.array(checks, F.when(passed, totals))).alias("steps"))
