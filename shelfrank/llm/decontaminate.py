@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import alnum_words, discard, pieces, staged, texts_of
+from .shared import Shared, alnum_words, discard, pieces, staged, texts_of
 
 WINDOW = 13
 #: Benchmark text whose matchers are broadcast together.
@@ -90,13 +90,14 @@ def _scan(docs: DataFrame, tables, last: bool) -> DataFrame:
     """Adds one block's hits to those that docs carry."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [t.value for t in tables]
         for batch in batches:
             for run in pieces(batch):
                 kept = [c for c in run.schema.names if not last or c != "text"]
                 words, hits, ids = [], [], []
                 for text, hit, items in zip(texts_of(run, "text"), run.column("hits").to_pylist(), run.column("items").to_pylist(), strict=True):
                     own = alnum_words(text)
-                    more, found = search(own, tables.value)
+                    more, found = search(own, held)
                     words.append(len(own))
                     hits.append(sorted({*(hit or ()), *more}))
                     ids.append(sorted({*(items or ()), *found}))
@@ -122,7 +123,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"), *(keep or []))
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("body"), F.lit(blocks)) == k)
-        tables = spark.sparkContext.broadcast(matchers((r["item"], bytes(r["body"])) for r in own.toLocalIterator()))
+        tables = [Shared(spark, m) for m in matchers((r["item"], bytes(r["body"])) for r in own.toLocalIterator())]
         before, rows = rows, _scan(rows, tables, k + 1 == blocks)
         if k + 1 < blocks:
             rows = staged(rows, "decontaminate")

@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import crc_fold, pieces, space_words, staged, texts_of
+from .shared import Shared, crc_fold, pieces, space_words, staged, texts_of
 
-MU = 200.0
+MU = 1000.0
 BITS_PER_ENTRY, PROBES = 8, 5
 #: Of filter and word counts, broadcast at once.
 BROADCAST_BYTES = 160 << 20
@@ -236,7 +236,7 @@ class Settings:
 
 def _by_broadcast(rows: DataFrame, out, model: DataFrame, segments: int, settings: Settings) -> DataFrame:
     """Scores where the texts lie, with the whole model on every worker."""
-    held = rows.sparkSession.sparkContext.broadcast(Shard([tuple(r) for r in model.toLocalIterator()], segments))
+    held = Shared(rows.sparkSession, Shard([tuple(r) for r in model.toLocalIterator()], segments))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

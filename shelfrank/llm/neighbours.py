@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import Shared, staged
 
 K, PROBES = 20, 24
 #: The bounded sample that the lists' centres are fitted on.
@@ -122,7 +122,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     n, longest = distinct.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))).first()
     sample = distinct.select("vec").orderBy(F.xxhash64("rep")).limit(SAMPLE_ROWS).toPandas()["vec"]
     index = Index(np.array(sample.tolist(), np.float64), n, longest)
-    held = spark.sparkContext.broadcast(index)
+    held = Shared(spark, index)
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -94,3 +94,21 @@ def by_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iter
                 yield make(run)
 
     return over
+
+
+class Shared:
+    """An object of ours on every worker. Its state is broadcast as plain data and the object is made anew there, as
+    broadcasts, unlike functions, can't bring classes along to workers without this package."""
+
+    def __init__(self, spark: SparkSession, thing: object):
+        self.kind, self.state, self.made = type(thing), spark.sparkContext.broadcast(thing.__dict__), None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": None}
+
+    @property
+    def value(self):
+        if self.made is None:
+            self.made = self.kind.__new__(self.kind)
+            self.made.__dict__.update(self.state.value)
+        return self.made

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import pieces, space_words, staged, texts_of
+from .shared import Shared, pieces, space_words, staged, texts_of
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Rows that one task compares under one value at once.
@@ -311,7 +311,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS)
 
     fps: a staged table with a column fp of distinct longs.
     """
-    plan = fps.sparkSession.sparkContext.broadcast(plan_search(fps, radius))  # a few KB, whatever the input
+    plan = Shared(fps.sparkSession, plan_search(fps, radius))  # a few KB, whatever the input
 
     def deal(batches):
         for batch in batches:
