@@ -33,6 +33,8 @@ RADIUS, SHINGLE, SEED = 3, 3, 42
 BUCKET_ROWS = 1 << 16
 #: What one stored or probing row costs, in comparisons of candidates.
 PROBE_COST = 1000.0
+#: Links that one task thins out.
+LINKS_A_TASK = 500_000
 _CHUNK = 1 << 15
 
 
@@ -335,6 +337,13 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS)
                 new = joined.new(a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64))], ["a", "b"])
 
+    def thin(batches):
+        joined = _Joined()
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+            new = joined.new(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+
     keys = staged(fps.select("fp").mapInArrow(deal, "bucket long, fp long, probing boolean"), "simhash-keys")
     hot = keys.groupBy("bucket").count().where(F.col("count") > bucket_rows)
     cells = keys.select(F.col("bucket").alias("cell"), "fp", "probing")
@@ -346,7 +355,9 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS)
         others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda x: F.xxhash64("bucket", F.least(x, mine), F.greatest(x, mine)))
         cells = dealt.select(F.explode(F.when(F.col("g") > 1, others).otherwise(F.array("bucket"))).alias("cell"), "fp", "probing")
     n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return cells.repartition(n, "cell").sortWithinPartitions("cell", "probing").mapInArrow(compare, "a long, b long")
+    found = staged(cells.repartition(n, "cell").sortWithinPartitions("cell", "probing").mapInArrow(compare, "a long, b long"), "simhash-found")
+    # Tasks repeat each other's links inside large groups; what few tasks can hold is thinned out to forests once more.
+    return found.repartition(max(1, -(-found.count() // LINKS_A_TASK))).mapInArrow(thin, "a long, b long")
 
 
 def _and_end(batches):
