@@ -1,10 +1,15 @@
 """Nearest neighbours by inner product: inverted lists scanned by adaptive dimension sampling.
 
 Vectors get one more coordinate so that all have the same length; then the largest inner product is the smallest
-distance. They are rotated at random, so that any first t coordinates are a fair sample of the distance. Within each
-probed list the columns are read in blocks; after each, a candidate whose partial distance, scaled up, exceeds the
-k-th best by more than chance allows is abandoned. What survives is ranked by its inner product in double precision
-on the original vectors.
+distance. They are rotated at random, so that any first t coordinates are a fair sample of the distance. A query
+starts with a limit: the distance of its 2 (K + 1)-th nearest among a bounded sample, which its K + 1 nearest of all
+can't exceed. Within each probed list the columns are read in blocks; after each, a candidate whose partial distance, scaled up, exceeds the
+limit by more than chance allows is abandoned. What survives is ranked by its inner product in double precision on the
+original vectors.
+
+How many lists are probed is measured on the sample: as many as hold TARGET of its own vectors' true neighbours.
+Neighbours among all vectors are nearer than among a sample, so they are found at least as often. A query that finds
+fewer than it should is asked again in every list, without a limit.
 
 Equal vectors are stored once, with the K + 1 smallest of their ids: no result can need more of them. Lists that
 outgrow CELL_ROWS are dealt into cells, and so are a list's queries, so that no task depends on one list's size.
@@ -22,12 +27,16 @@ from pyspark.sql import functions as F
 
 from .shared import Shared, staged
 
-K, PROBES = 20, 24
-#: The bounded sample that the lists' centres are fitted on.
-SAMPLE_ROWS, ROUNDS = 20_000, 8
+K = 20
+#: The bounded sample that centres, limits and the number of probes come from, and the queries that probes are set by.
+SAMPLE_ROWS, ROUNDS, TRIALS = 20_000, 8, 400
+#: The share of true neighbours in the probed lists.
+TARGET = 0.97
 CELL_ROWS, CELL_QUERIES = 8192, 8192
-BLOCK_COLUMNS, DOUBT = 16, 2.1
-_ROWS = 1024
+#: Columns read at once, and how many deviations of the scaled partial distance a candidate is granted.
+BLOCK_COLUMNS, DOUBT = 16, 1.5
+#: Below this share of live candidates single pairs are followed instead of whole blocks.
+SPARSE = 0.15
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -54,6 +63,35 @@ class Index:
             n_own = np.bincount(own, minlength=lists)
             full = n_own > 0
             self.centres[full] = total[full] / n_own[full, None]
+        self.sample = x
+        self.probes = self.measured_probes(sample)
+
+    def measured_probes(self, sample: np.ndarray) -> int:
+        """How many lists hold TARGET of the true K nearest, for queries from the sample among the sample."""
+        if len(self.centres) == 1 or len(sample) < 2:
+            return 1
+        lists = self.nearest(self.sample, 1)[:, 0]
+        asked = np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(int)
+        near = sample[asked] @ sample.T
+        near[np.arange(len(asked)), asked] = -np.inf
+        top = np.argpartition(-near, min(K, len(sample) - 1) - 1, 1)[:, :K]
+        order = self.nearest(self.lift(sample[asked], query=True), len(self.centres))
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], 1)
+        ranks = np.sort(np.take_along_axis(place, lists[top], 1).ravel())
+        return int(ranks[min(len(ranks) - 1, int(np.ceil(TARGET * len(ranks))) - 1)]) + 1
+
+    def limits(self, lifted: np.ndarray, k: int) -> np.ndarray:
+        """For each query a squared distance within which at least k vectors lie; infinite if the sample is smaller."""
+        if len(self.sample) < k:
+            return np.full(len(lifted), np.inf, np.float32)
+        out = []
+        size = (self.sample**2).sum(1)
+        for at in range(0, len(lifted), 256):
+            own = lifted[at : at + 256]
+            near = (own**2).sum(1)[:, None] + size[None, :] - 2 * own @ self.sample.T
+            out.append(np.partition(near, k - 1, 1)[:, k - 1])
+        return np.concatenate(out) * np.float32(1 + 1e-4) + np.float32(1e-5) if out else np.empty(0, np.float32)
 
     def lift(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """Rotated vectors with the coordinate that makes all lengths equal (0 for a query)."""
@@ -71,29 +109,26 @@ class Index:
         return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
 
-def scan(x: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
-    """Rows of x that may be among the k nearest to q. x: rotated vectors."""
+def scan(x: np.ndarray, q: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, rows) of the pairs that may be within the queries' limits. x, q: rotated vectors."""
     dim = x.shape[1]
-    limit, kept, best = np.inf, [], np.empty(0)
-    for top in range(0, len(x), _ROWS):
-        rows = x[top : top + _ROWS]
-        alive, part = np.arange(len(rows)), np.zeros(len(rows), np.float32)
-        for at in range(0, dim, BLOCK_COLUMNS):
-            own = rows[alive, at : at + BLOCK_COLUMNS] - q[at : at + BLOCK_COLUMNS]
-            part = part + np.einsum("ij,ij->i", own, own)
-            t = min(at + BLOCK_COLUMNS, dim)
-            if t < dim and limit < np.inf:  # the hypothesis that the whole distance is within the limit
-                fair = part * (dim / t) <= limit * (1 + DOUBT / np.sqrt(t)) ** 2
-                alive, part = alive[fair], part[fair]
-                if not len(alive):
-                    break
-        if len(alive):
-            kept.append(alive + top)
-            best = np.concatenate([best, part])
-            if len(best) >= k:
-                best = np.partition(best, k - 1)[:k]
-                limit = best[k - 1] * (1 + 1e-5)
-    return np.concatenate(kept) if kept else np.empty(0, np.int64)
+    part, dead, pairs = np.zeros((len(q), len(x)), np.float32), np.zeros((len(q), len(x)), bool), None
+    for at in range(0, dim, BLOCK_COLUMNS):
+        t = min(at + BLOCK_COLUMNS, dim)
+        xb, qb = x[:, at:t], q[:, at:t]
+        allowed = limits * (1 if t == dim else (1 + DOUBT / np.sqrt(t)) ** 2 * t / dim)
+        if pairs is None:
+            part += (qb**2).sum(1)[:, None] + (xb**2).sum(1)[None, :] - 2 * qb @ xb.T
+            dead |= part > allowed[:, None]  # the hypothesis that the whole distance is within the limit is rejected
+            if t == dim or dead.mean() > 1 - SPARSE:
+                pairs = np.nonzero(~dead)
+                part = part[pairs]
+        else:
+            i, j = pairs
+            part = part + ((qb[i] - xb[j]) ** 2).sum(1)
+            fair = part <= allowed[i]
+            pairs, part = (i[fair], j[fair]), part[fair]
+    return pairs
 
 
 def _stack(column: pa.ChunkedArray) -> np.ndarray:
@@ -101,7 +136,7 @@ def _stack(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", query_every: int = 20, k: int = K, probes: int = PROBES) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", query_every: int = 20, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for every row whose id is divisible by query_every.
 
     A row is no candidate for itself. Ties go to the smaller id. Vectors whose dimension isn't the commonest (of equally
@@ -136,50 +171,64 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         sizes[r["list"]] = r["count"]
     sizes_held = spark.sparkContext.broadcast(sizes)
 
-    def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                x = np.array(b["vec"].tolist(), np.float64)
-                near = held.value.nearest(held.value.lift(x, query=True), len(sizes_held.value))
-                before = np.cumsum(sizes_held.value[near], 1) - sizes_held.value[near]
-                used = ((np.arange(near.shape[1])[None, :] < probes) | (before < k + 1)) & (sizes_held.value[near] > 0)
-                yield b.assign(list=[list(map(int, o[u])) for o, u in zip(near, used, strict=True)])
-
-    wanted = queries.select("rep").distinct()
-    probed = distinct.select("rep", "vec").join(wanted, "rep").mapInPandas(probing, "rep long, vec array<double>, list array<int>").select("rep", "vec", F.explode("list").alias("list"))
-    probed = staged(probed, "nn-probes")
-    asking = {r["list"]: r["count"] for r in probed.groupBy("list").count().collect()}
-    parts = lambda n, most: max(1, -(-int(n) // most))
-    cut = [(i, parts(s, CELL_ROWS), parts(asking.get(i, 0), CELL_QUERIES)) for i, s in enumerate(sizes) if i in asking]
-    cuts = F.broadcast(spark.createDataFrame(cut, "list int, rows int, blocks int"))  # a row a list
-    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    left = stored.join(cuts, "list").withColumn("row_cell", mine("rows")).withColumn("query_cell", to("blocks"))
-    right = probed.join(cuts, "list").withColumn("query_cell", mine("blocks")).withColumn("row_cell", to("rows"))
-    cells = ["list", "row_cell", "query_cell"]
-    both = left.select(*cells, "rep", "vec", "ids").unionByName(right.select(*cells, "rep", "vec", F.lit(None).cast("array<long>").alias("ids")))
-
     def compare(cell: pa.Table) -> pa.Table:
         is_row = pa.compute.is_valid(cell.column("ids"))
         own, ask = cell.filter(is_row), cell.filter(pa.compute.invert(is_row))
         found: list[list] = [[], [], []]
         if len(own) and len(ask):
             raw, raw_q = _stack(own.column("vec")), _stack(ask.column("vec"))
-            x, q = held.value.lift(raw), held.value.lift(raw_q, query=True)
-            reps, ids = own.column("rep").to_numpy(), own.column("ids").to_pylist()
-            for i, rep in enumerate(ask.column("rep").to_pylist()):
-                at = scan(x, q[i], k + 1)
-                scores = (raw[at] * raw_q[i]).sum(1)
-                top = np.lexsort((reps[at], -scores))[: k + 1]
-                found[0] += [rep] * len(top)
+            x, q, limits = held.value.lift(raw), held.value.lift(raw_q, query=True), ask.column("within").to_numpy()
+            reps, asking, ids = own.column("rep").to_numpy(), ask.column("rep").to_numpy(), own.column("ids").to_pylist()
+            step = max(1, (1 << 21) // len(x))
+            for at in range(0, len(q), step):
+                i, j = scan(x, q[at : at + step], limits[at : at + step])
+                scores = (raw[j] * raw_q[at + i]).sum(1)
+                order = np.lexsort((reps[j], -scores, i))
+                i, j, scores = i[order], j[order], scores[order]
+                start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.empty(0, int)
+                top = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)])) <= k
+                found[0] += asking[at + i[top]].tolist()
                 found[1] += scores[top].tolist()
-                found[2] += [ids[at[j]] for j in top]
+                found[2] += [ids[r] for r in j[top]]
         return pa.table({"rep": pa.array(found[0], pa.int64()), "score": pa.array(found[1], pa.float64()), "ids": pa.array(found[2], pa.list_(pa.int64()))})
 
-    met = both.groupBy(*cells).applyInArrow(compare, "rep long, score double, ids array<long>")
-    each = met.select("rep", "score", F.explode("ids").alias("vec_id"))
-    best = each.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
-    lists = best.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
+    def nearest(wanted: DataFrame, whole: bool) -> DataFrame:
+        """(rep, near): for each wanted vector the k + 1 nearest ids found; whole: in every list and without a limit."""
+
+        def probing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    x = held.value.lift(np.array(b["vec"].tolist(), np.float64), query=True)
+                    near = held.value.nearest(x, len(sizes_held.value))
+                    before = np.cumsum(sizes_held.value[near], 1) - sizes_held.value[near]
+                    used = ((np.arange(near.shape[1])[None, :] < held.value.probes) | (before < k + 1) | whole) & (sizes_held.value[near] > 0)
+                    within = np.full(len(x), np.inf, np.float32) if whole else held.value.limits(x, 2 * (k + 1))
+                    yield b.assign(list=[list(map(int, o[u])) for o, u in zip(near, used, strict=True)], within=within)
+
+        chosen = distinct.select("rep", "vec").join(wanted, "rep").mapInPandas(probing, "rep long, vec array<double>, list array<int>, within float")
+        probed = staged(chosen.select("rep", "vec", "within", F.explode("list").alias("list")), "nn-probes")
+        asking = {r["list"]: r["count"] for r in probed.groupBy("list").count().collect()}  # one number a list
+        parts = lambda n, most: max(1, -(-int(n) // most))
+        cut = [(i, parts(s, CELL_ROWS), parts(asking.get(i, 0), CELL_QUERIES)) for i, s in enumerate(sizes) if i in asking]
+        cuts = F.broadcast(spark.createDataFrame(cut, "list int, rows int, blocks int"))  # a row a list
+        to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+        left = stored.join(cuts, "list").withColumn("row_cell", mine("rows")).withColumn("query_cell", to("blocks"))
+        right = probed.join(cuts, "list").withColumn("query_cell", mine("blocks")).withColumn("row_cell", to("rows"))
+        cells = ["list", "row_cell", "query_cell"]
+        both = left.select(*cells, "rep", "vec", "ids", F.lit(None).cast("float").alias("within")).unionByName(right.select(*cells, "rep", "vec", F.lit(None).cast("array<long>").alias("ids"), "within"))
+        met = both.groupBy(*cells).applyInArrow(compare, "rep long, score double, ids array<long>")
+        each = met.select("rep", "score", F.explode("ids").alias("vec_id"))
+        best = each.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
+        return best.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
+
+    wanted = queries.select("rep").distinct()
+    lists = staged(nearest(wanted, False), "nn-found")
+    enough = min(k + 1, distinct.agg(F.sum(F.size("ids"))).first()[0])
+    full = lists.where(F.size("near") >= enough)
+    short = staged(wanted.join(full, "rep", "left_anti"), "nn-short")
+    if short.head(1):  # the few for whom probed lists hold too few within the limit
+        full = full.union(nearest(short, True))
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    out = queries.join(lists, "rep").select("query_id", F.posexplode(others).alias("at", "hit"))
+    out = queries.join(full, "rep").select("query_id", F.posexplode(others).alias("at", "hit"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
