@@ -191,9 +191,9 @@ def count_events(docs: DataFrame, segments: int, text_col: str = "text") -> Data
                 for kind, keys in ((0, tokens), (1, pair_hashes(tokens, starts))):
                     kept[kind].append(summed(keys))
                     size += len(kept[kind][-1][0])
-            if size > KEPT_EVENTS:
-                yield from emit()
-                size = 0
+                if size > KEPT_EVENTS:
+                    yield from emit()
+                    size = 0
         yield from emit()
 
     def own(table: pa.Table) -> pa.Table:
