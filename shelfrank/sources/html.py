@@ -116,7 +116,8 @@ def _step(step: str):
         elif attr:
             tests.append(lambda e, n=attr: n in e.attrs)
         elif at:
-            tests.append(lambda e, n=int(at), t=step.split(":")[0].split(".")[0]: e.parent is not None and (own := [c for c in e.parent.children if c.tag == t])[n : n + 1] == [e] and bool(own))
+            own_tag = re.match(r"[\w*-]+", step)[0]
+            tests.append(lambda e, n=int(at), t=own_tag: e.parent is not None and [c for c in e.parent.children if c.tag == t][n : n + 1] == [e])
         elif first:
             tests.append(lambda e: e.parent is not None and e.parent.children[0] is e)
         elif tag != "*":
