@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -11,15 +11,8 @@ from ..functions import text
 THRESHOLD = 0.4
 
 
-def match_scores(left: DataFrame, right: DataFrame, left_id: str, left_title: str, right_id: str, right_title: str) -> DataFrame:
-    """(left_id, right_id, score) for all pairs that share a word.
-
-    score: how many of the right title's words, repeats included, are in the left title without its brackets, over the
-    number of words in either. It can exceed 1. Pairs without a common word score 0 and aren't made: words are joined,
-    titles aren't crossed. A very common word is split by adaptive execution, not dropped.
-    """
-    a = left.select(F.col(left_id).alias("l"), F.array_distinct(text.tokens(text.without_brackets(left_title))).alias("ws"))
-    b = right.select(F.col(right_id).alias("r"), text.tokens(right_title).alias("ws"))
+def _scores(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(left_id, right_id, score) from a: (l, ws), distinct words, and b: (r, ws), words with repeats."""
     words_a = a.select("l", F.size("ws").alias("nl"), F.explode("ws").alias("w"))
     # A title's repeats are counted inside its row, without a shuffle.
     counted = F.transform(F.array_distinct("ws"), lambda w: F.struct(w.alias("w"), F.size(F.filter("ws", lambda x: x == w)).alias("c")))
@@ -29,11 +22,32 @@ def match_scores(left: DataFrame, right: DataFrame, left_id: str, left_title: st
     return shared.select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), score.alias("score"))
 
 
+def _left_words(title: str) -> Column:
+    return F.array_sort(F.array_distinct(text.tokens(text.without_brackets(title))))
+
+
+def match_scores(left: DataFrame, right: DataFrame, left_id: str, left_title: str, right_id: str, right_title: str) -> DataFrame:
+    """(left_id, right_id, score) for all pairs that share a word.
+
+    score: how many of the right title's words, repeats included, are in the left title without its brackets, over the
+    number of words in either. It can exceed 1. Pairs without a common word score 0 and aren't made: words are joined,
+    titles aren't crossed. A very common word is split by adaptive execution, not dropped.
+    """
+    return _scores(left.select(F.col(left_id).alias("l"), _left_words(left_title).alias("ws")), right.select(F.col(right_id).alias("r"), text.tokens(right_title).alias("ws")))
+
+
 def best_matches(left: DataFrame, right: DataFrame, left_id: str = "_ordinal", left_title: str = "title", right_id: str = "_ordinal", right_title: str = "title", threshold: float = THRESHOLD) -> DataFrame:
-    """(left_id, right_id, score): the best right row above the threshold for each left row; the smaller id wins ties."""
-    found = match_scores(left, right, left_id, left_title, right_id, right_title).where(F.col("score") > threshold)
+    """(left_id, right_id, score): the best right row above the threshold for each left row; the smaller id wins ties.
+
+    Titles of equal words are matched once: on the right the smallest id stands for them, on the left the result is
+    joined back to all of them.
+    """
+    rows = left.select(F.col(left_id).alias("left_id"), _left_words(left_title).alias("ws"))
+    offers = right.select(F.col(right_id).alias("r"), F.array_sort(text.tokens(right_title)).alias("ws")).groupBy("ws").agg(F.min("r").alias("r"))
+    found = _scores(rows.select(F.col("ws").alias("l"), "ws").distinct(), offers).where(F.col("score") > threshold)
     first = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id"))
-    return found.withColumn("n", first).where("n = 1").drop("n")
+    best = found.withColumn("n", first).where("n = 1").select(F.col("left_id").alias("ws"), "right_id", "score")
+    return rows.join(best, "ws").select("left_id", "right_id", "score")
 
 
 def enriched_matches(listings: DataFrame, devices: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
