@@ -50,6 +50,35 @@ def test_every_pair_at_the_threshold_is_found(spark):
     assert kept(spark, texts) == set(range(0, 120, 2))
 
 
+def test_pairs_below_the_threshold_stay(spark):
+    rng = random.Random(6)
+    texts = [t for _ in range(60) for t in pair(rng, 170)]  # 170 of 230
+    assert kept(spark, texts) == set(range(120))
+
+
+def test_common_passage_does_not_chain_and_failed_stars_hide_no_link(spark):
+    rng = random.Random(7)
+    passage = words(rng, 150)
+    texts = [" ".join(passage + words(rng, 50)) for _ in range(40)]
+    for i in range(12):  # near copies of some, in the same buckets
+        own = texts[i].split()
+        own[-3] = "other"
+        texts.append(" ".join(own))
+    texts += ["", None, "  ", "one two", "one two", "One two"]
+    assert kept(spark, texts) == least_of_components(texts) == {*range(40), 52, 55}
+
+
+@pytest.mark.parametrize("bucket_rows", [4, 1 << 13])
+def test_large_buckets_are_dealt_out_whole(spark, bucket_rows):
+    rng = random.Random(8)
+    passage = words(rng, 170)
+    texts = [" ".join(passage + words(rng, 34)) for _ in range(20)]
+    texts += [" ".join([*t.split()[:-1], "end"]) for t in texts]
+    docs = staged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test")
+    found = jaccard.near_duplicates(docs, "doc_id", bucket_rows=bucket_rows).collect()
+    assert {r["component_id"] for r in found} == least_of_components(texts)
+
+
 def test_recall_of_candidates_at_the_threshold():
     rng = np.random.default_rng(9)
     met = 0
