@@ -64,3 +64,21 @@ def test_no_rows(spark, corpus):
     docs = spark.read.parquet(f"{place}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, place).count() == 0
+
+
+def test_rows_keep_their_numbers_when_input_is_split_anew(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, "en", 60), "l", "s", 1) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/docs")
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"]
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        spark.conf.set(names[2], "1")
+        kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), "")
+        for n in names[:2]:
+            spark.conf.set(n, "4096")
+        spark.conf.set(names[2], "4")
+        assert {r["doc_id"] for r in kept.collect()} == set(range(40))
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v) if v else spark.conf.unset(n)
