@@ -28,7 +28,9 @@ PATTERNS = {
     "ip": rf"(?<![0-9A-Za-z.])(?:{_OCTET}[.]){{3}}{_OCTET}(?![0-9A-Za-z]|[.][0-9])",
     "phone": r"(?<![0-9A-Za-z+])(?:[+][0-9]{1,3}[ .-]?(?:[(][0-9]{1,4}[)][ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,4}|(?:[(][2-9][0-9]{2}[)] ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4})(?![0-9A-Za-z])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Group 1 is what the secret pattern finds.
+ANY = "|".join(f"({p})" if k == "secret" else f"(?:{p})" for k, p in PATTERNS.items())
+SECRET_TRACE = r"(?i)password|passwd|token|secret|api[_-]?key"
 #: Every candidate but a secret holds one of the first three; a secret follows a mark.
 TRACE = r"@|AKIA[0-9A-Z]|[0-9][0-9]|[0-9]/[0-9]|[0-9][.][0-9]|[=:][ ]{0,3}[\"']?[A-Za-z0-9/+_-]{8}"
 
@@ -98,7 +100,8 @@ class _Sql:
         return f"concat('AKIA', substr(upper(sha2(concat_ws('|', '{self.key}', 'key', m), 256)), 1, 16))"
 
     def iban(self) -> str:
-        """Permutes the digits of the account, then sets the check digits."""
+        """Permutes the digits of the account, then sets the check digits. Words after the account may look like more
+        groups of it: the longest valid run of groups is taken, and what follows stays."""
         code = "replace(m, ' ', '')"
         inner = self.digits("iban", self.only_digits("substr(c, 5)"))
         # The country's letters, two digits to come, and the account with its letters left in place.
@@ -106,7 +109,10 @@ class _Sql:
         check = self.let(f"concat(substr(c, 1, 2), '00', {place})", "z", f"concat(substr(z, 1, 2), lpad(cast(98 - {self.mod97('z')} AS string), 2, '0'), substr(z, 5))")
         spaced = "array_join(transform(sequence(1, length(m)), k -> IF(substr(m, k, 1) = ' ', ' ', substr(y, k - length(regexp_replace(substr(m, 1, k), '[^ ]', '')), 1))), '')"
         made = self.let(inner, "p", self.let(check, "y", spaced))
-        return self.let(code, "c", f"IF(length(c) BETWEEN 15 AND 34 AND length({self.only_digits('substr(c, 5)')}) BETWEEN 2 AND 30 AND {self.mod97('c')} = 1, {made}, NULL)")
+        valid = f"length(c) BETWEEN 15 AND 34 AND length({self.only_digits('substr(c, 5)')}) BETWEEN 2 AND 30 AND {self.mod97('c')} = 1"
+        runs = "transform(sequence(0, size(g) - 1), k -> array_join(slice(g, 1, size(g) - k), ' '))"
+        fits = self.let("split(m, ' ')", "g", f"get(filter({runs}, v -> {self.let(code.replace('m', 'v'), 'c', valid)}), 0)")
+        return self.let(fits, "f", f"IF(f IS NULL, NULL, concat({self.let('f', 'm', self.let(code, 'c', made))}, substr(m, length(f) + 1)))")
 
     def card(self) -> str:
         """Keeps the first digit, permutes what follows and sets the check digit."""
@@ -151,12 +157,13 @@ class _Sql:
 
 
 def replacement(key: str) -> str:
-    """SQL of struct(kind, value) for a candidate m; value is null if it isn't valid as any kind."""
+    """SQL of struct(kind, value) for a candidate m; value is null if it isn't valid as any kind. s: m, if the secret
+    pattern found it, which makes it a secret whatever else it fails to be."""
     sql = _Sql(key)
     made = {"email": sql.email(), "key": sql.key_id(), "secret": sql.opaque("secret"), "iban": sql.iban(), "card": sql.card(), "ssn": sql.ssn(), "date": sql.date(), "ip": sql.ip(), "phone": sql.phone()}
-    # Without its surroundings only a secret fits none of the patterns.
     cases = " ".join(f"WHEN m RLIKE {_lit(f'^(?:{p})$')} THEN named_struct('kind', '{k}', 'value', {made[k]})" for k, p in PATTERNS.items() if k != "secret")
-    return f"CASE {cases} ELSE named_struct('kind', 'secret', 'value', {made['secret']}) END"
+    secret = f"named_struct('kind', 'secret', 'value', {made['secret']})"
+    return _Sql.let(f"CASE {cases} END", "r", f"IF(r.value IS NULL AND s = m, {secret}, r)")
 
 
 def pseudonymised(text: str, key: str) -> Column:
@@ -165,7 +172,9 @@ def pseudonymised(text: str, key: str) -> Column:
     A null text gives a null text and no kinds.
     """
     body = f"cast(`{text}` AS string)"
-    found = f"transform(regexp_extract_all({body}, {_lit(ANY)}, 0), m -> named_struct('old', m, 'new', {replacement(key)}))"
+    secrets = f"IF({body} RLIKE {_lit(SECRET_TRACE)}, regexp_extract_all({body}, {_lit(ANY)}, 1), cast(array() AS array<string>))"
+    each = _Sql.let("coalesce(get(marked, at), '')", "s", f"named_struct('old', m, 'new', {replacement(key)})")
+    found = _Sql.let(secrets, "marked", f"transform(regexp_extract_all({body}, {_lit(ANY)}, 0), (m, at) -> {each})")
     joined = f"array_join(zip_with(split({body}, {_lit(ANY)}, -1), f, (p, x) -> concat(p, coalesce(x.new.value, x.old, ''))), '')"
     kinds = "transform(filter(f, x -> x.new.value IS NOT NULL), x -> x.new.kind)"
     changed = f"transform(array({found}), f -> named_struct('text', {joined}, 'kinds', {kinds}))[0]"

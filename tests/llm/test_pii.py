@@ -89,3 +89,16 @@ def test_awkward_rows_pass(spark, docs, no_docs, awkward):
 def test_long_digit_strings(spark, n):
     rows = spark.createDataFrame([("9" * n,), ("0" * n,)], "x string").selectExpr(f"{pii._Sql('k').digits('t', 'x')} AS y").collect()
     assert all(re.fullmatch(rf"\d{{{n}}}", r["y"]) for r in rows) and rows[0] != rows[1]
+
+
+def test_secrets_that_fail_as_another_kind_are_still_secrets(spark):
+    values = ["8273645501928374", "QZ83KD92MXP01LSTR7WB", "9999-12-31"]
+    out = run(spark, [f"password={values[0]} x", f"api_key={values[1]}", f"token={values[2]} on 2020-01-01", values[0]])
+    assert [k for _, k in out] == [["secret"], ["secret"], ["secret", "date"], []]
+    assert all(v not in t for v, (t, _) in zip(values, out, strict=False)) and out[3][0] == values[0]
+
+
+def test_words_after_an_iban_are_not_part_of_it(spark):
+    alone, by, code = run(spark, ["BE68 5390 0754 7034", "BE68 5390 0754 7034 BY noon", "BE68 5390 0754 7034 CODE"])
+    assert alone[1] == by[1] == code[1] == ["iban"] and mod97(alone[0]) == 1 and alone[0] != "BE68 5390 0754 7034"
+    assert by[0] == alone[0] + " BY noon" and code[0] == alone[0] + " CODE"
