@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .shared import Shared, staged
 
 K = 20
+#: What a vector holds of its rows.
+IDS = "array<struct<id:bigint,copies:int>>"
 #: The bounded sample that centres, limits and the number of probes come from, and the queries that probes are set by.
 SAMPLE_ROWS, ROUNDS, TRIALS = 20_000, 8, 400
 #: The share of true neighbours in the probed lists.
@@ -149,9 +151,10 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("vec") == common["dim"])
-    # Each task keeps the k + 1 smallest ids of a vector before anything is shuffled.
-    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= k + 1)
-    distinct = staged(numbered.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0]), "nn-vectors")
+    # The k + 1 smallest distinct ids of a vector, each with its number of copies, of which k are enough.
+    copies = rows.groupBy("vec", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    numbered = copies.withColumn("n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("n") <= k + 1)
+    distinct = staged(numbered.groupBy("vec").agg(F.array_sort(F.collect_list(F.struct("id", "copies"))).alias("ids")).withColumn("rep", F.col("ids")[0]["id"]), "nn-vectors")
     asked = rows.where(F.col("id") % query_every == 0)
     queries = staged(asked.join(distinct.select("vec", "rep"), "vec").select(F.col("id").alias("query_id"), "rep"), "nn-queries")
     n, longest = distinct.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))).first()
@@ -165,7 +168,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
                 x = np.array(b["vec"].tolist(), np.float64)
                 yield b.assign(list=held.value.nearest(held.value.lift(x), 1)[:, 0].astype(np.int32))
 
-    stored = staged(distinct.mapInPandas(listed, "vec array<double>, ids array<long>, rep long, list int"), "nn-lists")
+    stored = staged(distinct.mapInPandas(listed, f"vec array<double>, ids {IDS}, rep long, list int"), "nn-lists")
     sizes = np.zeros(len(index.centres), np.int64)
     for r in stored.groupBy("list").count().collect():  # one number a list
         sizes[r["list"]] = r["count"]
@@ -190,7 +193,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
                 found[0] += asking[at + i[top]].tolist()
                 found[1] += scores[top].tolist()
                 found[2] += [ids[r] for r in j[top]]
-        return pa.table({"rep": pa.array(found[0], pa.int64()), "score": pa.array(found[1], pa.float64()), "ids": pa.array(found[2], pa.list_(pa.int64()))})
+        return pa.table({"rep": pa.array(found[0], pa.int64()), "score": pa.array(found[1], pa.float64()), "ids": pa.array(found[2], pa.list_(pa.struct([("id", pa.int64()), ("copies", pa.int32())])))})
 
     def nearest(wanted: DataFrame, whole: bool) -> DataFrame:
         """(rep, near): for each wanted vector the k + 1 nearest ids found; whole: in every list and without a limit."""
@@ -216,11 +219,11 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         left = stored.join(cuts, "list").withColumn("row_cell", mine("rows")).withColumn("query_cell", to("blocks"))
         right = probed.join(cuts, "list").withColumn("query_cell", mine("blocks")).withColumn("row_cell", to("rows"))
         cells = ["list", "row_cell", "query_cell"]
-        both = left.select(*cells, "rep", "vec", "ids", F.lit(None).cast("float").alias("within")).unionByName(right.select(*cells, "rep", "vec", F.lit(None).cast("array<long>").alias("ids"), "within"))
-        met = both.groupBy(*cells).applyInArrow(compare, "rep long, score double, ids array<long>")
-        each = met.select("rep", "score", F.explode("ids").alias("vec_id"))
+        both = left.select(*cells, "rep", "vec", "ids", F.lit(None).cast("float").alias("within")).unionByName(right.select(*cells, "rep", "vec", F.lit(None).cast(IDS).alias("ids"), "within"))
+        met = both.groupBy(*cells).applyInArrow(compare, f"rep long, score double, ids {IDS}")
+        each = met.select("rep", "score", F.explode("ids").alias("hit")).select("rep", "score", F.col("hit.id").alias("vec_id"), F.col("hit.copies").alias("copies"))
         best = each.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1)
-        return best.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
+        return best.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score", "copies"))).alias("near"))
 
     wanted = queries.select("rep").distinct()
     lists = staged(nearest(wanted, False), "nn-found")
@@ -229,6 +232,6 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     short = staged(wanted.join(full, "rep", "left_anti"), "nn-short")
     if short.head(1):  # the few for whom probed lists hold too few within the limit
         full = full.union(nearest(short, True))
-    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    others = F.slice(F.flatten(F.transform(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), lambda x: F.array_repeat(x, x["copies"]))), 1, k)
     out = queries.join(full, "rep").select("query_id", F.posexplode(others).alias("at", "hit"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))

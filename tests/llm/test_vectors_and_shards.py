@@ -38,6 +38,18 @@ def test_small_tables_are_exact(spark):
         assert all(s == pytest.approx(float(np.dot(at[q], at[v])), abs=1e-12) for _, v, s in r)
 
 
+def test_repeated_rows_take_no_neighbours_place(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(8).astype(np.float32).astype(float)) for i in range(100)]
+    rows += [rows[20]] + [rows[40]] * 25 + [rows[7]] * 2
+    found, wanted = search(spark, rows), brute(rows)
+    assert set(found) == set(wanted)
+    for q, r in found.items():
+        answers = sum(v == q for v, _ in rows)  # each copy of an asking row is answered
+        assert len(r) == 20 * answers
+        assert [v for _, v, _ in r][::answers] == wanted[q], q
+
+
 def test_few_and_none(spark):
     assert {q: [v for _, v, _ in r] for q, r in search(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])]).items()} == {0: [1, 2]}
     assert search(spark, []) == {} and search(spark, [(0, None)]) == {} and search(spark, [(0, [1.0])]) == {}
