@@ -21,30 +21,31 @@ _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Label: the keyword, the forms of the name, the identifiers of the short form.
-_V = r"(?: version| v)?"
+#: What stands before a version, its blank included: "v2" is one word.
+_V = r"(?: version)?(?: v ?| )"
 NAMES: dict[str, tuple[str, list[str], list[str]]] = {
     "mit": ("mit", ["mit licen[cs]e", "expat licen[cs]e mit", "mit x11 licen[cs]e"], ["mit"]),
     "mit-0": ("mit", ["mit no attribution(?: licen[cs]e)?", "mit 0 licen[cs]e"], ["mit 0"]),
-    "apache-1.1": ("apache", [rf"apache(?: software)? licen[cs]e{_V} 1 1"], ["apache 1 1"]),
-    "apache-2": ("apache", [rf"apache(?: software)? licen[cs]e{_V} 2(?: 0)?"], ["apache 2(?: 0)?"]),
+    "apache-1.1": ("apache", [rf"apache(?: software)? licen[cs]e{_V}1 1"], ["apache 1 1"]),
+    "apache-2": ("apache", [rf"apache(?: software)? licen[cs]e{_V}2(?: 0)?"], ["apache 2(?: 0)?"]),
     "bsd-2": ("bsd", ["(?:simplified|freebsd|2 clause|two clause) bsd licen[cs]e", "bsd (?:2|two) clause(?: simplified)? licen[cs]e"], ["bsd 2 clause"]),
     "bsd-3": ("bsd", ["(?:new|modified|revised|3 clause|three clause) bsd licen[cs]e", "bsd (?:3|three) clause licen[cs]e"], ["bsd 3 clause"]),
     "bsd-4": ("bsd", ["(?:original|4 clause|four clause) bsd licen[cs]e"], ["bsd 4 clause"]),
     "bsd": ("bsd", ["bsd(?: style)? licen[cs]e"], ["bsd"]),
     "isc": ("isc", ["isc licen[cs]e"], ["isc"]),
     "zlib": ("zlib", ["zlib(?: libpng)? licen[cs]e"], ["zlib"]),
-    "boost-1": ("boost", [rf"boost software licen[cs]e(?:{_V} 1(?: 0)?)?"], ["bsl 1 0 boost"]),
+    "boost-1": ("boost", [rf"boost software licen[cs]e(?:{_V}1(?: 0)?)?"], ["bsl 1 0"]),
     "unlicense": ("unlicense", ["the unlicense", "unlicense"], ["unlicense"]),
     "wtfpl": ("wtfpl", ["wtfpl(?: licen[cs]e)?"], ["wtfpl"]),
     "cc0": ("cc0", ["cc0(?: 1 0)?(?: universal)?"], ["cc0 1 0"]),
-    "public-domain": ("public domain", ["(?:dedicated to|placed in(?:to)?|released (?:in)?to) the public domain"], ["pddl 1 0 public domain"]),
+    "public-domain": ("public domain", ["(?:dedicated to|placed in(?:to)?|released (?:in)?to) the public domain"], ["pddl 1 0"]),
     "all-rights-reserved": ("rights reserved", ["all rights reserved", "all other rights reserved"], []),
     "proprietary": ("proprietary", ["proprietary and confidential", "proprietary licen[cs]e"], []),
-    "artistic-2": ("artistic", [rf"artistic licen[cs]e{_V} 2(?: 0)?"], ["artistic 2 0"]),
-    "psf-2": ("python", [rf"python software foundation licen[cs]e(?:{_V} 2)?"], ["psf 2 0 python"]),
-    "ofl-1.1": ("font", [rf"open font licen[cs]e(?:{_V} 1 1)?"], ["ofl 1 1 font"]),
-    "ms-pl": ("microsoft", ["microsoft public licen[cs]e"], ["ms pl microsoft"]),
-    "odbl": ("database", ["open database licen[cs]e"], ["odbl 1 0 database"]),
+    "artistic-2": ("artistic", [rf"artistic licen[cs]e{_V}2(?: 0)?"], ["artistic 2 0"]),
+    "psf-2": ("python", [rf"python software foundation licen[cs]e(?:{_V}2)?"], ["psf 2 0"]),
+    "ofl-1.1": ("font", [rf"open font licen[cs]e(?:{_V}1 1)?"], ["ofl 1 1"]),
+    "ms-pl": ("microsoft", ["microsoft public licen[cs]e"], ["ms pl"]),
+    "odbl": ("database", ["open database licen[cs]e"], ["odbl 1 0"]),
 }
 
 
@@ -64,8 +65,8 @@ def _versioned() -> None:
         word = {"lgpl": "general", "cddl": "distribution", "eupl": "public", "fdl": "documentation"}.get(short, word)
         for v in versions:
             spelt = v.replace(".", " ") + ("(?: 0)?" if "." not in v else "")
-            NAMES[f"{short}-{v}"] = (word, [rf"(?:gnu )?{long}(?: {short})?{_V} {spelt}(?! [0-9])"], [])
-            NAMES[f"{short}-{v} "] = (short, [rf"(?:gnu )?{short}{_V} ?{spelt}(?! [0-9])"], [rf"{short} {spelt}(?: only| or later)?(?! [0-9])"])
+            NAMES[f"{short}-{v}"] = (word, [rf"(?:gnu )?{long}(?: {short})?{_V}{spelt}(?! [0-9])"], [])
+            NAMES[f"{short}-{v} "] = (short, [rf"(?:gnu )?{short}(?: version)?(?: ?v ?| ?){spelt}(?! [0-9])"], [rf"{'gfdl' if short == 'fdl' else short} {spelt}(?: only| or later)?(?! [0-9])"])
         NAMES[short] = (word, [rf"(?:gnu )?{long}"], [])
     for terms in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"):
         label = "cc-" + terms.replace(" ", "-")
@@ -94,14 +95,15 @@ def rules() -> list[Rule]:
     """All rules, the first of equals first: identifiers, notices, references, bare names."""
     out = []
     for kind, priority, weight in (("identifier", 4, 1.0), ("notice", 3, 0.95), ("terms", 2, 0.9), ("name", 1, 0.6)):
-        for key, (keyword, names, ids) in NAMES.items():
+        for key, (word, names, ids) in NAMES.items():
+            keyword = "spdx" if kind == "identifier" else word
             forms = {
                 "identifier": [f"spdx license identifier {x}" for x in ids],
                 "notice": [rf"(?:licen[cs]ed|released|distributed|published|available|provided|redistributed) under(?: the)?(?: terms(?: and conditions)? of)?(?: the)? {x}" for x in names],
                 "terms": [rf"(?:subject to|terms of|governed by|a copy of|according to|compliance with)(?: the)? {x}" for x in names],
                 "name": names,
             }[kind]
-            out += [Rule(f"{key.strip()}:{kind}:{keyword}:{i}", key.strip(), keyword, rf" {x}(?= )", priority, weight) for i, x in enumerate(forms)]
+            out += [Rule(f"{key.strip()}:{kind}:{word}:{i}", key.strip(), keyword, rf" {x}(?= )", priority, weight) for i, x in enumerate(forms)]
     return out
 
 

@@ -86,3 +86,16 @@ def test_native_and_row_by_row(spark, docs, no_docs):
     found = licenses.scan(docs)
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == docs.count() and licenses.scan(no_docs).count() == 0
+
+
+def test_real_lines(spark):
+    lines = {
+        "Apache License v2.0": "apache-2", "Apache License, v2": "apache-2", "Apache License, Version 2.0": "apache-2", "GNU General Public License v3": "gpl-3",
+        "GNU General Public License, version 2": "gpl-2", "under GPLv3 here": "gpl-3", "GNU LGPL v2.1": "lgpl-2.1", "Mozilla Public License v. 2.0": "mpl-2",
+        "Boost Software License v1.0": "boost-1",
+    }
+    ids = {"OFL-1.1": "ofl-1.1", "BSL-1.0": "boost-1", "MS-PL": "ms-pl", "ODbL-1.0": "odbl", "PSF-2.0": "psf-2", "PDDL-1.0": "public-domain", "GFDL-1.3-only": "fdl-1.3", "Apache-2.0": "apache-2", "GPL-3.0-or-later": "gpl-3", "MIT": "mit", "BSD-3-Clause": "bsd-3"}
+    lines |= {f"// SPDX-License-Identifier: {x}": label for x, label in ids.items()}
+    rows = spark.createDataFrame([(x,) for x in lines], "text string")
+    found = {r["text"]: r["labels"].split(",") for r in licenses.summary(licenses.scan(rows)).collect()}
+    assert {x: label in found[x] for x, label in lines.items()} == dict.fromkeys(lines, True), found
