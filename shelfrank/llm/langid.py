@@ -39,11 +39,11 @@ def words_of(text: str) -> str:
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
-    """A dictionary for each language among docs, the commonest first, from the rows whose ids hash lowest. Rows without a language or text
-    teach nothing. What reaches the driver is bounded by the parameters, for each language."""
-    usable = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0))
+    """A dictionary for each language among docs, the commonest first, from the rows whose ids hash lowest. Rows without a language or
+    a letter teach nothing and don't count. What reaches the driver is bounded by the parameters, for each language."""
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     order = F.xxhash64(F.col(id_col))
-    sizes = docs.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()
+    sizes = usable.groupBy(lang_col).count().collect()
     wanted = F.lit(False)
     for lang, n in sizes:  # only rows that can be among the lowest are sorted
         share = min(1.0, 8 * rows / n + 0.001)
@@ -55,7 +55,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
         if _LETTER.search(r["text"]):
             texts.setdefault(r["lang"], []).append(words_of(r["text"]))
     common = sorted(texts, key=lambda lang: (-dict(sizes)[lang], lang))
-    return {lang: "\n".join(texts[lang]).encode()[-DICT_BYTES:] for lang in common}
+    return {lang: "\n".join(texts[lang]).encode()[:DICT_BYTES] for lang in common}
 
 
 class Classifier:

@@ -122,3 +122,16 @@ def test_nothing_or_one_class_to_learn(judged, docs, no_docs):
 def test_statistics_of_nothing():
     assert quality.statistics(None) == quality.statistics(b"") == [0.0] * len(quality.STATS)
     assert all(np.isfinite(quality.statistics(b" \n!! ")))
+
+
+def test_language_of_few_usable_rows_is_learned_from_whole_texts(spark):
+    rng = random.Random(12)
+    rows = [(i, "en", prose(rng, "en", 40) if i < 40 else ["", None, " 12 "][i % 3]) for i in range(60_000)]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))["en"].count(b"\n") == 39
+
+
+def test_dictionaries_hold_whole_texts_before_cut_ones(spark):
+    rng = random.Random(13)
+    rows = [(i, "en", ("whole " if i < 8 else "cut ") + prose(rng, "en", 300 if i < 8 else 4000)) for i in range(60)]
+    held = langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))["en"]
+    assert len(held) == langid.DICT_BYTES and held.count(b"whole ") == 8
