@@ -32,6 +32,12 @@ def test_query(spark, duck, sf_dir, name):
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon([d[0] for d in wanted.description], wanted.fetchall())
 
 
+def test_fuzzy_match_of_every_part(spark, duck, sf_dir):
+    df = catalog.QUERIES["fuzzy_match_all"](spark, sf_dir)
+    wanted = duck.execute(catalog.ORACLES["fuzzy_match"].replace(" WHERE p_partkey % 5 = 0", ""))
+    assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon([d[0] for d in wanted.description], wanted.fetchall())
+
+
 def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert set(catalog.QUERIES) <= set(contract.queries())
