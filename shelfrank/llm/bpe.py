@@ -2,8 +2,7 @@
 
 The model is serialised here, field by field: piece number r is the rank file's entry r with each byte mapped to one
 character, scored -r, under identity normalisation, so that sentencepiece merges in rank order. Pre-tokens are encoded
-one by one; one that is itself an entry is that entry, as in the rank file's own library. Decoding maps ids back to
-bytes.
+one by one, all of them by sentencepiece; a worker remembers the ids of short ones. Decoding maps ids back to bytes.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces
+from .shared import carried, pieces
 
 #: Pre-tokens whose ids a worker remembers, and the longest of them in characters.
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 40
@@ -70,22 +69,14 @@ class Coder:
 
     def __init__(self, ranks: list[bytes], model: bytes, pattern: str):
         self.entries = ranks
-        self.ids = {entry: i for i, entry in enumerate(ranks)}
         self.split = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.known: dict[str, bytes] = {}
 
     def _look_up(self, tokens: set[str]) -> dict[str, bytes]:
-        out, rest = {}, []
-        for t in tokens:
-            own = self.ids.get(raw := t.encode())
-            if own is None:
-                rest.append((t, raw.decode("latin-1").translate(_TO_MAPPED)))
-            else:
-                out[t] = struct.pack("<I", own)
-        for (t, _), ids in zip(rest, self.model.encode([m for _, m in rest], out_type=int, num_threads=1), strict=True):
-            out[t] = np.array(ids, "<u4").tobytes()
-        return out
+        own = list(tokens)
+        found = self.model.encode([t.encode().decode("latin-1").translate(_TO_MAPPED) for t in own], out_type=int, num_threads=1)
+        return {t: np.array(ids, "<u4").tobytes() for t, ids in zip(own, found, strict=True)}
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -114,11 +105,11 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     """(id, keep..., n_tokens, ids_sha256, decoded_sha256), and with real the ids and the decoded text as well.
 
     A row for each row of docs; a null text is empty. path: the rank file, read on the driver only. keep: columns to
-    carry along, of names other than those and "text".
+    carry along; one named like those or "text" is an error. Repeated rows are repeated; an empty table gives no row.
     """
-    ranks = read_ranks(path)
-    held = docs.sparkSession.sparkContext.broadcast((ranks, model_bytes(ranks)))  # fixed by the rank file
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(keep or []))
+    ranks, keep = read_ranks(path), carried(keep, "id", "text", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if real else []))
+    held = docs.sparkSession.sparkContext.broadcast({"ranks": ranks, "model": model_bytes(ranks)})  # fixed by the rank file
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
     new = ["0L n_tokens", "'' ids_sha256", "'' decoded_sha256", *(["array(0) ids", "'' decoded"] if real else [])]
     out = rows.drop("text").selectExpr("*", *new).schema
 
@@ -126,7 +117,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         return pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(*held.value, pattern)
+        state = held.value  # a worker's own copy, which keeps the coder from task to task
+        if "coder" not in state:
+            state["coder"] = Coder(state["ranks"], state["model"], pattern)
+        coder = state["coder"]
         for batch in batches:
             for run in pieces(batch, 128):
                 ids = list(coder.encode(run.column("text").to_pylist()))

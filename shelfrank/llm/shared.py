@@ -38,6 +38,14 @@ def crc_fold(id_col: str) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % 5
 
 
+def carried(keep: list[str] | None, *own: str) -> list[str]:
+    """keep, unless it names one of an operator's own columns: then an error, as one of the two would be lost."""
+    clash = {c.lower() for c in own} & {c.lower() for c in keep or []}
+    if clash:
+        raise ValueError(f"columns to carry along can't be named {sorted(clash)}")
+    return list(keep or [])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it; one of our own only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
