@@ -3,8 +3,8 @@
 Each language has a raw-content zstandard dictionary made of text in it. A text's lower-cased words of letters, without
 a word's immediate repeats, are cut into blocks; each block is compressed with every dictionary, and the language of
 the smallest total wins. Equal totals are settled by a second compression level, then by how common the languages are.
-The margin is how much larger, in proportion, the second smallest total is. A narrow margin is a reason to reject a
-text that is long enough for its margin to be measured; a few words give sizes too coarse for that.
+The margin is how much larger, in proportion, the second smallest total is. A text is rejected if its margin is narrow
+even with half a byte granted, as sizes are whole bytes: one rule for texts of any length.
 """
 
 from __future__ import annotations
@@ -18,15 +18,15 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import by_batch
+from .shared import by_batch, carried
 
-#: The bounded sample a dictionary is made of: rows for each language, bytes of a row's text, bytes in all. Texts up to
-#: that size are taken whole and first; longer ones are cut, and used where a language has too few others.
-SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 96, 8192, 112 << 10
+#: The bounded sample that dictionaries are made of: so many of the commonest languages, so many rows of each, whole
+#: texts of at most TEXT_BYTES. Dictionaries take whole texts while they fit into DICT_BYTES.
+LANGUAGES, SAMPLE_ROWS, TEXT_BYTES, DICT_BYTES = 256, 96, 28 << 10, 112 << 10
 BLOCK_BYTES, LEVEL, TIE_LEVEL = 1024, 9, 3
 UNKNOWN = "und"
-#: Rejection: margins below this, of texts with at least so many bytes of words.
-NARROW_MARGIN, MEASURED_BYTES = 0.002, 256
+#: Margins below this are narrow; sizes are known to so many bytes.
+NARROW_MARGIN, GRAIN = 0.002, 0.5
 #: The margin at which a prediction counts as certain.
 SURE_MARGIN = 0.05
 _LETTER, _OTHERS = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}]+")
@@ -38,24 +38,29 @@ def words_of(text: str) -> str:
     return " ".join(a for a, b in zip(words, ["", *words], strict=False) if a != b)
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
-    """A dictionary for each language among docs, the commonest first, from the rows whose ids hash lowest. Rows without a language or
-    a letter teach nothing and don't count. What reaches the driver is bounded by the parameters, for each language."""
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    order = F.xxhash64(F.col(id_col))
-    sizes = usable.groupBy(lang_col).count().collect()
-    wanted = F.lit(False)
-    for lang, n in sizes:  # only rows that can be among the lowest are sorted
-        share = min(1.0, 8 * rows / n + 0.001)
-        wanted = wanted | ((F.col(lang_col) == lang) & (order <= min(2**63 - 1, int((2 * share - 1) * 2**63))))
-    sample = usable.where(wanted).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_BYTES).alias("text"), (F.octet_length(text_col) > SAMPLE_BYTES).alias("cut"), order.alias("at"))
-    first = sample.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("cut", "at", "text"))).where(F.col("n") <= rows)
-    texts: dict[str, list[str]] = {}
-    for r in first.orderBy("lang", "n").collect():
-        if _LETTER.search(r["text"]):
-            texts.setdefault(r["lang"], []).append(words_of(r["text"]))
-    common = sorted(texts, key=lambda lang: (-dict(sizes)[lang], lang))
-    return {lang: "\n".join(texts[lang]).encode()[:DICT_BYTES] for lang in common}
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = SAMPLE_ROWS, most: int = LANGUAGES) -> dict[str, bytes]:
+    """A dictionary for each of the `most` commonest languages among docs, the commonest first, from the rows whose ids
+    hash lowest. Rows without a language or a letter teach nothing and don't count. A language whose texts are all
+    longer than TEXT_BYTES is learned from its shortest one, whole. What reaches the driver is bounded by the parameters.
+    """
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.octet_length(text_col).alias("size"), F.xxhash64(F.col(id_col)).alias("at"))
+    fits = F.col("size") <= TEXT_BYTES
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(fits).alias("n_fit"), F.min("size").alias("least")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    if not sizes:
+        return {}
+    # Only rows that can be among the lowest are sorted: those below a bound on the hash, or of the least size.
+    below = lambda n: min(2**63 - 1, int((2 * min(1.0, 8 * rows / n + 0.001) - 1) * 2**63))
+    bounds = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], below(r["n_fit"]) if r["n_fit"] else None, r["least"]) for r in sizes], "lang string, below long, least int"))  # a row a language
+    wanted = usable.join(bounds, "lang").where(F.when(F.col("below").isNull(), F.col("size") == F.col("least")).otherwise(fits & (F.col("at") <= F.col("below"))))
+    first = wanted.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).where((F.col("n") <= rows) & (F.col("below").isNotNull() | (F.col("n") == 1)))
+    texts: dict[str, list[bytes]] = {}
+    for r in first.orderBy("lang", "n").select("lang", "text").collect():
+        if body := words_of(r["text"]).encode():
+            own = texts.setdefault(r["lang"], [])
+            if not own or sum(map(len, own)) + len(own) + len(body) <= DICT_BYTES:
+                own.append(body)
+    return {r["lang"]: b"\n".join(texts[r["lang"]]) for r in sizes if r["lang"] in texts}
 
 
 class Classifier:
@@ -90,19 +95,23 @@ class Classifier:
             tied = np.flatnonzero(sizes == first)
             best = int(tied[self.sizes(body, TIE_LEVEL)[tied].argmin()])
         margin = float(1 - first / second)
-        return self.langs[best], margin, margin < NARROW_MARGIN and len(body) >= MEASURED_BYTES
+        return self.langs[best], margin, bool(second - first + GRAIN < NARROW_MARGIN * second)
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id, lang_pred, margin, rejected): a row for each row of docs. "und", margin 0 and rejection where the text is
-    null or has no letter; "und" for all if no language was learned. keep: columns to carry along, of names other than
-    those and "text"."""
-    held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # DICT_BYTES a language
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(keep or []))
+    """(id, keep..., lang_pred, margin, rejected): a row for each row of docs, repeated ones too. "und", margin 0 and
+    rejection where the text is null or has no letter; "und" for all if no language was learned. Texts are read whole.
+    Languages that compress a text equally well at both levels give the commonest of them. An empty table gives no row.
+    keep: columns to carry along; one named like those or "text" is an error."""
+    held = docs.sparkSession.sparkContext.broadcast({"dictionaries": dictionaries})  # DICT_BYTES a language, LANGUAGES at most
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *carried(keep, "id", "text", "lang_pred", "margin", "rejected"))
     out = rows.drop("text").selectExpr("*", "'' lang_pred", "0D margin", "false rejected").schema
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classifier = Classifier(held.value)
+        state = held.value  # a worker's own copy, which keeps the classifier from task to task
+        if "classifier" not in state:
+            state["classifier"] = Classifier(state["dictionaries"])
+        classifier = state["classifier"]
 
         def one(run: pa.RecordBatch) -> pa.RecordBatch:
             found = [classifier.classify(t) for t in run.column("text").to_pylist()]
