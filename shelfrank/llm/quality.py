@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_batch, texts_of
+from .shared import by_batch, carried, texts_of
 
 #: The bounded sample of labelled rows that the driver fits on.
 SAMPLE_ROWS = 12_000
 TREES, DEPTH, RATE, CUTS, LEAST_LEAF = 24, 3, 0.3, 24, 20
 LASSO, STEPS = 0.002, 400
-STATS = ("size", "words", "word_length", "distinct", "commonest", "run", "repeats", "upper", "digits", "marks", "symbols", "pipes", "stops", "blanks", "wide", "lines", "line_length", "line_repeats", "no_letter", "opening")
+STATS = ("size", "words", "word_length", "distinct", "commonest", "run", "repeats", "upper", "digits", "marks", "symbols", "pipes", "stops", "blanks", "wide", "lines", "line_length", "line_repeats", "no_letter", "exclamations")
 
 _UPPER = bytes(range(0x41, 0x5B))
 _LOWER = bytes(range(0x61, 0x7B))
@@ -75,8 +75,10 @@ def statistics(text: bytes | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id, keep..., one double for each of STATS): a row for each row of docs."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(keep or []))
+    """(id, keep..., one double for each of STATS): a row for each row of docs, repeated ones too. A column to carry
+    along that is named "id", "text", "score" or like one of STATS is an error; other columns of docs are never read."""
+    keep = carried(keep, "id", "text", "score", *STATS)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
     out = rows.drop("text").selectExpr("*", *(f"0D `{s}`" for s in STATS)).schema
 
     def one(run: pa.RecordBatch) -> pa.RecordBatch:
@@ -198,11 +200,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     isn't there, teach nothing."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("double").alias("label"))
     few = F.broadcast(known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(rows))  # `rows` pairs of numbers
-    found = with_statistics(docs.join(few, docs[id_col] == few["label_id"]), id_col, text_col, ["label"]).drop("id").toPandas()
+    texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("body"))
+    found = with_statistics(texts.join(few, "label_id"), "label_id", "body", ["label"]).drop("id").toPandas()
     found = found.sort_values(list(found.columns))  # whichever order the rows came in
     return fit_rules(found[list(STATS)].to_numpy(float), found["label"].to_numpy(float))
 
 
 def score(docs: DataFrame, ensemble: Ensemble, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id, keep..., score): a row for each row of docs; a null or empty text has statistics of 0 and a score too."""
+    """(id, keep..., score): a row for each row of docs; a null or empty text has statistics of 0 and a score too. An
+    empty table gives no row. For keep see with_statistics."""
     return with_statistics(docs, id_col, text_col, keep).withColumn("score", ensemble.column()).drop(*STATS)
