@@ -1,9 +1,13 @@
 """Personal data replaced by format-preserving Feistel pseudonyms, in DataFrame functions only.
 
 One pattern finds candidates; each is validated (check digits, ranges, calendar), and what is valid is permuted by a
-keyed Feistel network over the numbers that its format allows. The permutation depends on kind and value alone, so
-equal values stay equal across documents, and two values never become one. Texts without a trace of a candidate are
-passed through after a single look.
+keyed Feistel network over the numbers that its format allows. The permutation depends on key, kind and value alone, so
+equal values stay equal across documents; numbers and dates are permuted, so two of them never become one. Stand-ins of
+mail addresses (48 bits of a keyed hash) and of secrets and access keys (letters and digits drawn from one) can in
+principle coincide. Texts without a trace of a candidate are passed through after a single look.
+
+The key reaches the plan as the result of a scalar subquery, not as a literal, so that plans, pages and event logs don't
+show it.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import carried
+
 ROUNDS = 8
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
@@ -40,17 +46,23 @@ def _lit(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Days by era, each permuted within itself: from 0001-01-01 to 1899-12-31, to 2100-04-25, to 9999-12-31. For each its
+#: first day, counted from 0001-01-01, and two factors of its length.
+ERAS = ((0, 745, 931), (693595, 268, 273), (766759, 1525, 1892))
+KEY_COL = "__pii_key"
+
+
 class _Sql:
-    """SQL text of what is done to a candidate m; key: hex digits, so safe in a literal."""
+    """SQL text of what is done to a candidate m; key: SQL of the key."""
 
-    def __init__(self, key: str):
-        self.key = hashlib.sha256(key.encode()).hexdigest()
+    def __init__(self, key: str = KEY_COL):
+        self.key = key
 
     def feistel(self, kind: str, left: str, right: str, a: str, b: str, then: str) -> str:
         """Permutes (left, right) in [0, a) x [0, b); then: SQL of the result over s.l and s.r."""
 
         def mixed(half: str, most: str) -> str:
-            hashed = f"sha2(concat_ws('|', '{self.key}', '{kind}', cast(i AS string), cast({half} AS string), cast({a} AS string), cast({b} AS string)), 256)"
+            hashed = f"sha2(concat_ws('|', {self.key}, '{kind}', cast(i AS string), cast({half} AS string), cast({a} AS string), cast({b} AS string)), 256)"
             return f"cast(conv(substr({hashed}, 1, 12), 16, 10) AS bigint) % {most}"
 
         step = f"named_struct('l', IF(i % 2 = 1, (s.l + {mixed('s.r', a)}) % {a}, s.l), 'r', IF(i % 2 = 0, (s.r + {mixed('s.l', b)}) % {b}, s.r))"
@@ -88,16 +100,16 @@ class _Sql:
         return f"transform(array(concat(substr({code}, 5), substr({code}, 1, 4))), w -> aggregate(sequence(1, length(w)), 0, (t, j) -> IF({char} < 58, t * 10 + {char} - 48, t * 100 + {char} - 55) % 97))[0]"
 
     def email(self) -> str:
-        return f"concat('u', substr(sha2(concat_ws('|', '{self.key}', 'email', lower(m)), 256), 1, 12), '@mail.invalid')"
+        return f"concat('u', substr(sha2(concat_ws('|', {self.key}, 'email', lower(m)), 256), 1, 12), '@mail.invalid')"
 
     def opaque(self, kind: str) -> str:
         """Letters and digits drawn anew from the keyed hash of the whole; marks and case stay."""
-        drawn = f"cast(conv(substr(sha2(concat_ws('|', '{self.key}', '{kind}', m, cast(k AS string)), 256), 1, 8), 16, 10) AS bigint)"
+        drawn = f"cast(conv(substr(sha2(concat_ws('|', {self.key}, '{kind}', m, cast(k AS string)), 256), 1, 8), 16, 10) AS bigint)"
         char = f"CASE WHEN substr(m, k, 1) RLIKE '[0-9]' THEN cast({drawn} % 10 AS string) WHEN substr(m, k, 1) RLIKE '[A-Z]' THEN chr(65 + {drawn} % 26) WHEN substr(m, k, 1) RLIKE '[a-z]' THEN chr(97 + {drawn} % 26) ELSE substr(m, k, 1) END"
         return f"array_join(transform(sequence(1, length(m)), k -> {char}), '')"
 
     def key_id(self) -> str:
-        return f"concat('AKIA', substr(upper(sha2(concat_ws('|', '{self.key}', 'key', m), 256)), 1, 16))"
+        return f"concat('AKIA', substr(upper(sha2(concat_ws('|', {self.key}, 'key', m), 256)), 1, 16))"
 
     def iban(self) -> str:
         """Permutes the digits of the account, then sets the check digits. Words after the account may look like more
@@ -129,14 +141,18 @@ class _Sql:
         return f"IF({valid}, {self.feistel('ssn', index, 'cast(substr(m, 8, 4) AS bigint) - 1', '88902', '9999', shown)}, NULL)"
 
     def date(self) -> str:
-        """Permutes the days of two centuries; 271 x 270 days from 1900-01-01. Other days aren't taken for dates."""
+        """Permutes the days of each era of ERAS within it, so that a date of our time stays one."""
         wide = "length(m) = 10"
         parsed = lambda layout: f"cast(try_to_timestamp(m, '{layout}') AS date)"
         layout = f"CASE WHEN m RLIKE '^[0-9]{{4}}-' THEN 'yyyy-MM-dd' WHEN m RLIKE '[.]' THEN IF({wide}, 'dd.MM.yyyy', 'd.M.yyyy') WHEN {parsed('M/d/yyyy')} IS NOT NULL THEN IF({wide}, 'MM/dd/yyyy', 'M/d/yyyy') ELSE IF({wide}, 'dd/MM/yyyy', 'd/M/yyyy') END"
         day = f"coalesce(IF(m RLIKE '^[0-9]{{4}}-', {parsed('yyyy-MM-dd')}, NULL), IF(m RLIKE '[.]', {parsed('d.M.yyyy')}, NULL), IF(m RLIKE '/', coalesce({parsed('M/d/yyyy')}, {parsed('d/M/yyyy')}), NULL))"
-        shown = f"date_format(date_add(DATE'1900-01-01', cast(s.l * 270 + s.r AS int)), {layout})"
-        moved = self.feistel("date", "v DIV 270", "v % 270", "271", "270", shown)
-        return self.let(f"datediff({day}, DATE'1900-01-01')", "v", f"IF(v >= 0 AND v < 73170, {moved}, NULL)")
+
+        def moved(first: int, a: int, b: int) -> str:
+            shown = f"date_format(date_add(DATE'0001-01-01', cast({first} + s.l * {b} + s.r AS int)), {layout})"
+            return self.feistel("date", f"(v - {first}) DIV {b}", f"(v - {first}) % {b}", str(a), str(b), shown)
+
+        cases = " ".join(f"WHEN v < {first + a * b} THEN {moved(first, a, b)}" for first, a, b in ERAS)
+        return self.let(f"datediff({day}, DATE'0001-01-01')", "v", f"CASE WHEN v IS NULL OR v < 0 THEN NULL {cases} END")
 
     def ip(self) -> str:
         part = lambda i: f"cast(o[{i}] AS bigint)"
@@ -156,24 +172,23 @@ class _Sql:
         return self.let(self.only_digits("m"), "e", self.let(code, "q", f"IF(length(e) BETWEEN 8 AND 15 AND length(e) - q >= 6, {self.refill(whole)}, NULL)"))
 
 
-def replacement(key: str) -> str:
+def replacement() -> str:
     """SQL of struct(kind, value) for a candidate m; value is null if it isn't valid as any kind. s: m, if the secret
     pattern found it, which makes it a secret whatever else it fails to be."""
-    sql = _Sql(key)
+    sql = _Sql()
     made = {"email": sql.email(), "key": sql.key_id(), "secret": sql.opaque("secret"), "iban": sql.iban(), "card": sql.card(), "ssn": sql.ssn(), "date": sql.date(), "ip": sql.ip(), "phone": sql.phone()}
     cases = " ".join(f"WHEN m RLIKE {_lit(f'^(?:{p})$')} THEN named_struct('kind', '{k}', 'value', {made[k]})" for k, p in PATTERNS.items() if k != "secret")
     secret = f"named_struct('kind', 'secret', 'value', {made['secret']})"
     return _Sql.let(f"CASE {cases} END", "r", f"IF(r.value IS NULL AND s = m, {secret}, r)")
 
 
-def pseudonymised(text: str, key: str) -> Column:
-    """struct(text, kinds): the text with every valid candidate replaced, and the replaced ones' kinds in order.
-
-    A null text gives a null text and no kinds.
+def pseudonymised(text: str) -> Column:
+    """struct(text, kinds): the text with every valid candidate replaced, and the replaced ones' kinds in order, beside
+    a column KEY_COL with the key. A null text gives a null text and no kinds.
     """
     body = f"cast(`{text}` AS string)"
     secrets = f"IF({body} RLIKE {_lit(SECRET_TRACE)}, regexp_extract_all({body}, {_lit(ANY)}, 1), cast(array() AS array<string>))"
-    each = _Sql.let("coalesce(get(marked, at), '')", "s", f"named_struct('old', m, 'new', {replacement(key)})")
+    each = _Sql.let("coalesce(get(marked, at), '')", "s", f"named_struct('old', m, 'new', {replacement()})")
     found = _Sql.let(secrets, "marked", f"transform(regexp_extract_all({body}, {_lit(ANY)}, 0), (m, at) -> {each})")
     joined = f"array_join(zip_with(split({body}, {_lit(ANY)}, -1), f, (p, x) -> concat(p, coalesce(x.new.value, x.old, ''))), '')"
     kinds = "transform(filter(f, x -> x.new.value IS NOT NULL), x -> x.new.kind)"
@@ -184,9 +199,12 @@ def pseudonymised(text: str, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: str | None = "pii_kinds") -> DataFrame:
     """docs with personal data in text_col replaced; kinds_col, if named, lists what was replaced in order.
 
-    Every other column and row passes as it is, repeated rows too. Null texts stay null, empty ones empty.
+    Every other column and row passes as it is, repeated rows too. Null texts stay null, empty ones empty, and an empty
+    table gives none. A column that already has kinds_col's name is replaced; "__pii" and KEY_COL are refused.
     """
-    rest = [F.col(f"`{c}`") for c in docs.columns]
-    done = docs.select(*rest, pseudonymised(text_col, key).alias("__pii"))
+    carried(docs.columns, "__pii", KEY_COL)
+    held = docs.sparkSession.createDataFrame([(hashlib.sha256(key.encode()).hexdigest(),)], "k string").scalar()
+    keyed = docs.withColumn(KEY_COL, held)
+    done = keyed.withColumn("__pii", pseudonymised(text_col)).drop(KEY_COL)
     out = done.withColumn(text_col, F.col("__pii.text"))
     return (out.withColumn(kinds_col, F.coalesce("__pii.kinds", F.array().cast("array<string>"))) if kinds_col else out).drop("__pii")
