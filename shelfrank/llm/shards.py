@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .shared import staged
 
 BASE_SHARDS, RACKS, RACK_SHARDS = 24, 2, 4
-#: Blocks in which a shard's rows are numbered; each is sorted by one task.
-SLOT_BLOCKS = 64
+#: A shard's rows are numbered in blocks of about so many, each sorted by one task, and in so many blocks at least.
+BLOCK_ROWS, LEAST_BLOCKS = 500_000, 16
 
 
 @dataclass
@@ -72,20 +72,24 @@ def place(key: Column, root: Node) -> Column:
     return F.element_at(F.array(*(F.lit(-1 if n.shard is None else n.shard) for n in nodes)), leaf + 1)
 
 
-def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tree: Node | None = None, grown: Node | None = None, blocks: int = SLOT_BLOCKS) -> DataFrame:
+def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tree: Node | None = None, grown: Node | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, size, text_crc32, shard, slot, grown_shard): a row for each row of docs.
 
     size: UTF-8 bytes of the text (null: none) plus 8. slot numbers each shard's rows from 0 without gaps: rows fall
     into blocks by hash, are ordered within a block and start where the blocks before end, so no task sorts a whole
-    shard. Equal ids share a shard; rows without an id share one as well. An empty table gives an empty result.
+    shard; there are as many blocks as the table needs. Equal ids share a shard; rows without an id share one as well.
+    Repeated rows have slots of their own. An empty table gives an empty result; other columns are never read.
     """
     tree, grown = tree or topology(shards), grown or topology(shards + 1)
     body = F.coalesce(F.encode(F.col(text_col).cast("string"), "UTF-8"), F.lit(b""))
     slim = docs.select(F.col(id_col).alias("id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.monotonically_increasing_id().alias("row"))
     # Staged: the texts are read once, and the row numbers, which break ties, are fixed from here on.
-    rows = staged(slim.withColumns({"shard": place(F.col("id"), tree), "grown_shard": place(F.col("id"), grown), "block": F.pmod(F.xxhash64("id", "row"), F.lit(blocks)).cast("int")}), "shards")
+    placed = staged(slim.withColumns({"shard": place(F.col("id"), tree), "grown_shard": place(F.col("id"), grown)}), "shards")
+    blocks = max(LEAST_BLOCKS, -(-placed.count() // (shards * block_rows)))
+    rows = placed.withColumn("block", F.pmod(F.xxhash64("id", "row"), F.lit(blocks)).cast("int"))
     sizes = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
-    sums = sizes.alias("a").join(sizes.alias("b"), F.expr("a.shard = b.shard and b.block < a.block"), "left").groupBy("a.shard", "a.block").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    ahead = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sizes.select("shard", "block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("shard", "block").orderBy("id", "row"))
     numbered = rows.withColumn("rank", within)
     return numbered.join(sums, ["shard", "block"]).select("id", "size", "text_crc32", "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"), "grown_shard")
