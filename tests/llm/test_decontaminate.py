@@ -50,9 +50,49 @@ def test_matcher_finds_overlapping_and_mixed_lengths():
     rng = random.Random(9)
     for _ in range(300):
         text = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(0, 60))]
-        patterns = {tuple(rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 5))): {str(k)} for k in range(4)}
-        got = sorted((s, e, *i) for s, e, i in decontaminate.Matcher(patterns).find(text))
-        assert got == sorted((s, s + len(p), *i) for p, i in patterns.items() for s in range(len(text) - len(p) + 1) if tuple(text[s : s + len(p)]) == p)
+        patterns = [(str(k), [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 5))]) for k in range(4)]
+        got = sorted((s, e, i) for s, e, i in decontaminate.Matcher([(i, b" ".join(p)) for i, p in patterns], None).find(text))
+        assert got == sorted((s, s + len(p), i) for i, p in patterns for s in range(len(text) - len(p) + 1) if text[s : s + len(p)] == p)
+
+
+def test_matcher_of_full_windows():
+    rng = random.Random(10)
+    for _ in range(200):
+        texts = [(str(k % 3), [rng.choice([b"a", b"b"]) for _ in range(rng.randint(3, 20))]) for k in range(4)]
+        text = [rng.choice([b"a", b"b"]) for _ in range(40)]
+        got = sorted((s, e, i) for s, e, i in decontaminate.Matcher([(i, b" ".join(p)) for i, p in texts], 3).find(text))
+        windows = {(i, tuple(p[a : a + 3])) for i, p in texts for a in range(len(p) - 2)}
+        assert got == sorted((s, s + 3, i) for i, w in windows for s in range(38) if tuple(text[s : s + 3]) == w)
+
+
+def test_long_items_are_cut_without_losing_windows(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 7)
+    rng = random.Random(11)
+    body = [f"w{rng.randrange(500)}" for _ in range(100)]
+    docs = spark.createDataFrame([(k, " ".join(["x", *body[k : k + 15], "y"])) for k in range(86)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, " ".join(body)), (6, " ".join(body[:13])), (7, " ".join(body[40:52]))], "item_id long, text string")
+    items = [(5, " ".join(body)), (6, " ".join(body[:13])), (7, " ".join(body[40:52]))]
+    found = {r["id"]: (r["n_words"], list(r["hits"]), list(r["items"])) for r in decontaminate.contamination(docs, bench).collect()}
+    assert found == {r["doc_id"]: brute(r["text"], items) for r in docs.collect()}
+
+
+def test_tables_are_small_beside_their_text():
+    rng = random.Random(12)
+    words = [f"{rng.randrange(10**5):x}".encode() for _ in range(200_000)]
+    body = b" ".join(words)
+    m = decontaminate.Matcher([("1", body)], 13)
+    held = sum(x.nbytes for x in (m.keys, m.at, m.size, m.words, m.owner)) + len(m.body) + len(m.shift)
+    assert held < 12 * len(body)  # short words; a Python object a window would take a hundred times the text
+
+
+def test_names_of_its_own_are_refused(docs):
+    for name in ("id", "words"):
+        keep = [name]
+        if name == "id":
+            with pytest.raises(ValueError):
+                decontaminate.contamination(docs, docs, item_col="doc_id", keep=keep)
+        else:
+            assert "words" in decontaminate.contamination(docs, docs.limit(2), item_col="doc_id", keep=keep).columns
 
 
 def test_verdict_at_a_twentieth(spark):
