@@ -7,7 +7,9 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
+import zstandard
 
 from shelfrank.llm import bpe, langid, quality
 
@@ -77,8 +79,37 @@ def test_texts_without_letters_are_undetermined(spark, docs, no_docs, labelled):
 def test_narrow_margins_of_long_texts_are_rejected(labelled):
     models = langid.fit(labelled)
     both = langid.Classifier({"a": models["en"], "b": models["en"]})
-    assert both.classify(prose(random.Random(1), "en", 200)) == ("a", 0.0, True)
-    assert both.classify("short text")[2] is False  # too little to measure
+    assert both.classify(prose(random.Random(1), "en", 400)) == ("a", 0.0, True)
+    assert both.classify("short text")[2] is False  # half a byte more or less would change its margin
+
+
+def test_prediction_equals_plain_compression(labelled, docs):
+    """The smallest sum of block sizes, compressed one by one."""
+    models = langid.fit(labelled)
+    letters = regex.compile(r"\p{L}+")
+
+    def size(body, lang, level):
+        own = zstandard.ZstdCompressionDict(models[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own.precompute_compress(level=level)
+        c = zstandard.ZstdCompressor(level=level, dict_data=own, write_content_size=False, write_dict_id=False)
+        return sum(len(c.compress(body[i : i + 1024])) for i in range(0, len(body), 1024))
+
+    for r in langid.identify(docs, models, keep=["words"]).collect():
+        words = letters.findall((r["words"] or "").lower())
+        if not words:
+            assert r["lang_pred"] == "und"
+            continue
+        body = " ".join(w for w, before in zip(words, [None, *words], strict=False) if w != before).encode()
+        ranked = sorted(models, key=lambda m: (size(body, m, langid.LEVEL), size(body, m, langid.TIE_LEVEL), list(models).index(m)))
+        first, second = (size(body, m, langid.LEVEL) for m in ranked[:2])
+        assert r["lang_pred"] == ranked[0] and r["margin"] == pytest.approx(1 - first / second)
+        assert r["rejected"] == (second - first + 0.5 < langid.NARROW_MARGIN * second)
+
+
+def test_only_the_commonest_languages_are_learned(spark):
+    rng = random.Random(15)
+    rows = [(i, prose(rng, "en", 20), f"l{i % 7}" if i % 7 < 3 or i < 70 else "l0") for i in range(300)]
+    assert list(langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=3)) == ["l0", "l1", "l2"]
 
 
 def bad(rng):
@@ -119,6 +150,44 @@ def test_nothing_or_one_class_to_learn(judged, docs, no_docs):
     assert quality.score(no_docs, model).count() == 0
 
 
+def test_statistics_equal_plain_ones(awkward):
+    """Recounted on characters, one at a time."""
+    ascii_lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    for _, t in awkward:
+        t = t if t is None or len(t) < 20_000 else t[:20_000]
+        got = dict(zip(quality.STATS, quality.statistics(t.encode() if t is not None else None), strict=True))
+        if not t:
+            assert set(got.values()) == {0.0}
+            continue
+        raw, words = len(t.encode()), regex.findall(r"[^\x20\x09-\x0D]+", ascii_lower(t))
+        n, of = max(len(words), 1), lambda test: sum(len(c.encode()) for c in t if test(c)) / raw  # noqa: B023
+        runs, here = [0], 0
+        for a, b in zip(words, words[1:], strict=False):
+            here = here + 1 if a == b else 0
+            runs.append(here)
+        lines = [x for x in t.split("\n") if regex.search(r"[^\x20\x09-\x0D]", x)]
+        want = {
+            "size": np.log1p(raw), "words": np.log1p(len(words)), "word_length": sum(len(w.encode()) for w in words) / n, "distinct": len(set(words)) / n,
+            "commonest": max([words.count(w) for w in set(words)], default=0) / n, "run": max(runs) / n, "repeats": sum(r > 0 for r in runs) / n,
+            "upper": of(lambda c: "A" <= c <= "Z"), "digits": of(lambda c: c in "0123456789"), "marks": of(lambda c: c in "!?.,;:'\"()-"), "symbols": of(lambda c: c in "#$%&*+/<=>@[\\]^_`{|}~"),
+            "pipes": t.count("|") / n, "stops": sum(t.count(c) for c in ".!?") / n, "blanks": of(lambda c: c in " \t\r\n"), "wide": of(lambda c: ord(c) > 127), "lines": np.log1p(len(lines)),
+            "line_length": raw / max(len(lines), 1), "line_repeats": 1 - len(set(lines)) / max(len(lines), 1), "no_letter": sum(bool(regex.fullmatch(r"[0-9!?.,;:'\"()\-#$%&*+/<=>@\[\\\]^_`{|}~]+", w)) for w in words) / n, "exclamations": t.count("!") / n,
+        }
+        assert set(want) == set(quality.STATS) and got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_columns_of_any_name_may_stand_beside(judged, docs, labelled):
+    d, labels = judged
+    beside = d.selectExpr("*", "1 label", "2 label_id", "3 body", "4 id", "5 words", "6 score")
+    assert quality.fit(beside, labels) == quality.fit(d, labels)
+    assert quality.score(beside, quality.fit(d, labels), keep=["label", "body"]).columns == ["id", "label", "body", "score"]
+    models = langid.fit(labelled.selectExpr("*", "1 n", "2 size", "3 at", "4 below"))
+    assert models == langid.fit(labelled)
+    for call in (lambda: quality.score(beside, quality.fit(d, labels), keep=["words"]), lambda: langid.identify(docs.withColumn("margin", docs["score"]), models, keep=["margin"]), lambda: bpe.encode_decode(docs, PATH, PATTERN, keep=["id"])):
+        with pytest.raises(ValueError):
+            call()
+
+
 def test_statistics_of_nothing():
     assert quality.statistics(None) == quality.statistics(b"") == [0.0] * len(quality.STATS)
     assert all(np.isfinite(quality.statistics(b" \n!! ")))
@@ -130,8 +199,11 @@ def test_language_of_few_usable_rows_is_learned_from_whole_texts(spark):
     assert langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))["en"].count(b"\n") == 39
 
 
-def test_dictionaries_hold_whole_texts_before_cut_ones(spark):
+def test_dictionaries_hold_whole_texts(spark):
     rng = random.Random(13)
-    rows = [(i, "en", ("whole " if i < 8 else "cut ") + prose(rng, "en", 300 if i < 8 else 4000)) for i in range(60)]
-    held = langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))["en"]
-    assert len(held) == langid.DICT_BYTES and held.count(b"whole ") == 8
+    rows = [(i, "en", prose(rng, "en", 300 if i < 8 else 4000)) for i in range(60)] + [(i, "de", prose(rng, "de", 9000 + 10 * i)) for i in range(100, 104)]
+    models = langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    whole = {langid.words_of(t).encode() for _, _, t in rows}
+    assert len(models["en"]) <= langid.DICT_BYTES and len(models["en"]) > langid.DICT_BYTES / 2
+    assert all(set(m.split(b"\n")) <= whole for m in models.values())
+    assert models["de"] == langid.words_of(rows[60][2]).encode()  # every text is long: the shortest, whole
