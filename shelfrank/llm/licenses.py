@@ -1,24 +1,28 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 Texts become lower-cased words, one blank apart. A rule is a regex over words with a keyword that every match holds,
-a label and a priority; rules are written as forms of the names of licenses. Only texts with a trace of any keyword
-are looked into, and only rules whose keyword a text holds are run on it. A detection is dropped if one of the same or
-a higher priority contains it: "licensed under the apache license version 2" silences the bare name within.
+a label and a priority. Rules are hand-written signatures of license bodies and addresses, and forms of the names of
+licenses. Only texts with a trace of any keyword are looked into, and only rules whose keyword a text holds are run on
+it. They are run on numbered words ("12:under 13:the"), so that a match tells its own place and nothing has to be
+counted up to it. A detection is dropped if one of the same or a higher priority contains it: "licensed under the apache
+license version 2" silences the bare name within.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import carried
+
 #: Phrases whose places are counted, with their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-_DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_DELIMITERS = r"[^0-9A-Za-z\x80-\x{10FFFF}]+"
 
 #: Label: the keyword, the forms of the name, the identifiers of the short form.
 #: What stands before a version, its blank included: "v2" is one word.
@@ -81,6 +85,101 @@ def _versioned() -> None:
 _versioned()
 
 
+#: Signatures of bodies: label, keyword, the words that give the license away without its name.
+BODIES: list[tuple[str, str, str]] = [
+    ("mit", "hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "without restriction", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("mit", "permission notice", "the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software"),
+    ("x11", "without prior", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization"),
+    ("isc", "hereby granted", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("mit-0", "hereby granted", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?! provided)"),
+    ("isc", "author disclaims", "the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("bsd", "source and binary", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "source code must retain", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "binary form must", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3", "endorse or promote", "neither the name of(?: the)?(?: [^ ]+)(?: [^ ]+)?(?: [^ ]+)? nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-4", "advertising materials", "all advertising materials mentioning features or use of this software must display the following (?:acknowledgement|acknowledgment)"),
+    ("bsd", "copyright holders", "this software is provided by the copyright holders and contributors as is and any express or implied warranties"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "altered source", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "held liable", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("boost-1", "person or organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "what the fuck", "you just do what the fuck you want to"),
+    ("cc0", "associated claims", "waive all copyright and related or neighboring rights together with all associated claims and causes of action"),
+    ("cc0", "extent possible", "to the extent possible under law(?: the)?(?: [^ ]+)? has waived all copyright and related or neighboring rights"),
+    ("public-domain", "public domain", "this (?:work|file|software|document) is (?:hereby )?(?:dedicated to|placed in|in|released into) the public domain"),
+    ("public-domain", "no rights reserved", "no rights reserved"),
+    ("apache-2", "except in compliance", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2", "basis without", "distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2", "grant of patent", "grant of patent license subject to the terms and conditions of this license each contributor hereby grants"),
+    ("apache-1.1", "includes software developed", "this product includes software developed by the apache software foundation"),
+    ("gpl", "free software you can", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "free software you can", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("gpl", "will be useful", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("lgpl", "will be useful", "this library is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "along with this program", "you should have received a copy of the gnu general public license along with this program"),
+    ("gpl", "verbatim copies", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl-2", "freedom to share", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3", "practical works", "the licenses for most software and other practical works are designed to take away your freedom to share and change the works"),
+    ("agpl-3", "remote network", "remote network interaction use with the gnu general public license"),
+    ("agpl", "users interacting", "an opportunity to receive the corresponding source of your version all users interacting with it remotely through a computer network"),
+    ("mpl-2", "source code form", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl-1.1", "contents of this file", "the contents of this file are subject to the mozilla public license"),
+    ("mpl-2", "was not distributed", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl", "accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "contents of this file", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("eupl", "european", "licensed under the eupl version 1 (?:1|2) or as soon they will be approved by the european commission"),
+    ("fdl", "invariant sections", "with no invariant sections no front cover texts and no back cover texts"),
+    ("fdl", "copy distribute and or modify", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("artistic-2", "this package", "this package may be distributed and modified under the terms of the artistic license"),
+    ("artistic", "copyright holder", "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control"),
+    ("psf-2", "psf hereby", "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("ofl-1.1", "font software", "the font software may be sold as part of a larger software package but no copy of one or more of the font software typefaces may be sold by itself"),
+    ("ofl-1.1", "font software", "this font software is licensed under the sil open font license"),
+    ("ms-pl", "patent claim", "if you bring a patent claim against any contributor over patents that you claim are infringed by the software your patent license from such contributor"),
+    ("cc-by", "attribution you must", "attribution you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-nc", "noncommercial you may", "noncommercial you may not use the material for commercial purposes"),
+    ("cc-by-sa", "sharealike if you", "sharealike if you remix transform or build upon the material you must distribute your contributions under the same license"),
+    ("cc-by-nd", "noderivatives if you", "noderivatives if you remix transform or build upon the material you may not distribute the modified material"),
+    ("permissive", "copying and distribution", "copying and distribution of this file with or without modification are permitted in any medium without royalty provided the copyright notice and this notice are preserved"),
+    ("beerware", "buy me a beer", "if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    ("json", "not evil", "the software shall be used for good not evil"),
+    ("ntp", "supporting documentation", "provided that the above copyright notice appears in all copies and that both the(?: above)? copyright notice and this permission notice (?:appears|appear) in supporting documentation"),
+    ("proprietary", "strictly prohibited", "(?:unauthorized|unauthorised) copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "trade secret", "contains (?:confidential information and )?trade secrets of"),
+    ("warranty-disclaimer", "warranty of any kind", "the software is provided as is without warranty of any kind express or implied"),
+    ("warranty-disclaimer", "merchantability", "without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("warranty-disclaimer", "consequential damages", "be liable for any direct indirect incidental special exemplary or consequential damages"),
+]
+#: Addresses of licenses as words: label, keyword, the address.
+ADDRESSES: list[tuple[str, str, str]] = [
+    ("apache-2", "apache org", "apache org licenses license 2 0"),
+    ("mit", "opensource org", "opensource org (?:licenses|licence) mit"),
+    ("bsd-2", "opensource org", "opensource org (?:licenses|licence) bsd 2 clause"),
+    ("bsd-3", "opensource org", "opensource org (?:licenses|licence) bsd 3 clause"),
+    ("isc", "opensource org", "opensource org (?:licenses|licence) isc"),
+    ("gpl-2", "gnu org", "gnu org licenses(?: old licenses)? gpl 2 0"),
+    ("gpl-3", "gnu org", "gnu org licenses gpl 3 0"),
+    ("lgpl-3", "gnu org", "gnu org licenses lgpl 3 0"),
+    ("agpl-3", "gnu org", "gnu org licenses agpl 3 0"),
+    ("fdl-1.3", "gnu org", "gnu org licenses fdl 1 3"),
+    ("mpl-2", "mozilla org", "mozilla org mpl 2 0"),
+    ("mpl-1.1", "mozilla org", "mozilla org mpl mpl 1 1"),
+    ("epl-1", "eclipse org", "eclipse org legal epl v10"),
+    ("epl-2", "eclipse org", "eclipse org legal epl 2 0"),
+    ("boost-1", "boost org", "boost org license 1 0 txt"),
+    ("unlicense", "unlicense org", "unlicense org"),
+    ("wtfpl", "wtfpl net", "wtfpl net"),
+    ("cc0", "creativecommons org", "creativecommons org publicdomain zero 1 0"),
+    ("public-domain", "creativecommons org", "creativecommons org publicdomain mark 1 0"),
+    ("ofl-1.1", "sil org", "scripts sil org ofl"),
+    ("odbl", "opendatacommons org", "opendatacommons org licenses odbl"),
+    *((f"cc-{terms.replace(' ', '-')}-{v[0]}", "creativecommons org", f"creativecommons org licenses {terms} {v}") for terms in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd") for v in ("2 0", "3 0", "4 0")),
+]
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -92,9 +191,12 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """All rules, the first of equals first: identifiers, notices, references, bare names."""
+    """All rules, the first of equals first: identifiers, addresses, bodies, notices, references, bare names."""
     out = []
-    for kind, priority, weight in (("identifier", 4, 1.0), ("notice", 3, 0.95), ("terms", 2, 0.9), ("name", 1, 0.6)):
+    for kind, priority, weight in (("identifier", 4, 1.0), ("address", 4, 0.95), ("body", 3, 0.95), ("notice", 3, 0.95), ("terms", 2, 0.9), ("name", 1, 0.6)):
+        if kind in ("address", "body"):
+            out += [Rule(f"{label}:{kind}:{i}", label, keyword, rf" {x}(?= )", priority, weight) for i, (label, keyword, x) in enumerate(ADDRESSES if kind == "address" else BODIES)]
+            continue
         for key, (word, names, ids) in NAMES.items():
             keyword = "spdx" if kind == "identifier" else word
             forms = {
@@ -107,10 +209,20 @@ def rules() -> list[Rule]:
     return out
 
 
+#: Beginnings of words of which every match of a rule or a base phrase holds one; "_" stands for what lies between words.
+TRACES = """licen sublicen unlicen spdx proprietary reserved gpl agpl lgpl mpl epl cddl eupl fdl gfdl wtfpl cc0 cc_by mit_no mit_0 public_domain
+hereby copyright advertising disclaim redistribut endors misrepresented liable unencumbered compile fuck waive apache warrant verbatim gnu
+interacting mozilla eclipse boost creative opensource opendatacommons scripts_sil invariant semblance typefaces noncommercial sharealike noderiv
+beer evil prohibited secret merchantab damages""".split()
+
+
 def trace() -> str:
-    """A pattern for raw text that fits every text in which a rule or a base phrase can be found."""
-    alone = ["[al]?gpl", "mpl", "epl", "cddl", "eupl", "fdl", "wtfpl", "cc0", "cc by", "mit (?:no|0)", "creative commons", "public domain"]
-    return ("(?i)licen[cs]e|spdx|proprietary|rights reserved|(?<![a-z0-9])(?:" + "|".join(alone) + ")").replace(" ", _BETWEEN)
+    """A pattern for blank-joined lower-cased words, a blank first, that fits every text in which a rule or a base phrase
+    can be found."""
+    by_letter: dict[str, list[str]] = {}
+    for t in TRACES:
+        by_letter.setdefault(t[0], []).append(t[1:].replace("_", " "))
+    return " (?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")"
 
 
 def _blanks(text: Column) -> Column:
@@ -132,64 +244,82 @@ def _base(doubled: Column, n_words: Column) -> list[Column]:
     return out
 
 
-_DETECTION = "struct<start:bigint,end:bigint,rule:string,label:string,priority:int,weight:double>"
+_FIELDS = "start:bigint,end:bigint,rule:string,label:string,priority:int,weight:double"
+_DETECTION = f"struct<{_FIELDS}>"
+_LEVELS = (1, 2, 3, 4)
+_OWN = ("__traced", "__words", "__low", "__places", "__found")
+
+
+def _lit(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _detections(words: Column) -> Column:
-    """Matches of all rules as word spans, in order of start, longer and higher ones first."""
-    known = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(i).alias("at")) for i, r in enumerate(rules())))
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    def spans(rule: Column) -> Column:
-        hits = F.regexp_extract_all(words, rule["regex"], F.lit(0))
-        # Blanks up to each match: those of the pieces around matches and of the matches before.
-        gaps = F.transform(F.split(words, rule["regex"], -1), _blanks)
-        sizes = F.transform(hits, _blanks)
 
-        def one(_: Column, i: Column) -> Column:
-            total = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + x)
-            start = (total(gaps, i + 1) + total(sizes, i)).cast("long")
-            end = start + F.element_at(sizes, i + 1)
-            return F.struct(start.alias("start"), (-end).alias("back"), (-rule["priority"]).alias("lower"), rule["at"].alias("at"), end.cast("long").alias("end"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["weight"].alias("weight"))
+def numbered(regex: str) -> str:
+    """A rule's regex over words as one over numbered words: every blank that it matches is followed by a number. The
+    lookahead for the blank behind the last word stays."""
+    marks = {"(?= )": "\0", " ?": "\1"}
+    for what, mark in marks.items():
+        regex = regex.replace(what, mark)
+    return regex.replace(" ", " [0-9]++:").replace("\0", "(?= )").replace("\1", "(?: [0-9]++:)?")
 
-        return F.transform(hits, one)
 
-    held = F.filter(known, lambda r: F.contains(words, r["keyword"]))
-    return F.array_sort(F.flatten(F.transform(held, spans)))
+_RULES = "array<struct<keyword:string,rules:array<struct<regex:string,at:int,rule:string,label:string,priority:int,weight:double>>>>"
 
 
-def _unsuppressed(found: Column) -> Column:
-    """What no detection before it, of its priority or a higher one, contains. Whatever contains a span stands before
-    it in order, so the furthest end so far of each priority is all there is to remember."""
-    kept = F.array().cast(f"array<{_DETECTION}>")
-    levels = [1, 2, 3, 4]
-    seed = F.struct(kept.alias("kept"), *(F.lit(-1).cast("long").alias(f"e{k}") for k in levels))
+def detections(words: str = "__low", places: str = "__places") -> str:
+    """SQL of the matches of all rules as word spans, in order of start, longer and higher ones first. words: SQL of the
+    blank-joined words, places: of the numbered ones. Rules are one constant, by keyword."""
+    by_word: dict[str, list[dict]] = {}
+    for i, r in enumerate(rules()):
+        by_word.setdefault(r.keyword, []).append({"regex": numbered(r.regex), "at": i, "rule": r.name, "label": r.label, "priority": r.priority, "weight": r.weight})
+    known = f"from_json({_lit(json.dumps([{'keyword': k, 'rules': own} for k, own in by_word.items()]))}, '{_RULES}')"
+    start, end = "cast(substring_index(substr(h, 2), ':', 1) AS bigint)", "cast(substring_index(substring_index(h, ' ', -1), ':', 1) AS bigint) + 1"
+    one = f"named_struct('start', {start}, 'back', -({end}), 'lower', -r.priority, 'at', r.at, 'end', {end}, 'rule', r.rule, 'label', r.label, 'priority', r.priority, 'weight', r.weight)"
+    run = f"transform(regexp_extract_all({places}, r.regex, 0), h -> {one})"
+    return f"array_sort(flatten(transform(filter({known}, g -> contains({words}, g.keyword)), g -> flatten(transform(g.rules, r -> {run})))))"
 
-    def step(acc: Column, d: Column) -> Column:
-        covered = F.greatest(*(F.when(F.lit(k) >= d["priority"], acc[f"e{k}"]).otherwise(F.lit(-1)) for k in levels)) >= d["end"]
-        own = F.struct(*(d[c].alias(c) for c in ("start", "end", "rule", "label", "priority", "weight")))
-        return F.struct(
-            F.when(covered, acc["kept"]).otherwise(F.array_append(acc["kept"], own)).alias("kept"),
-            *(F.when(d["priority"] == k, F.greatest(acc[f"e{k}"], d["end"])).otherwise(acc[f"e{k}"]).alias(f"e{k}") for k in levels),
-        )
 
-    return F.aggregate(found, seed, step, lambda acc: acc["kept"])
+def unsuppressed(found: str) -> str:
+    """SQL of what no detection before it, of its priority or a higher one, contains. Whatever contains a span stands
+    before it in order, so the furthest end so far of each priority is all there is to remember. Detections are gone
+    through in blocks of about the square root of their number, as appending copies what is already there."""
+    ends = ", ".join(f"'e{k}', {{}}" for k in _LEVELS)
+    state = lambda kept, of: f"named_struct('kept', {kept}, {ends.format(*(of(k) for k in _LEVELS))})"
+    covered = f"greatest({', '.join(f'IF({k} >= d.priority, a.e{k}, -1L)' for k in _LEVELS)}) >= d.end"
+    own = f"named_struct({', '.join(f"'{f.split(':')[0]}', d.{f.split(':')[0]}" for f in _FIELDS.split(','))})"
+    step = state(f"IF({covered}, a.kept, array_append(a.kept, {own}))", lambda k: f"IF(d.priority = {k}, greatest(a.e{k}, d.end), a.e{k})")
+    block = f"aggregate(c, {state(f'cast(array() AS array<{_DETECTION}>)', lambda k: f't.e{k}')}, (a, d) -> {step})"
+    total = f"(t, c) -> {_let(block, 'b', state('array_append(t.kept, b.kept)', lambda k: f'b.e{k}'))}"
+    blocks = "transform(sequence(0, (size(f) - 1) DIV n), i -> slice(f, i * n + 1, n))"
+    ran = f"aggregate({blocks}, {state(f'cast(array() AS array<array<{_DETECTION}>>)', lambda _: '-1L')}, {total}, t -> flatten(t.kept))"
+    return _let(found, "f", _let("cast(ceil(sqrt(size(f))) AS int)", "n", f"IF(n = 0, cast(array() AS array<{_DETECTION}>), {ran})"))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, base (places, first and last word of each base phrase) and detections (word spans).
 
-    A null text is empty: no words, no detections. Rows and other columns pass as they are; columns of these three
-    names are replaced.
+    A-Z alone are lower-cased. A null text is empty: no words, no detections. Rows, repeated ones too, and other columns
+    pass as they are; columns of these three names are replaced, and names in _OWN are refused. An empty table gives
+    none. Every match of every text is kept.
     """
+    carried(docs.columns, *_OWN)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = docs.withColumn("n_words", F.size(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))).cast("long")).withColumn("__traced", text.rlike(trace()))
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), _DELIMITERS, " ")), F.lit(" "))
+    words = docs.withColumn("__words", F.concat(F.lit(" "), F.trim(F.regexp_replace(text, _DELIMITERS, " ")), F.lit(" ")))
+    n_words = F.when(F.length("__words") == 2, 0).otherwise(_blanks(F.col("__words")) - 1).cast("long")
+    marked = words.withColumns({"n_words": n_words, "__traced": F.lower("__words").rlike(trace())})
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
-    # One-element transforms name an intermediate text without computing it twice.
-    look = F.transform(F.array(words), lambda w: F.struct(F.array(*_base(F.replace(w, F.lit(" "), F.lit("  ")), F.col("n_words"))).alias("base"), _unsuppressed(_detections(w)).alias("found")))[0]
-    empty = F.struct(F.array(*(none for _ in BASE)).alias("base"), F.array().cast(f"array<{_DETECTION}>").alias("found"))
-    looked = marked.withColumn("__look", F.when(F.col("__traced"), look).otherwise(empty))
-    return looked.withColumns({"base": F.col("__look.base"), "detections": F.col("__look.found")}).drop("__look", "__traced")
+    base = F.transform(F.array("__low"), lambda w: F.array(*_base(F.replace(w, F.lit(" "), F.lit("  ")), F.col("n_words"))))[0]
+    empty = F.array(*(none for _ in BASE))
+    places = "concat(' ', array_join(transform(split(trim(__low), ' '), (v, i) -> concat(i, ':', v)), ' '), ' ')"
+    low = marked.withColumn("__low", F.when(F.col("__traced"), F.translate("__words", _UPPER, _UPPER.lower())))
+    looked = low.withColumn("__places", F.expr(places)).withColumn("__found", F.when(F.col("__traced"), F.expr(detections())))
+    kept = F.when(F.col("__traced"), F.expr(unsuppressed("__found"))).otherwise(F.array().cast(f"array<{_DETECTION}>"))
+    return looked.withColumns({"base": F.when(F.col("__traced"), base).otherwise(empty), "detections": kept}).drop(*_OWN)
 
 
 def summary(found: DataFrame) -> DataFrame:
