@@ -1,21 +1,26 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and of word pairs are quantised to powers of two: an event seen c times has level 1 + floor(log2 c),
-and the filter holds (event, 1), ..., (event, level). A level is read back by probing upwards until a probe fails;
-its count is the middle of the level's range. Pair probabilities are smoothed towards word probabilities:
-
-    P(w | h) = (c(h w) + MU * P(w)) / (c(h) + MU),    P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
-
-with counts as the filter gives them, and c(h w) at most c(h). The text's start stands before its first word; each
-text ends with one end token.
-
-Counting: each task sums its own events in arrays and sends, for every segment of the hash space, one packed block;
-a segment's owner adds the blocks up, keeps the words' exact counts and fills the segment's part of the filter.
-A frequent event is one entry a task, so no key is hot. Events go by 64-bit hashes; words are never gathered.
-
-The segments are broadcast as long as they fit in BROADCAST_BYTES together. Beyond it they stay where they are: each run
-of texts sends its distinct events to the segments' owners and gets counts and levels back, in two shuffles of packed
-blocks, however large the model is.
+Counts of words, of word pairs and of word triples are quantised to powers of two: an event seen c times has level
+1 + floor(log2 c), and the filter holds (event, 1), ..., (event, level). A level is read back by probing upwards until a
+probe fails; its count is the middle of the level's range. Probabilities are smoothed towards those of shorter histories:
+
+    P(w)       = (c(w) + 0.5) / (N + 0.5 * (V + 1))
+    P(w | v)   = (c(v w) + MUS[0] * P(w)) / (c(v) + MUS[0])
+    P(w | u v) = (c(u v w) + MUS[1] * P(w | v)) / (c(u v) + MUS[1])
+
+with counts as the filter gives them, and none above that of its history. The text's start stands twice before its first
+word; each text ends with one end token.
+
+Counting: each task sums its own events in arrays and sends packed blocks to the owners of the segments of the hash
+space; an owner adds them up, keeps the words' exact counts and fills the segment's part of the filter. Segments are as
+many as the training text's size asks for. Where there are more than BLOCKS of them, blocks go by way of groups of
+segments, so that tasks times blocks grows like the input and not like its square. A frequent event is one entry a task,
+so no key is hot. Events go by 64-bit hashes; words are never gathered.
+
+The segments are broadcast as long as they fit in BROADCAST_BYTES together. A larger model can't be in every worker's
+memory; its segments stay where they are: each run of texts sends its distinct events to the segments' owners, who probe
+their part of the filter, and gets counts and levels back, in two shuffles of packed blocks, however large the model is.
+Scores are the same on both ways.
 """
 
 from __future__ import annotations
@@ -32,14 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import Shared, crc_fold, pieces, space_words, staged, texts_of
+from .shared import Shared, carried, crc_fold, pieces, space_words, staged, texts_of
 
-MU = 1000.0
+#: Smoothing masses of pairs and of triples.
+MUS = (1000.0, 20.0)
+KINDS = 3
 BITS_PER_ENTRY, PROBES = 8, 5
 #: Of filter and word counts, broadcast at once.
 BROADCAST_BYTES = 160 << 20
-#: At the least; eight for each partition of the training texts, so that a segment's size doesn't follow the input's.
-SEGMENTS = 64
+#: Segments at the least, and training text for each, so that a segment's size doesn't follow the input's.
+SEGMENTS, SEGMENT_BYTES = 64, 16 << 20
+#: Blocks of a kind that a task sends at once, and the tasks whose blocks for a group of segments are added up together.
+BLOCKS, ROUTED_TASKS = 4096, 64
 #: Distinct events that a task sums before it sends them on.
 KEPT_EVENTS = 1_500_000
 START, END = b" start", b""  # neither can be a word
@@ -68,11 +77,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def pair_hashes(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A hash of each token with the one before it, or with the start."""
+def event_hashes(tokens: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """For each token: its own hash, that with the token before it, and that with the two before it."""
     before = np.r_[_START_HASH, tokens[:-1]]
     before[starts[:-1]] = _START_HASH
-    return _mix(_mix(before + _U(0x9E3779B97F4A7C15)) ^ tokens)
+    pairs = _mix(_mix(before + _U(0x9E3779B97F4A7C15)) ^ tokens)
+    second = np.r_[_START_HASH, before[:-1]]
+    second[starts[:-1]] = _START_HASH
+    return [tokens, pairs, _mix(_mix(second + _U(0xC2B2AE3D27D4EB4F)) ^ pairs)]
 
 
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -103,10 +115,10 @@ def _positions(keys: np.ndarray, level: int, size: np.ndarray) -> Iterator[np.nd
         yield (at + _U(i) * step) % size
 
 
-def filter_bits(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def filter_bits(keys: np.ndarray, counts: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> np.ndarray:
     """The filter of one segment as bytes."""
     levels = levels_of(counts)
-    size = max(64, -(-int(levels.sum()) * BITS_PER_ENTRY // 64) * 64)
+    size = max(64, -(-int(levels.sum()) * bits_per_entry // 64) * 64)
     bits = np.zeros(size // 8, np.uint8)
     for level in range(1, int(levels.max(initial=0)) + 1):
         for at in _positions(keys[levels >= level], level, _U(size)):
@@ -162,52 +174,73 @@ class Shard:
         return out
 
 
-def count_events(docs: DataFrame, segments: int, text_col: str = "text") -> DataFrame:
-    """(seg, words, ns, bits): exact word counts and the filter of every segment, over the texts of docs."""
-    names = ["seg", "kind", "keys", "ns"]
+_SENT = "seg int, salt int, kind int, keys binary, ns binary"
+
+
+def _packed(kind: int, keys: np.ndarray, ns: np.ndarray, to: np.ndarray, salt: int) -> pa.RecordBatch:
+    """A row for each number in `to`, with the events that go there."""
+    order = np.argsort(to, kind="stable")
+    keys, ns, to = keys[order], ns[order], to[order]
+    cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else np.zeros(1, np.int64)
+    n = len(cuts) - 1
+    cols = [pa.array(to[cuts[:-1]], pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([kind] * n, pa.int32())]
+    cols += [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()) for x in (keys, ns)]
+    return pa.RecordBatch.from_arrays(cols, ["seg", "salt", "kind", "keys", "ns"])
+
+
+def _added(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    rows = table.filter(pa.compute.equal(table.column("kind"), kind))
+    return summed(*(np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint64) for c in ("keys", "ns")))
+
+
+def count_events(docs: DataFrame, segments: int, text_col: str = "text", bits_per_entry: int = BITS_PER_ENTRY, blocks: int = BLOCKS) -> DataFrame:
+    """(seg, words, ns, bits, tokens): exact word counts and the filter of every segment, over the texts of docs."""
+    groups = min(segments, blocks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, list] = {0: [], 1: []}
-        size = 0
+        kept: list[list] = [[] for _ in range(KINDS)]
+        size, salt = 0, TaskContext.get().partitionId() // ROUTED_TASKS if groups < segments else 0
+
+        def merge() -> int:
+            for k, parts in enumerate(kept):
+                if len(parts) > 1:
+                    kept[k] = [summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
+            return sum(len(p[0]) for parts in kept for p in parts)
 
         def emit() -> Iterator[pa.RecordBatch]:
-            for kind, parts in kept.items():
-                if not parts:
-                    continue
-                keys, ns = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            merge()
+            for kind, parts in enumerate(kept):
+                for keys, ns in parts:
+                    yield _packed(kind, keys, ns, (keys % _U(segments) % _U(groups)).astype(np.int32), salt)
                 parts.clear()
-                seg = (keys % _U(segments)).astype(np.int32)
-                order = np.argsort(seg, kind="stable")
-                keys, ns, seg = keys[order], ns[order], seg[order]
-                at = np.searchsorted(seg, np.arange(segments + 1))
-                own = [s for s in range(segments) if at[s] < at[s + 1]]
-                cols = [pa.array(own, pa.int32()), pa.array([kind] * len(own), pa.int32())]
-                cols += [pa.array([x[at[s] : at[s + 1]].tobytes() for s in own], pa.binary()) for x in (keys, ns)]
-                yield pa.RecordBatch.from_arrays(cols, names)
 
         for batch in batches:
             for run in pieces(batch):
-                tokens, starts = token_hashes(texts_of(run, "text"))
-                for kind, keys in ((0, tokens), (1, pair_hashes(tokens, starts))):
+                for kind, keys in enumerate(event_hashes(*token_hashes(texts_of(run, "text")))):
                     kept[kind].append(summed(keys))
                     size += len(kept[kind][-1][0])
-                if size > KEPT_EVENTS:
+                if size > KEPT_EVENTS and (size := merge()) > KEPT_EVENTS // 2:
                     yield from emit()
                     size = 0
         yield from emit()
 
+    def route(table: pa.Table) -> pa.Table:
+        out = []
+        for kind in range(KINDS):
+            keys, ns = _added(table, kind)
+            out.append(_packed(kind, keys, ns, (keys % _U(segments)).astype(np.int32), 0))
+        return pa.Table.from_batches(out)
+
     def own(table: pa.Table) -> pa.Table:
-        got = {}
-        for kind in (0, 1):
-            rows = table.filter(pa.compute.equal(table.column("kind"), kind))
-            parts = [np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint64) for c in ("keys", "ns")]
-            got[kind] = summed(*parts)
-        (words, ns), (pairs, ms) = got[0], got[1]
-        bits = filter_bits(np.r_[words, pairs], np.r_[ns, ms])
+        got = [_added(table, kind) for kind in range(KINDS)]
+        words, ns = got[0]
+        bits = filter_bits(*(np.concatenate(x) for x in zip(*got, strict=True)), bits_per_entry)
         return pa.table({"seg": pa.array([table.column("seg")[0].as_py()], pa.int32()), "words": [words.tobytes()], "ns": [ns.tobytes()], "bits": [bits.tobytes()], "tokens": pa.array([int(ns.sum())], pa.int64())})
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
-    sent = rows.mapInArrow(count, "seg int, kind int, keys binary, ns binary")
+    sent = rows.mapInArrow(count, _SENT)
+    if groups < segments:
+        sent = sent.groupBy("seg", "salt").applyInArrow(route, _SENT)
     return sent.groupBy("seg").applyInArrow(own, "seg int, words binary, ns binary, bits binary, tokens long")
 
 
@@ -218,20 +251,22 @@ class Settings:
     train_tokens: int
     norm: float
     n_docs: int
-    mu: float
+    mus: tuple[float, float]
 
-    def columns(self, starts: np.ndarray, back: np.ndarray, counts: np.ndarray, word: np.ndarray, pair: np.ndarray) -> dict:
-        """Results of a run of texts. counts: exact, of the distinct words that back points to; word and pair: the
-        filter's levels for each token."""
+    def columns(self, starts: np.ndarray, back: np.ndarray, counts: np.ndarray, levels: list[np.ndarray]) -> dict:
+        """Results of a run of texts. counts: exact, of the distinct words that back points to; levels: the filter's,
+        for each token as a word, the end of a pair and the end of a triple."""
         terms = np.log10((counts.astype(np.float64) + 0.5) / self.norm)
         add = lambda x: np.add.reduceat(x, starts[:-1])
-        seen = count_of(word)
-        history = np.r_[0.0, seen[:-1]]
-        history[starts[:-1]] = self.n_docs
-        both = np.minimum(count_of(pair), history)
-        model = np.log10((both + self.mu * (seen + 0.5) / self.norm) / (history + self.mu))
+        seen = count_of(levels[0])
+        share, found = (seen + 0.5) / self.norm, seen
+        for level, mu in zip(levels[1:], self.mus, strict=True):
+            history = np.r_[0.0, found[:-1]]
+            history[starts[:-1]] = self.n_docs
+            found = np.minimum(count_of(level), history)
+            share = (found + mu * share) / (history + mu)
         rows = len(starts) - 1
-        return {"n_tokens": np.diff(starts), "n_known": add((counts > 0)[back].astype(np.int64)), "train_tokens": np.full(rows, self.train_tokens), "base_score": add(terms[back]), "score": add(model)}
+        return {"n_tokens": np.diff(starts), "n_known": add((counts > 0)[back].astype(np.int64)), "train_tokens": np.full(rows, self.train_tokens), "base_score": add(terms[back]), "score": add(np.log10(share))}
 
 
 def _by_broadcast(rows: DataFrame, out, model: DataFrame, segments: int, settings: Settings) -> DataFrame:
@@ -244,7 +279,8 @@ def _by_broadcast(rows: DataFrame, out, model: DataFrame, segments: int, setting
                 tokens, starts = token_hashes(texts_of(run, "text"))
                 words, back = np.unique(tokens, return_inverse=True)
                 shard = held.value
-                cols = settings.columns(starts, back, shard.exact(words), shard.levels(words)[back], shard.levels(pair_hashes(tokens, starts)))
+                longer = [shard.levels(keys) for keys in event_hashes(tokens, starts)[1:]]
+                cols = settings.columns(starts, back, shard.exact(words), [shard.levels(words)[back], *longer])
                 yield pa.RecordBatch.from_arrays([pa.array(cols[c]) if c in cols else run.column(c) for c in out.names], out.names)
 
     return rows.mapInArrow(over, out)
@@ -271,7 +307,7 @@ def _by_segments(rows: DataFrame, out, model: DataFrame, segments: int, settings
             cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if len(number) else []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 tokens, starts = token_hashes(texts_of(batch.slice(a, b - a), "text"))
-                for kind, keys in ((0, np.unique(tokens)), (1, np.unique(pair_hashes(tokens, starts)))):
+                for kind, keys in enumerate(map(np.unique, event_hashes(tokens, starts))):
                     seg = (keys % _U(segments)).astype(np.int32)
                     order = np.argsort(seg, kind="stable")
                     at = np.flatnonzero(np.r_[True, np.diff(seg[order]) != 0, True])
@@ -291,7 +327,7 @@ def _by_segments(rows: DataFrame, out, model: DataFrame, segments: int, settings
         if not len(own):
             return out_schema.empty_table()
         known = {}
-        for kind in (0, 1):
+        for kind in range(KINDS):
             part = told.filter(pa.compute.equal(told.column("kind"), kind))
             joined = lambda c, t: np.frombuffer(b"".join(part.column(c).to_pylist()), t)  # noqa: E731, B023
             keys, order = np.unique(joined("keys", _U), return_index=True)
@@ -299,8 +335,8 @@ def _by_segments(rows: DataFrame, out, model: DataFrame, segments: int, settings
         tokens, starts = token_hashes(own.column("text").cast(pa.binary()).to_pylist())
         words, back = np.unique(tokens, return_inverse=True)
         at = np.searchsorted(known[0][0], words)
-        pairs = np.searchsorted(known[1][0], pair_hashes(tokens, starts))
-        cols = settings.columns(starts, back, known[0][2][at], known[0][1][at][back], known[1][1][pairs])
+        longer = [known[k][1][np.searchsorted(known[k][0], keys)] for k, keys in enumerate(event_hashes(tokens, starts)) if k]
+        cols = settings.columns(starts, back, known[0][2][at], [known[0][1][at][back], *longer])
         return pa.table([pa.array(cols[c]) if c in cols else own.column(c) for c in out.names], out.names)
 
     out_schema = to_arrow_schema(out)
@@ -309,19 +345,22 @@ def _by_segments(rows: DataFrame, out, model: DataFrame, segments: int, settings
     return texts.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(score, out)
 
 
-def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, mu: float = MU, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, mus: tuple[float, float] = MUS, broadcast_bytes: int = BROADCAST_BYTES, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
     """(id, keep..., n_tokens, n_known, train_tokens, base_score, score): a row for each row of docs.
 
     The model learns from training's whole texts. A null text is empty: its only token is the end. Repeated rows count
-    as often as they stand. Without training rows every probability is the smoothing's own. keep: columns to carry
-    along, of names other than those, "text" and "run".
+    as often as they stand. Without training rows every probability is the smoothing's own; without docs there is no
+    row. keep: columns to carry along; one named like those, "text" or "run" is an error.
     """
-    segments = max(SEGMENTS, 8 * training.rdd.getNumPartitions())
-    model = staged(count_events(training, segments, text_col), "lm-segments")
+    own = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    keep = carried(keep, "id", "text", "run", *own)
+    n_docs, size = training.agg(F.count("*"), F.sum(F.octet_length(F.col(text_col).cast("string")))).first()
+    segments = max(SEGMENTS, -(-int(size or 0) // SEGMENT_BYTES))
+    model = staged(count_events(training, segments, text_col, bits_per_entry), "lm-segments")
     n, distinct, size = model.agg(F.sum("tokens"), F.sum(F.octet_length("words") / 8), F.sum(F.octet_length("words") * 2 + F.octet_length("bits"))).first()
     n, distinct = int(n or 0), int(distinct or 0)
-    settings = Settings(n, n + 0.5 * (distinct + 1), training.count(), mu)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *(keep or []))
+    settings = Settings(n, n + 0.5 * (distinct + 1), n_docs, mus)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
     out = rows.drop("text").selectExpr("*", "0L n_tokens", "0L n_known", "0L train_tokens", "0D base_score", "0D score").schema
     route = _by_broadcast if int(size or 0) <= broadcast_bytes else _by_segments
     return route(rows, out, model.select("seg", "words", "ns", "bits"), segments, settings)

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -31,10 +32,64 @@ def test_segments_change_nothing(docs):
     assert one == many
 
 
-def test_held_out_texts_score_better_than_words_alone(spark, docs):
-    train, held = docs.where("doc_id % 5 <> 1 and doc_id < 60"), docs.where("doc_id % 5 = 1 and doc_id < 60")
-    rows = lm.score_texts(held, train).collect()
-    assert all(r["n_known"] <= r["n_tokens"] for r in rows)
+def plain_scores(rows, training, mus=lm.MUS):
+    """score of each text from plain dictionaries of quantised counts."""
+    quantised = lambda c: {k: (3 * 2 ** (n.bit_length() - 1) - 1) / 2 for k, n in c.items()}
+    words, pairs, triples = Counter(), Counter(), Counter()
+    for t in training:
+        own = tokens(t)
+        words.update(own)
+        pairs.update(zip([None, *own], own, strict=False))
+        triples.update(zip([None, None, *own], [None, *own], own, strict=False))
+    norm = sum(words.values()) + 0.5 * (len(words) + 1)
+    c1, c2, c3 = quantised(words), quantised(pairs), quantised(triples)
+    out = []
+    for t in rows:
+        u = v = None
+        total, before1, before2 = 0.0, len(training), len(training)
+        for w in tokens(t):
+            one, two = c1.get(w, 0), min(c2.get((v, w), 0), before1)
+            three = min(c3.get((u, v, w), 0), before2)
+            share = (two + mus[0] * (one + 0.5) / norm) / (before1 + mus[0])
+            total += math.log10((three + mus[1] * share) / (before2 + mus[1]))
+            u, v, before1, before2 = v, w, one, two
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 30, 0])
+def test_scores_equal_a_plain_model(docs, awkward, broadcast_bytes):
+    """Every text, the very long one too; with so many bits that no probe errs."""
+    train = [t for d, t in awkward if d is None or d % 5 != 1]
+    found = lm.score_texts(docs, docs.where("doc_id is null or doc_id % 5 <> 1"), broadcast_bytes=broadcast_bytes, bits_per_entry=4096, keep=["words"]).collect()
+    wanted = dict(zip([t for _, t in awkward], plain_scores([t for _, t in awkward], train), strict=True))
+    assert len(found) == len(awkward)
+    assert all(r["score"] == pytest.approx(wanted[r["words"]], rel=1e-9) for r in found)
+
+
+def test_blocks_by_way_of_groups_change_nothing(docs, monkeypatch):
+    few = docs.where("doc_id < 60")
+    one = sorted(map(tuple, lm.count_events(few, 64).collect()))
+    assert sorted(map(tuple, lm.count_events(few.repartition(5), 64, blocks=4).collect())) == one
+    monkeypatch.setattr(lm, "KEPT_EVENTS", 50)
+    assert sorted(map(tuple, lm.count_events(few, 64, blocks=4).collect())) == one
+
+
+def test_held_out_texts_score_better_than_words_alone(spark):
+    """Texts of a few set phrases: what comes before a word tells much about it."""
+    rng = random.Random(3)
+    phrases = [[f"w{rng.randrange(40)}" for _ in range(6)] for _ in range(12)]
+    rows = [(i, " ".join(w for _ in range(8) for w in rng.choice(phrases))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lm.score_texts(docs.where("doc_id % 5 = 1"), docs.where("doc_id % 5 <> 1")).collect()
+    assert all(r["score"] > 0.6 * r["base_score"] for r in found)
+    pairs_only = lm.score_texts(docs.where("doc_id % 5 = 1"), docs.where("doc_id % 5 <> 1"), mus=(lm.MUS[0], 1e12)).collect()
+    assert sum(r["score"] for r in found) > sum(r["score"] for r in pairs_only) > sum(r["base_score"] for r in found)
+
+
+def test_names_of_its_own_are_refused(docs):
+    with pytest.raises(ValueError):
+        lm.score_texts(docs, docs, keep=["score"])
 
 
 def test_nothing_to_learn_from(docs, no_docs):
@@ -67,10 +122,11 @@ def test_levels_and_counts():
     assert lm.count_of(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2.5, 5.5]
 
 
-def test_probabilities_sum_to_about_one(spark):
-    """Over all words after one history, with the model's own smoothing."""
-    words = "a b c d e".split()
-    docs = spark.createDataFrame([(i, " ".join(words[(i * j) % 5] for j in range(1, 9))) for i in range(40)], "doc_id long, text string")
-    one = spark.createDataFrame([(k, w) for k, w in enumerate(["a", *(f"a {w}" for w in words)])], "doc_id long, text string")
-    s = {r["id"]: r["score"] for r in lm.score_texts(one, docs).collect()}
-    assert all(v < 0 for v in s.values())
+def test_probabilities_sum_to_one():
+    """Over six equally common words after the text's start, four of which ever follow it."""
+    level = int(lm.levels_of(np.array([16]))[0])
+    middle = lm.count_of(np.array([level]))[0]
+    settings = lm.Settings(96, 6 * (middle + 0.5), 16, lm.MUS)
+    follows = [2, 2, 3, 3, 0, 0]  # levels: counts of 2.5, 2.5, 5.5 and 5.5, together the 16 starts
+    shares = [10 ** settings.columns(np.array([0, 1]), np.array([0]), np.array([16]), [np.array([x]) for x in (level, f, f)])["score"][0] for f in follows]
+    assert sum(shares) == pytest.approx(1) and shares[2] > shares[0] > shares[4] > 0
