@@ -213,7 +213,7 @@ def rules() -> list[Rule]:
 TRACES = """licen sublicen unlicen spdx proprietary reserved gpl agpl lgpl mpl epl cddl eupl fdl gfdl wtfpl cc0 cc_by mit_no mit_0 public_domain
 hereby copyright advertising disclaim redistribut endors misrepresented liable unencumbered compile fuck waive apache warrant verbatim gnu
 interacting mozilla eclipse boost creative opensource opendatacommons scripts_sil invariant semblance typefaces noncommercial sharealike noderiv
-beer evil prohibited secret merchantab damages""".split()
+a_beer evil prohibited secret merchantab damages""".split()
 
 
 def trace() -> str:
@@ -247,7 +247,7 @@ def _base(doubled: Column, n_words: Column) -> list[Column]:
 _FIELDS = "start:bigint,end:bigint,rule:string,label:string,priority:int,weight:double"
 _DETECTION = f"struct<{_FIELDS}>"
 _LEVELS = (1, 2, 3, 4)
-_OWN = ("__traced", "__words", "__low", "__places", "__found")
+_OWN = ("__traced", "__words", "__low", "__found")
 
 
 def _lit(text: str) -> str:
@@ -271,7 +271,7 @@ def numbered(regex: str) -> str:
 _RULES = "array<struct<keyword:string,rules:array<struct<regex:string,at:int,rule:string,label:string,priority:int,weight:double>>>>"
 
 
-def detections(words: str = "__low", places: str = "__places") -> str:
+def detections(words: str = "__low", places: str = "x") -> str:
     """SQL of the matches of all rules as word spans, in order of start, longer and higher ones first. words: SQL of the
     blank-joined words, places: of the numbered ones. Rules are one constant, by keyword."""
     by_word: dict[str, list[dict]] = {}
@@ -317,7 +317,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     empty = F.array(*(none for _ in BASE))
     places = "concat(' ', array_join(transform(split(trim(__low), ' '), (v, i) -> concat(i, ':', v)), ' '), ' ')"
     low = marked.withColumn("__low", F.when(F.col("__traced"), F.translate("__words", _UPPER, _UPPER.lower())))
-    looked = low.withColumn("__places", F.expr(places)).withColumn("__found", F.when(F.col("__traced"), F.expr(detections())))
+    # The numbered words are bound outside of the loop over rules, where they would be made anew for each.
+    looked = low.withColumn("__found", F.when(F.col("__traced"), F.expr(_let(places, "x", detections()))))
     kept = F.when(F.col("__traced"), F.expr(unsuppressed("__found"))).otherwise(F.array().cast(f"array<{_DETECTION}>"))
     return looked.withColumns({"base": F.when(F.col("__traced"), base).otherwise(empty), "detections": kept}).drop(*_OWN)
 
