@@ -8,8 +8,11 @@ It is stored under its value in every partition, and probes the values around it
 meets under a value is verified on all 64 bits.
 
 Exact copies meet before any of this, as one fingerprint. A bucket yields a spanning forest of its links rather than
-all its pairs; a bucket that outgrows BUCKET_ROWS is dealt out as pairs of chunks, so no task holds more than two
-chunks and no link is lost.
+all its pairs. The stored rows of a bucket that outgrows BUCKET_ROWS are dealt out over chunks; each meets what comes
+before it and what probes in every chunk, so no task holds more stored rows than a chunk and no link is lost.
+
+`companies` is the same search over fingerprints of several words each, for radii at which one word's worth of bits tells
+too little: near in one word, found by its partitions, and near in all together.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ RADIUS, SHINGLE, SEED = 3, 3, 42
 BUCKET_ROWS = 1 << 16
 #: What one stored or probing row costs, in comparisons of candidates.
 PROBE_COST = 1000.0
+#: The same for companies, whose rows are wider and whose radius asks for many more of them.
+WIDE_PROBE_COST = 20_000.0
 #: Links that one task thins out.
 LINKS_A_TASK = 500_000
 _CHUNK = 1 << 15
@@ -46,7 +51,11 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) ->
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    packed = b"".join(map(partial(xxhash.xxh64_digest, seed=seed), grams))
+    return majority(b"".join(map(partial(xxhash.xxh64_digest, seed=seed), grams)))
+
+
+def majority(packed: bytes) -> int:
+    """The bits that are set in over half of some 8-byte values."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(packed), 8 * _CHUNK):
         bits = np.unpackbits(np.frombuffer(packed, np.uint8, min(8 * _CHUNK, len(packed) - at), at)).reshape(-1, 64)
@@ -55,20 +64,17 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) ->
     return int.from_bytes(np.packbits(2 * total > len(packed) // 8).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """(id, fp, fp1, ...): a row for each row of docs with a fingerprint for each seed, as signed longs. Null or wordless
-    texts get 0."""
-    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(id, fp): a row for each row of docs, with its fingerprint as a signed long. Null or wordless texts get 0."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in pieces(batch):
-                words = [space_words(t) for t in texts_of(run, "text")]
-                fps = [np.array([fingerprint(w, shingle, seed) for w in words], np.uint64).view(np.int64) for seed in seeds]
-                yield pa.RecordBatch.from_arrays([run.column("id"), *map(pa.array, fps)], ["id", *names])
+                fps = np.array([fingerprint(space_words(t), shingle) for t in texts_of(run, "text")], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([run.column("id"), pa.array(fps)], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(over, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(over, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -106,8 +112,8 @@ def group_bits(counts: np.ndarray, n: int, parts: int) -> list[list[int]]:
 class Plan:
     """The partitions of the bits and the estimates from which each fingerprint allocates its thresholds."""
 
-    def __init__(self, parts: list[list[int]], histograms: dict[int, np.ndarray], n: int, radius: int):
-        self.parts, self.n, self.radius = parts, n, radius
+    def __init__(self, parts: list[list[int]], histograms: dict[int, np.ndarray], n: int, radius: int, probe_cost: float = PROBE_COST):
+        self.parts, self.n, self.radius, self.probe_cost = parts, n, radius, probe_cost
         self.blocks = sub_blocks(parts)
         values = np.arange(256, dtype=np.uint64)
         apart = np.bitwise_count(values[:, None] ^ values[None, :])
@@ -126,7 +132,7 @@ class Plan:
                 dist = np.stack([sum(dist[:, a] * t[:, d - a] for a in range(d + 1)) for d in range(self.radius + 1)], 1)
             within = np.cumsum(dist, 1) * self.n
             for t in range(self.radius + 1):
-                out[:, i, t + 1] = within[:, t] + PROBE_COST * (sum(comb(len(bits), d) for d in range(t + 1)) - 1)
+                out[:, i, t + 1] = within[:, t] + self.probe_cost * (sum(comb(len(bits), d) for d in range(t + 1)) - 1)
         return out
 
     def allocate(self, fps: np.ndarray) -> np.ndarray:
@@ -146,21 +152,21 @@ class Plan:
         return out - 1
 
     def keys(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bucket, fingerprint, probing): each stored under its own value in every partition, and probing others."""
-        thresholds, buckets, owners = self.allocate(fps), [], []
+        """(bucket, position, probing): each stored under its own value in every partition, and probing others."""
+        thresholds, buckets, owners, every = self.allocate(fps), [], [], np.arange(len(fps))
         for i, bits in enumerate(self.parts):
             buckets.append(_values(fps, bits) | i << 59)
-            owners.append(fps)
+            owners.append(every)
         n_stored = len(fps) * len(self.parts)
         for i, bits in enumerate(self.parts):
             own = _values(fps, bits)
             for t in range(1, self.radius + 1):
+                on = thresholds[:, i] >= t
+                if not on.any():
+                    break
                 for mask in _masks(len(bits), t):
-                    on = thresholds[:, i] >= t
-                    if not on.any():
-                        break
                     buckets.append((own[on] ^ mask) | i << 59)
-                    owners.append(fps[on])
+                    owners.append(every[on])
         out = np.concatenate(buckets)
         return out, np.concatenate(owners), np.arange(len(out)) >= n_stored
 
@@ -180,7 +186,7 @@ def _masks(width: int, weight: int) -> Iterator[int]:
         yield sum(1 << b for b in at)
 
 
-def how_many(n: int, radius: int) -> int:
+def how_many(n: int, radius: int, probe_cost: float = PROBE_COST) -> int:
     """The number of partitions that is cheapest for n fingerprints if bits were fair and thresholds even."""
 
     def cost(parts: int) -> float:
@@ -188,7 +194,7 @@ def how_many(n: int, radius: int) -> int:
         for i in range(parts):
             width, t = 64 // parts + (i < 64 % parts), (radius + 1) // parts + (i < (radius + 1) % parts) - 1
             ball = sum(comb(width, d) for d in range(t + 1))
-            total += PROBE_COST * max(ball, 1) + n * ball / 2**width
+            total += probe_cost * max(ball, 1) + n * ball / 2**width
         return total
 
     return min(range(2, 9), key=cost)
@@ -212,21 +218,26 @@ def _summed(fps: DataFrame, size: int, count) -> np.ndarray:
     return out
 
 
-def plan_search(fps: DataFrame, radius: int = RADIUS) -> Plan:
+def plan_search(fps: DataFrame, radius: int = RADIUS, probe_cost: float = PROBE_COST) -> Plan:
     """Fits a Plan on counts over all fingerprints: 64 x 64 for the grouping, 256 for each block of bits."""
     pairs = _summed(fps, 4096, lambda x: (b := _bits(x).astype(np.float64)).T @ b).reshape(64, 64)
     n = fps.count()
-    parts = group_bits(pairs, n, how_many(n, radius))
+    parts = group_bits(pairs, n, how_many(n, radius, probe_cost))
     blocks = [x for own in sub_blocks(parts) for x in own]
     counts = _summed(fps, 256 * len(blocks), lambda x: np.stack([np.bincount(_values(x, own), minlength=256) for _, own in blocks]))
-    return Plan(parts, {j: counts.reshape(-1, 256)[j].astype(float) for j, _ in blocks}, n, radius)
+    return Plan(parts, {j: counts.reshape(-1, 256)[j].astype(float) for j, _ in blocks}, n, radius, probe_cost)
+
 
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y)
 
-def forest(stored: np.ndarray, probing: np.ndarray, radius: int) -> list[tuple[int, int]]:
+
+def forest(stored: np.ndarray, probing: np.ndarray, radius: int, others: np.ndarray | None = None, total: int = 0) -> list[tuple[int, int]]:
     """Links that join whatever links of stored fingerprints, with each other and with probing ones, join.
 
     Positions count on from stored into probing. Two probing fingerprints are never compared: they meet where one of
-    them is stored. Few links are all returned; many are reduced to at most one a fingerprint.
+    them is stored. Few links are all returned; many are reduced to at most one a fingerprint. others: a second word of
+    every fingerprint, in whose light a link has at most `total` differing bits in both words.
     """
     both = np.concatenate([stored, probing])
     n, m = len(stored), len(both)
@@ -234,8 +245,12 @@ def forest(stored: np.ndarray, probing: np.ndarray, radius: int) -> list[tuple[i
     count, in_rows, in_cols = 0, np.zeros(n, bool), np.zeros(m, bool)
     found: list[np.ndarray] = []
     for at in range(0, n, step):
-        near = np.bitwise_count(stored[at : at + step, None] ^ both[None, :]) <= radius
+        near = apart(stored[at : at + step, None], both[None, :]) <= radius
         near[np.arange(len(near)), at + np.arange(len(near))] = False
+        if others is not None and near.any():
+            i, j = np.nonzero(near)
+            far = apart(both[at + i], both[j]) + apart(others[at + i], others[j]) > total
+            near[i[far], j[far]] = False
         if near.any():
             count += int(near.sum())
             in_rows[at : at + step] = near.any(1)
@@ -252,7 +267,8 @@ def forest(stored: np.ndarray, probing: np.ndarray, radius: int) -> list[tuple[i
         while queue and len(free):
             at = queue.pop()
             may = free if at < n else free[free < n]
-            hit = may[np.bitwise_count(both[may] ^ both[at]) <= radius]
+            bits = apart(both[may], both[at])
+            hit = may[bits <= radius] if others is None else may[(bits <= radius) & (bits + apart(others[may], others[at]) <= total)]
             if len(hit):
                 out += [(int(at), int(x)) for x in hit]
                 queue += list(hit)
@@ -260,8 +276,8 @@ def forest(stored: np.ndarray, probing: np.ndarray, radius: int) -> list[tuple[i
     return out
 
 
-def _links(keys: np.ndarray, fps: np.ndarray, probing: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal keys, in each of which stored fingerprints come before probing ones."""
+def _links(keys: np.ndarray, fps: np.ndarray, probing: np.ndarray, radius: int, others: np.ndarray | None = None, total: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as positions, within runs of equal keys, in each of which stored fingerprints come before probing ones."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     stored = np.add.reduceat(~probing, starts)
@@ -271,16 +287,17 @@ def _links(keys: np.ndarray, fps: np.ndarray, probing: np.ndarray, radius: int)
         i = np.flatnonzero((keys[k:] == keys[:-k]) & short[k:] & ~probing[:-k])
         if not len(i):
             break
-        i = i[np.bitwise_count(fps[i] ^ fps[i + k]) <= radius]
-        a.append(fps[i])
-        b.append(fps[i + k])
+        bits = apart(fps[i], fps[i + k])
+        i = i[bits <= radius] if others is None else i[(bits <= radius) & (bits + apart(others[i], others[i + k]) <= total)]
+        a.append(i)
+        b.append(i + k)
     for r in np.flatnonzero((sizes > 8) & (stored > 0)):
-        own = fps[starts[r] : starts[r] + sizes[r]]
-        if pairs := forest(own[: stored[r]], own[stored[r] :], radius):
-            at = np.array(pairs)
-            a.append(own[at[:, 0]])
-            b.append(own[at[:, 1]])
-    none = np.empty(0, np.uint64)
+        at, cut, end = starts[r], starts[r] + stored[r], starts[r] + sizes[r]
+        if pairs := forest(fps[at:cut], fps[cut:end], radius, None if others is None else others[at:end], total):
+            own = np.array(pairs)
+            a.append(at + own[:, 0])
+            b.append(at + own[:, 1])
+    none = np.empty(0, np.int64)
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
@@ -308,6 +325,39 @@ class _Joined:
         return keep
 
 
+def _cells(keys: DataFrame, bucket_rows: int, numbers: list[str]) -> DataFrame:
+    """keys (bucket, numbers..., probing) as rows of cells, sorted so that a cell's stored rows come before probing ones.
+
+    The stored rows of a hot bucket go to chunks. Each chunk is a cell of its own, named by a hash; a collision only makes
+    two cells one, and what meets is verified. A stored row probes the chunks after its own, a probing one all.
+    """
+    hot = keys.where("not probing").groupBy("bucket").count().where(F.col("count") > bucket_rows)
+    cells = keys.select(F.col("bucket").alias("cell"), *numbers, "probing")
+    if hot.head(1):
+        dealt = keys.join(hot, "bucket", "left").withColumn("g", F.ceil(F.coalesce("count", F.lit(1)) / bucket_rows))
+        mine = F.when(F.col("probing"), 0).otherwise(F.pmod(F.xxhash64(*numbers), F.col("g")))
+        spread = F.transform(F.sequence(mine, F.col("g") - 1), lambda c: F.struct(F.when(F.col("g") > 1, F.xxhash64("bucket", c)).otherwise(F.col("bucket")).alias("cell"), (F.col("probing") | (c > mine)).alias("probing")))
+        cells = dealt.select(F.explode(spread).alias("to"), *numbers).select("to.cell", *numbers, "to.probing")
+    n = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cells.repartition(n, "cell").sortWithinPartitions("cell", "probing")
+
+
+def _whole_runs(batches, names: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns of successive batches, the first of which names the run, cut so that no run is parted."""
+    rest = None
+    for batch in _and_end(batches):
+        if batch is None:
+            if rest is not None and len(rest[0]):
+                yield rest
+            return
+        own = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        now = own if rest is None else [np.concatenate(x) for x in zip(rest, own, strict=True)]
+        cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last run may go on in the next batch
+        rest = [x[cut:] for x in now]
+        if cut:
+            yield [x[:cut] for x in now]
+
+
 def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b): links among distinct fingerprints, enough of them to connect all that is linked.
 
@@ -319,23 +369,17 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS)
         for batch in batches:
             all_fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(all_fps), 4096):
-                buckets, owners, probing = plan.value.keys(all_fps[at : at + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(owners.view(np.int64)), pa.array(probing)], ["bucket", "fp", "probing"])
+                own = all_fps[at : at + 4096]
+                buckets, owners, probing = plan.value.keys(own)
+                yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(own[owners].view(np.int64)), pa.array(probing)], ["bucket", "fp", "probing"])
 
     def compare(batches):
-        joined, rest = _Joined(), (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool))
-        for batch in _and_end(batches):
-            if batch is None:
-                now, cut = rest, len(rest[0])
-            else:
-                cells, fps, probing = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "fp", "probing"))
-                now = tuple(np.concatenate(x) for x in zip(rest, (cells, fps.view(np.uint64), probing), strict=True))
-                cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last run may go on in the next batch
-            rest = tuple(x[cut:] for x in now)
-            if cut:
-                a, b = _links(*(x[:cut] for x in now), radius)
-                new = joined.new(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64))], ["a", "b"])
+        joined = _Joined()
+        for cells, fps, probing in _whole_runs(batches, ["cell", "fp", "probing"]):
+            fps = fps.view(np.uint64)
+            a, b = (fps[i] for i in _links(cells, fps, probing, radius))
+            new = joined.new(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64))], ["a", "b"])
 
     def thin(batches):
         joined = _Joined()
@@ -345,21 +389,44 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
 
     keys = staged(fps.select("fp").mapInArrow(deal, "bucket long, fp long, probing boolean"), "simhash-keys")
-    hot = keys.groupBy("bucket").count().where(F.col("count") > bucket_rows)
-    cells = keys.select(F.col("bucket").alias("cell"), "fp", "probing")
-    if hot.head(1):
-        # A hot bucket's rows go to chunks; each pair of chunks is a cell of its own, named by a hash. A collision
-        # only makes two cells one, and what meets is verified.
-        dealt = keys.join(hot, "bucket", "left").withColumn("g", F.ceil(F.coalesce("count", F.lit(1)) / bucket_rows))
-        mine = F.pmod(F.xxhash64("fp"), F.col("g"))
-        others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda x: F.xxhash64("bucket", F.least(x, mine), F.greatest(x, mine)))
-        cells = dealt.select(F.explode(F.when(F.col("g") > 1, others).otherwise(F.array("bucket"))).alias("cell"), "fp", "probing")
-    n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = staged(cells.repartition(n, "cell").sortWithinPartitions("cell", "probing").mapInArrow(compare, "a long, b long"), "simhash-found")
+    found = staged(_cells(keys, bucket_rows, ["fp"]).mapInArrow(compare, "a long, b long"), "simhash-found")
     # Tasks repeat each other's links inside large groups; what few tasks can hold is thinned out to forests once more.
     return found.repartition(max(1, -(-found.count() // LINKS_A_TASK))).mapInArrow(thin, "a long, b long")
 
 
+def companies(nodes: DataFrame, words: tuple[str, str], radius: int, total: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(bucket, fp): nodes that links of one bucket join, under a name of their own. Every pair of nodes that differ in at
+    most `radius` bits of either word, and in at most `total` bits of both, is together in some company.
+
+    nodes: a staged table with a column fp that names each row, and the two words of its fingerprint as longs.
+    """
+    plans = [Shared(nodes.sparkSession, plan_search(nodes.select(F.col(w).alias("fp")), radius, WIDE_PROBE_COST)) for w in words]
+
+    def deal(batches):
+        for batch in batches:
+            names, *both = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", *words))
+            for at in range(0, len(names), 4096):
+                for k, plan in enumerate(plans):
+                    own, other = (x[at : at + 4096].view(np.uint64) for x in (both[k], both[1 - k]))
+                    buckets, owners, probing = plan.value.keys(own)
+                    cols = [buckets | k << 50, names[at : at + 4096][owners], own[owners].view(np.int64), other[owners].view(np.int64), probing]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["bucket", "name", "own", "other", "probing"])
+
+    def compare(batches):
+        for cells, names, own, other, probing in _whole_runs(batches, ["cell", "name", "own", "other", "probing"]):
+            a, b = _links(cells, own.view(np.uint64), probing, radius, other.view(np.uint64), total)
+            joined = _Joined()
+            joined.new(a, b)
+            members = np.unique(np.concatenate([a, b]))
+            roots = np.array([joined.root(i) for i in members.tolist()], np.int64)
+            company = [xxhash.xxh64_intdigest(f"{cells[r]},{names[r]}".encode()) - 2**63 for r in roots.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(company, pa.int64()), pa.array(names[members])], ["bucket", "fp"])
+
+    # Dealt twice, to count and to compare, as keys take more room than the words that they are made from.
+    keys = nodes.select("fp", *words).mapInArrow(deal, "bucket long, name long, own long, other long, probing boolean")
+    return _cells(keys, bucket_rows, ["name", "own", "other"]).mapInArrow(compare, "bucket long, fp long").distinct()
+
+
 def _and_end(batches):
     yield from batches
     yield None
@@ -370,7 +437,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and blank texts have fingerprint 0 and link like any other. A row whose id is null takes part, is
     returned, and gives its component no name unless no other row does (then null). Repeated ids are repeated rows.
-    An empty table gives an empty result. Columns other than the two named are never read.
+    Ties for a component's name can't be: equal ids are one name. An empty table gives an empty result. Columns other
+    than the two named are never read.
     """
     rows = staged(fingerprints(docs, id_col, text_col, shingle), "simhash")
     nodes = staged(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
@@ -383,25 +451,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Staged for the same reason: a fingerprint may have many copies.
     known = staged(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-known")
     return rows.join(known, "fp", "left").select("id", "fp", "component_id")
-
-
-def near_duplicates_by_any(docs: DataFrame, id_col: str, text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """(id, component_id): like near_duplicates, but texts link if their fingerprints of any seed do.
-
-    Distances of one pair's fingerprints under several seeds scatter independently, so pairs near the radius that one
-    misses are mostly found by another. Ids are not null and may be of any ordered type.
-    """
-    rows = staged(fingerprints(docs, id_col, text_col, shingle, seeds), "simhash")
-    names = [c for c in rows.columns if c != "id"]
-    groups = staged(rows.groupBy(*names).agg(F.min("id").alias("node")), "simhash-groups")
-    edges = None
-    for name in names:
-        # Every fingerprint is named after its least group; groups that share it and fingerprints that link hang on that.
-        named = staged(groups.groupBy(name).agg(F.min("node").alias("least")).withColumnRenamed(name, "fp"), "simhash-nodes")
-        shared = groups.join(named, groups[name] == named["fp"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-        ends = links(named, radius).join(named.select(F.col("fp").alias("a"), F.col("least").alias("la")), "a").join(named.select(F.col("fp").alias("b"), F.col("least").alias("lb")), "b")
-        own = shared.union(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        edges = own if edges is None else edges.union(own)
-    roots = connected_components(edges, "simhash-links")  # the root of a component is its least node, so its least id
-    known = groups.join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
-    return rows.join(known, names).select("id", "component_id")

@@ -7,6 +7,7 @@ import pytest
 
 from shelfrank.llm import jaccard
 from shelfrank.llm.shared import space_words, staged
+from shelfrank.llm.simhash import companies
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -82,7 +83,37 @@ def test_large_buckets_are_dealt_out_whole(spark, bucket_rows):
 def test_recall_of_candidates_at_the_threshold():
     rng = np.random.default_rng(9)
     met = 0
-    for _ in range(500):
+    for _ in range(2000):
         pool = rng.integers(-(2**63), 2**63, 224)  # 180 of 224
-        met += bool((jaccard.bands(np.sort(pool[:202])) == jaccard.bands(np.sort(pool[22:]))).any())
-    assert met >= 498
+        (a, b), (c, d) = (jaccard.words_of(np.sort(x)) for x in (pool[:202], pool[22:]))
+        first, second = (int(x ^ y) % 2**64 for x, y in ((a, c), (b, d)))
+        met += min(first.bit_count(), second.bit_count()) <= jaccard.RADIUS and first.bit_count() + second.bit_count() <= jaccard.TOTAL
+    assert met >= 1985
+
+
+def test_companies_hold_every_near_pair(spark):
+    """All pairs within the radius of either word and the total of both, against brute force; buckets dealt out too."""
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 2**64, (60, 2), np.uint64)
+    rows = [tuple(int(x) for x in r) for r in base]
+    for _ in range(400):
+        x, y = rows[rng.integers(60)]
+        for b in rng.integers(0, 64, rng.integers(0, 20)):
+            x ^= 1 << int(b)
+        for b in rng.integers(0, 64, rng.integers(0, 24)):
+            y ^= 1 << int(b)
+        rows.append((x, y))
+    signed = lambda v: v - (v >> 63 << 64)
+    nodes = staged(spark.createDataFrame([(k, signed(x), signed(y)) for k, (x, y) in enumerate(rows)], "fp long, w0 long, w1 long"), "test")
+    near = set()
+    for i, (a, b) in enumerate(rows):
+        for j, (c, d) in enumerate(rows[:i]):
+            u, v = (a ^ c).bit_count(), (b ^ d).bit_count()
+            if min(u, v) <= 14 and u + v <= 34:
+                near.add((j, i))
+    for bucket_rows in (1 << 16, 20):
+        members = {}
+        for r in companies(nodes, ("w0", "w1"), 14, 34, bucket_rows).collect():
+            members.setdefault(r["bucket"], []).append(r["fp"])
+        together = {(a, b) for own in members.values() for a in own for b in own if a < b}
+        assert len(near) > 300 and near <= together

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from .conftest import prose
-from .test_simhash import plain_components
+from .test_jaccard import least_of_components
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -36,7 +36,7 @@ def test_stages_take_effect(spark, corpus):
     n = len(texts)
     assert kept[0] - kept[1] == {n - 5, n - 4, n - 3}
     rows = [(i, texts[i]) for i in sorted(kept[1])]
-    assert kept[2] == {c for d, _, c in plain_components(rows, corpus_pipeline.RADIUS, corpus_pipeline.SHINGLE, corpus_pipeline.SEEDS)}
+    assert kept[2] == {rows[k][0] for k in least_of_components([t for _, t in rows])}
     assert kept[1] - kept[2] >= {60, 61, 62}
     assert kept[2] - kept[3] == {n - 2}
     last = {r["doc_id"]: r for r in docs.collect()}
@@ -82,3 +82,32 @@ def test_rows_keep_their_numbers_when_input_is_split_anew(spark, tmp_path):
     finally:
         for n, v in before.items():
             spark.conf.set(n, v) if v else spark.conf.unset(n)
+
+
+def test_columns_of_any_name_may_stand_beside(spark, corpus):
+    """Extra columns under the stages' and operators' own names come through, and nothing else changes."""
+    place, _ = corpus
+    docs = spark.read.parquet(f"{place}/documents.parquet")
+    extra = ["id", "margin", "rejected", "lang_pred", "hits", "items", "n_words", "label", "fp", "component_id", "row", "__body", "words", "pii_kinds", "body", "score", "ids", "n_tokens"]
+    wide = corpus_pipeline.staged(docs.selectExpr("*", *(f"'kept' AS `{c}`" for c in extra)), "test")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        narrow, out = stage(spark, docs, place), stage(spark, wide, place)
+        assert out.columns == wide.columns, name
+        assert out.where(" or ".join(f"`{c}` <> 'kept'" for c in extra)).count() == 0, name
+        assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in narrow.collect()), name
+    last = corpus_pipeline.STAGES[-1][1](spark, wide, place)
+    assert {"margin", "label", "source", "n_chars"} <= set(last.columns) and len(set(last.columns)) == len(last.columns)
+    assert all(len(r["ids"]) == r["n_tokens"] for r in last.collect())
+
+
+def test_stages_take_awkward_rows(spark, awkward, corpus):
+    place, _ = corpus
+    docs = corpus_pipeline.staged(spark.createDataFrame([(i, t, "l", "s", None) for i, t in awkward], "doc_id long, text string, lang string, source string, n_chars long"), "test")
+    rows = {name: [(r["doc_id"], r["text"]) for r in stage(spark, docs, place).collect()] for name, stage in corpus_pipeline.STAGES}
+    order = lambda x: sorted(x, key=repr)
+    lettered = [(i, t) for i, t in awkward if t and any(c.isalpha() for c in t)]
+    assert order(rows["language id"]) == order(lettered)
+    assert order(rows["pii"]) == order(awkward) and order(rows["byte-level bpe"]) == order((i, t or "") for i, t in awkward)
+    assert order(rows["benchmark decontamination"]) == order(awkward)
+    kept = rows["simhash near-dedup"]
+    assert len(kept) == len(set(kept)) and sum(not (t or "").strip() for _, t in kept) == 1  # wordless texts are copies of each other
