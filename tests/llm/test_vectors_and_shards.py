@@ -17,10 +17,11 @@ def brute(rows, k=20, every=20):
     return out
 
 
-def search(spark, rows, **how):
+def search(spark, rows, target=1.0, **how):
+    """Exact by default, for what is told of ties, copies and order."""
     df = spark.createDataFrame([(i, None if x is None else [None if c is None else float(c) for c in x], 1) for i, x in rows], "vec_id long, embedding array<float>, rank int")
     out = {}
-    for r in sorted(neighbours.search(df, **how).collect()):
+    for r in sorted(neighbours.search(df, target=target, **how).collect()):
         out.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     return out
 
@@ -62,7 +63,7 @@ def test_recall_over_lists_and_cells(spark, monkeypatch):
     centres = rng.standard_normal((12, 24))
     rows = [(i, c / np.linalg.norm(c)) for i, c in enumerate(centres[rng.integers(0, 12, 3000)] + 0.4 * rng.standard_normal((3000, 24)))]
     rows = [(i, x.astype(np.float32).astype(float)) for i, x in rows]
-    found, wanted = search(spark, rows), brute(rows)
+    found, wanted = search(spark, rows, neighbours.TARGET), brute(rows)
     assert found.keys() == wanted.keys() and all(len(r) == 20 for r in found.values())
     hits = sum(len({v for _, v, _ in found[q]} & set(wanted[q])) for q in wanted)
     assert hits / (20 * len(wanted)) >= 0.9
@@ -73,11 +74,40 @@ def test_recall_on_vectors_without_clusters(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((6000, 48))
     rows = [(i, v.astype(np.float32).astype(float)) for i, v in enumerate(x / np.linalg.norm(x, axis=1)[:, None])]
-    found, wanted = search(spark, rows), brute(rows)
+    found, wanted = search(spark, rows, neighbours.TARGET), brute(rows)
     hits = sum(len({v for _, v, _ in found[q]} & set(wanted[q])) for q in wanted)
     assert hits / (20 * len(wanted)) >= 0.9 and all(len(r) == 20 for r in found.values())
 
 
+def test_small_tables_are_searched_like_large_ones(spark):
+    """Lists and probes from the first rows on: not all lists, yet nine in ten neighbours; and always k of them."""
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.standard_normal(64).astype(np.float32).astype(float)) for i in range(500)]
+    index = neighbours.Index(np.array([x for _, x in rows]), 500, max(np.linalg.norm(x) for _, x in rows))
+    assert len(index.centres) == 44 and index.probes < 44
+    found, wanted = search(spark, rows, neighbours.TARGET), brute(rows)
+    hits = sum(len({v for _, v, _ in found[q]} & set(wanted[q])) for q in wanted)
+    assert hits / (20 * len(wanted)) >= 0.88 and all(len(r) == 20 for r in found.values())  # 25 queries tell it roughly
+
+
+def test_very_long_vectors_and_clashing_columns(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.standard_normal(3000).astype(np.float32).tolist(), 1, 2.0, "x", [0.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, score double, rep string, vec array<double>")
+    found = neighbours.search(df, target=1.0).collect()
+    wanted = brute([(r[0], np.array(r[1])) for r in rows])
+    assert {q: [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in wanted} == wanted
+
+
+def test_a_sure_scan_keeps_all_within_the_limit():
+    rng = np.random.default_rng(13)
+    x, q = rng.standard_normal((2000, 65)).astype(np.float32), rng.standard_normal((4, 65)).astype(np.float32)
+    far = ((q[:, None, :].astype(float) - x[None]) ** 2).sum(2)
+    limits = np.sort(far, 1)[:, 40].astype(np.float32) * np.float32(1.0001)
+    i, j = neighbours.scan(x, q, limits, sure=True)
+    assert {(a, b) for a in range(4) for b in np.argsort(far[a])[:41]} <= set(zip(i.tolist(), j.tolist(), strict=True)) and len(i) < 200
+
+
 def test_scan_abandons_but_keeps_the_nearest():
     rng = np.random.default_rng(5)
     x, q = rng.standard_normal((5000, 65)).astype(np.float32), rng.standard_normal((3, 65)).astype(np.float32)
