@@ -1,6 +1,10 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import math
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -32,10 +36,15 @@ def test_query(spark, duck, sf_dir, name):
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon([d[0] for d in wanted.description], wanted.fetchall())
 
 
-def test_fuzzy_match_of_every_part(spark, duck, sf_dir):
-    df = catalog.QUERIES["fuzzy_match_all"](spark, sf_dir)
-    wanted = duck.execute(catalog.ORACLES["fuzzy_match"].replace(" WHERE p_partkey % 5 = 0", ""))
-    assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon([d[0] for d in wanted.description], wanted.fetchall())
+@pytest.mark.parametrize("gone", [["shelfrank/llm", "tests/llm"], ["shelfrank/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_the_rest_stands_without_the_corpus_operators(tmp_path, gone):
+    root = Path(contract.__file__).parent
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    for g in gone:
+        place = tmp_path / "copy" / g
+        shutil.rmtree(place) if place.is_dir() else place.unlink(missing_ok=True)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path / "copy", capture_output=True, text=True)
+    assert said.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES))], said.stderr
 
 
 def test_contract(spark):
