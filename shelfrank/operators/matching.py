@@ -1,4 +1,9 @@
-"""Fuzzy title match: the best catalogue record for each listing, by shared words."""
+"""Fuzzy title match: the best catalogue record for each listing, by shared words.
+
+Matches above a threshold are found by prefix filtering: a title's words are put in order of rarity, and only so many of
+the rarest are joined on as any partner above the threshold must share one of. Common words are then joined only where a
+title has nothing rarer, and titles are never crossed.
+"""
 
 from __future__ import annotations
 
@@ -36,6 +41,41 @@ def match_scores(left: DataFrame, right: DataFrame, left_id: str, left_title: st
     return _scores(left.select(F.col(left_id).alias("l"), _left_words(left_title).alias("ws")), right.select(F.col(right_id).alias("r"), text.tokens(right_title).alias("ws")))
 
 
+#: Titles whose most repeated word stands so often or more are one class.
+MOST_REPEATS = 4
+
+
+def _placed(titles: DataFrame, rank: DataFrame) -> DataFrame:
+    """titles (ws, ...) with a row for each distinct word of a title that some right title has: w, its place `at` among
+    the title's words from the rarest on, and n, how many they are. Words that no right title has are the rarest."""
+    rest = [c for c in titles.columns if c != "ws"]
+    words = titles.withColumn("__t", F.explode(F.array_distinct("ws")))
+    ranked = words.join(rank, words["__t"] == rank["word"], "left").select("ws", *rest, F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), F.col("__t").alias("w")).alias("__r"))
+    lists = ranked.groupBy("ws", *rest).agg(F.array_sort(F.collect_list("__r")).alias("__rs"))  # one title's words
+    return lists.select("ws", *rest, F.size("__rs").alias("n"), F.posexplode("__rs").alias("at", "__p")).where("__p.seen > 0").select("ws", *rest, "n", "at", F.col("__p.w").alias("w"))
+
+
+def _above(lefts: DataFrame, offers: DataFrame, threshold: float) -> DataFrame:
+    """(ws, right_id, score) of all pairs above the threshold, from lefts (ws), distinct words, and offers (ws, r).
+
+    With n and m distinct words, c of them common, and no word more than x times in the right title, a score above t
+    needs c > t (n + m) / (x + t), and so, as n and m are c at the least, c > t n / x and c > t m / x. Each side's first
+    n - floor(t n / x) rarest words hold a common one then. Right titles are classed by x.
+    """
+    repeats = F.array_max(F.transform(F.array_distinct("ws"), lambda w: F.size(F.filter("ws", lambda x: x == w))))
+    classed = offers.where(F.size("ws") > 0).withColumn("x", repeats).withColumn("k", F.least("x", F.lit(MOST_REPEATS)))
+    rank = classed.select(F.explode(F.array_distinct("ws")).alias("word")).groupBy("word").agg(F.count("*").alias("seen"))
+    classes = classed.groupBy("k").agg(F.max("x").alias("most"))  # MOST_REPEATS rows at the most
+    kept = lambda x: F.col("at") < F.col("n") - F.floor(threshold * F.col("n") / x).cast("int")
+    each = F.explode(F.array(*map(F.lit, range(1, MOST_REPEATS + 1)))).alias("k")
+    left = _placed(lefts, rank).select("*", each).join(F.broadcast(classes), "k").where(kept(F.col("most")))
+    right = _placed(classed, rank).where(kept(F.col("x")))
+    met = left.select(F.col("ws").alias("l"), "w", "k").join(right.select(F.col("ws").alias("rs"), "r", "w", "k"), ["w", "k"])
+    bag = F.size(F.filter("rs", lambda w: F.array_contains("l", w)))
+    score = bag.cast("double") / F.size(F.array_union("l", "rs"))
+    return met.select(F.col("l").alias("ws"), F.col("r").alias("right_id"), score.alias("score")).where(F.col("score") > threshold)
+
+
 def best_matches(left: DataFrame, right: DataFrame, left_id: str = "_ordinal", left_title: str = "title", right_id: str = "_ordinal", right_title: str = "title", threshold: float = THRESHOLD) -> DataFrame:
     """(left_id, right_id, score): the best right row above the threshold for each left row; the smaller id wins ties.
 
@@ -44,10 +84,9 @@ def best_matches(left: DataFrame, right: DataFrame, left_id: str = "_ordinal", l
     """
     rows = left.select(F.col(left_id).alias("left_id"), _left_words(left_title).alias("ws"))
     offers = right.select(F.col(right_id).alias("r"), F.array_sort(text.tokens(right_title)).alias("ws")).groupBy("ws").agg(F.min("r").alias("r"))
-    found = _scores(rows.select(F.col("ws").alias("l"), "ws").distinct(), offers).where(F.col("score") > threshold)
-    first = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id"))
-    best = found.withColumn("n", first).where("n = 1").select(F.col("left_id").alias("ws"), "right_id", "score")
-    return rows.join(best, "ws").select("left_id", "right_id", "score")
+    found = _above(rows.select("ws").distinct(), offers, threshold)
+    best = found.groupBy("ws").agg(F.min(F.struct((-F.col("score")).alias("lower"), "right_id")).alias("b"))
+    return rows.join(best, "ws").select("left_id", "b.right_id", (-F.col("b.lower")).alias("score"))
 
 
 def enriched_matches(listings: DataFrame, devices: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -61,8 +100,11 @@ def enriched_matches(listings: DataFrame, devices: DataFrame, threshold: float =
 
 
 def match_steps(listings: DataFrame, devices: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(_ordinal, title, step): for each listing whether it matched, its best score, the device and, if not, why."""
-    best = best_matches(listings, devices, threshold=0.0).withColumnRenamed("left_id", "_ordinal")
+    """(_ordinal, title, step): for each listing whether it matched, its best score, the device and, if not, why. Only
+    listings without a match are looked at again, for the best of what shares any word with them."""
+    above = best_matches(listings, devices, threshold=threshold)
+    rest = listings.join(above.select(F.col("left_id").alias("_ordinal")), "_ordinal", "left_anti")
+    best = above.union(best_matches(rest, devices, threshold=0.0)).withColumnRenamed("left_id", "_ordinal")
     rows = listings.select("_ordinal", "title").join(best, "_ordinal", "left")
     matched = F.coalesce(F.col("score") > threshold, F.lit(False))
     score = F.coalesce("score", F.lit(0.0))
