@@ -6,13 +6,15 @@ import json
 import re
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from .scoring import CATEGORIES, derive, valid
 
 MISSING = "MISSING"
+#: Ids that a report shows of a value; counts are of all.
+SHOWN = 100
 #: Categories reported by chipset instead of by value.
 BY_CHIPSET = {"cpuPerformance": ("CPU", "cpuScore"), "gpuPerformance": ("GPU", "gpuScore")}
 
@@ -63,22 +65,29 @@ def failures(devices: DataFrame) -> DataFrame:
     return rows.select("f.processor", "f.value", "chipset", "_id", "_ordinal")
 
 
-def _in_order(ids: str = "_id") -> Column:
-    return F.transform(F.array_sort(F.collect_list(F.struct("_ordinal", ids))), lambda s: s[ids])
+def _with_ids(counts: DataFrame, rows: DataFrame, keys: list[str], shown: int) -> DataFrame:
+    """counts with document_ids, the first `shown` of each key's ids in input order. Each task keeps so many a key before
+    the shuffle, so the commonest value, as a missing one may be, isn't heavy."""
+    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("_ordinal", "_id"))).where(F.col("__n") <= shown)
+    ids = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "_id"))), lambda s: s["_id"]).alias("document_ids"))
+    return counts.join(ids, keys)
 
 
-def by_value(failed: DataFrame) -> DataFrame:
-    """(processor, value, failed_count, document_ids, first_seen): ids in input order, repeats included."""
-    rows = failed.where(~F.col("processor").isin(*BY_CHIPSET))
-    return rows.groupBy("processor", "value").agg(F.count("*").alias("failed_count"), _in_order().alias("document_ids"), F.min("_ordinal").alias("first_seen"))
+def by_value(failed: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """(processor, value, failed_count, document_ids, first_seen): how many records fail with each value, and the first
+    ids in input order, repeats included. `failures` has every id, a row for each."""
+    rows, keys = failed.where(~F.col("processor").isin(*BY_CHIPSET)), ["processor", "value"]
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("failed_count"), F.min("_ordinal").alias("first_seen"))
+    return _with_ids(counts, rows, keys, shown).select(*keys, "failed_count", "document_ids", "first_seen")
 
 
-def by_chipset(failed: DataFrame) -> DataFrame:
-    """(processor, chipset, value, failed_count, document_ids, first_seen): distinct ids; the last record's value."""
-    rows = failed.where(F.col("processor").isin(*BY_CHIPSET))
-    once = rows.groupBy("processor", "chipset", "_id").agg(F.min("_ordinal").alias("_ordinal"), F.max(F.struct("_ordinal", "value")).alias("last"))
-    grouped = once.groupBy("processor", "chipset").agg(F.max("last")["value"].alias("value"), F.count("*").alias("failed_count"), _in_order().alias("document_ids"), F.min("_ordinal").alias("first_seen"))
-    return grouped.select("processor", "chipset", "value", "failed_count", "document_ids", "first_seen")
+def by_chipset(failed: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """(processor, chipset, value, failed_count, document_ids, first_seen): how many distinct ids fail with each chipset,
+    the first of them, and the last record's value."""
+    rows, keys = failed.where(F.col("processor").isin(*BY_CHIPSET)), ["processor", "chipset"]
+    once = rows.groupBy(*keys, "_id").agg(F.min("_ordinal").alias("_ordinal"), F.max(F.struct("_ordinal", "value")).alias("last"))
+    counts = once.groupBy(*keys).agg(F.max("last")["value"].alias("value"), F.count("*").alias("failed_count"), F.min("_ordinal").alias("first_seen"))
+    return _with_ids(counts, once, keys, shown).select(*keys, "value", "failed_count", "document_ids", "first_seen")
 
 
 def totals(failed: DataFrame) -> DataFrame:
@@ -95,13 +104,14 @@ def totals(failed: DataFrame) -> DataFrame:
     return shown.orderBy(F.desc("failed_count"), "place").select("processor", "failed_count")
 
 
-def document(devices: DataFrame) -> dict:
-    """The whole report as one document, for catalogues whose failures one driver can hold."""
+def document(devices: DataFrame, shown: int = SHOWN) -> dict:
+    """The report as one document: all counts, and the first `shown` ids of each value. It holds a row for each distinct
+    value; `failures` written as a table is the form for any size."""
     failed = failures(devices)
     values: dict[str, list] = {}
-    for r in by_value(failed).orderBy("first_seen").collect():
+    for r in by_value(failed, shown).orderBy("first_seen").collect():
         values.setdefault(r["processor"], []).append({"value": json.loads(r["value"]), "documentIds": r["document_ids"]})
-    for r in by_chipset(failed).orderBy("first_seen").collect():
+    for r in by_chipset(failed, shown).orderBy("first_seen").collect():
         own = {"chipset": r["chipset"], BY_CHIPSET[r["processor"]][1]: r["value"]}
         values.setdefault(r["processor"], []).append({"value": own, "documentIds": r["document_ids"]})
     found = [{"processor": r["processor"], "failedCount": r["failed_count"], "failedValues": values.get(r["processor"], [])} for r in totals(failed).collect()]
