@@ -1,15 +1,21 @@
-"""Conversation threads: lookups, caps, windows and chat turns over an append-only message table."""
+"""Conversation threads: lookups, caps, windows and chat turns over an append-only message table, and its store."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import schemas
 from .dedup import first_by
 
 #: Messages a thread may hold, and those that are read back.
 MOST_MESSAGES, LAST_MESSAGES = 50, 12
-DEFAULT_CONTENT = "I looked and I found these options"
+#: What stands over products if nothing is said of them.
+DEFAULT_CONTENT = "Here is what fits your request."
 
 
 def first_of_thread(threads: DataFrame, thread_id: str, ordinal: str = "_ordinal") -> DataFrame:
@@ -59,17 +65,97 @@ def product_view(ranked: DataFrame) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(at.alias("at"), one.alias("product"))), order), lambda s: s["product"])
 
 
-def appended_turn(messages: DataFrame, thread_id: str, user: str, answer: str | None, products: list | None = None, now: Column | None = None) -> DataFrame:
+def appended_turn(messages: DataFrame, thread_id: str, user: str, answer: str | None, products: list | None = None, now: Column | None = None, most: int = MOST_MESSAGES) -> DataFrame:
     """The two rows that a turn adds to a thread: the user's, then the assistant's (a view if it has products).
 
     A full thread, an empty id or a blank message is an error. The rows are appended to the table; nothing is rewritten.
+    `Store.append` also keeps two writers apart.
     """
     if not thread_id.strip() or not user.strip():
         raise ValueError("a thread id and a message are needed")
     n = messages.where(F.col("thread_id") == thread_id).count()
-    if n >= MOST_MESSAGES:
-        raise ValueError(f"a thread holds at most {MOST_MESSAGES} messages")
+    if n >= most:
+        raise ValueError(f"a thread holds at most {most} messages")
     rows = [(thread_id, n, "text", "user", user, None), (thread_id, n + 1, "product-view" if products else "text", "assistant", (answer or DEFAULT_CONTENT) if products else answer, products or None)]
     kind = messages.schema["products"].dataType.simpleString()
     made = messages.sparkSession.createDataFrame(rows, f"thread_id string, seq bigint, type string, role string, content string, products {kind}")
     return made.withColumn("timestamp", F.current_timestamp() if now is None else now).select(*messages.columns)
+
+
+class Store:
+    """Threads in a folder: a document for each insert, and messages by document. Files are only added.
+
+    Several documents may share a thread's id; the first stored one stands for the thread. Both tables are parted by a
+    hash, so that looking up or appending to one thread reads its part only.
+    """
+
+    PARTS = 64
+    DOCUMENT = "_id string, thread_id string, query string, products string, _ordinal bigint, part int"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._places = spark._jvm.org.apache.hadoop.fs
+
+    @staticmethod
+    def _part(key: str) -> int:
+        return int(hashlib.sha256(key.encode()).hexdigest()[:8], 16) % Store.PARTS
+
+    def _place(self, name: str):
+        place = self._places.Path(f"{self.path}/{name}")
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _table(self, name: str, kind: str) -> DataFrame:
+        place, fs = self._place(name)
+        return self.spark.read.schema(kind).parquet(f"{self.path}/{name}") if fs.exists(place) else self.spark.createDataFrame([], kind)
+
+    def _add(self, name: str, rows: DataFrame) -> None:
+        rows.coalesce(1).write.mode("append").partitionBy("part").parquet(f"{self.path}/{name}")
+
+    def documents(self) -> DataFrame:
+        return self._table("documents", self.DOCUMENT)
+
+    def stored_messages(self) -> DataFrame:
+        return self._table("messages", f"{schemas.MESSAGE}, part int")
+
+    def insert(self, thread_id: str | None, query: str, products: str | None = None) -> str:
+        """Stores a new document, whether or not its thread has one already, and gives its id. Without a thread_id one is
+        made up. products: their JSON."""
+        own, thread = uuid.uuid4().hex, thread_id or f"thread_{uuid.uuid4().hex}"
+        row = (own, thread, query, products, time.time_ns(), self._part(thread))
+        self._add("documents", self.spark.createDataFrame([row], self.DOCUMENT))
+        return own
+
+    def lookup(self, thread_id: str) -> dict | None:
+        """The first stored document of a thread."""
+        found = first_of_thread(self.documents().where(F.col("part") == self._part(thread_id)), thread_id).first()
+        return found.asDict() if found else None
+
+    def read_back(self, own: str) -> dict | None:
+        found = by_id(self.documents(), own).first()
+        return found.asDict() if found else None
+
+    def found_or_inserted(self, thread_id: str, query: str) -> dict:
+        """The thread's document; an empty one is stored if there is none."""
+        return self.lookup(thread_id) or self.read_back(self.insert(thread_id, query))
+
+    def messages(self, own: str) -> DataFrame:
+        """A document's messages."""
+        return self.stored_messages().where((F.col("part") == self._part(own)) & (F.col("thread_id") == own))
+
+    def _claims(self, own: str, seq: int) -> bool:
+        """Whether this writer is the one that writes message seq. A file is made if it isn't there, which file systems
+        with such an operation do for one writer only."""
+        place, fs = self._place(f"claims/part={self._part(own)}/{own}-{seq}")
+        fs.mkdirs(place.getParent())
+        return fs.createNewFile(place)
+
+    def append(self, own: str, user: str, answer: str | None, products: list | None = None, most: int = MOST_MESSAGES) -> int:
+        """Appends a turn to a document and gives its messages' number. A full thread, a blank message, or another writer
+        at work on the same turn is an error."""
+        before = self.messages(own).drop("part")
+        rows = appended_turn(before, own, user, answer, products, most=most)
+        n = rows.first()["seq"]
+        if not self._claims(own, n):
+            raise RuntimeError("another writer appends to this thread")
+        self._add("messages", rows.withColumn("part", F.lit(self._part(own))))
+        return n + 2
