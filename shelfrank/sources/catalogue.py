@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schemas
 
 
+#: Bits of _ordinal for a row's place in its file; what is above them numbers the files.
+FILE_BITS = 43
+
+
 def read_catalogue(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
     """Product records with their place in the input as _ordinal.
 
     layout "array" reads one JSON array a file, which one task parses; "lines" (a record a line) and "parquet" are for
-    catalogues of any size. Rows are numbered by file and place in it, which orders them but may leave gaps. Numbers
-    where the schema has text come as text; `read_variants` tells them apart.
+    catalogues of any size. _ordinal orders rows by their file's path and their place in it, however files are split and
+    packed into tasks, and may leave gaps. In Parquet a row's number is always the same; in the other layouts the order
+    is, while numbers can differ between reads with other split sizes. Numbers where the schema has text come as text;
+    `typed_catalogue` takes only what has the right type.
     """
     reader = spark.read.schema(schemas.CATALOGUE)
     rows = reader.parquet(path) if layout == "parquet" else reader.option("multiLine", layout == "array").json(path)
-    return rows.withColumn("_ordinal", F.monotonically_increasing_id())
+    # A split starts at a byte of its file. Only a file's last split can share a task, so a row's count within its task,
+    # added to that byte, stays below the next split's start.
+    within = F.col("_metadata.row_index") if layout == "parquet" else F.col("_metadata.file_block_start") + F.monotonically_increasing_id() % (1 << 33)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), within.alias("__within"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("__file"))  # names only
+    ranked = files.distinct().withColumn("__rank", F.row_number().over(Window.orderBy("__file")) - 1)
+    joined = placed.join(ranked, "__file", "left")
+    return joined.withColumn("_ordinal", F.shiftleft(F.coalesce("__rank", F.lit(0)).cast("long"), FILE_BITS) + F.col("__within")).drop("__file", "__rank", "__within")
 
 
 def read_variants(spark: SparkSession, path: str) -> DataFrame:
@@ -38,6 +51,30 @@ def only_number(record: Column | str, path: str) -> Column:
     return F.when(F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|DECIMAL.*|FLOAT)$"), F.try_variant_get(record, path, "double"))
 
 
+#: Places of values that are read as they are only if they have the right type: numbers, and texts.
+NUMBERS = ("price", "normalizedSpecs.extracted.battery.capacity.value", "normalizedSpecs.extracted.display.type.score", "normalizedSpecs.extracted.display.ppi.value", "normalizedSpecs.extracted.display.refreshRate.value", "normalizedSpecs.extracted.display.brightness.value")
+TEXTS = ("_id", "title", "link", "brand")
+TEXT_MAPS = ("normalizedSpecs.extracted.technical.benchmark.antutu.breakdown",)
+
+
+def typed_catalogue(variants: DataFrame) -> DataFrame:
+    """The catalogue of `read_variants` records in which a value of another type than its place asks for is missing: a
+    number as text is no number there, and a score that is a number is no text. Validation then rejects what lacks it."""
+    whole = variants.select("_ordinal", "record", F.try_variant_get("record", "$", schemas.struct_of(schemas.CATALOGUE)).alias("r")).select("_ordinal", "record", "r.*")
+    out = whole
+    for place in (*NUMBERS, *TEXTS):
+        read = only_number if place in NUMBERS else only_text
+        top, _, rest = place.partition(".")
+        value = read("record", f"$.{place}")
+        out = out.withColumn(top, F.col(top).withField(rest, value) if rest else value)
+    for place in TEXT_MAPS:
+        top, _, rest = place.partition(".")
+        typed = F.try_variant_get("record", f"$.{place}", "map<string, variant>")
+        texts = F.map_filter(F.transform_values(typed, lambda _, v: only_text(v, "$")), lambda _, v: v.isNotNull())
+        out = out.withColumn(top, F.col(top).withField(rest, texts))
+    return out.drop("record")
+
+
 def exportable(devices: DataFrame, lifecycles: tuple[str, ...] = schemas.LIFECYCLES) -> DataFrame:
     """Records whose life cycle is wanted, without raw pages; an empty result is an error for `export`."""
     return devices.where(F.col("parseHtmlSpec.meta.lifecycle").isin(*lifecycles)).drop("html")

@@ -3,36 +3,37 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
 from .html import Element, first_attr, first_text, parse, records, select
 
-#: Headings of the sections that are kept.
+#: Headings of the sections that are kept, and of recent results.
 SECTIONS = ("Graphics", "AI Accelerator", "Memory", "Multimedia (ISP)", "Connectivity", "Info", "Specifications")
 RECENT = "Recent AnTuTu v11 Results"
+#: The cells of a ranking row. Field: selector of its text.
+RANKING_CELLS = {
+    "name": "td:eq(1) a",
+    "brand": "td:eq(1) span.text-gray-small",
+    "rating": "td:eq(2) .table-list-score-box",
+    "antutu": "td:eq(3) > div > div:first-child",
+    "geekbench": "td:eq(4) > div > div:first-child",
+    "cores": "td:eq(5) .table-list-custom-circle",
+    "clock": "td:eq(6)",
+    "gpu": "td:eq(7)",
+}
 #: Fixed value: detail pages read by default.
 MOST_DETAILS = 20
 
 
 def ranking_rows(html: str | None) -> list[dict]:
     """A record for each row of the ranking table; cells by place."""
-    out = []
-    for row in select(parse(html), "table.table-list.sortable tbody tr"):
-        out.append({
-            "name": first_text(row, "td:eq(1) a"),
-            "brand": first_text(row, "td:eq(1) span.text-gray-small"),
-            "rating": first_text(row, "td:eq(2) .table-list-score-box"),
-            "antutu": first_text(row, "td:eq(3) > div > div:first-child"),
-            "geekbench": first_text(row, "td:eq(4) > div > div:first-child"),
-            "cores": first_text(row, "td:eq(5) .table-list-custom-circle"),
-            "clock": first_text(row, "td:eq(6)"),
-            "gpu": first_text(row, "td:eq(7)"),
-            "href": first_attr(row, "td:eq(1) a", "href"),
-        })
-    return out
+    rows = select(parse(html), "table.table-list.sortable tbody tr")
+    return [{f: first_text(row, s) for f, s in RANKING_CELLS.items()} | {"href": first_attr(row, "td:eq(1) a", "href")} for row in rows]
 
 
 def _pairs(card: Element) -> dict[str, str]:
@@ -41,37 +42,70 @@ def _pairs(card: Element) -> dict[str, str]:
     return {k: text(row, "td.cell-s") for row in select(card, "table.specs-table tbody tr") if (k := text(row, "td.cell-h"))}
 
 
-def _card(root: Element, selector: str) -> Element | None:
-    found = select(root, selector)
-    return found[0].closest(".card") if found else None
+@dataclass(frozen=True)
+class Card:
+    """A part of a detail page: where its card is found, by an element in it or by a heading's words, and how it is read."""
 
+    field: str
+    inside: str
+    words: str
+    read: Callable[[Element], object]
 
-def _headed(root: Element, selector: str, words: str) -> Element | None:
-    return next((h for h in select(root, selector) if words in h.text()), None)
+    def found(self, root: Element) -> Element | None:
+        marks = select(root, self.inside)
+        mark = next((m for m in marks if self.words in m.text()), None) if self.words else next(iter(marks), None)
+        return mark.closest(".card") if mark else None
+
+
+def _bars(card: Element) -> list[dict]:
+    named = ((first_text(b, ".score-bar-name"), first_text(b, ".score-bar-result-square, .score-bar-result-square-dark")) for b in select(card, ".score-bar"))
+    return [{"name": n, "value": v or ""} for n, v in named if n]
+
+
+def _table(card: Element) -> list[list[Element]]:
+    return [select(row, "td") for row in select(card, "table.table-list tbody tr")]
+
+
+def _recent(row: list[Element]) -> dict:
+    flat = [" ".join(re.split(r"\s+", td.text())) if k < 2 else td.text() for k, td in enumerate(row)]
+    return dict(zip(("date", "score", "user", "phone"), [*flat, *[""] * 4], strict=False))
+
+
+def _phone(row: list[Element]) -> dict:
+    own = row[0].parent if row else Element("tr", {})
+    return {"name": first_text(own, "td:eq(0) a") or first_text(own, "td:eq(0)") or "", "url": first_attr(own, "td:eq(0) a", "href"), "score": first_text(own, "td:eq(1)")}
+
+
+CARDS = (
+    Card("reviewScores", "#review", "", _bars),
+    Card("antutu", "#antutu", "", lambda card: {"total": first_text(card, ".score-bar-result-number"), "breakdown": _pairs(card)}),
+    Card("recentAntutu", "h3.title-h2", RECENT, lambda card: [_recent(row) for row in _table(card)]),
+    Card("geekbench", "#geekbench", "", lambda card: {"breakdown": _pairs(card)}),
+    Card("smartphones", "#phones", "", lambda card: [_phone(row) for row in _table(card)]),
+)
 
 
 def detail(html: str | None) -> list[dict]:
-    """One chip document; parts whose card isn't on the page are null."""
+    """One chip document; parts whose card isn't on the page are null. A section with a heading but no card is empty."""
     root = parse(html)
-    out: dict = {"title": first_text(root, "h1.title-h1"), "description": first_text(root, "div.card-block.pb.bt-light"), "sections": {}}
-    if card := _card(root, "#review"):
-        bars = ((first_text(b, ".score-bar-name"), first_text(b, ".score-bar-result-square, .score-bar-result-square-dark")) for b in select(card, ".score-bar"))
-        out["reviewScores"] = [{"name": n, "value": v or ""} for n, v in bars if n]
-    if card := _card(root, "#antutu"):
-        out["antutu"] = {"total": first_text(card, ".score-bar-result-number"), "breakdown": _pairs(card)}
-    if (head := _headed(root, "h3.title-h2", RECENT)) and (card := head.closest(".card")):
-        out["recentAntutu"] = []
-        for row in select(card, "table.table-list tbody tr"):
-            cells = [re.sub(r"\s+", " ", td.text()) if k < 2 else td.text() for k, td in enumerate(select(row, "td"))] + [""] * 4
-            out["recentAntutu"].append(dict(zip(("date", "score", "user", "phone"), cells, strict=False)))
-    if card := _card(root, "#geekbench"):
-        out["geekbench"] = {"breakdown": _pairs(card)}
-    if card := _card(root, "#phones"):
-        out["smartphones"] = [{"name": first_text(r, "td:eq(0) a") or first_text(r, "td:eq(0)") or "", "url": first_attr(r, "td:eq(0) a", "href"), "score": first_text(r, "td:eq(1)")} for r in select(card, "table.table-list tbody tr")]
-    for name in SECTIONS:
-        if head := _headed(root, "h3.title-h2, h2.title-h2", name):
-            out["sections"][name] = _pairs(card) if (card := head.closest(".card")) else {}
-    return [out]
+    out: dict = {"title": first_text(root, "h1.title-h1"), "description": first_text(root, "div.card-block.pb.bt-light")}
+    out |= {c.field: c.read(card) for c in CARDS if (card := c.found(root))}
+    headed = {name: [h for h in select(root, "h3.title-h2, h2.title-h2") if name in h.text()] for name in SECTIONS}
+    return [out | {"sections": {name: _pairs(card) if (card := hs[0].closest(".card")) else {} for name, hs in headed.items() if hs}}]
+
+
+def read_pages(spark: SparkSession, path: str, fetch: Callable[[str], str] | None = None) -> DataFrame:
+    """(page_id, html, base) of pages in a file or folder, or behind an address, which fetch reads on the driver.
+
+    Paths may have backslashes, and addresses too few slashes. base: where a page's relative links start from.
+    """
+    place = re.sub(r"(?i)^(https?):/+", lambda m: m[1].lower() + "://", path.replace("\\", "/"))
+    if re.match(r"https?://", place):
+        if fetch is None:
+            raise ValueError("an address needs something that fetches it")
+        return spark.createDataFrame([(place, fetch(place) or "", place)], "page_id string, html string, base string")
+    found = spark.read.text(place, wholetext=True).select(F.col("_metadata.file_path").alias("page_id"), F.col("value").alias("html"))
+    return found.withColumn("base", F.regexp_replace("page_id", "[^/]*$", ""))
 
 
 def rankings(pages: DataFrame, **columns: str) -> DataFrame:

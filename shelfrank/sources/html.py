@@ -106,7 +106,18 @@ def parse(html: str | None) -> Element:
 _STEP = re.compile(r"([.#])([\w-]+)|\[([\w-]+)\]|:eq\((\d+)\)|(:first-child)|^([\w*-]+)")
 
 
+#: Selectors that this process has read already.
+_READ: dict[str, object] = {}
+
+
 def _step(step: str):
+    found = _READ.get(step)
+    if found is None:
+        found = _READ[step] = _compiled(step)
+    return found
+
+
+def _compiled(step: str):
     tests = []
     for mark, name, attr, at, first, tag in _STEP.findall(step):
         if mark == ".":
@@ -125,13 +136,20 @@ def _step(step: str):
     return lambda e: bool(e.tag) and all(t(e) for t in tests)
 
 
+def _words(selector: str) -> list[str]:
+    found = _READ.get(" " + selector)
+    if found is None:
+        found = _READ[" " + selector] = selector.split()
+    return found
+
+
 def select(root: Element, selector: str) -> list[Element]:
     """Elements below root that the selector names, in document order. Alternatives are separated by commas."""
     if "," in selector:
         found = {id(e) for part in selector.split(",") for e in select(root, part)}
         return [e for e in root.within() if id(e) in found]
     now, direct = [root], False
-    for word in selector.split():
+    for word in _words(selector):
         if word == ">":
             direct = True
             continue
@@ -157,8 +175,9 @@ def first_attr(root: Element, selector: str, *names: str) -> str | None:
 
 @dataclass(frozen=True)
 class ListingLayout:
-    """Selectors of a listing's cards. The defaults."""
+    """A shop's host, which relative links go to, and selectors of a listing's cards. The defaults."""
 
+    host: str
     card: str = "div[data-id]"
     title: str = "div.RG5Slk"
     link: str = "a.k7wcnx"
@@ -166,10 +185,9 @@ class ListingLayout:
     price: str = "div.hZ3P6w.DeU9vF"
     rating: str = "div.MKiFS6"
     bullets: str = "ul.HwRTzP li.DTBslk"
-    host: str = "https://www.flipkart.com"
 
 
-def cards(html: str | None, layout: ListingLayout = ListingLayout()) -> list[dict]:
+def cards(html: str | None, layout: ListingLayout) -> list[dict]:
     """A record for each card that has a title or a link."""
     out = []
     for card in select(parse(html), layout.card):
@@ -210,7 +228,7 @@ def _top_level(ddl: str) -> list[str]:
     return parts
 
 
-def listing(pages: DataFrame, layout: ListingLayout = ListingLayout(), cap: int | None = None, **columns: str) -> DataFrame:
+def listing(pages: DataFrame, layout: ListingLayout, cap: int | None = None, **columns: str) -> DataFrame:
     """Cards of listing pages; cap keeps the first so many cards of each page."""
     found = records(pages, lambda html: cards(html, layout), schemas.LISTING, **columns)
     return found if cap is None else first_n_each(found, "page_id", "at", cap)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql.types import StructType
+
 _BOX = "struct<value: double, unit: string>"
 _META = "struct<brand: string, model: string, lifecycle: string, variants: array<struct<name: string, link: string>>, releaseDate: string, releaseStatus: string>"
 _SPECS = "map<string, map<string, string>>"
@@ -15,6 +17,13 @@ EXTRACTED = f"struct<display: {DISPLAY}, battery: {BATTERY}, camera: {CAMERA}, t
 
 CATALOGUE = f"_id string, link string, title string, brand string, price double, success boolean, images array<string>, parseHtmlSpec struct<meta: {_META}, specs: {_SPECS}>, normalizedSpecs struct<meta: {_META}, specs: {_SPECS}, extracted: {EXTRACTED}>, createdAt timestamp, updatedAt timestamp"
 
+
+
+def struct_of(columns: str) -> str:
+    """A column list as a struct type."""
+    return StructType.fromDDL(columns).simpleString()
+
+
 LIFECYCLES = ("unknown", "considerable")
 
 MESSAGE = "thread_id string, seq bigint, type string, role string, content string, timestamp timestamp, products array<struct<title: string, verdict: string, price: double, link: string, brand: string, dbRecordId: string, images: array<string>>>"
