@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -191,7 +191,7 @@ def tracked(devices: DataFrame, weights: Weights, categories: tuple[Category, ..
     """(_id, title, _ordinal, steps): what happened to each record, as an array of (name, details).
 
     validation says what failed; scoring, of valid records only, their total and categories as JSON. Entries are by
-    record; `first_by_title` in the dedup module gives one for each title.
+    record; `tracked_by_title` has one chain for each title.
     """
     rows = derive(devices, categories)
     all_of = scored(rows, weights, categories, among=validated(rows, categories)).withColumn("_failed", failed_categories(categories))
@@ -200,3 +200,15 @@ def tracked(devices: DataFrame, weights: Weights, categories: tuple[Category, ..
     checks = step("validation", F.to_json(F.struct(passed.alias("valid"), F.col("_failed").alias("failedProcessors"))))
     totals = step("scoring", F.to_json(F.struct(F.col("totalWeightedScore").alias("total"), *(c.name for c in categories))))
     return all_of.select("_id", "title", "_ordinal", F.array_compact(F.array(checks, F.when(passed, totals))).alias("steps"))
+
+
+def tracked_by_title(devices: DataFrame, weights: Weights, categories: tuple[Category, ...] = CATEGORIES) -> DataFrame:
+    """(title, price, link, brand, at, name, details): the chain of every title, a row for each step.
+
+    Records of one title share its chain, which tells price, link and brand of the first of them: the validations of all
+    in their order, then the scorings of those that passed. Rows instead of one array, so a common title isn't heavy.
+    """
+    steps = tracked(devices, weights, categories).select("title", "_ordinal", F.posexplode("steps").alias("stage", "step"))
+    at = F.row_number().over(Window.partitionBy("title").orderBy("stage", "_ordinal")) - 1
+    first = devices.groupBy("title").agg(F.min_by(F.struct("price", "link", "brand"), "_ordinal").alias("first"))
+    return steps.withColumn("at", at).join(first, steps["title"].eqNullSafe(first["title"])).select(steps["title"], "first.price", "first.link", "first.brand", "at", "step.name", "step.details")

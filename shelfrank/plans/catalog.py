@@ -13,7 +13,7 @@ from ..operators.filters import Budget
 from ..operators.filters import Query as Constraints
 from ..sources import catalogue as source
 from ..sources import chips, html
-from . import adapter, planner
+from . import adapter, conversation, planner
 from .adapter import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 WEIGHTS = {"batteryEndurance": 0.2, "displayQuality": 0.2, "cpuPerformance": 0.15, "gpuPerformance": 0.15, "cameraQuality": 0.1, "ramCapacity": 0.1, "romCapacity": 0.1}
+SHOP, LAYOUT = planner.Shop("https://shop.test/search", "tyy,4io", "SHOP"), html.ListingLayout("https://shop.test")
 WINDOW = Constraints("parts", 915.0, 900.5)
 
 
@@ -193,12 +194,12 @@ def tracking_chain(spark, sf_dir):
     return made.select("id", "n_steps", "v.valid", F.array_join("v.failedProcessors", ",").alias("failed"), "s.total")
 
 
-@query("parse_float_prefix", r"""SELECT event_id, try_cast(nullif(regexp_extract(x, '^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)', 1), '') AS DOUBLE) AS number, event_type || value IS NOT NULL AS kept
+@query("parse_float_prefix", r"""SELECT event_id, try_cast(nullif(regexp_extract(x, '^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)', 1), '') AS DOUBLE) AS number
   FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN event_type ELSE '  ' || round(value, 2)::DECIMAL(18,2)::VARCHAR || event_type END AS x FROM events)""")
 def parse_float_prefix(spark, sf_dir):
     number = F.concat(F.lit("  "), F.round("value", 2).cast("decimal(18,2)").cast("string"), "event_type")
     shown = F.when(F.col("event_id") % 4 == 0, F.col("event_type")).otherwise(number)
-    return table(spark, sf_dir, "events").select("event_id", text.number_prefix(shown).alias("number"), F.concat("event_type", F.col("value").cast("string")).isNotNull().alias("kept"))
+    return table(spark, sf_dir, "events").select("event_id", text.number_prefix(shown).alias("number"))
 
 
 _SIZED = "CASE p_partkey % 5 WHEN 0 THEN p_size || ' GB, up to 1.5 tb' WHEN 1 THEN p_size || 'GB + 8 GB' WHEN 2 THEN p_size || ' MB' WHEN 3 THEN '0 GB' ELSE p_name END"
@@ -245,19 +246,16 @@ def first_by_title(spark, sf_dir):
     return dedup.first_by_title(rows).select(F.col("_ordinal").alias("id"), "title")
 
 
-@query("fuzzy_match", r"""WITH l AS (SELECT p_partkey AS lid, list_distinct([t FOR t IN string_split_regex(lower(p_brand || ' ' || p_name), '\s+') IF t <> '']) AS lt FROM part WHERE p_partkey % 5 = 0),
-  r AS (SELECT p_partkey AS rid, [t FOR t IN string_split_regex(lower(p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_brand), '\s+') IF t <> ''] AS rt FROM part),
-  s AS (SELECT lid, rid, len([t FOR t IN rt IF list_contains(lt, t)])::DOUBLE / len(list_distinct(list_concat(lt, rt))) AS score FROM l, r),
-  b AS (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY score DESC, rid) AS n FROM s WHERE score > 0.4)
-  SELECT lid AS left_id, rid AS right_id, score FROM b WHERE n = 1""")
-def fuzzy_match(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    return _fuzzy(part.where("p_partkey % 5 = 0"), part)
+_SCORES = """lw AS (SELECT lid, len(lt) AS n, unnest(lt) AS w FROM l), rw AS (SELECT rid, w, count(*) AS c FROM (SELECT rid, unnest(rt) AS w FROM r) GROUP BY rid, w),
+  rn AS (SELECT rid, len(list_distinct(rt)) AS m FROM r),
+  s AS (SELECT lid, rid, sum(c)::DOUBLE / (n + m - count(*)) AS score FROM lw JOIN rw USING (w) JOIN rn USING (rid) GROUP BY lid, rid, n, m),
+  b AS (SELECT lid, rid, score FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY score DESC, rid) AS n FROM s) WHERE n = 1)"""
 
 
-@query("fuzzy_match_all")
-def fuzzy_match_all(spark, sf_dir):
-    """fuzzy_match for every part; its SQL crosses a fifth of them."""
+@query("fuzzy_match", rf"""WITH l AS (SELECT p_partkey AS lid, list_distinct([t FOR t IN string_split_regex(lower(p_brand || ' ' || p_name), '\s+') IF t <> '']) AS lt FROM part),
+  r AS (SELECT p_partkey AS rid, [t FOR t IN string_split_regex(lower(p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_brand), '\s+') IF t <> ''] AS rt FROM part), {_SCORES}
+  SELECT lid AS left_id, rid AS right_id, score FROM b WHERE score > 0.4""")
+def fuzzy_match(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     return _fuzzy(part, part)
 
@@ -269,25 +267,24 @@ def _fuzzy(asking: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth part's title with a colour in brackets, every tenth in words that match nothing."""
-    shown = F.when(F.col("p_partkey") % 10 == 0, F.lit("no such thing")).otherwise(F.concat_ws(" ", "p_name", "p_brand", F.lit("(Blue)")))
-    return table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("_ordinal"), shown.alias("title"))
+    """Every part's title with a colour in brackets; every tenth in words that match nothing, every seventh in few that do."""
+    shown = F.when(F.col("p_partkey") % 10 == 0, F.lit("no such thing")).when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("one of a kind "), F.col("p_brand"))).otherwise(F.concat_ws(" ", "p_name", "p_brand", F.lit("(Blue)")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_ordinal"), shown.alias("title"))
 
 
-_MATCHED = rf"""l AS (SELECT p_partkey AS lid, CASE WHEN p_partkey % 10 = 0 THEN 'no such thing' ELSE p_name || ' ' || p_brand || ' (Blue)' END AS shown FROM part WHERE p_partkey % 5 = 0),
-  lt AS (SELECT lid, shown, list_distinct([t FOR t IN string_split_regex(lower(regexp_replace(shown, '\s*\([^)]*\)', '', 'g')), '\s+') IF t <> '']) AS ws FROM l),
-  rt AS (SELECT id AS rid, [t FOR t IN string_split_regex(lower(title), '\s+') IF t <> ''] AS ts FROM cat),
-  b AS (SELECT lid, shown, rid, score FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY score DESC, rid) AS n FROM (SELECT lid, shown, rid, len([t FOR t IN ts IF list_contains(ws, t)])::DOUBLE / len(list_distinct(list_concat(ws, ts))) AS score FROM lt, rt)) WHERE n = 1)"""
+_MATCHED = rf"""shown AS (SELECT p_partkey AS lid, CASE WHEN p_partkey % 10 = 0 THEN 'no such thing' WHEN p_partkey % 7 = 0 THEN 'one of a kind ' || p_brand ELSE p_name || ' ' || p_brand || ' (Blue)' END AS shown FROM part),
+  l AS (SELECT lid, list_distinct([t FOR t IN string_split_regex(lower(regexp_replace(shown, '\s*\([^)]*\)', '', 'g')), '\s+') IF t <> '']) AS lt FROM shown),
+  r AS (SELECT id AS rid, [t FOR t IN string_split_regex(lower(title), '\s+') IF t <> ''] AS rt FROM cat), {_SCORES}"""
 
 
-@query("match_steps", f"WITH {CAT}, {_MATCHED} SELECT lid AS id, score > 0.4 AS matched, score, CASE WHEN score > 0 THEN rid END AS product FROM b")
+@query("match_steps", f"WITH {CAT}, {_MATCHED} SELECT lid AS id, coalesce(score > 0.4, false) AS matched, coalesce(score, 0) AS score, rid AS product FROM shown LEFT JOIN b USING (lid)")
 def match_steps(spark, sf_dir):
     found = matching.match_steps(_listings(spark, sf_dir), adapter.catalogue(spark, sf_dir))
     told = found.select(F.col("_ordinal").alias("id"), F.from_json("step.details", "matched boolean, score double, dbProduct long").alias("d"))
     return told.select("id", "d.matched", "d.score", F.col("d.dbProduct").alias("product"))
 
 
-@query("match_and_rank", f"WITH {CAT}, {_MATCHED}, ok AS (SELECT b.lid, b.shown, cat.* FROM b JOIN cat ON rid = id WHERE score > 0.4 AND {VALID}), {CTX} SELECT lid, shown AS title, id::VARCHAR AS device, {TOTAL} AS total FROM ok, ctx ORDER BY total DESC, lid LIMIT 20")
+@query("match_and_rank", f"WITH {CAT}, {_MATCHED}, ok AS (SELECT lid, shown, cat.* FROM b JOIN shown USING (lid) JOIN cat ON rid = id WHERE score > 0.4 AND {VALID}), {CTX} SELECT lid, shown AS title, id::VARCHAR AS device, {TOTAL} AS total FROM ok, ctx ORDER BY total DESC, lid LIMIT 20")
 def match_and_rank(spark, sf_dir):
     from .recommend import match_and_rank as run
 
@@ -314,13 +311,13 @@ BY_VALUE = " UNION ALL ".join((
 ))
 
 
-@query("failure_report_by_value", f"WITH {CAT}, f AS ({BY_VALUE}) SELECT processor, value, count(*) AS failed_count, string_agg(id::VARCHAR, ',' ORDER BY id) AS document_ids FROM f GROUP BY processor, value")
+@query("failure_report_by_value", f"WITH {CAT}, f AS ({BY_VALUE}) SELECT processor, value, count(*) AS failed_count, array_to_string(list(id::VARCHAR ORDER BY id)[1:100], ',') AS document_ids FROM f GROUP BY processor, value")
 def failure_report_by_value(spark, sf_dir):
     found = report.by_value(report.failures(adapter.catalogue(spark, sf_dir)))
     return found.select("processor", "value", "failed_count", F.array_join("document_ids", ",").alias("document_ids"))
 
 
-@query("failure_report_by_chipset", f"WITH {CAT} SELECT 'cpuPerformance' AS processor, chipset, 'MISSING' AS value, count(*) AS failed_count, string_agg(id::VARCHAR, ',' ORDER BY id) AS document_ids FROM cat WHERE v_cpu IS NULL GROUP BY chipset")
+@query("failure_report_by_chipset", f"WITH {CAT} SELECT 'cpuPerformance' AS processor, chipset, 'MISSING' AS value, count(*) AS failed_count, array_to_string(list(id::VARCHAR ORDER BY id)[1:100], ',') AS document_ids FROM cat WHERE v_cpu IS NULL GROUP BY chipset")
 def failure_report_by_chipset(spark, sf_dir):
     found = report.by_chipset(report.failures(adapter.catalogue(spark, sf_dir)))
     return found.select("processor", "chipset", "value", "failed_count", F.array_join("document_ids", ",").alias("document_ids"))
@@ -348,14 +345,14 @@ def _encoded(x: str) -> str:
     return f"replace(replace(replace(url_encode({x}), '%20', '+'), '~', '%7E'), '%2A', '*')"
 
 
-@query("search_url", f"""SELECT p_partkey AS id, 'https://www.flipkart.com/search?q=' || {_encoded('p_name')} || '&' || CASE WHEN p_partkey % 3 = 0 THEN 'marketplace=FLIPKART&as-show=on&as=off' ELSE 'sid=tyy%2C4io'
+@query("search_url", f"""SELECT p_partkey AS id, 'https://shop.test/search?q=' || {_encoded('p_name')} || '&' || CASE WHEN p_partkey % 3 = 0 THEN 'marketplace=SHOP&as-show=on&as=off' ELSE 'sid=tyy%2C4io'
   || '&p%5B%5D=facets.price_range.to%3D' || p_size || CASE WHEN p_partkey % 3 = 1 THEN '&p%5B%5D=facets.brand%5B%5D%3D' || {_encoded('p_brand')} || '&p%5B%5D=facets.brand%5B%5D%3Dx%7Ey*' ELSE '' END
   || CASE WHEN p_partkey % 2 = 0 THEN '&p%5B%5D=facets.internal_storage%5B%5D%3D128+GB' ELSE '' END END AS url FROM part""")
 def search_url(spark, sf_dir):
     key, none = F.col("p_partkey"), F.lit(None)
     some = key % 3 != 0
     brands = F.when(key % 3 == 1, F.array("p_brand", F.lit("x~y*")))
-    url = planner.search_addresses(F.col("p_name"), none.cast("double"), F.when(some, F.col("p_size").cast("double")), brands, F.when(some & (key % 2 == 0), F.lit("128 GB")), none.cast("array<string>"))
+    url = planner.search_addresses(F.col("p_name"), none.cast("double"), F.when(some, F.col("p_size").cast("double")), brands, F.when(some & (key % 2 == 0), F.lit("128 GB")), none.cast("array<string>"), SHOP)
     return table(spark, sf_dir, "part").select(key.alias("id"), url.alias("url"))
 
 
@@ -407,9 +404,9 @@ def date_layouts(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", *(F.date_format("ts", layout).alias(name) for name, layout in text.DATE_LAYOUTS.items()))
 
 
-@query("number_text", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = floor(l_quantity) THEN l_quantity::BIGINT::VARCHAR END AS quantity FROM lineitem")
+@query("number_text", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity % 2 = 0 THEN (l_quantity / 2)::BIGINT::VARCHAR ELSE (l_quantity / 2)::VARCHAR END AS half FROM lineitem")
 def number_text(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.number_text("l_quantity").alias("quantity"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.number_text(F.col("l_quantity") / 2).alias("half"))
 
 
 def _unescaped(x: str) -> str:
@@ -436,15 +433,15 @@ def _outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.records(table(spark, sf_dir, "pages"), html.outline, "title string, heading string, links array<struct<href: string, text: string>>")
 
 
-@query("listing_cards", """SELECT p_partkey // 10 AS page_id, CASE WHEN p_partkey % 5 <> 0 THEN p_name || ' & case' END AS title, CASE WHEN p_partkey % 2 = 0 THEN 'http://shop.test' ELSE 'https://www.flipkart.com' END || '/item/' || p_partkey AS link,
+@query("listing_cards", """SELECT p_partkey // 10 AS page_id, CASE WHEN p_partkey % 5 <> 0 THEN p_name || ' & case' END AS title, CASE WHEN p_partkey % 2 = 0 THEN 'http://shop.test' ELSE 'https://shop.test' END || '/item/' || p_partkey AS link,
   p_type || ' | size ' || p_size AS description, (p_partkey % 5) || '.5' AS rating, '/i.png' AS image FROM part""")
 def listing_cards(spark, sf_dir):
-    return html.listing(adapter.listing_pages(spark, sf_dir)).select("page_id", "title", "link", "description", "rating", "image")
+    return html.listing(adapter.listing_pages(spark, sf_dir), LAYOUT).select("page_id", "title", "link", "description", "rating", "image")
 
 
 @query("listing_cards_capped", "SELECT p_partkey // 10 AS page_id, count(*)::BIGINT AS n FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) AS k FROM part) WHERE k <= 3 GROUP BY 1")
 def listing_cards_capped(spark, sf_dir):
-    return html.listing(adapter.listing_pages(spark, sf_dir), cap=3).groupBy("page_id").agg(F.count("*").alias("n"))
+    return html.listing(adapter.listing_pages(spark, sf_dir), LAYOUT, cap=3).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 @query("last_n_messages", "SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3")
@@ -490,11 +487,11 @@ def product_view(spark, sf_dir):
     return view.select(F.size("v").alias("n"), F.array_join(F.transform("v", lambda p: p["title"]), "|").alias("titles"), F.array_join(F.transform("v", lambda p: p["verdict"]), "").alias("verdicts"))
 
 
-@query("index_left_join", "SELECT o_orderkey AS at, o_orderpriority AS name, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS \"detailTitle\", NULL::VARCHAR AS snippet FROM orders")
+@query("index_left_join", "SELECT o_orderkey AS at, o_orderpriority AS name, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS \"detailTitle\", CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS customer FROM orders")
 def index_left_join(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("at"), F.col("o_orderpriority").alias("name"))
-    found = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("at"), F.col("o_orderstatus").alias("title"))
-    return chips.with_details(rows, found).select("at", "name", "detailTitle", F.col("detailTextSnippet").alias("snippet"))
+    found = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("at"), F.col("o_orderstatus").alias("title"), F.col("o_custkey").alias("customer"))
+    return chips.with_details(rows, found).select("at", "name", "detailTitle", "detail.customer")
 
 
 @query("limit_details", "SELECT o_orderkey AS at FROM orders WHERE o_orderkey % 2 = 0 ORDER BY o_orderkey LIMIT 20")
@@ -529,3 +526,108 @@ def recommend(spark, sf_dir):
     from .recommend import recommend as run
 
     return run(adapter.catalogue(spark, sf_dir), "battery, camera and selfie, between 901 and 910").ranked.select("dbRecordId", "title")
+
+
+@query("failure_rows", f"WITH {CAT}, f AS ({BY_VALUE}) SELECT processor, value, id::VARCHAR AS document FROM f")
+def failure_rows(spark, sf_dir):
+    found = report.failures(adapter.catalogue(spark, sf_dir)).where(~F.col("processor").isin(*report.BY_CHIPSET))
+    return found.select("processor", "value", F.col("_id").alias("document"))
+
+
+@query("report_total", f"WITH {CAT} SELECT count(*) AS records, sum({' + '.join(f'({test})::INT' for test in _FAILED.values())})::BIGINT AS failures FROM cat")
+def report_total(spark, sf_dir):
+    devices = adapter.catalogue(spark, sf_dir)
+    return devices.agg(F.count("*").alias("records")).crossJoin(report.failures(devices).agg(F.count("*").alias("failures")))  # a row each
+
+
+_CHAIN = f"""near AS (SELECT *, {_FAILED_LIST} = '' AS fine FROM cat WHERE price >= 900.5 AND price <= 915), steps AS (SELECT title, id, 0 AS stage FROM near UNION ALL SELECT title, id, 1 FROM near WHERE fine),
+  firsts AS (SELECT title, min_by(price, id) AS price, min_by('/item/' || id, id) AS link FROM near GROUP BY title)"""
+
+
+@query("tracked_by_title", f"WITH {CAT}, {_CHAIN} SELECT title, price, link, (row_number() OVER (PARTITION BY title ORDER BY stage, id) - 1)::INT AS at, CASE stage WHEN 0 THEN 'validation' ELSE 'scoring' END AS name FROM steps JOIN firsts USING (title)")
+def tracked_by_title(spark, sf_dir):
+    return scoring.tracked_by_title(_candidates(spark, sf_dir), WEIGHTS).select("title", "price", "link", "at", "name")
+
+
+_RAWS = " UNION ALL ".join(f"SELECT id, total, {i} AS place, '{said}' AS said, {RAW[c]} AS raw, {w}::DOUBLE AS weight FROM t" for i, (c, w, said) in enumerate((c, w, planner.SAID[c]) for c, w in WEIGHTS.items()))
+
+
+@query("verdicts", f"{RANKED}, t AS (SELECT *, {TOTAL} AS total FROM ok, ctx ORDER BY total DESC, id LIMIT 8), u AS ({_RAWS}), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY raw DESC, weight DESC, place) AS n FROM u), worst AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY raw, weight DESC, place) AS n FROM u) "
+       "SELECT best.id::VARCHAR AS \"dbRecordId\", 'Good if ' || best.said || ' matters most to you. Skip if you depend on ' || worst.said || '.' AS verdict FROM best JOIN worst ON best.id = worst.id WHERE best.n = 1 AND worst.n = 1")
+def verdicts(spark, sf_dir):
+    from .recommend import Recommendation, with_verdicts
+
+    ranked = scoring.presented(scoring.rank(scoring.enriched(_candidates(spark, sf_dir)), WEIGHTS, 8))
+    return with_verdicts(Recommendation(ranked, [], WEIGHTS, "parts")).select("dbRecordId", "verdict")
+
+
+@query("product_json", f"{RANKED} SELECT '{{\"title\":\"' || title || '\",\"brand\":\"' || brand || '\",\"n\":' || id || '}}' AS told FROM ok, ctx ORDER BY {TOTAL} DESC, id LIMIT 8")
+def product_json(spark, sf_dir):
+    ranked = scoring.presented(scoring.rank(_candidates(spark, sf_dir), WEIGHTS, 8)).withColumn("n", F.col("_ordinal"))
+    return ranked.select(conversation.product_json(["title", "brand", "n"]).alias("told"))
+
+
+_WISH = "CASE p_partkey % 4 WHEN 0 THEN 'a ' || p_brand || ' with ' || p_size || ' GB RAM and ' || p_size * 8 || 'gb storage' WHEN 1 THEN p_size || 'gb, 1.5 TB, ' || p_size || ' GB' WHEN 2 THEN 'Brand#11 or brand#23 please' ELSE p_name END"
+_OFFERED = tuple(f"Brand#{n}" for n in (11, 12, 13, 23, 34))
+
+
+@query("facet_parse", f"""WITH w AS (SELECT p_partkey AS id, p_partkey % 4 AS k, p_size AS z, p_brand AS b, list_contains([{', '.join(f"'{b}'" for b in _OFFERED)}], p_brand) AS known FROM part)
+  SELECT id, CASE k WHEN 0 THEN CASE WHEN known THEN b END WHEN 2 THEN 'Brand#11,Brand#23' END AS brands, CASE WHEN k = 0 THEN z * 8 || ' GB' WHEN k = 1 AND z <= 24 THEN '1.5 TB' WHEN k = 1 THEN z || ' GB' END AS storage,
+    CASE WHEN k = 0 OR (k = 1 AND z <= 24) THEN z || ' GB' END AS ram FROM w""")
+def facet_parse(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").withColumn("f", planner.facet_phrases(F.expr(_WISH), _OFFERED))
+    return rows.select(F.col("p_partkey").alias("id"), F.array_join("f.brands", ",").alias("brands"), "f.storage", F.array_join("f.ram", ",").alias("ram"))
+
+
+_EVEN = " + ".join(f"{RAW[c]} * (1/7.0::DOUBLE)" for c in WEIGHTS)
+
+
+@query("recommend_facets", f"WITH {CAT}, ok AS (SELECT * FROM cat WHERE price >= 901 AND price <= 1410 AND {VALID} AND brand IN ('Brand#11', 'Brand#23') AND v_ram IN (8, 12)), {CTX} SELECT id::VARCHAR AS \"dbRecordId\", title FROM (SELECT id, title, {_EVEN} AS total FROM ok, ctx ORDER BY total DESC, id LIMIT 8)")
+def recommend_facets(spark, sf_dir):
+    from functools import partial
+
+    from .recommend import recommend as run
+
+    wish = "brand#11 or Brand#23, 8 GB or 12gb, between 901 and 910"
+    found = run(adapter.catalogue(spark, sf_dir), wish, parse=partial(planner.parse_request, brands=_OFFERED), weigh=lambda _: dict.fromkeys(WEIGHTS, 1 / 7), facets=True)
+    return found.ranked.select("dbRecordId", "title")
+
+
+@query("thread_by_id", "SELECT conv_id, turn, text FROM conversations WHERE conv_id * 100 + turn = 301")
+def thread_by_id(spark, sf_dir):
+    rows = adapter.messages(spark, sf_dir).withColumn("_id", F.col("thread_id") * 100 + F.col("seq"))
+    return threads.by_id(rows, 301).select(F.col("thread_id").alias("conv_id"), F.col("seq").alias("turn"), F.col("content").alias("text"))
+
+
+@query("turn_appended", "SELECT conv_id, n + k AS turn, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END AS role, CASE k WHEN 0 THEN 'and the second?' ELSE 'that one' END AS content FROM (SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id = 3 GROUP BY conv_id), (SELECT unnest([0, 1]) AS k)")
+def turn_appended(spark, sf_dir):
+    rows = adapter.messages(spark, sf_dir).where("thread_id = 3").withColumn("thread_id", F.col("thread_id").cast("string")).withColumn("timestamp", F.current_timestamp())
+    made = threads.appended_turn(rows, "3", "and the second?", "that one")
+    return made.select(F.col("thread_id").cast("bigint").alias("conv_id"), F.col("seq").alias("turn"), "role", "content")
+
+
+_CHIP_ROW = "concat('<tr><td>', s_suppkey, '</td><td><a href=\"/soc/', s_suppkey, '\"> ', s_name, '</a><span class=\"text-gray-small\">N', s_nationkey, '</span></td><td><div class=\"table-list-score-box\">', s_suppkey % 100, '</div></td><td><div><div>', s_suppkey * 10, '</div></div></td><td></td><td><span class=\"table-list-custom-circle\">8</span></td><td>3 GHz</td><td>', IF(s_suppkey % 2 = 0, 'G', ''), '</td></tr>')"
+
+
+@query("chip_rankings", "SELECT s_nationkey AS page_id, trim(s_name) AS name, 'N' || s_nationkey AS brand, (s_suppkey % 100)::VARCHAR AS rating, (s_suppkey * 10)::VARCHAR AS antutu, NULL::VARCHAR AS geekbench, CASE WHEN s_suppkey % 2 = 0 THEN 'G' END AS gpu, '/soc/' || s_suppkey AS href FROM supplier")
+def chip_rankings(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("bigint").alias("page_id")).agg(F.array_join(F.collect_list(F.expr(_CHIP_ROW)), "").alias("rows"))  # a nation's few suppliers
+    pages = rows.select("page_id", F.concat(F.lit('<table class="table-list sortable"><tbody>'), "rows", F.lit("</tbody></table>")).alias("html"))
+    return chips.rankings(pages).select("page_id", "name", "brand", "rating", "antutu", "geekbench", "gpu", "href")
+
+
+_CHIP_PAGE = "concat('<h1 class=\"title-h1\">', s_name, '</h1><div class=\"card\"><i id=\"antutu\"></i><b class=\"score-bar-result-number\">', s_suppkey * 10, '</b><table class=\"specs-table\"><tbody><tr><td class=\"cell-h\">CPU</td><td class=\"cell-s\">', s_suppkey, '</td></tr></tbody></table></div>', IF(s_suppkey % 2 = 0, '<div class=\"card\"><h3 class=\"title-h2\">Graphics</h3><table class=\"specs-table\"><tbody><tr><td class=\"cell-h\">name</td><td class=\"cell-s\">G &amp; H</td></tr></tbody></table></div>', ''), '<div class=\"card\"><i id=\"phones\"></i><table class=\"table-list\"><tbody><tr><td><a href=\"/p\">P', s_nationkey, '</a></td><td>7</td></tr></tbody></table></div>')"
+
+
+@query("chip_details", "SELECT s_suppkey::BIGINT AS page_id, trim(s_name) AS title, (s_suppkey * 10)::VARCHAR AS total, s_suppkey::VARCHAR AS cpu, CASE WHEN s_suppkey % 2 = 0 THEN 'G & H' END AS graphics, 'P' || s_nationkey AS phone FROM supplier")
+def chip_details(spark, sf_dir):
+    pages = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("page_id"), F.expr(_CHIP_PAGE).alias("html"))
+    found = chips.details(pages)
+    return found.select("page_id", "title", "antutu.total", F.col("antutu.breakdown")["CPU"].alias("cpu"), F.col("sections")["Graphics"]["name"].alias("graphics"), F.col("smartphones")[0]["name"].alias("phone"))
+
+
+@query("resolved_links", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://shop.test/a/x' || page_id WHEN 1 THEN 'https://shop.test/q?p=' || page_id WHEN 2 THEN 'https://shop.test/up/' || page_id ELSE 'http://other.test/' || page_id END AS link FROM pages")
+def resolved_links(spark, sf_dir):
+    href = "CASE page_id % 4 WHEN 0 THEN concat('x', page_id) WHEN 1 THEN concat('/q?p=', page_id) WHEN 2 THEN concat('../up/', page_id) ELSE concat('http://other.test/', page_id) END"
+    pages = table(spark, sf_dir, "pages").select("page_id", F.format_string('<a href="%s">', F.expr(href)).alias("html"))
+    return html.records(pages, lambda page: [{"link": html.resolved("https://shop.test/a/b", html.outline(page)[0]["links"][0]["href"])}], "link string").select("page_id", "link")

@@ -141,7 +141,7 @@ def test_tracking_tells_what_failed(devices, records):
 
 
 def test_report(devices, records, tmp_path):
-    found = report.document(devices)
+    found = report.document(devices, shown=400)
     assert found["totalRecords"] == 400
     counts = {p["processor"]: p["failedCount"] for p in found["processorFailures"]}
     for c, ks in NEEDED.items():
@@ -227,6 +227,9 @@ def test_requests_are_parsed_alike_in_columns_and_alone(spark):
     assert planner.parse_request("Can't extend this is my limit, budget 25000").budget == planner.Budget(25000.0, None)
 
 
+SHOP = planner.Shop("https://shop.test/search", "a,b", "SHOP")
+
+
 def test_search_addresses(spark):
     from pyspark.sql import functions as F
 
@@ -235,10 +238,10 @@ def test_search_addresses(spark):
     plain, full = Query("a b~*"), Query("p", 500.0, 10.5, ["A&B"], "128 GB", ["4 GB", "6 GB"])
     none, strings = F.lit(None), "array<string>"
     one = spark.range(1)
-    assert one.select(planner.search_addresses(F.lit("a b~*"), none.cast("double"), none.cast("double"), none.cast(strings), none.cast("string"), none.cast(strings))).first()[0] == planner.search_address(plain)
-    wide = planner.search_addresses(F.lit("p"), F.lit(10.5), F.lit(500.0), F.array(F.lit("A&B")), F.lit("128 GB"), F.array(F.lit("4 GB"), F.lit("6 GB")))
-    assert one.select(wide).first()[0] == planner.search_address(full)
-    assert "p%5B%5D=facets.ram%5B%5D%3D6+GB" in planner.search_address(full)
+    assert one.select(planner.search_addresses(F.lit("a b~*"), none.cast("double"), none.cast("double"), none.cast(strings), none.cast("string"), none.cast(strings), SHOP)).first()[0] == planner.search_address(plain, SHOP)
+    wide = planner.search_addresses(F.lit("p"), F.lit(10.5), F.lit(500.0), F.array(F.lit("A&B")), F.lit("128 GB"), F.array(F.lit("4 GB"), F.lit("6 GB")), SHOP)
+    assert one.select(wide).first()[0] == planner.search_address(full, SHOP)
+    assert "p%5B%5D=facets.ram%5B%5D%3D6+GB" in planner.search_address(full, SHOP)
 
 
 def test_keyword_weights_keep_the_contract():
