@@ -247,3 +247,64 @@ def test_search_addresses(spark):
 def test_keyword_weights_keep_the_contract():
     assert scoring.checked_weights(planner.keyword_weights("gaming camera"))
     assert planner.keyword_weights(" ").questions == planner.BLANK_QUESTIONS
+
+
+def test_chains_by_title(devices):
+    rows = scoring.tracked_by_title(devices, WEIGHTS).collect()
+    by_record = scoring.tracked(devices, WEIGHTS).orderBy("_ordinal").collect()
+    for title in {r["title"] for r in rows}:
+        own = [r for r in by_record if r["title"] == title]
+        wanted = [r["steps"][k]["details"] for k in (0, 1) for r in own if len(r["steps"]) > k]
+        assert [r["details"] for r in sorted(rows, key=lambda r: r["at"]) if r["title"] == title] == wanted
+
+
+def test_requests_name_facets(spark):
+    parse = planner.parse_request
+    found = parse("Samsung or apple phone, 8 GB RAM, 256gb, under 30k")
+    assert (found.brands, found.storage, found.ram, found.max_price) == (["Apple", "Samsung"], "256 GB", ["8 GB"], 30000)
+    assert (parse("pineapple phone 1.5 TB").brands, parse("pineapple phone 1.5 TB").storage) == (None, "1.5 TB")
+    assert parse("6gb or 8 gb of memory").ram == ["6 GB", "8 GB"] and parse("16 GB storage").storage == "16 GB"
+    assert (parse("phone above 10000").min_price, parse("phone max 40k").max_price) == (10000, 40000)
+    wishes = ["Samsung or apple phone, 8 GB RAM, 256gb", "none", "6gb or 8 gb of memory, 6 GB", "Vivo 128 GB internal 64 GB", "1.5 TB"]
+    rows = spark.createDataFrame([(w,) for w in wishes], "x string").select(planner.facet_phrases("x").alias("f")).select("f.*").collect()
+    assert [tuple(r) for r in rows] == [planner.facets_of(w.lower()) for w in wishes]
+
+
+@pytest.mark.parametrize(("said", "extension"), [
+    ("budget 20k, flexible by 3k", 3000), ("budget 20k, may go beyond by 1,500", 1500), ("budget of 20000 and willing to pay 2000 more", 2000),
+    ("budget 20k, firm", None), ("budget 20k, won't exceed it", None), ("budget is 20k", None), ("phone under 20k, no more than that", None),
+])
+def test_how_far_a_budget_stretches(said, extension):
+    assert planner.parse_request(said).budget == planner.Budget(20000.0, extension)
+
+
+def test_facets_change_the_ranking(spark, sf_dir):
+    from shelfrank.plans import catalog
+
+    ranked = [r["title"] for r in catalog.QUERIES["recommend_facets"](spark, sf_dir).collect()]
+    assert all(t.startswith(("Brand#11 ", "Brand#23 ")) for t in ranked)
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.25, 0.0])
+def test_matches_above_any_threshold_equal_all_pairs(spark, threshold):
+    """Titles of few words, many repeats and unknown words."""
+    rng = random.Random(9)
+    words = "pro max plus one two red note air mini ultra".split()
+    title = lambda: " ".join(rng.choices(words, k=rng.randint(1, 9)) + [rng.choice(words)] * rng.choice([0, 0, 3, 6]) + rng.choice([[], ["zz"]]))
+    left, right = [title() for _ in range(50)], [title().replace("zz", "yy") for _ in range(80)]
+    frame = lambda ts: spark.createDataFrame(list(enumerate(ts)), "_ordinal long, title string")
+    found = {r["left_id"]: (r["right_id"], r["score"]) for r in matching.best_matches(frame(left), frame(right), threshold=threshold).collect()}
+    wanted = {}
+    for i, a in enumerate(left):
+        scores = [(sum(t in a.split() for t in b.split()) / len({*a.split(), *b.split()}), -j) for j, b in enumerate(right)]
+        if max(scores)[0] > threshold:
+            wanted[i] = (-max(scores)[1], pytest.approx(max(scores)[0]))
+    assert found == wanted
+
+
+def test_reports_show_the_first_ids_and_count_all(devices):
+    failed = report.failures(devices)
+    few, all_of = ({(r["processor"], r["value"]): r for r in report.by_value(failed, n).collect()} for n in (2, 1000))
+    assert few.keys() == all_of.keys() and all(few[k]["failed_count"] == all_of[k]["failed_count"] == len(all_of[k]["document_ids"]) and few[k]["document_ids"] == all_of[k]["document_ids"][:2] for k in few)
+    few, all_of = ({(r["processor"], r["chipset"]): r for r in report.by_chipset(failed, n).collect()} for n in (2, 1000))
+    assert all(few[k]["document_ids"] == all_of[k]["document_ids"][:2] and few[k]["failed_count"] == len(set(all_of[k]["document_ids"])) for k in few)

@@ -1,10 +1,13 @@
 """HTML extraction, chip documents, upserts, threads and the stream of messages."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from shelfrank.operators import dedup, threads
-from shelfrank.sources import chips, html, schemas
+from shelfrank.plans import conversation, planner
+from shelfrank.sources import catalogue, chips, crawl, html, schemas
 from shelfrank.streaming.threads import append_stream
 
 LAYOUT = html.ListingLayout("https://shop.test")
@@ -134,3 +137,143 @@ def test_stream_appends_up_to_the_cap(spark, tmp_path):
 def test_schemas_parse(spark):
     for ddl in (schemas.CATALOGUE, schemas.MESSAGE, schemas.CHIP, schemas.LISTING, schemas.RANKING):
         assert spark.createDataFrame([], ddl).count() == 0
+
+
+def record(i, **more):
+    return {"_id": f"d{i}", "title": f"T{i}", "price": 100.0 + i, **more}
+
+
+@pytest.mark.parametrize("layout", ["lines", "array", "parquet"])
+def test_places_follow_files_and_rows_however_files_are_split(spark, tmp_path, layout):
+    """Files of very different sizes, small ones packed together, read under two split layouts."""
+    sizes, at = {"c": 3, "a": 4000, "b": 400, "d": 1}, 0
+    wanted = []
+    for name in sorted(sizes):
+        rows = [record(at + k, link="x" * 60) for k in range(sizes[name])]
+        at += len(rows)
+        wanted += [r["_id"] for r in rows]
+        place = tmp_path / f"{name}.json"
+        if layout == "parquet":
+            spark.read.schema(schemas.CATALOGUE).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows], 1)).coalesce(1).write.parquet(str(tmp_path / f"p_{name}"))
+            (part,) = (tmp_path / f"p_{name}").glob("*.parquet")
+            (tmp_path / "in").mkdir(exist_ok=True)
+            part.rename(tmp_path / "in" / f"{name}.parquet")
+        else:
+            (tmp_path / "in").mkdir(exist_ok=True)
+            (tmp_path / "in" / place.name).write_text(json.dumps(rows) if layout == "array" else "\n".join(map(json.dumps, rows)))
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = {n: spark.conf.get(n) for n in names}
+    numbers = []
+    try:
+        for most, cost in (("128m", "4m"), ("20k", "1k")):
+            spark.conf.set(names[0], most)
+            spark.conf.set(names[1], cost)
+            rows = catalogue.read_catalogue(spark, str(tmp_path / "in"), layout).orderBy("_ordinal").select("_id", "_ordinal").collect()
+            assert [r["_id"] for r in rows] == wanted and len({r["_ordinal"] for r in rows}) == len(rows)
+            numbers.append([r["_ordinal"] for r in rows])
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert layout != "parquet" or numbers[0] == numbers[1]
+
+
+def test_values_of_the_wrong_type_are_missing(spark, tmp_path):
+    def own(i, capacity, cpu):
+        extracted = {"battery": {"capacity": {"value": capacity, "unit": "mAh"}}, "technical": {"benchmark": {"antutu": {"breakdown": {"CPU": cpu, "GPU": "5"}}}}}
+        return {"_id": i, "title": "T", "price": 5, "normalizedSpecs": {"specs": {"memory": {"ram": "8 GB"}}, "extracted": extracted}}
+
+    rows = [own("a", 4000, "123"), own("b", "4000", 123), own("c", None, None), {"_id": 7, "title": "T", "price": "9"}]
+    (tmp_path / "v.json").write_text(json.dumps(rows))
+    found = catalogue.typed_catalogue(catalogue.read_variants(spark, str(tmp_path / "v.json"))).orderBy("_ordinal")
+    got = found.select("_id", "price", F.col("normalizedSpecs.extracted.battery.capacity.value"), F.col("normalizedSpecs.extracted.technical.benchmark.antutu.breakdown")["CPU"], F.col("normalizedSpecs.specs")["memory"]["ram"]).collect()
+    assert [tuple(r) for r in got] == [("a", 5.0, 4000.0, "123", "8 GB"), ("b", 5.0, None, None, "8 GB"), ("c", 5.0, None, None, "8 GB"), (None, None, None, None, None)]
+
+
+def test_pages_from_folders_and_addresses(spark, tmp_path):
+    (tmp_path / "soc.html").write_text(RANKING)
+    for path in (str(tmp_path), f"file://{tmp_path}/soc.html"):
+        pages = chips.read_pages(spark, path)
+        assert pages.count() == 1 and pages.first()["base"].endswith(f"{tmp_path}/")
+        assert chips.rankings(pages).where("name = 'Chip X'").count() == 1
+    asked = []
+    pages = chips.read_pages(spark, "https:\\\\shop.test\\soc", lambda address: asked.append(address) or RANKING)
+    assert asked == ["https://shop.test/soc"] and chips.rankings(pages).count() == 2
+    with pytest.raises(ValueError):
+        chips.read_pages(spark, "http:/shop.test")
+
+
+def test_crawl_rules(spark):
+    some = lambda html: "data-id" in html
+
+    def listing(*pages):
+        calls = []
+
+        def fetch(n):
+            calls.append(n)
+            if n > len(pages):
+                raise crawl.NoSuchPage
+            if isinstance(pages[n - 1], Exception):
+                raise pages[n - 1]
+            return pages[n - 1]
+
+        return fetch, calls
+
+    fetch, calls = listing(CARD, "<p>", OSError("slow"), CARD, CARD)
+    assert crawl.crawled(fetch, some) == [(1, CARD), (4, CARD)] and calls == [1, 2, 3, 4]
+    fetch, calls = listing(CARD, CARD)
+    assert crawl.crawled(fetch, some) == [(1, CARD), (2, CARD)] and calls == [1, 2, 3]
+    fetch, calls = listing("<p>", OSError())
+    assert crawl.crawled(fetch, some) == [] and calls == [1, 2, 3] * 3
+    fetch, _ = listing(CARD, CARD.replace("A &amp; B", "A &amp; B (Blue)"), CARD.replace("A &amp; B", "C"))
+    assert [r["title"] for r in crawl.listed(spark, fetch, LAYOUT).orderBy("_ordinal").collect()] == ["A & B", "C"]
+
+
+def test_store(spark, tmp_path):
+    store = threads.Store(spark, f"{tmp_path}/threads")
+    assert store.lookup("t") is None
+    first, second = store.insert("t", "phones"), store.insert("t", "again")
+    assert first != second and store.lookup("t")["_id"] == first and store.read_back(second)["query"] == "again"
+    assert store.found_or_inserted("t", "x")["_id"] == first and store.found_or_inserted("u", "new")["query"] == "new"
+    assert store.read_back(store.insert(None, "q"))["thread_id"].startswith("thread_")
+    assert store.append(first, "hello", "hi") == 2 and store.append(first, "and", "so", [("T", "V", 1.0, "l", "b", "i", [])]) == 4
+    rows = store.messages(first).orderBy("seq").collect()
+    assert [(r["seq"], r["role"], r["type"]) for r in rows] == [(0, "user", "text"), (1, "assistant", "text"), (2, "user", "text"), (3, "assistant", "product-view")]
+    assert store.messages(second).count() == 0
+    with pytest.raises(ValueError):
+        store.append(first, "x", "y", most=4)
+    assert store._claims(first, 4)  # another writer is at the next turn
+    with pytest.raises(RuntimeError):
+        store.append(first, "late", "answer")
+
+
+def test_a_thread_without_products_gets_them_and_is_talked_about_then(spark, sf_dir, tmp_path):
+    from shelfrank.plans import adapter
+
+    store, devices = threads.Store(spark, f"{tmp_path}/threads"), adapter.catalogue(spark, sf_dir)
+    found = conversation.reply(store, devices, "t", "camera phone between 901 and 1000")
+    assert 0 < len(found.products) <= 8 and found.said == threads.DEFAULT_CONTENT
+    told = []
+    again = conversation.reply(store, devices, "t", f"and {found.products[1]['title']}?", answer=lambda context: told.append(context) or conversation.named_product(context))
+    assert again.products == [] and again.said.startswith(f"{found.products[1]['title']} costs")
+    assert [m["role"] for m in told[0]] == ["system", "user", "assistant", "user"] and len(json.loads(told[0][0]["content"])["products"]) == len(found.products)
+    assert "Product: " in told[0][2]["content"]
+    asked = conversation.reply(store, devices, "v", "phone under 20k, can extend")
+    assert asked.said == planner.EXTENSION_QUESTION and asked.products == []
+    nothing = conversation.reply(store, devices, "w", "phone under 5")
+    assert nothing.said.split("\n") == planner.BLANK_QUESTIONS
+    for bad in ((" ", "x"), ("t", "")):
+        with pytest.raises(ValueError):
+            conversation.reply(store, devices, *bad)
+
+
+def test_stream_orders_ties_and_refuses_another_streams_table(spark, tmp_path):
+    kind = "thread_id string, arrived timestamp, role string, content string"
+    rows = [("a", f"m{i:02}") for i in range(30)]
+    spark.createDataFrame(rows, "thread_id string, content string").selectExpr("thread_id", "timestamp'2024-01-01' AS arrived", "'user' AS role", "content").repartition(6).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+    append_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck"), most=20).awaitTermination(60)
+    kept = spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect()
+    assert [(r["seq"], r["content"]) for r in kept] == [(i, f"m{i:02}") for i in range(20)]
+    assert spark.read.parquet(str(tmp_path / "out-rejected")).where("seq is null").count() == 10
+    with pytest.raises(ValueError):
+        append_stream(stream, str(tmp_path / "out"), str(tmp_path / "other"))
