@@ -62,17 +62,22 @@ def _above(lefts: DataFrame, offers: DataFrame, threshold: float) -> DataFrame:
     needs c > t (n + m) / (x + t), and so, as n and m are c at the least, c > t n / x and c > t m / x. Each side's first
     n - floor(t n / x) rarest words hold a common one then. Right titles are classed by x.
     """
-    repeats = F.array_max(F.transform(F.array_distinct("ws"), lambda w: F.size(F.filter("ws", lambda x: x == w))))
-    classed = offers.where(F.size("ws") > 0).withColumn("x", repeats).withColumn("k", F.least("x", F.lit(MOST_REPEATS)))
+    counted = F.transform(F.array_distinct("ws"), lambda w: F.struct(w.alias("w"), F.size(F.filter("ws", lambda x: x == w)).alias("c")))
+    classed = offers.where(F.size("ws") > 0).withColumn("__c", counted).withColumn("x", F.array_max(F.transform("__c", lambda t: t["c"]))).withColumn("k", F.least("x", F.lit(MOST_REPEATS)))
+    # A word that stands c times is c words, "word", "word 2" and so on, so that repeats are counted by one intersection.
+    copies = lambda w, n: F.transform(F.sequence(F.lit(1), n), lambda j: F.when(j == 1, w).otherwise(F.concat(w, F.lit(" "), j.cast("string"))))
+    classed = classed.withColumn("rs", F.flatten(F.transform("__c", lambda t: copies(t["w"], t["c"])))).withColumn("m", F.size("__c")).drop("__c")
     rank = classed.select(F.explode(F.array_distinct("ws")).alias("word")).groupBy("word").agg(F.count("*").alias("seen"))
     classes = classed.groupBy("k").agg(F.max("x").alias("most"))  # MOST_REPEATS rows at the most
     kept = lambda x: F.col("at") < F.col("n") - F.floor(threshold * F.col("n") / x).cast("int")
     each = F.explode(F.array(*map(F.lit, range(1, MOST_REPEATS + 1)))).alias("k")
     left = _placed(lefts, rank).select("*", each).join(F.broadcast(classes), "k").where(kept(F.col("most")))
-    right = _placed(classed, rank).where(kept(F.col("x")))
-    met = left.select(F.col("ws").alias("l"), "w", "k").join(right.select(F.col("ws").alias("rs"), "r", "w", "k"), ["w", "k"])
-    bag = F.size(F.filter("rs", lambda w: F.array_contains("l", w)))
-    score = bag.cast("double") / F.size(F.array_union("l", "rs"))
+    left = left.select(F.col("ws").alias("l"), "n", "w", "k", F.flatten(F.transform("ws", lambda w: copies(w, F.col("most")))).alias("ls"))
+    right = _placed(classed, rank).where(kept(F.col("x"))).select(F.col("ws").alias("r_ws"), "r", "rs", "m", "w", "k")
+    met = left.join(right, ["w", "k"])
+    bag = F.size(F.array_intersect("rs", "ls"))
+    both = F.when(F.col("k") == 1, bag).otherwise(F.size(F.array_intersect("r_ws", "l")))
+    score = bag.cast("double") / (F.col("n") + F.col("m") - both)
     return met.select(F.col("l").alias("ws"), F.col("r").alias("right_id"), score.alias("score")).where(F.col("score") > threshold)
 
 
