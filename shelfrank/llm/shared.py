@@ -75,13 +75,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a staged table that no plan reads any more."""
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        if "/staged-" in path:
-            place.getFileSystem(conf).delete(place, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that no plan reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            if "/staged-" in path:
+                place.getFileSystem(conf).delete(place, True)
 
 
 def pieces(batch: pa.RecordBatch, most: int = 512) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Shared, pieces, space_words, staged, texts_of
+from .shared import Shared, discard, pieces, space_words, staged, texts_of
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Rows that one task compares under one value at once.
@@ -390,6 +390,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS)
 
     keys = staged(fps.select("fp").mapInArrow(deal, "bucket long, fp long, probing boolean"), "simhash-keys")
     found = staged(_cells(keys, bucket_rows, ["fp"]).mapInArrow(compare, "a long, b long"), "simhash-found")
+    discard(keys)
     # Tasks repeat each other's links inside large groups; what few tasks can hold is thinned out to forests once more.
     return found.repartition(max(1, -(-found.count() // LINKS_A_TASK))).mapInArrow(thin, "a long, b long")
 
@@ -450,4 +451,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = linked.select("fp", "root").join(names, "root").select("fp", "component_id")
     # Staged for the same reason: a fingerprint may have many copies.
     known = staged(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-known")
+    discard(nodes, names)
     return rows.join(known, "fp", "left").select("id", "fp", "component_id")
