@@ -395,37 +395,38 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS)
     return found.repartition(max(1, -(-found.count() // LINKS_A_TASK))).mapInArrow(thin, "a long, b long")
 
 
-def companies(nodes: DataFrame, words: tuple[str, str], radius: int, total: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(bucket, fp): nodes that links of one bucket join, under a name of their own. Every pair of nodes that differ in at
-    most `radius` bits of either word, and in at most `total` bits of both, is together in some company.
+def companies(marks: DataFrame, words: tuple[str, str], radius: int, total: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(bucket, words...): fingerprints that links of one bucket join, under a name of their own. Every pair that differs
+    in at most `radius` bits of either word, and in at most `total` bits of both, is together in some company.
 
-    nodes: a staged table with a column fp that names each row, and the two words of its fingerprint as longs.
+    marks: a staged table of distinct fingerprints, two words each, as longs.
     """
-    plans = [Shared(nodes.sparkSession, plan_search(nodes.select(F.col(w).alias("fp")), radius, WIDE_PROBE_COST)) for w in words]
+    plans = [Shared(marks.sparkSession, plan_search(marks.select(F.col(w).alias("fp")), radius, WIDE_PROBE_COST)) for w in words]
 
     def deal(batches):
         for batch in batches:
-            names, *both = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", *words))
-            for at in range(0, len(names), 4096):
+            both = [batch.column(c).to_numpy(zero_copy_only=False) for c in words]
+            for at in range(0, len(both[0]), 4096):
                 for k, plan in enumerate(plans):
                     own, other = (x[at : at + 4096].view(np.uint64) for x in (both[k], both[1 - k]))
                     buckets, owners, probing = plan.value.keys(own)
-                    cols = [buckets | k << 50, names[at : at + 4096][owners], own[owners].view(np.int64), other[owners].view(np.int64), probing]
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["bucket", "name", "own", "other", "probing"])
+                    cols = [buckets | k << 50, own[owners].view(np.int64), other[owners].view(np.int64), np.full(len(owners), k == 1), probing]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["bucket", "own", "other", "second", "probing"])
 
     def compare(batches):
-        for cells, names, own, other, probing in _whole_runs(batches, ["cell", "name", "own", "other", "probing"]):
+        for cells, own, other, second, probing in _whole_runs(batches, ["cell", "own", "other", "second", "probing"]):
             a, b = _links(cells, own.view(np.uint64), probing, radius, other.view(np.uint64), total)
             joined = _Joined()
             joined.new(a, b)
             members = np.unique(np.concatenate([a, b]))
             roots = np.array([joined.root(i) for i in members.tolist()], np.int64)
-            company = [xxhash.xxh64_intdigest(f"{cells[r]},{names[r]}".encode()) - 2**63 for r in roots.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(company, pa.int64()), pa.array(names[members])], ["bucket", "fp"])
+            company = [xxhash.xxh64_intdigest(f"{cells[r]},{own[r]},{other[r]}".encode()) - 2**63 for r in roots.tolist()]
+            own, other, second = own[members], other[members], second[members]
+            yield pa.RecordBatch.from_arrays([pa.array(company, pa.int64()), pa.array(np.where(second, other, own)), pa.array(np.where(second, own, other))], ["bucket", *words])
 
     # Dealt twice, to count and to compare, as keys take more room than the words that they are made from.
-    keys = nodes.select("fp", *words).mapInArrow(deal, "bucket long, name long, own long, other long, probing boolean")
-    return _cells(keys, bucket_rows, ["name", "own", "other"]).mapInArrow(compare, "bucket long, fp long").distinct()
+    keys = marks.select(*words).mapInArrow(deal, "bucket long, own long, other long, second boolean, probing boolean")
+    return _cells(keys, bucket_rows, ["own", "other", "second"]).mapInArrow(compare, f"bucket long, {words[0]} long, {words[1]} long").distinct()
 
 
 def _and_end(batches):

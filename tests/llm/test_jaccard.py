@@ -104,7 +104,10 @@ def test_companies_hold_every_near_pair(spark):
             y ^= 1 << int(b)
         rows.append((x, y))
     signed = lambda v: v - (v >> 63 << 64)
-    nodes = staged(spark.createDataFrame([(k, signed(x), signed(y)) for k, (x, y) in enumerate(rows)], "fp long, w0 long, w1 long"), "test")
+    number = {(signed(x), signed(y)): k for k, (x, y) in enumerate(rows)}
+    marks = staged(spark.createDataFrame(list(number), "w0 long, w1 long"), "test")
+    rows = [(x % 2**64, y % 2**64) for x, y in number]
+    number = {(signed(x), signed(y)): k for k, (x, y) in enumerate(rows)}
     near = set()
     for i, (a, b) in enumerate(rows):
         for j, (c, d) in enumerate(rows[:i]):
@@ -113,7 +116,7 @@ def test_companies_hold_every_near_pair(spark):
                 near.add((j, i))
     for bucket_rows in (1 << 16, 20):
         members = {}
-        for r in companies(nodes, ("w0", "w1"), 14, 34, bucket_rows).collect():
-            members.setdefault(r["bucket"], []).append(r["fp"])
+        for r in companies(marks, ("w0", "w1"), 14, 34, bucket_rows).collect():
+            members.setdefault(r["bucket"], []).append(number[r["w0"], r["w1"]])
         together = {(a, b) for own in members.values() for a in own for b in own if a < b}
         assert len(near) > 300 and near <= together
