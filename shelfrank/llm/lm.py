@@ -1,15 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words, of word pairs and of word triples are quantised to powers of two: an event seen c times has level
-1 + floor(log2 c), and the filter holds (event, 1), ..., (event, level). A level is read back by probing upwards until a
-probe fails; its count is the middle of the level's range. Probabilities are smoothed towards those of shorter histories:
+Counts of words, of word pairs and, if asked for, of word triples are quantised to powers of two: an event seen c times has
+level 1 + floor(log2 c), and the filter holds (event, 1), ..., (event, level). A level is read back by probing upwards until
+a probe fails; its count is the middle of the level's range. Probabilities are smoothed towards those of shorter histories:
 
     P(w)       = (c(w) + 0.5) / (N + 0.5 * (V + 1))
-    P(w | v)   = (c(v w) + MUS[0] * P(w)) / (c(v) + MUS[0])
-    P(w | u v) = (c(u v w) + MUS[1] * P(w | v)) / (c(u v) + MUS[1])
+    P(w | v)   = (c(v w) + mus[0] * P(w)) / (c(v) + mus[0])
+    P(w | u v) = (c(u v w) + mus[1] * P(w | v)) / (c(u v) + mus[1])
 
-with counts as the filter gives them, and none above that of its history. The text's start stands twice before its first
-word; each text ends with one end token.
+with counts as the filter gives them, and none above that of its history. As many masses as are given, so long are the
+histories. The text's start stands before its first word; each text ends with one end token.
 
 Counting: each task sums its own events in arrays and sends packed blocks to the owners of the segments of the hash
 space; an owner adds them up, keeps the words' exact counts and fills the segment's part of the filter. Segments are as
@@ -39,9 +39,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .shared import Shared, carried, crc_fold, pieces, space_words, staged, texts_of
 
-#: Smoothing masses of pairs and of triples.
-MUS = (1000.0, 20.0)
-KINDS = 3
+#: Smoothing masses of pairs, and of pairs and triples. Triples predict better, and ask for twice the room.
+MUS, TRIPLE_MUS = (1000.0,), (1000.0, 20.0)
 BITS_PER_ENTRY, PROBES = 8, 5
 #: Of filter and word counts, broadcast at once.
 BROADCAST_BYTES = 160 << 20
@@ -77,11 +76,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def event_hashes(tokens: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """For each token: its own hash, that with the token before it, and that with the two before it."""
+def event_hashes(tokens: np.ndarray, starts: np.ndarray, kinds: int) -> list[np.ndarray]:
+    """For each token: its own hash, that with the token before it and, of three kinds, that with the two before it."""
     before = np.r_[_START_HASH, tokens[:-1]]
     before[starts[:-1]] = _START_HASH
     pairs = _mix(_mix(before + _U(0x9E3779B97F4A7C15)) ^ tokens)
+    if kinds == 2:
+        return [tokens, pairs]
     second = np.r_[_START_HASH, before[:-1]]
     second[starts[:-1]] = _START_HASH
     return [tokens, pairs, _mix(_mix(second + _U(0xC2B2AE3D27D4EB4F)) ^ pairs)]
@@ -193,12 +194,12 @@ def _added(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     return summed(*(np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint64) for c in ("keys", "ns")))
 
 
-def count_events(docs: DataFrame, segments: int, text_col: str = "text", bits_per_entry: int = BITS_PER_ENTRY, blocks: int = BLOCKS) -> DataFrame:
+def count_events(docs: DataFrame, segments: int, text_col: str = "text", bits_per_entry: int = BITS_PER_ENTRY, blocks: int = BLOCKS, kinds: int = 2) -> DataFrame:
     """(seg, words, ns, bits, tokens): exact word counts and the filter of every segment, over the texts of docs."""
     groups = min(segments, blocks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[list] = [[] for _ in range(KINDS)]
+        kept: list[list] = [[] for _ in range(kinds)]
         size, salt = 0, TaskContext.get().partitionId() // ROUTED_TASKS if groups < segments else 0
 
         def merge() -> int:
@@ -216,7 +217,7 @@ def count_events(docs: DataFrame, segments: int, text_col: str = "text", bits_pe
 
         for batch in batches:
             for run in pieces(batch):
-                for kind, keys in enumerate(event_hashes(*token_hashes(texts_of(run, "text")))):
+                for kind, keys in enumerate(event_hashes(*token_hashes(texts_of(run, "text")), kinds)):
                     kept[kind].append(summed(keys))
                     size += len(kept[kind][-1][0])
                 if size > KEPT_EVENTS and (size := merge()) > KEPT_EVENTS // 2:
@@ -226,13 +227,13 @@ def count_events(docs: DataFrame, segments: int, text_col: str = "text", bits_pe
 
     def route(table: pa.Table) -> pa.Table:
         out = []
-        for kind in range(KINDS):
+        for kind in range(kinds):
             keys, ns = _added(table, kind)
             out.append(_packed(kind, keys, ns, (keys % _U(segments)).astype(np.int32), 0))
         return pa.Table.from_batches(out)
 
     def own(table: pa.Table) -> pa.Table:
-        got = [_added(table, kind) for kind in range(KINDS)]
+        got = [_added(table, kind) for kind in range(kinds)]
         words, ns = got[0]
         bits = filter_bits(*(np.concatenate(x) for x in zip(*got, strict=True)), bits_per_entry)
         return pa.table({"seg": pa.array([table.column("seg")[0].as_py()], pa.int32()), "words": [words.tobytes()], "ns": [ns.tobytes()], "bits": [bits.tobytes()], "tokens": pa.array([int(ns.sum())], pa.int64())})
@@ -251,7 +252,7 @@ class Settings:
     train_tokens: int
     norm: float
     n_docs: int
-    mus: tuple[float, float]
+    mus: tuple[float, ...]
 
     def columns(self, starts: np.ndarray, back: np.ndarray, counts: np.ndarray, levels: list[np.ndarray]) -> dict:
         """Results of a run of texts. counts: exact, of the distinct words that back points to; levels: the filter's,
@@ -271,6 +272,7 @@ class Settings:
 
 def _by_broadcast(rows: DataFrame, out, model: DataFrame, segments: int, settings: Settings) -> DataFrame:
     """Scores where the texts lie, with the whole model on every worker."""
+    kinds = len(settings.mus) + 1
     held = Shared(rows.sparkSession, Shard([tuple(r) for r in model.toLocalIterator()], segments))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +281,7 @@ def _by_broadcast(rows: DataFrame, out, model: DataFrame, segments: int, setting
                 tokens, starts = token_hashes(texts_of(run, "text"))
                 words, back = np.unique(tokens, return_inverse=True)
                 shard = held.value
-                longer = [shard.levels(keys) for keys in event_hashes(tokens, starts)[1:]]
+                longer = [shard.levels(keys) for keys in event_hashes(tokens, starts, kinds)[1:]]
                 cols = settings.columns(starts, back, shard.exact(words), [shard.levels(words)[back], *longer])
                 yield pa.RecordBatch.from_arrays([pa.array(cols[c]) if c in cols else run.column(c) for c in out.names], out.names)
 
@@ -290,6 +292,7 @@ def _by_segments(rows: DataFrame, out, model: DataFrame, segments: int, settings
     """Scores by asking each segment's owner: the distinct events of every run of texts go to their segments in packed
     blocks, counts and levels come back, and each run is scored from its answers. No task holds more than a run, or a
     segment and what is asked of it."""
+    kinds = len(settings.mus) + 1
     numbered = rows.drop("run").selectExpr("*", "0L run").schema
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +310,7 @@ def _by_segments(rows: DataFrame, out, model: DataFrame, segments: int, settings
             cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if len(number) else []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 tokens, starts = token_hashes(texts_of(batch.slice(a, b - a), "text"))
-                for kind, keys in enumerate(map(np.unique, event_hashes(tokens, starts))):
+                for kind, keys in enumerate(map(np.unique, event_hashes(tokens, starts, kinds))):
                     seg = (keys % _U(segments)).astype(np.int32)
                     order = np.argsort(seg, kind="stable")
                     at = np.flatnonzero(np.r_[True, np.diff(seg[order]) != 0, True])
@@ -327,7 +330,7 @@ def _by_segments(rows: DataFrame, out, model: DataFrame, segments: int, settings
         if not len(own):
             return out_schema.empty_table()
         known = {}
-        for kind in range(KINDS):
+        for kind in range(kinds):
             part = told.filter(pa.compute.equal(told.column("kind"), kind))
             joined = lambda c, t: np.frombuffer(b"".join(part.column(c).to_pylist()), t)  # noqa: E731, B023
             keys, order = np.unique(joined("keys", _U), return_index=True)
@@ -335,7 +338,7 @@ def _by_segments(rows: DataFrame, out, model: DataFrame, segments: int, settings
         tokens, starts = token_hashes(own.column("text").cast(pa.binary()).to_pylist())
         words, back = np.unique(tokens, return_inverse=True)
         at = np.searchsorted(known[0][0], words)
-        longer = [known[k][1][np.searchsorted(known[k][0], keys)] for k, keys in enumerate(event_hashes(tokens, starts)) if k]
+        longer = [known[k][1][np.searchsorted(known[k][0], keys)] for k, keys in enumerate(event_hashes(tokens, starts, kinds)) if k]
         cols = settings.columns(starts, back, known[0][2][at], [known[0][1][at][back], *longer])
         return pa.table([pa.array(cols[c]) if c in cols else own.column(c) for c in out.names], out.names)
 
@@ -345,18 +348,19 @@ def _by_segments(rows: DataFrame, out, model: DataFrame, segments: int, settings
     return texts.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(score, out)
 
 
-def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, mus: tuple[float, float] = MUS, broadcast_bytes: int = BROADCAST_BYTES, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
+def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, mus: tuple[float, ...] = MUS, broadcast_bytes: int = BROADCAST_BYTES, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
     """(id, keep..., n_tokens, n_known, train_tokens, base_score, score): a row for each row of docs.
 
     The model learns from training's whole texts. A null text is empty: its only token is the end. Repeated rows count
     as often as they stand. Without training rows every probability is the smoothing's own; without docs there is no
-    row. keep: columns to carry along; one named like those, "text" or "run" is an error.
+    row. keep: columns to carry along; one named like those, "text" or "run" is an error. mus: a smoothing mass for pairs,
+    or one for pairs and one for triples.
     """
     own = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     keep = carried(keep, "id", "text", "run", *own)
     n_docs, size = training.agg(F.count("*"), F.sum(F.octet_length(F.col(text_col).cast("string")))).first()
     segments = max(SEGMENTS, -(-int(size or 0) // SEGMENT_BYTES))
-    model = staged(count_events(training, segments, text_col, bits_per_entry), "lm-segments")
+    model = staged(count_events(training, segments, text_col, bits_per_entry, kinds=len(mus) + 1), "lm-segments")
     n, distinct, size = model.agg(F.sum("tokens"), F.sum(F.octet_length("words") / 8), F.sum(F.octet_length("words") * 2 + F.octet_length("bits"))).first()
     n, distinct = int(n or 0), int(distinct or 0)
     settings = Settings(n, n + 0.5 * (distinct + 1), n_docs, mus)
