@@ -19,7 +19,10 @@ DEFAULT_CONTENT = "Here is what fits your request."
 
 
 def first_of_thread(threads: DataFrame, thread_id: str, ordinal: str = "_ordinal") -> DataFrame:
-    """The first stored document of a thread, of several that may share its id; none for an unknown one."""
+    """The first stored document of a thread, of several that may share its id; none for an unknown one. A blank id is an
+    error."""
+    if not thread_id.strip():
+        raise ValueError("a thread id is needed")
     return threads.where(F.col("thread_id") == thread_id).orderBy(ordinal).limit(1)
 
 

@@ -242,6 +242,8 @@ def test_search_addresses(spark):
     wide = planner.search_addresses(F.lit("p"), F.lit(10.5), F.lit(500.0), F.array(F.lit("A&B")), F.lit("128 GB"), F.array(F.lit("4 GB"), F.lit("6 GB")), SHOP)
     assert one.select(wide).first()[0] == planner.search_address(full, SHOP)
     assert "p%5B%5D=facets.ram%5B%5D%3D6+GB" in planner.search_address(full, SHOP)
+    with pytest.raises(ValueError):
+        planner.search_address(Query(""), SHOP)
 
 
 def test_keyword_weights_keep_the_contract():

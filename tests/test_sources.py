@@ -113,6 +113,8 @@ def test_first_documents(spark):
     assert {r["thread_id"]: r["query"] for r in threads.first_documents(rows).collect()} == {"a": "first", "b": "only"}
     assert threads.first_of_thread(rows, "a").first()["query"] == "first"
     assert threads.first_of_thread(rows, "zz").count() == 0
+    with pytest.raises(ValueError):
+        threads.first_of_thread(rows, " ")
 
 
 def test_first_by_keeps_a_row_a_key_before_the_shuffle(spark):
