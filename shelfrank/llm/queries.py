@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, lm, neighbours, pii, quality, shards, simhash
+from . import bpe, centroids, decontaminate, langid, licenses, lm, neighbours, pii, quality, shards, simhash
 from .shared import crc_fold, table
 
 
@@ -92,6 +92,33 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql(rounds: int = 3) -> str:
+    """Rounds of assignment and exact means, written out."""
+    steps = """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM kept ORDER BY h, x LIMIT 16)
+)"""
+    for k in range(rounds + 1):
+        steps += f""", d{k} AS (SELECT r, c, list_sum(list_transform(range(1, 65), lambda i: (kept.x[i] - c{k}.x[i]) * (kept.x[i] - c{k}.x[i]))) AS d FROM kept, c{k}
+), a{k} AS MATERIALIZED (SELECT r, c, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, c) AS n FROM d{k}) WHERE n = 1)"""
+        if k < rounds:
+            steps += f""", s{k} AS (SELECT c, i, sum(x[i]) AS s, count(*) AS n FROM a{k} JOIN kept USING (r), range(1, 65) AS t(i) GROUP BY c, i
+), m{k} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{k} GROUP BY c
+), c{k + 1} AS MATERIALIZED (SELECT c{k}.c, coalesce(m{k}.x, c{k}.x) AS x FROM c{k} LEFT JOIN m{k} USING (c))"""
+    return f"""{steps}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} USING (c)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
@@ -103,5 +130,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
+    "op12_centroids": op12_centroids,
 }
-ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op12_centroids": _op12_sql()}
