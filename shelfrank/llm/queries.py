@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, decontaminate, langid, licenses, lm, neighbours, pii, quality, shards, simhash
+from . import bpe, centroids, decontaminate, langid, licenses, lm, neighbours, pii, quality, shards, simhash, spelling
 from .shared import crc_fold, table
 
 
@@ -119,6 +119,41 @@ FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} USING (c)
 """
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: crc32 by its table, over the UTF-8 bytes of id and letters (up to U+00FF); near words by what is left without a letter.
+OP13_SQL = """
+WITH RECURSIVE tab AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t
+), runs AS (
+  SELECT id, run, count(*) AS n FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{00C0}-\\x{00FF}]{7,}')) AS run FROM documents)
+  GROUP BY id, run
+), hashed AS (
+  SELECT run, n, xor(list_reduce([4294967295] || flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END)),
+    lambda a, b: xor(a >> 8, t[CAST((xor(a, b) & 255) + 1 AS INTEGER)])), 4294967295) AS h FROM runs, tab
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), less AS MATERIALIZED (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, CAST(unnest(range(length(word))) AS INTEGER) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word
+), forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN (SELECT min(other) FROM near x WHERE x.word = w.word AND x.other_n = best.top) END AS form, CASE WHEN top >= 10 * w.n THEN top END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), ways AS (
+  SELECT word, word AS here, 0 AS k FROM forms UNION ALL SELECT ways.word, forms.form, k + 1 FROM ways JOIN forms ON ways.here = forms.word WHERE forms.form IS NOT NULL
+)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN (SELECT word, arg_max(here, k) AS root FROM ways GROUP BY word) USING (word)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
@@ -131,5 +166,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
     "op12_centroids": op12_centroids,
+    "op13_spelling": op13_spelling,
 }
-ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op12_centroids": _op12_sql()}
+ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op12_centroids": _op12_sql(), "op13_spelling": OP13_SQL}

@@ -39,6 +39,8 @@ def test_awkward_tables(spark, tmp_path, name, kind):
     rows = run(spark, str(tmp_path)).collect()
     if kind == "empty" or name in ("op6_neighbours", "op12_centroids"):
         assert rows == []
+    elif name == "op13_spelling":
+        assert rows == []  # no word of seven letters stands twice
     elif name == "pipeline":
         assert [r["doc_id"] for r in rows] == [3]  # one of the copies; the row without an id holds the last item
     else:
