@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, decontaminate, langid, licenses, lm, neighbours, pii, quality, shards, simhash, spelling
+from . import bpe, centroids, decontaminate, langid, licenses, lm, mixing, neighbours, pii, quality, shards, simhash, spelling
 from .shared import crc_fold, table
 
 
@@ -92,6 +92,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -165,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
+    "op11_mixing": op11_mixing,
     "op12_centroids": op12_centroids,
     "op13_spelling": op13_spelling,
 }
