@@ -47,6 +47,16 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value): the catalogue's records as JSON, with values of the wrong type: every third CPU score is a number, every
+    fifth capacity and every seventh price a text."""
+    key = F.col("_ordinal")
+    body = F.to_json(F.struct("_id", "title", "brand", "price", "images", "parseHtmlSpec", "normalizedSpecs"))
+    score = F.when(key % 3 == 0, F.regexp_replace(body, '"CPU":"([^"]*)"', '"CPU":$1')).otherwise(body)
+    capacity = F.when(key % 5 == 0, F.regexp_replace(score, '("capacity":[{]"value":)([0-9.E]+)', '$1"$2"')).otherwise(score)
+    return catalogue(spark, sf_dir).select(F.when(key % 7 == 0, F.regexp_replace(capacity, '("price":)([0-9.E]+)', '$1"$2"')).otherwise(capacity).alias("value"))
+
+
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing titles: every part in one of eight colours and four sizes, in the forms that shops write."""
     colours = F.array(*(F.lit(c) for c in ("Black", "BLUE", "titanium", "Grey", "Teal", "gold", "Red", "white")))

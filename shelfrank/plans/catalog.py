@@ -12,7 +12,7 @@ from ..operators import dedup, filters, matching, report, scoring, threads
 from ..operators.filters import Budget
 from ..operators.filters import Query as Constraints
 from ..sources import catalogue as source
-from ..sources import chips, html
+from ..sources import chips, html, places
 from . import adapter, conversation, planner
 from .adapter import table
 
@@ -631,3 +631,24 @@ def resolved_links(spark, sf_dir):
     href = "CASE page_id % 4 WHEN 0 THEN concat('x', page_id) WHEN 1 THEN concat('/q?p=', page_id) WHEN 2 THEN concat('../up/', page_id) ELSE concat('http://other.test/', page_id) END"
     pages = table(spark, sf_dir, "pages").select("page_id", F.format_string('<a href="%s">', F.expr(href)).alias("html"))
     return html.records(pages, lambda page: [{"link": html.resolved("https://shop.test/a/b", html.outline(page)[0]["links"][0]["href"])}], "link string").select("page_id", "link")
+
+
+@query("catalogue_array", f"WITH {CAT} SELECT (row_number() OVER (ORDER BY id) - 1)::BIGINT AS place, id::VARCHAR AS id, title, price, v_rear AS rear, v_cpu AS cpu, p_size || CASE WHEN p_size % 5 = 0 THEN ' TB' ELSE 'GB' END AS storage FROM cat")
+def catalogue_array(spark, sf_dir):
+    """The catalogue written as one array, whose places the numbers are, and read by splits."""
+    path = places.scratch(spark, "catalogue")
+    source.export(adapter.catalogue(spark, sf_dir).orderBy("_ordinal").drop("_ordinal"), path, single=True, layout="array")
+    rows = source.read_catalogue(spark, path)
+    rear = F.filter("normalizedSpecs.extracted.camera.rearCamera", lambda c: c["position"] == "main")
+    cpu = F.col("normalizedSpecs.extracted.technical.benchmark.antutu.breakdown")["CPU"]
+    best = numbers.largest(F.transform("normalizedSpecs.extracted.camera.rearCamera", lambda c: c["megapixel"]))
+    return rows.select(F.col("_ordinal").alias("place"), F.col("_id").alias("id"), "title", "price", F.when(F.size(rear) > 0, best).alias("rear"), text.number_prefix(cpu).alias("cpu"), F.col("normalizedSpecs.specs")["memory"]["storage"].alias("storage"))
+
+
+@query("typed_validation", f"WITH {CAT} SELECT id, concat_ws(',', CASE WHEN v_capacity IS NULL OR id % 5 = 0 THEN 'batteryEndurance' END, {', '.join(f"CASE WHEN {test}{' OR id % 3 = 0' if c == 'cpuPerformance' else ''} THEN '{c}' END" for c, test in _FAILED.items() if c != 'batteryEndurance')}) AS failed, CASE WHEN id % 7 <> 0 THEN price END AS price FROM cat")
+def typed_validation(spark, sf_dir):
+    """Records as JSON lines in which some CPU scores are numbers, and some capacities and prices texts: all are missing."""
+    path = places.scratch(spark, "records")
+    adapter.mixed_json(spark, sf_dir).write.text(path)
+    found = scoring.derive(source.typed_catalogue(source.read_variants(spark, path, "lines")))
+    return found.select(F.col("_id").cast("bigint").alias("id"), F.array_join(scoring.failed_categories(), ",").alias("failed"), "price")

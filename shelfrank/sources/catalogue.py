@@ -2,41 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import schemas
+from . import arrays, schemas
 
 
-#: Bits of _ordinal for a row's place in its file; what is above them numbers the files.
+#: Bits of _ordinal for a row's place in its file; what is above them numbers the files, of which there may be so many.
 FILE_BITS = 43
+MOST_FILES = 1 << (63 - FILE_BITS)
+
+
+def _ranks(spark: SparkSession, path: str) -> DataFrame:
+    """(__path, __rank): the files of a path in the order of their names; more of them than numbers have room for are an
+    error."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("__path"))  # names only
+    rank = F.row_number().over(Window.orderBy("__path")).cast("long") - 1
+    fits = F.when(rank < MOST_FILES, rank).otherwise(F.raise_error(F.lit(f"places can be numbered in {MOST_FILES} files at the most")).cast("long"))
+    return files.distinct().withColumn("__rank", fits)
+
+
+def _ordinal(rank: Column, within: Column) -> Column:
+    return F.shiftleft(rank, FILE_BITS) + within
+
+
+def _elements(spark: SparkSession, path: str) -> DataFrame:
+    """(_ordinal, value) of JSON arrays, one a file: a file's rank and the element's place in its array."""
+    found = arrays.elements(spark, path)
+    ranks = _ranks(spark, path).select(F.xxhash64("__path").alias("file"), "__rank")
+    return found.join(ranks, "file").select(_ordinal(F.col("__rank"), F.col("place")).alias("_ordinal"), "value")
+
+
+def _placed(rows: DataFrame, path: str, within: Column | None = None) -> DataFrame:
+    """Rows of split files with _ordinal. within: a row's place in its file; by default a number in its order."""
+    # A split starts at a byte of its file. Only a file's last split can share a task, so a row's count within its task,
+    # added to that byte, stays below the next split's start.
+    counted = F.col("_metadata.file_block_start") + F.monotonically_increasing_id() % (1 << 33)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__path"), (counted if within is None else within).alias("__within"))
+    joined = placed.join(_ranks(rows.sparkSession, path), "__path")
+    return joined.withColumn("_ordinal", _ordinal(F.col("__rank"), F.col("__within"))).drop("__path", "__rank", "__within")
 
 
 def read_catalogue(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
     """Product records with their place in the input as _ordinal.
 
-    layout "array" reads one JSON array a file, which one task parses; "lines" (a record a line) and "parquet" are for
-    catalogues of any size. _ordinal orders rows by their file's path and their place in it, however files are split and
-    packed into tasks, and may leave gaps. In Parquet a row's number is always the same; in the other layouts the order
-    is, while numbers can differ between reads with other split sizes. Numbers where the schema has text come as text;
-    `typed_catalogue` takes only what has the right type.
+    layout: "array", one JSON array a file, "lines", a JSON record a line, or "parquet"; files of any size are read by as
+    many tasks as they have splits. _ordinal orders rows by their file's path and their place in it, however files are
+    split and packed into tasks. In an array and in Parquet a row's number is its place, for the first file from 0 on; of
+    lines the order is always the same, while numbers have gaps and can differ between reads with other split sizes. An
+    element that isn't a record is a row of nulls. Numbers where the schema has text come as text; `typed_catalogue` takes
+    only what has the right type.
     """
+    if layout == "array":
+        return _elements(spark, path).select(F.from_json("value", schemas.struct_of(schemas.CATALOGUE)).alias("r"), "_ordinal").select("r.*", "_ordinal")
     reader = spark.read.schema(schemas.CATALOGUE)
-    rows = reader.parquet(path) if layout == "parquet" else reader.option("multiLine", layout == "array").json(path)
-    # A split starts at a byte of its file. Only a file's last split can share a task, so a row's count within its task,
-    # added to that byte, stays below the next split's start.
-    within = F.col("_metadata.row_index") if layout == "parquet" else F.col("_metadata.file_block_start") + F.monotonically_increasing_id() % (1 << 33)
-    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), within.alias("__within"))
-    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("__file"))  # names only
-    ranked = files.distinct().withColumn("__rank", F.row_number().over(Window.orderBy("__file")) - 1)
-    joined = placed.join(ranked, "__file", "left")
-    return joined.withColumn("_ordinal", F.shiftleft(F.coalesce("__rank", F.lit(0)).cast("long"), FILE_BITS) + F.col("__within")).drop("__file", "__rank", "__within")
+    if layout == "parquet":
+        return _placed(reader.parquet(path), path, F.col("_metadata.row_index"))
+    return _placed(reader.json(path), path)
 
 
-def read_variants(spark: SparkSession, path: str) -> DataFrame:
-    """(_ordinal, record) of a JSON array, as variants: keeps whether a value was a number, a text, null or absent."""
-    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("body"))
-    return spark.sql("SELECT cast(e.pos AS bigint) AS _ordinal, e.value AS record FROM {whole}, LATERAL variant_explode(body) AS e", whole=whole)
+def read_variants(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
+    """(_ordinal, record) of JSON arrays or lines, a variant each, placed as by `read_catalogue`: keeps whether a value was
+    a number, a text, null or absent. What isn't JSON is a null record."""
+    if layout == "array":
+        return _elements(spark, path).select("_ordinal", F.try_parse_json("value").alias("record"))
+    return _placed(spark.read.option("singleVariantColumn", "record").json(path), path).select("_ordinal", "record")
 
 
 def only_text(record: Column | str, path: str) -> Column:
@@ -80,8 +113,24 @@ def exportable(devices: DataFrame, lifecycles: tuple[str, ...] = schemas.LIFECYC
     return devices.where(F.col("parseHtmlSpec.meta.lifecycle").isin(*lifecycles)).drop("html")
 
 
-def export(devices: DataFrame, path: str, single: bool = False) -> None:
-    """Writes records as JSON lines. single: into one file, for catalogues that one task can write."""
+def export(devices: DataFrame, path: str, single: bool = False, layout: str = "lines") -> None:
+    """Writes records as JSON: "lines", or an "array" a file. single: into one file, for catalogues that one task can
+    write."""
     if not devices.take(1):
         raise ValueError("no record of a wanted life cycle")
-    (devices.coalesce(1) if single else devices).write.mode("overwrite").json(path)
+    rows = devices.coalesce(1) if single else devices
+    if layout == "lines":
+        rows.write.mode("overwrite").json(path)
+    else:
+        rows.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(_bracketed, "value string").write.mode("overwrite").text(path)
+
+
+def _bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's records as the lines of one array."""
+    lead = "["
+    for batch in batches:
+        values = batch.column("value").to_pylist()
+        yield pa.RecordBatch.from_pydict({"value": pa.array([(lead if k == 0 else ",") + v for k, v in enumerate(values)], pa.string())})
+        lead = "," if values else lead
+    if lead == ",":
+        yield pa.RecordBatch.from_pydict({"value": pa.array(["]"])})
