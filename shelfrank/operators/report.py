@@ -1,4 +1,8 @@
-"""Why records are rejected: counts and ids by category and failing value."""
+"""Why records are rejected: counts and ids by category and failing value.
+
+A value's ids may be most of the catalogue's, as a missing one's may be. They are numbered in input order without meeting
+in one task, and reported in chunks.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +10,16 @@ import json
 import re
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources import places
 from .scoring import CATEGORIES, derive, valid
 
 MISSING = "MISSING"
-#: Ids that a report shows of a value; counts are of all.
-SHOWN = 100
+#: Ids of a value that stand in one row of a report, and those that a document shows; counts are of all.
+CHUNK, SHOWN = 1000, 100
 #: Categories reported by chipset instead of by value.
 BY_CHIPSET = {"cpuPerformance": ("CPU", "cpuScore"), "gpuPerformance": ("GPU", "gpuScore")}
 
@@ -65,29 +70,39 @@ def failures(devices: DataFrame) -> DataFrame:
     return rows.select("f.processor", "f.value", "chipset", "_id", "_ordinal")
 
 
-def _with_ids(counts: DataFrame, rows: DataFrame, keys: list[str], shown: int) -> DataFrame:
-    """counts with document_ids, the first `shown` of each key's ids in input order. Each task keeps so many a key before
-    the shuffle, so the commonest value, as a missing one may be, isn't heavy."""
-    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("_ordinal", "_id"))).where(F.col("__n") <= shown)
-    ids = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "_id"))), lambda s: s["_id"]).alias("document_ids"))
-    return counts.join(ids, keys)
+def _chunked(rows: DataFrame, keys: list[str], told: dict[str, tuple[Column, Column]], chunk: int) -> DataFrame:
+    """(keys..., told..., chunk, document_ids): each key's ids in input order, `chunk` a row, and what is told of all of its
+    rows: for each name, an aggregate and how it is read.
+
+    Rows are dealt out by their place in the input, whatever their keys, so parts are of one size. A row's number is its
+    place in its part and key, after those of the parts before.
+    """
+    dealt = places.staged(rows.repartitionByRange("_ordinal", "_id").withColumn("part", F.spark_partition_id()), "failures")
+    of_part = dealt.groupBy("part", *keys).agg(F.count("*").alias("__n"), *(made.alias(f"__{name}") for name, (made, _) in told.items()))
+    key = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("__n").over(key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A row a part and key; parts are as many as tasks.
+    known = of_part.select("part", *keys, before.alias("__before"), F.sum("__n").over(key).alias("failed_count"), *(how.over(key).alias(name) for name, (_, how) in told.items()))
+    at = F.row_number().over(Window.partitionBy("part", *keys).orderBy("_ordinal", "_id"))
+    placed = dealt.select("part", *keys, "_id", at.alias("__at")).join(known, ["part", *keys]).withColumn("__place", F.col("__before") + F.col("__at") - 1)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("__place", "_id"))), lambda s: s["_id"])  # a chunk's
+    return placed.groupBy(*keys, "failed_count", *told, F.floor(F.col("__place") / chunk).cast("int").alias("chunk")).agg(ids.alias("document_ids"))
 
 
-def by_value(failed: DataFrame, shown: int = SHOWN) -> DataFrame:
-    """(processor, value, failed_count, document_ids, first_seen): how many records fail with each value, and the first
-    ids in input order, repeats included. `failures` has every id, a row for each."""
-    rows, keys = failed.where(~F.col("processor").isin(*BY_CHIPSET)), ["processor", "value"]
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("failed_count"), F.min("_ordinal").alias("first_seen"))
-    return _with_ids(counts, rows, keys, shown).select(*keys, "failed_count", "document_ids", "first_seen")
+def by_value(failed: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(processor, value, failed_count, first_seen, chunk, document_ids): how many records fail with each value, and all
+    their ids in input order, repeats included, `chunk` of them a row."""
+    rows = failed.where(~F.col("processor").isin(*BY_CHIPSET))
+    return _chunked(rows, ["processor", "value"], {"first_seen": (F.min("_ordinal"), F.min("__first_seen"))}, chunk)
 
 
-def by_chipset(failed: DataFrame, shown: int = SHOWN) -> DataFrame:
-    """(processor, chipset, value, failed_count, document_ids, first_seen): how many distinct ids fail with each chipset,
-    the first of them, and the last record's value."""
+def by_chipset(failed: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(processor, chipset, value, failed_count, first_seen, chunk, document_ids): how many distinct ids fail with each
+    chipset, all of them in the order in which they are first seen, `chunk` a row, and the last record's value."""
     rows, keys = failed.where(F.col("processor").isin(*BY_CHIPSET)), ["processor", "chipset"]
     once = rows.groupBy(*keys, "_id").agg(F.min("_ordinal").alias("_ordinal"), F.max(F.struct("_ordinal", "value")).alias("last"))
-    counts = once.groupBy(*keys).agg(F.max("last")["value"].alias("value"), F.count("*").alias("failed_count"), F.min("_ordinal").alias("first_seen"))
-    return _with_ids(counts, once, keys, shown).select(*keys, "value", "failed_count", "document_ids", "first_seen")
+    told = {"first_seen": (F.min("_ordinal"), F.min("__first_seen")), "last": (F.max("last"), F.max("__last"))}
+    return _chunked(once, keys, told, chunk).select(*keys, F.col("last.value").alias("value"), "failed_count", "first_seen", "chunk", "document_ids")
 
 
 def totals(failed: DataFrame) -> DataFrame:
@@ -105,24 +120,57 @@ def totals(failed: DataFrame) -> DataFrame:
 
 
 def document(devices: DataFrame, shown: int = SHOWN) -> dict:
-    """The report as one document: all counts, and the first `shown` ids of each value. It holds a row for each distinct
-    value; `failures` written as a table is the form for any size."""
+    """The report as one document: all counts, the first `shown` ids of each value, and whether there are more (cut). It
+    holds a row for each distinct value; `write_whole` is the form for any size."""
     failed = failures(devices)
     values: dict[str, list] = {}
-    for r in by_value(failed, shown).orderBy("first_seen").collect():
-        values.setdefault(r["processor"], []).append({"value": json.loads(r["value"]), "documentIds": r["document_ids"]})
-    for r in by_chipset(failed, shown).orderBy("first_seen").collect():
-        own = {"chipset": r["chipset"], BY_CHIPSET[r["processor"]][1]: r["value"]}
-        values.setdefault(r["processor"], []).append({"value": own, "documentIds": r["document_ids"]})
+
+    def add(r, value) -> None:
+        ids = r["document_ids"][:shown]
+        values.setdefault(r["processor"], []).append({"value": value, "failedCount": r["failed_count"], "documentIds": ids, "cut": r["failed_count"] > len(ids)})
+
+    first = lambda rows: rows.where("chunk = 0").orderBy("first_seen").collect()
+    for r in first(by_value(failed, max(shown, 1))):
+        add(r, json.loads(r["value"]))
+    for r in first(by_chipset(failed, max(shown, 1))):
+        add(r, {"chipset": r["chipset"], BY_CHIPSET[r["processor"]][1]: r["value"]})
     found = [{"processor": r["processor"], "failedCount": r["failed_count"], "failedValues": values.get(r["processor"], [])} for r in totals(failed).collect()]
     return {"totalRecords": devices.count(), "processorFailures": found}
 
 
-def write_numbered(report: dict, folder: str, stem: str = "processor-failures") -> Path:
-    """Writes a report under the next free number and returns the file's path."""
+STEM = "processor-failures"
+
+
+def _next_number(taken: list[str], stem: str, end: str) -> int:
+    found = [int(m[1]) for name in taken if (m := re.fullmatch(rf"{re.escape(stem)}-(\d+){end}", name))]
+    return max(found, default=0) + 1
+
+
+def write_numbered(report: dict, folder: str, stem: str = STEM) -> Path:
+    """Writes a report under the next free number and returns the file's path; two writers at once take two numbers."""
     place = Path(folder)
     place.mkdir(parents=True, exist_ok=True)
-    taken = [int(m[1]) for p in place.iterdir() if (m := re.fullmatch(rf"{re.escape(stem)}-(\d+)\.json", p.name))]
-    path = place / f"{stem}-{max(taken, default=0) + 1}.json"
-    path.write_text(json.dumps(report, indent=2))
+    while True:
+        path = place / f"{stem}-{_next_number([p.name for p in place.iterdir()], stem, '[.]json')}.json"
+        try:
+            with path.open("x") as f:
+                f.write(json.dumps(report, indent=2))
+            return path
+        except FileExistsError:
+            continue
+
+
+def write_whole(devices: DataFrame, folder: str, stem: str = STEM, chunk: int = CHUNK) -> str:
+    """Writes the whole report, with every id, under the next free number, as folders of JSON lines: totals, by_value and
+    by_chipset, ids in chunks. Returns its path. Tasks write; nothing is gathered. A file named complete comes last, so a
+    report without one was cut short. For several writers at once, each takes its own folder."""
+    spark: SparkSession = devices.sparkSession
+    root, fs = places.place_of(spark, folder)
+    fs.mkdirs(root)
+    path = f"{folder.rstrip('/')}/{stem}-{_next_number([s.getPath().getName() for s in fs.listStatus(root)], stem, '')}"
+    failed = places.staged(failures(devices), "failures")
+    totals(failed).withColumn("total_records", F.lit(devices.count())).coalesce(1).write.json(f"{path}/totals")  # a row a category
+    by_value(failed, chunk).write.json(f"{path}/by_value")
+    by_chipset(failed, chunk).write.json(f"{path}/by_chipset")
+    fs.create(places.place_of(spark, f"{path}/complete")[0], False).close()
     return path

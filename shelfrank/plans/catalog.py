@@ -311,16 +311,28 @@ BY_VALUE = " UNION ALL ".join((
 ))
 
 
-@query("failure_report_by_value", f"WITH {CAT}, f AS ({BY_VALUE}) SELECT processor, value, count(*) AS failed_count, array_to_string(list(id::VARCHAR ORDER BY id)[1:100], ',') AS document_ids FROM f GROUP BY processor, value")
+#: Ids a row of the reports that are compared: few enough for keys of several rows.
+_CHUNK = 40
+
+
+def _chunks(keys: str, rows: str) -> str:
+    """Every id of each key in input order, so many a row."""
+    return f"SELECT {keys}, failed_count, chunk::INT AS chunk, string_agg(id::VARCHAR, ',' ORDER BY id) AS document_ids FROM (SELECT *, (row_number() OVER (PARTITION BY {keys} ORDER BY id) - 1) // {_CHUNK} AS chunk, count(*) OVER (PARTITION BY {keys}) AS failed_count FROM ({rows})) GROUP BY {keys}, failed_count, chunk"
+
+
+@query("failure_report_by_value", f"WITH {CAT}, f AS ({BY_VALUE}) {_chunks('processor, value', 'FROM f')}")
 def failure_report_by_value(spark, sf_dir):
-    found = report.by_value(report.failures(adapter.catalogue(spark, sf_dir)))
-    return found.select("processor", "value", "failed_count", F.array_join("document_ids", ",").alias("document_ids"))
+    found = report.by_value(report.failures(adapter.catalogue(spark, sf_dir)), _CHUNK)
+    return found.select("processor", "value", "failed_count", "chunk", F.array_join("document_ids", ",").alias("document_ids"))
+
+
+_BY_CHIPSET = "SELECT 'cpuPerformance' AS processor, chipset, 'MISSING' AS value, id FROM cat WHERE v_cpu IS NULL"
 
 
-@query("failure_report_by_chipset", f"WITH {CAT} SELECT 'cpuPerformance' AS processor, chipset, 'MISSING' AS value, count(*) AS failed_count, array_to_string(list(id::VARCHAR ORDER BY id)[1:100], ',') AS document_ids FROM cat WHERE v_cpu IS NULL GROUP BY chipset")
+@query("failure_report_by_chipset", f"WITH {CAT} {_chunks('processor, chipset, value', _BY_CHIPSET)}")
 def failure_report_by_chipset(spark, sf_dir):
-    found = report.by_chipset(report.failures(adapter.catalogue(spark, sf_dir)))
-    return found.select("processor", "chipset", "value", "failed_count", F.array_join("document_ids", ",").alias("document_ids"))
+    found = report.by_chipset(report.failures(adapter.catalogue(spark, sf_dir)), _CHUNK)
+    return found.select("processor", "chipset", "value", "failed_count", "chunk", F.array_join("document_ids", ",").alias("document_ids"))
 
 
 @query("failure_totals", f"WITH {CAT} " + " UNION ALL ".join(f"SELECT '{c}' AS processor, count(*) FILTER (WHERE {test}) AS failed_count FROM cat" for c, test in _FAILED.items() if c != "gpuPerformance"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from py4j.java_gateway import JavaObject
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Where a session on one machine keeps files if it names no folder.
 LOCAL_FALLBACK = "/tmp/checkpoints"
@@ -36,3 +36,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     place, fs = place_of(spark, path)
     fs.deleteOnExit(place)
     return path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """df written once as Parquet in the shared folder and read back: computed once, and safe from the loss of executors."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfrank.operators import dedup, matching, report, scoring
 from shelfrank.plans import planner, recommend
@@ -155,6 +156,53 @@ def test_report(devices, records, tmp_path):
     assert [(v["value"]["ram"], v["documentIds"]) for v in ram["failedValues"]] == list(wanted.items())
     (tmp_path / "processor-failures-4.json").write_text("{}")
     assert report.write_numbered(found, str(tmp_path)).name == "processor-failures-5.json"
+    few = next(p for p in report.document(devices, shown=2)["processorFailures"] if p["processor"] == "ramCapacity")
+    assert [(v["documentIds"], v["failedCount"], v["cut"]) for v in few["failedValues"]] == [(ids[:2], len(ids), len(ids) > 2) for ids in wanted.values()]
+
+
+def test_whole_report_has_every_id_in_chunks(spark, devices, tmp_path):
+    """Concatenated chunks are the uncut lists, for values and chipsets, repeated ids included."""
+    again = devices.union(devices.where("price > 5000").withColumn("_ordinal", F.col("_ordinal") + 1000)).repartition(7)
+    (tmp_path / "processor-failures-2").mkdir()
+    path = report.write_whole(again, str(tmp_path), chunk=7)
+    assert path.endswith("processor-failures-3") and (tmp_path / "processor-failures-3" / "complete").exists()
+    rows = sorted(report.failures(again).collect(), key=lambda r: (r["_ordinal"], r["_id"]))
+    wanted = {}
+    for r in rows:
+        if r["processor"] in report.BY_CHIPSET:
+            ids = wanted.setdefault((r["processor"], r["chipset"]), [])
+            if r["_id"] not in ids:
+                ids.append(r["_id"])
+        else:
+            wanted.setdefault((r["processor"], r["value"]), []).append(r["_id"])
+    found, last = {}, {}
+    for name, key in (("by_value", "value"), ("by_chipset", "chipset")):
+        for r in sorted(spark.read.json(f"{path}/{name}").collect(), key=lambda r: r["chunk"]):
+            own = found.setdefault((r["processor"], r[key]), [])
+            assert len(own) == 7 * r["chunk"] and r["failed_count"] == len(wanted[r["processor"], r[key]])
+            own += r["document_ids"]
+            last[r["processor"], r[key]] = r["value"]
+    assert found == wanted and max(map(len, wanted.values())) > 50
+    for r in rows:
+        if r["processor"] in report.BY_CHIPSET:
+            wanted[r["processor"], r["chipset"]] = r["value"]
+    assert all(last[k] == v for k, v in wanted.items() if k[0] in report.BY_CHIPSET)
+    told = {r["processor"]: (r["failed_count"], r["total_records"]) for r in spark.read.json(f"{path}/totals").collect()}
+    assert told["ramCapacity"] == (sum(len(v) for (p, _), v in found.items() if p == "ramCapacity"), again.count())
+
+
+def test_no_task_of_the_report_holds_a_whole_value(spark):
+    """A value that every record has is dealt over parts: its largest group is a small share of the rows."""
+    rows = spark.range(20_000).select(F.lit("ramCapacity").alias("processor"), F.lit("MISSING").alias("value"), F.lit("c").alias("chipset"), F.col("id").cast("string").alias("_id"), F.col("id").alias("_ordinal"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = report.by_value(rows, 500)
+        assert found.count() == 40 and found.agg(F.max(F.size("document_ids"))).first()[0] == 500
+        plan = plan_of(found)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert "hashpartitioning(part" in plan and "SinglePartition" not in plan
 
 
 def test_variants_tell_numbers_from_texts(spark, tmp_path):
@@ -231,7 +279,6 @@ SHOP = planner.Shop("https://shop.test/search", "a,b", "SHOP")
 
 
 def test_search_addresses(spark):
-    from pyspark.sql import functions as F
 
     from shelfrank.operators.filters import Query
 
@@ -306,7 +353,7 @@ def test_matches_above_any_threshold_equal_all_pairs(spark, threshold):
 
 def test_reports_show_the_first_ids_and_count_all(devices):
     failed = report.failures(devices)
-    few, all_of = ({(r["processor"], r["value"]): r for r in report.by_value(failed, n).collect()} for n in (2, 1000))
+    few, all_of = ({(r["processor"], r["value"]): r for r in report.by_value(failed, n).where("chunk = 0").collect()} for n in (2, 1000))
     assert few.keys() == all_of.keys() and all(few[k]["failed_count"] == all_of[k]["failed_count"] == len(all_of[k]["document_ids"]) and few[k]["document_ids"] == all_of[k]["document_ids"][:2] for k in few)
-    few, all_of = ({(r["processor"], r["chipset"]): r for r in report.by_chipset(failed, n).collect()} for n in (2, 1000))
+    few, all_of = ({(r["processor"], r["chipset"]): r for r in report.by_chipset(failed, n).where("chunk = 0").collect()} for n in (2, 1000))
     assert all(few[k]["document_ids"] == all_of[k]["document_ids"][:2] and few[k]["failed_count"] == len(set(all_of[k]["document_ids"])) for k in few)
