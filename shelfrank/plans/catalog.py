@@ -12,7 +12,7 @@ from ..operators import dedup, filters, matching, report, scoring, threads
 from ..operators.filters import Budget
 from ..operators.filters import Query as Constraints
 from ..sources import catalogue as source
-from ..sources import chips, html, places
+from ..sources import chips, html, keyed, places
 from . import adapter, conversation, planner
 from .adapter import table
 
@@ -518,7 +518,10 @@ def soc_upsert(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier")
     stored = rows.where("s_suppkey % 3 <> 0").select(F.col("s_name").alias("title"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("total"))
     new = rows.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("title"), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal") + 1).alias("total"), "s_suppkey")
-    return chips.upserted(stored, new, supplied={"total": F.col("s_suppkey") % 5 != 0})
+    documents = keyed.KeyedTable(spark, places.scratch(spark, "documents"), "title string, nation int, total double", buckets=8)
+    documents.upsert(stored)
+    documents.upsert(new, supplied={"total": F.col("s_suppkey") % 5 != 0})
+    return documents.read()
 
 
 @query("append_pages", "SELECT p_partkey AS id, p_name AS title, 0 AS page_no FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, p_name, 1 FROM part WHERE p_partkey % 3 = 0")

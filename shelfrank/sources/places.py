@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Where a session on one machine keeps files if it names no folder.
@@ -43,3 +45,56 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    place, fs = place_of(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    place, fs = place_of(spark, path)
+    stream = fs.open(place)
+    try:
+        return bytes(spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def published(spark: SparkSession, path: str, body: str) -> bool:
+    """Makes a small file of this text, unless there is one: then False, and nothing is changed. Of several writers one
+    alone gets True, and nobody sees a part of the text.
+
+    The text is written beside and then linked or renamed to its name, which fails where the name is taken. That is one
+    step on POSIX file systems (link) and on HDFS (rename without overwriting). Object stores rename by copying: there
+    two writers can both get True, unless the connector refuses to replace what exists, so keep to one writer at a time.
+    """
+    place, fs = place_of(spark, path)
+    folder = place.getParent()
+    fs.mkdirs(folder)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(folder, f".{uuid.uuid4().hex}")
+    out = fs.create(beside, False)
+    try:
+        out.write(bytearray(body.encode()))
+    finally:
+        out.close()
+    try:
+        if fs.getUri().getScheme() == "file":
+            os.link(beside.toUri().getPath(), place.toUri().getPath())
+        else:
+            context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+            none = spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            options[0] = none
+            context.rename(beside, place, options)
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if fs.exists(place):
+            return False
+        raise e
+    finally:
+        fs.delete(beside, False)

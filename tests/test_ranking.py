@@ -279,7 +279,6 @@ SHOP = planner.Shop("https://shop.test/search", "a,b", "SHOP")
 
 
 def test_search_addresses(spark):
-
     from shelfrank.operators.filters import Query
 
     plain, full = Query("a b~*"), Query("p", 500.0, 10.5, ["A&B"], "128 GB", ["4 GB", "6 GB"])
