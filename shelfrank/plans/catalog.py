@@ -11,8 +11,9 @@ from ..functions import numbers, text
 from ..operators import dedup, filters, matching, report, scoring, threads
 from ..operators.filters import Budget
 from ..operators.filters import Query as Constraints
+from ..operators.store import Store
 from ..sources import catalogue as source
-from ..sources import chips, html, keyed, places
+from ..sources import chips, html, keyed, places, schemas
 from . import adapter, conversation, planner
 from .adapter import table
 
@@ -667,3 +668,16 @@ def typed_validation(spark, sf_dir):
     adapter.mixed_json(spark, sf_dir).write.text(path)
     found = scoring.derive(source.typed_catalogue(source.read_variants(spark, path, "lines")))
     return found.select(F.col("_id").cast("bigint").alias("id"), F.array_join(scoring.failed_categories(), ",").alias("failed"), "price")
+
+
+@query("threads_after_turns", """WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+  SELECT conv_id, n + CASE WHEN conv_id = 3 THEN 4 ELSE 0 END AS n_messages, CASE WHEN conv_id = 3 THEN 'those two' ELSE text END AS said FROM n JOIN (SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id) USING (conv_id)""")
+def threads_after_turns(spark, sf_dir):
+    """Stored conversations, two turns committed to one of them, one before and one after turns are compacted."""
+    store = Store(spark, places.scratch(spark, "threads"))
+    store.load(adapter.messages(spark, sf_dir).withColumns({"thread_id": F.col("thread_id").cast("string"), "timestamp": F.current_timestamp(), "products": F.lit(None).cast(schemas.PRODUCTS)}))
+    store.append("3", "and the second?", "that one")
+    store.compact()
+    store.append("3", "and both?", "those two")
+    rows = store.stored_messages().withColumn("conv_id", F.col("thread_id").cast("bigint"))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.max_by("content", "seq").alias("said"))

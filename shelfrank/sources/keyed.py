@@ -8,7 +8,6 @@ its buckets over the new manifest or, where both changed a bucket, merges again.
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,18 +29,14 @@ class KeyedTable:
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "title", buckets: int = 64):
         self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
+        self.manifests = places.Manifests(spark, f"{self.path}/manifests")
 
     # What is committed.
 
-    def _numbers(self) -> list[int]:
-        return sorted(int(n[:-5]) for n in places.listed(self.spark, f"{self.path}/manifests") if n.endswith(".json") and not n.startswith("."))
-
     def manifest(self, number: int | None = None) -> dict:
         """The last one, or the one of a number: {number, buckets: how many, files: folder by bucket}."""
-        number = number or max(self._numbers(), default=0)
-        if not number:
-            return {"number": 0, "buckets": self.buckets, "files": {}}
-        return {"number": number} | json.loads(places.read_small(self.spark, f"{self.path}/manifests/{number:09}.json"))
+        number, body = (number, self.manifests.read(number)) if number else self.manifests.last()
+        return {"number": number, "buckets": self.buckets, "files": {}} | body
 
     def _bucket(self, key: Column, manifest: dict) -> Column:
         return F.pmod(F.xxhash64(key.cast("string")), F.lit(manifest["buckets"])).cast("int")
@@ -98,17 +93,14 @@ class KeyedTable:
         return {str(b): f"{name}/__bucket={b}" for b in touched}
 
     def _publish(self, base: dict, done: dict[str, str]) -> bool:
-        body = {"buckets": base["buckets"], "files": base["files"] | done}
-        return places.published(self.spark, f"{self.path}/manifests/{base['number'] + 1:09}.json", json.dumps(body))
+        return self.manifests.put(base["number"] + 1, {"buckets": base["buckets"], "files": base["files"] | done})
 
     def vacuum(self, keep: int = 2) -> list[str]:
-        """Deletes files that none of the last manifests names, and older manifests: what upserts replaced, or left when
-        they died. Not beside a running upsert, whose files no manifest names yet."""
-        numbers = self._numbers()
-        held = {f.split("/")[1] for n in numbers[-keep:] for f in self.manifest(n)["files"].values()}
-        gone = [f"manifests/{n:09}.json" for n in numbers[:-keep]]
-        gone += [f"data/{name}" for name in places.listed(self.spark, f"{self.path}/data") if name not in held]
+        """Deletes older manifests, and folders that none of the last ones names: what upserts replaced, or left when they
+        died. Not beside a running upsert, whose files no manifest names yet."""
+        held = {f.split("/")[1] for n in self.manifests.numbers()[-keep:] for f in self.manifest(n)["files"].values()}
+        self.manifests.forget(keep)
+        gone = [name for name in places.listed(self.spark, f"{self.path}/data") if name not in held]
         for name in gone:
-            place, fs = places.place_of(self.spark, f"{self.path}/{name}")
-            fs.delete(place, True)
+            places.removed(self.spark, f"{self.path}/data/{name}")
         return gone

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import time
 import uuid
 
 from py4j.java_gateway import JavaObject
@@ -98,3 +101,43 @@ def published(spark: SparkSession, path: str, body: str) -> bool:
         raise e
     finally:
         fs.delete(beside, False)
+
+
+class Manifests:
+    """Numbered JSON files of a folder, each number taken once. The last one tells what is committed."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def _path(self, number: int) -> str:
+        return f"{self.folder}/{number:09}.json"
+
+    def numbers(self) -> list[int]:
+        return sorted(int(n[:9]) for n in listed(self.spark, self.folder) if re.fullmatch(r"\d{9}[.]json", n))
+
+    def read(self, number: int) -> dict:
+        return json.loads(read_small(self.spark, self._path(number)))
+
+    def last(self) -> tuple[int, dict]:
+        """The last number and what it says; (0, {}) before the first."""
+        number = max(self.numbers(), default=0)
+        return number, self.read(number) if number else {}
+
+    def put(self, number: int, body: dict) -> bool:
+        """False if another writer took the number."""
+        return published(self.spark, self._path(number), json.dumps(body))
+
+    def forget(self, keep: int) -> None:
+        for number in self.numbers()[:-keep]:
+            removed(self.spark, self._path(number))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    place, fs = place_of(spark, path)
+    fs.delete(place, True)
+
+
+def age(spark: SparkSession, path: str) -> float:
+    """Seconds since a file or folder was changed."""
+    place, fs = place_of(spark, path)
+    return time.time() - fs.getFileStatus(place).getModificationTime() / 1000

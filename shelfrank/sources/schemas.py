@@ -26,7 +26,8 @@ def struct_of(columns: str) -> str:
 
 LIFECYCLES = ("unknown", "considerable")
 
-MESSAGE = "thread_id string, seq bigint, type string, role string, content string, timestamp timestamp, products array<struct<title: string, verdict: string, price: double, link: string, brand: string, dbRecordId: string, images: array<string>>>"
+PRODUCTS = "array<struct<title: string, verdict: string, price: double, link: string, brand: string, dbRecordId: string, images: array<string>>>"
+MESSAGE = f"thread_id string, seq bigint, type string, role string, content string, timestamp timestamp, products {PRODUCTS}"
 
 _PAIRS = "map<string, string>"
 CHIP = f"title string, description string, reviewScores array<struct<name: string, value: string>>, antutu struct<total: string, breakdown: {_PAIRS}>, recentAntutu array<struct<date: string, score: string, user: string, phone: string>>, geekbench struct<breakdown: {_PAIRS}>, smartphones array<struct<name: string, url: string, score: string>>, sections map<string, {_PAIRS}>"
