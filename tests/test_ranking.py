@@ -356,3 +356,50 @@ def test_reports_show_the_first_ids_and_count_all(devices):
     assert few.keys() == all_of.keys() and all(few[k]["failed_count"] == all_of[k]["failed_count"] == len(all_of[k]["document_ids"]) and few[k]["document_ids"] == all_of[k]["document_ids"][:2] for k in few)
     few, all_of = ({(r["processor"], r["chipset"]): r for r in report.by_chipset(failed, n).where("chunk = 0").collect()} for n in (2, 1000))
     assert all(few[k]["document_ids"] == all_of[k]["document_ids"][:2] and few[k]["failed_count"] == len(set(all_of[k]["document_ids"])) for k in few)
+
+
+def all_pairs(left, right):
+    wanted = {}
+    for i, a in enumerate(left):
+        scores = [(sum(t in a.split() for t in b.split()) / max(1, len({*a.split(), *b.split()})), -j) for j, b in enumerate(right)]
+        if max(scores)[0] > 0:
+            wanted[i] = (-max(scores)[1], pytest.approx(max(scores)[0]))
+    return wanted
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nearest_of_any_score_equals_all_pairs(spark, seed):
+    """Titles that share one word or many, repeats, unknown words, very long titles, ties of scores."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(30)]
+    title = lambda: " ".join(rng.choices(words, [1 / (k + 1) for k in range(30)], k=rng.randint(1, 9)) + [rng.choice(words)] * rng.choice([0, 0, 0, 2, 40]) + [f"u{rng.randrange(999)}" for _ in range(rng.choice([0, 1, 4, 90]))])
+    left, right = [title() for _ in range(70)] + ["none of these", ""], [title().replace("u", "y") for _ in range(120)] + [""]
+    frame = lambda ts: spark.createDataFrame(list(enumerate(ts)), "_ordinal long, title string")
+    found = {r["left_id"]: (r["right_id"], r["score"]) for r in matching.nearest(frame(left), frame(right)).collect()}
+    assert found == all_pairs(left, right)
+
+
+def test_a_common_word_alone_is_not_joined_on(spark):
+    """Every title has one word in common, and groups share others: few of all pairs are looked at."""
+    rng = random.Random(4)
+    right = [f"phone maker{k % 20} model{k} {'x' * rng.randint(1, 3)}" for k in range(1500)]
+    left = [f"phone maker{k % 20} unknown{k} of its own kind {k} a b c" for k in range(300)] + [f"some phone {k}" for k in range(100)]
+    frame = lambda ts: spark.createDataFrame(list(enumerate(ts)), "_ordinal long, title string")
+    rows, offers = matching._sides(frame(left), frame(right), "_ordinal", "title", "_ordinal", "title")
+    classed = matching._classed(offers)
+    rank = matching._rank(classed)
+    placed = matching._placed(rows.select("ws").distinct(), rank)
+    singles = matching._singles(placed, classed)
+    looked_at = matching._beating(placed, classed, rank, singles).count() + singles.count()
+    sharing = sum(bool({*a.split()} & {*b.split()}) for a in left for b in right)
+    assert sharing >= 400 * 1500 and looked_at < sharing / 20
+    found = {r["left_id"]: (r["right_id"], r["score"]) for r in matching.nearest(frame(left), frame(right)).collect()}
+    assert found == all_pairs(left, right)
+
+
+def test_a_title_of_one_word_many_times_is_a_class_of_its_own(spark):
+    right = ["phone " * 1000, "phone phone", "red phone pro", "blue phone max mini"] + [f"thing{k} pro" for k in range(30)]
+    left = ["red phone", "pro max mini blue", "thing3 pro"]
+    frame = lambda ts: spark.createDataFrame(list(enumerate(ts)), "_ordinal long, title string")
+    found = {r["left_id"]: (r["right_id"], r["score"]) for r in matching.best_matches(frame(left), frame(right)).collect()}
+    assert found == all_pairs(left, right)
