@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
@@ -13,7 +13,7 @@ from ..operators.filters import Budget
 from ..operators.filters import Query as Constraints
 from ..operators.store import Store
 from ..sources import catalogue as source
-from ..sources import chips, html, keyed, places, schemas
+from ..sources import chips, crawl, html, keyed, places, schemas
 from . import adapter, conversation, planner
 from .adapter import table
 
@@ -681,3 +681,21 @@ def threads_after_turns(spark, sf_dir):
     store.append("3", "and both?", "those two")
     rows = store.stored_messages().withColumn("conv_id", F.col("thread_id").cast("bigint"))
     return rows.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.max_by("content", "seq").alias("said"))
+
+
+_HOST = "^https?://([^/]+)"
+
+
+@query("crawled_pages", f"""WITH p AS (SELECT *, regexp_extract(url, '{_HOST}', 1) AS listing FROM pages), s AS (
+    SELECT listing, (row_number() OVER (PARTITION BY listing ORDER BY page_id))::INT AS page, CASE WHEN page_id % 5 = 0 THEN 'failed' WHEN page_id % 3 = 0 THEN 'empty' ELSE 'ok' END AS status, length(html)::INT AS n FROM p),
+  g AS (SELECT listing, bool_or(status = 'ok') AS fine FROM s GROUP BY listing)
+  SELECT listing, page, attempt::INT AS attempt, status, CASE status WHEN 'ok' THEN n WHEN 'empty' THEN 7 END AS n_chars FROM s JOIN g USING (listing), (SELECT unnest([1, 2, 3]) AS attempt) WHERE attempt = 1 OR NOT fine""")
+def crawled_pages(spark, sf_dir):
+    """Every page, stored under its host as a listing's, some without a text and some without a card, crawled."""
+    rows = table(spark, sf_dir, "pages").withColumn("listing", F.regexp_extract("url", _HOST, 1))
+    kept = F.when(F.col("page_id") % 5 != 0, F.when(F.col("page_id") % 3 == 0, F.lit("<p>none")).otherwise(F.col("html")))
+    path = places.scratch(spark, "pages")
+    crawl.store_pages(rows.select("listing", F.row_number().over(Window.partitionBy("listing").orderBy("page_id")).alias("page"), kept.alias("html")), path)
+    spark.dataSource.register(crawl.Listings)
+    found = spark.read.format("listings").option("most", str(10**6)).option("card", "article").load(path)
+    return found.select("listing", "page", "attempt", "status", F.length("html").alias("n_chars"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfrank.operators import dedup, threads
 from shelfrank.operators.store import Store
 from shelfrank.plans import conversation, planner
-from shelfrank.sources import catalogue, chips, crawl, html, schemas
+from shelfrank.sources import catalogue, chips, html, schemas
 from shelfrank.streaming.threads import append_stream
 
 LAYOUT = html.ListingLayout("https://shop.test")
@@ -205,32 +205,6 @@ def test_pages_from_folders_and_addresses(spark, tmp_path):
         chips.read_pages(spark, "http:/shop.test")
 
 
-def test_crawl_rules(spark):
-    some = lambda html: "data-id" in html
-
-    def listing(*pages):
-        calls = []
-
-        def fetch(n):
-            calls.append(n)
-            if n > len(pages):
-                raise crawl.NoSuchPage
-            if isinstance(pages[n - 1], Exception):
-                raise pages[n - 1]
-            return pages[n - 1]
-
-        return fetch, calls
-
-    fetch, calls = listing(CARD, "<p>", OSError("slow"), CARD, CARD)
-    assert crawl.crawled(fetch, some) == [(1, CARD), (4, CARD)] and calls == [1, 2, 3, 4]
-    fetch, calls = listing(CARD, CARD)
-    assert crawl.crawled(fetch, some) == [(1, CARD), (2, CARD)] and calls == [1, 2, 3]
-    fetch, calls = listing("<p>", OSError())
-    assert crawl.crawled(fetch, some) == [] and calls == [1, 2, 3] * 3
-    fetch, _ = listing(CARD, CARD.replace("A &amp; B", "A &amp; B (Blue)"), CARD.replace("A &amp; B", "C"))
-    assert [r["title"] for r in crawl.listed(spark, fetch, LAYOUT).orderBy("_ordinal").collect()] == ["A & B", "C"]
-
-
 def test_store(spark, tmp_path):
     store = Store(spark, f"{tmp_path}/threads")
     assert store.lookup("t") is None
