@@ -321,11 +321,25 @@ def test_requests_name_facets(spark):
 @pytest.mark.parametrize(("said", "extension"), [
     ("budget 20k, flexible by 3k", 3000), ("budget 20k, may go beyond by 1,500", 1500), ("budget of 20000 and willing to pay 2000 more", 2000),
     ("budget 20k, firm", None), ("budget 20k, won't exceed it", None), ("budget is 20k", None), ("phone under 20k, no more than that", None),
+    ("more storage phone under 20k", None), ("phone under 20k, more battery", None), ("phone under 20000 with more ram than 8 gb", None),
+    ("no limit on storage, budget 20k can extend by 2k", 2000), ("my limit is 20k, can extend storage, budget 20k", None), ("budget 20k, strictly android, can extend by 2k", 2000),
+    ("hard limit, budget 20k", None), ("budget 20k, can stretch to 25k", 5000), ("budget 20k, extendable up to 2,500", 2500), ("budget 20k, I can spend another 3k more", 3000),
+    ("more ram, 8 gb, budget 20k, flexible by another 1k", 1000), ("phone under 20k, flexible 2k for 8 gb ram", 2000),
 ])
 def test_how_far_a_budget_stretches(said, extension):
     assert planner.parse_request(said).budget == planner.Budget(20000.0, extension)
 
 
+def test_wishes_for_more_leave_the_budget(spark):
+    from shelfrank.operators import filters
+
+    found = planner.parse_request("phone under 30k, more battery")
+    prices = spark.createDataFrame([(29_999.0,), (30_001.0,), (60_000.0,)], "price double")
+    assert [r[0] for r in prices.select(filters.price_check(F.col("price"), found)["passed"]).collect()][2] is False
+    assert isinstance(planner.parse_request("phone under 20k, can extend"), planner.Clarification)
+    assert isinstance(planner.parse_request("budget 20k, willing to pay more"), planner.Clarification)
+
+
 def test_facets_change_the_ranking(spark, sf_dir):
     from shelfrank.plans import catalog
 
