@@ -124,3 +124,49 @@ def clean_json(x: Text) -> Column:
 
 def bearer_token(header: Text) -> Column:
     return F.nullif(F.regexp_extract(col(header), r"(?i)^Bearer (.+)$", 1), F.lit(""))
+
+
+#: Schemes whose addresses have a host and a path that links are relative to.
+HIERARCHICAL = ("http", "https", "ftp", "file", "ws", "wss")
+_SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):"
+
+
+def _parts(x: Column) -> dict[str, Column]:
+    """An address in parts, without their marks: scheme, host, path, query, fragment."""
+    plain = F.regexp_replace(F.regexp_replace(x, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    rest = F.regexp_replace(plain, _SCHEME, "")
+    part = lambda pattern: F.regexp_extract(rest, "(?s)" + pattern, 1)
+    return {"scheme": F.lower(F.regexp_extract(plain, _SCHEME, 1)), "host": part("^//([^/?#]*)"), "path": part("^(?://[^/?#]*)?([^?#]*)"), "query": part(r"^[^?#]*\?([^#]*)"), "fragment": part("^[^#]*#(.*)")}
+
+
+def _without_dots(segments: Column) -> Column:
+    """A path's segments after "." and ".." have done their work; one of these at the end leaves a folder."""
+    step = lambda kept, s: F.when(s == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(s == ".", kept).otherwise(F.array_append(kept, s))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    return F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+
+
+def resolved(base: Column | str, href: Column | str) -> Column:
+    """The absolute address of a page's link: RFC 3986 in columns. Web and file addresses stay as they are, and so do links
+    without a base and, against a base of another kind, those that have a scheme. An empty link is its base."""
+    b, h = col(base), col(href)
+    own, of = _parts(h), _parts(b)
+    relative = of["scheme"].isin(*HIERARCHICAL) & ((own["scheme"] == "") | (own["scheme"] == of["scheme"]))
+    # Parameters of the last segment aren't part of its name, where a scheme has any.
+    parameters = F.when(of["scheme"].isin("http", "https", "ftp"), F.regexp_extract(own["path"], "(?s)^(?:.*/)?[^/;]*(;[^/]*)$", 1)).otherwise(F.lit(""))
+    path = F.substring(own["path"], F.lit(1), F.length(own["path"]) - F.length(parameters))
+    folder = F.slice(F.split(of["path"], "/"), F.lit(1), F.greatest(F.size(F.split(of["path"], "/")) - 1, F.lit(0)))
+    joined = F.concat(F.when(F.size(folder) > 0, folder).otherwise(F.array(F.lit(""))), F.split(path, "/"))
+    n = F.size(joined)
+    inner = F.filter(F.slice(joined, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda s: s != "")
+    merged = F.concat(F.slice(joined, 1, 1), inner, F.slice(joined, n, F.lit(1)))
+    placed = F.array_join(_without_dots(F.when(path.startswith("/"), F.split(path, "/")).otherwise(merged)), "/")
+    bare = (own["path"] == "") & (own["host"] == "")
+    whole = F.when(own["host"] != "", own["path"]).when(bare, of["path"]).otherwise(F.concat(F.when(placed == "", F.lit("/")).otherwise(placed), parameters))
+    rooted = F.when((whole != "") & ~whole.startswith("/"), F.concat(F.lit("/"), whole)).otherwise(whole)
+    query = F.when(bare & (own["query"] == ""), of["query"]).otherwise(own["query"])
+    marked = lambda mark, x: F.when(x != "", F.concat(F.lit(mark), x)).otherwise(F.lit(""))
+    host = F.when(own["host"] != "", own["host"]).otherwise(of["host"])
+    address = F.concat(of["scheme"], F.lit("://"), host, rooted, marked("?", query), marked("#", own["fragment"]))
+    stays = h.rlike("(?i)^(https?://|file://)") | ((h != "") & ~relative) | (b == "") | b.isNull()
+    return F.when(h.isNull() | stays, h).when(h == "", b).otherwise(address)

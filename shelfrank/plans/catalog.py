@@ -645,8 +645,16 @@ def chip_details(spark, sf_dir):
 @query("resolved_links", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://shop.test/a/x' || page_id WHEN 1 THEN 'https://shop.test/q?p=' || page_id WHEN 2 THEN 'https://shop.test/up/' || page_id ELSE 'http://other.test/' || page_id END AS link FROM pages")
 def resolved_links(spark, sf_dir):
     href = "CASE page_id % 4 WHEN 0 THEN concat('x', page_id) WHEN 1 THEN concat('/q?p=', page_id) WHEN 2 THEN concat('../up/', page_id) ELSE concat('http://other.test/', page_id) END"
-    pages = table(spark, sf_dir, "pages").select("page_id", F.format_string('<a href="%s">', F.expr(href)).alias("html"))
-    return html.records(pages, lambda page: [{"link": html.resolved("https://shop.test/a/b", html.outline(page)[0]["links"][0]["href"])}], "link string").select("page_id", "link")
+    return table(spark, sf_dir, "pages").select("page_id", text.resolved(F.lit("https://shop.test/a/b"), F.expr(href)).alias("link"))
+
+
+@query("page_links", """SELECT page_id, array_to_string([regexp_extract(url, '^(https?://[^/?#]+)', 1) || h FOR h IN regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)], ' ') AS links FROM pages""")
+def page_links(spark, sf_dir):
+    """Links of pages, which start at their hosts' roots, extracted where the pages lie and resolved in columns."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html"))
+    found = html.records(rows.select(F.struct("page_id", "url").alias("page"), "html"), html.outline, "links array<struct<href: string, text: string>>", id_col="page")
+    flat = found.select(F.col("page_id.page_id").alias("id"), F.col("page_id.url").alias("url"), "links")
+    return flat.select(F.col("id").alias("page_id"), F.array_join(F.transform("links", lambda a: text.resolved(F.col("url"), a["href"])), " ").alias("links"))
 
 
 @query("catalogue_array", f"WITH {CAT} SELECT (row_number() OVER (ORDER BY id) - 1)::BIGINT AS place, id::VARCHAR AS id, title, price, v_rear AS rear, v_cpu AS cpu, p_size || CASE WHEN p_size % 5 = 0 THEN ' TB' ELSE 'GB' END AS storage FROM cat")

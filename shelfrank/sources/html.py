@@ -10,7 +10,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -239,10 +238,3 @@ def outline(html: str | None) -> list[dict]:
     root = parse(html)
     links = [{"href": a.attrs["href"], "text": a.text()} for a in select(root, "a[href]")]
     return [{"title": first_text(root, "title"), "heading": first_text(root, "h1"), "links": links}]
-
-
-def resolved(base: str | None, href: str | None) -> str | None:
-    """A link's absolute address; http(s) and file addresses stay as they are."""
-    if not href or re.match(r"(?i)https?://|file://", href):
-        return href
-    return urljoin(base, href) if base else href

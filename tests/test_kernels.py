@@ -1,6 +1,8 @@
 """Scalar kernels against hand-computed values."""
 
 import math
+import re
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from shelfrank.functions import numbers, text
 from shelfrank.operators import filters, threads
 from shelfrank.operators.filters import Budget, Query
 
+from .conftest import plan_of
+
 
 def over(spark, column, values, kind="string"):
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, x {kind}")
@@ -105,3 +109,19 @@ def test_budget_serves_as_maximum_only_on_request(spark):
 def test_last_elements(spark):
     given = [[], [1, 2], list(range(14))]
     assert over(spark, threads.last_elements(F.col("x")), given, "array<int>") == [[], [1, 2], list(range(2, 14))]
+
+
+ODD_LINKS = "g:h|g|./g|g/|/g|//g|?y|g?y|#s|g#s|g?y#s|;x|g;x|g;x?y#s||.|./|..|../|../g|../..|../../|../../g|../../../g|../../../../g|/./g|/../g|g.|.g|g..|..g|./../g|./g/.|g/./h|g/../h|g;x=1/./y|g;x=1/../y|g?y/./x|g?y/../x|g#s/./x|g#s/../x|http:g|http:|mailto:a@b|//h|//h/p?q|?|#|a//b|//|///x|..;x|a:b/c|é/漢?ü| g|g\nh|javascript:x|/a;p/b;q|g/..//h|https:g|HTTP:g|tel:+1|a b|%2e%2e/x|file:x|..//|/..//x//y|x:|https://o/./x|FILE:///y".split("|")
+
+
+def test_links_resolve_as_the_standard_library_does(spark):
+    """Every odd link against every odd base, without a Python worker."""
+    bases = ["http://a/b/c/d;p?q", "https://a.b/x/", "https://a.b", "https://a.b?q=1", "http://a/b//c/d", "http://u:p@h:8/q#f", "", "http://a/b/../c/./d", "HTTPS://A/b/", "mailto:x@y"]
+    df = spark.createDataFrame([(b, h) for b in bases for h in ODD_LINKS], "b string, h string").select("b", "h", text.resolved("b", "h").alias("link"))
+    assert "Python" not in plan_of(df) and "MapIn" not in plan_of(df)
+    for b, h, link in df.collect():
+        wanted = h if not b or re.match("(?i)https?://|file://", h) else urljoin(b, h)
+        assert link == wanted, (b, h)
+    # Above the root of a file's path there is nothing; missing links and bases.
+    few = spark.createDataFrame([("file:///x/y", "../../g"), ("file:///x/y", "z"), (None, "x"), ("https://a", None)], "b string, h string")
+    assert [r[0] for r in few.select(text.resolved("b", "h")).collect()] == ["file:///g", "file:///x/z", "x", None]

@@ -71,12 +71,6 @@ def test_details_join_by_place(spark):
     assert out[1]["detailTitle"] == "T" and out[1]["detail"]["description"] == "d" and out[1]["detailTextSnippet"] is None
 
 
-def test_resolved():
-    assert html.resolved("https://a/b/c", "../d") == "https://a/d"
-    assert html.resolved("https://a/", "file:///x") == "file:///x"
-    assert html.resolved(None, "x") == "x" and html.resolved("https://a", None) is None
-
-
 def test_upsert_knows_absent_from_null(spark):
     stored = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("c", 3, "z")], "title string, n int, s string")
     new = spark.createDataFrame([("b", None, True), ("c", None, False), ("d", 9, True)], "title string, n int, has boolean")
