@@ -8,11 +8,11 @@ It is stored under its value in every partition, and probes the values around it
 meets under a value is verified on all 64 bits.
 
 Exact copies meet before any of this, as one fingerprint. A bucket yields a spanning forest of its links rather than
-all its pairs. The stored rows of a bucket that outgrows BUCKET_ROWS are dealt out over chunks; each meets what comes
-before it and what probes in every chunk, so no task holds more stored rows than a chunk and no link is lost.
+all its pairs. The rows of a bucket that outgrows BUCKET_ROWS, stored and probing ones, are dealt out over chunks, and
+chunks meet in pairs, so no task holds more than two chunks and no link is lost.
 
-`companies` is the same search over fingerprints of several words each, for radii at which one word's worth of bits tells
-too little: near in one word, found by its partitions, and near in all together.
+`wide_links` is the same search over fingerprints of two words each, for radii at which one word's worth of bits tells too
+little: near in one word, found by its partitions, and near in both together.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ RADIUS, SHINGLE, SEED = 3, 3, 42
 BUCKET_ROWS = 1 << 16
 #: What one stored or probing row costs, in comparisons of candidates.
 PROBE_COST = 1000.0
-#: The same for companies, whose rows are wider and whose radius asks for many more of them.
+#: The same for fingerprints of two words, whose rows are wider and whose radius asks for many more of them.
 WIDE_PROBE_COST = 20_000.0
 #: Links that one task thins out.
 LINKS_A_TASK = 500_000
@@ -328,16 +328,26 @@ class _Joined:
 def _cells(keys: DataFrame, bucket_rows: int, numbers: list[str]) -> DataFrame:
     """keys (bucket, numbers..., probing) as rows of cells, sorted so that a cell's stored rows come before probing ones.
 
-    The stored rows of a hot bucket go to chunks. Each chunk is a cell of its own, named by a hash; a collision only makes
-    two cells one, and what meets is verified. A stored row probes the chunks after its own, a probing one all.
+    Of a hot bucket the stored rows go to chunks, and the probing ones to chunks of their own. Every chunk of stored rows is
+    a cell alone, with each later one, and with each chunk of probing rows, so no cell holds more than two chunks and no pair
+    is lost. Cells are named by a hash; a collision only makes two cells one, and what meets is verified.
     """
-    hot = keys.where("not probing").groupBy("bucket").count().where(F.col("count") > bucket_rows)
+    sizes = keys.groupBy("bucket").agg(F.count_if(~F.col("probing")).alias("s"), F.count_if("probing").alias("p"))
+    hot = sizes.where((F.greatest("s", "p") > bucket_rows) & (F.col("s") > 0)).select("bucket", F.ceil(F.col("s") / bucket_rows).alias("gs"), F.ceil(F.col("p") / bucket_rows).alias("gp"))
     cells = keys.select(F.col("bucket").alias("cell"), *numbers, "probing")
     if hot.head(1):
-        dealt = keys.join(hot, "bucket", "left").withColumn("g", F.ceil(F.coalesce("count", F.lit(1)) / bucket_rows))
-        mine = F.when(F.col("probing"), 0).otherwise(F.pmod(F.xxhash64(*numbers), F.col("g")))
-        spread = F.transform(F.sequence(mine, F.col("g") - 1), lambda c: F.struct(F.when(F.col("g") > 1, F.xxhash64("bucket", c)).otherwise(F.col("bucket")).alias("cell"), (F.col("probing") | (c > mine)).alias("probing")))
-        cells = dealt.select(F.explode(spread).alias("to"), *numbers).select("to.cell", *numbers, "to.probing")
+        dealt = keys.join(hot, "bucket", "left")
+        zero, gs, gp = F.lit(0).cast("long"), F.col("gs"), F.col("gp")
+        mine = F.pmod(F.xxhash64(*numbers), F.when(F.col("probing"), gp).otherwise(gs))
+        cell = lambda i, probes, j, probing: F.struct(F.xxhash64("bucket", i, F.lit(probes), j).alias("cell"), F.lit(probing).alias("probing"))
+        none = F.array().cast("array<struct<cell: bigint, probing: boolean>>")
+        upwards = F.transform(F.sequence(mine, gs - 1), lambda j: cell(mine, False, j, False))
+        downwards = F.when(mine > 0, F.transform(F.sequence(zero, mine - 1), lambda i: cell(i, False, mine, True))).otherwise(none)
+        probed = F.when(gp > 0, F.transform(F.sequence(zero, gp - 1), lambda j: cell(mine, True, j, False))).otherwise(none)
+        probes = F.transform(F.sequence(zero, gs - 1), lambda i: cell(i, True, mine, True))
+        alone = F.array(F.struct(F.col("bucket").alias("cell"), "probing"))
+        to = F.when(gs.isNull(), alone).when(F.col("probing"), probes).otherwise(F.concat(upwards, downwards, probed))
+        cells = dealt.select(F.explode(to).alias("to"), *numbers).select("to.cell", *numbers, "to.probing")
     n = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return cells.repartition(n, "cell").sortWithinPartitions("cell", "probing")
 
@@ -381,6 +391,16 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS)
             new = joined.new(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64))], ["a", "b"])
 
+    keys = staged(fps.select("fp").mapInArrow(deal, "bucket long, fp long, probing boolean"), "simhash-keys")
+    found = staged(_cells(keys, bucket_rows, ["fp"]).mapInArrow(compare, "a long, b long"), "simhash-found")
+    discard(keys)
+    return _thinned(found)
+
+
+def _thinned(found: DataFrame) -> DataFrame:
+    """Links without those that join nothing new in their task. Tasks have repeated each other's inside large groups; what
+    few tasks can hold is thinned out to forests once more."""
+
     def thin(batches):
         joined = _Joined()
         for batch in batches:
@@ -388,45 +408,38 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS)
             new = joined.new(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
 
-    keys = staged(fps.select("fp").mapInArrow(deal, "bucket long, fp long, probing boolean"), "simhash-keys")
-    found = staged(_cells(keys, bucket_rows, ["fp"]).mapInArrow(compare, "a long, b long"), "simhash-found")
-    discard(keys)
-    # Tasks repeat each other's links inside large groups; what few tasks can hold is thinned out to forests once more.
     return found.repartition(max(1, -(-found.count() // LINKS_A_TASK))).mapInArrow(thin, "a long, b long")
 
 
-def companies(marks: DataFrame, words: tuple[str, str], radius: int, total: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(bucket, words...): fingerprints that links of one bucket join, under a name of their own. Every pair that differs
-    in at most `radius` bits of either word, and in at most `total` bits of both, is together in some company.
+def wide_links(marks: DataFrame, words: tuple[str, str], radius: int, total: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(a, b): links among fingerprints of two words, enough of them to connect all that is linked: what differs in at most
+    `radius` bits of either word, and in at most `total` bits of both.
 
-    marks: a staged table of distinct fingerprints, two words each, as longs.
+    marks: a staged table of distinct fingerprints, two words each as longs, and a long, mark, that names them.
     """
     plans = [Shared(marks.sparkSession, plan_search(marks.select(F.col(w).alias("fp")), radius, WIDE_PROBE_COST)) for w in words]
 
     def deal(batches):
         for batch in batches:
-            both = [batch.column(c).to_numpy(zero_copy_only=False) for c in words]
-            for at in range(0, len(both[0]), 4096):
+            marked, *both = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("mark", *words))
+            for at in range(0, len(marked), 4096):
                 for k, plan in enumerate(plans):
                     own, other = (x[at : at + 4096].view(np.uint64) for x in (both[k], both[1 - k]))
                     buckets, owners, probing = plan.value.keys(own)
-                    cols = [buckets | k << 50, own[owners].view(np.int64), other[owners].view(np.int64), np.full(len(owners), k == 1), probing]
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["bucket", "own", "other", "second", "probing"])
+                    cols = [buckets | k << 50, own[owners].view(np.int64), other[owners].view(np.int64), marked[at : at + 4096][owners], probing]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["bucket", "own", "other", "mark", "probing"])
 
     def compare(batches):
-        for cells, own, other, second, probing in _whole_runs(batches, ["cell", "own", "other", "second", "probing"]):
-            a, b = _links(cells, own.view(np.uint64), probing, radius, other.view(np.uint64), total)
-            joined = _Joined()
-            joined.new(a, b)
-            members = np.unique(np.concatenate([a, b]))
-            roots = np.array([joined.root(i) for i in members.tolist()], np.int64)
-            company = [xxhash.xxh64_intdigest(f"{cells[r]},{own[r]},{other[r]}".encode()) - 2**63 for r in roots.tolist()]
-            own, other, second = own[members], other[members], second[members]
-            yield pa.RecordBatch.from_arrays([pa.array(company, pa.int64()), pa.array(np.where(second, other, own)), pa.array(np.where(second, own, other))], ["bucket", *words])
+        joined = _Joined()
+        for cells, own, other, marked, probing in _whole_runs(batches, ["cell", "own", "other", "mark", "probing"]):
+            a, b = (marked[i] for i in _links(cells, own.view(np.uint64), probing, radius, other.view(np.uint64), total))
+            new = joined.new(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
 
     # Dealt twice, to count and to compare, as keys take more room than the words that they are made from.
-    keys = marks.select(*words).mapInArrow(deal, "bucket long, own long, other long, second boolean, probing boolean")
-    return _cells(keys, bucket_rows, ["own", "other", "second"]).mapInArrow(compare, f"bucket long, {words[0]} long, {words[1]} long").distinct()
+    keys = marks.select("mark", *words).mapInArrow(deal, "bucket long, own long, other long, mark long, probing boolean")
+    found = staged(_cells(keys, bucket_rows, ["own", "other", "mark"]).mapInArrow(compare, "a long, b long"), "simhash-wide")
+    return _thinned(found)
 
 
 def _and_end(batches):

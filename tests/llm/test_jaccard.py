@@ -7,7 +7,7 @@ import pytest
 
 from shelfrank.llm import jaccard
 from shelfrank.llm.shared import space_words, staged
-from shelfrank.llm.simhash import companies
+from shelfrank.llm.simhash import wide_links
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -69,14 +69,14 @@ def test_common_passage_does_not_chain_and_failed_stars_hide_no_link(spark):
     assert kept(spark, texts) == least_of_components(texts) == {*range(40), 52, 55}
 
 
-@pytest.mark.parametrize("bucket_rows", [4, 1 << 13])
-def test_large_buckets_are_dealt_out_whole(spark, bucket_rows):
+@pytest.mark.parametrize("chunk_shingles", [800, 1 << 20])
+def test_large_chains_are_dealt_out_whole(spark, chunk_shingles):
     rng = random.Random(8)
     passage = words(rng, 170)
     texts = [" ".join(passage + words(rng, 34)) for _ in range(20)]
     texts += [" ".join([*t.split()[:-1], "end"]) for t in texts]
     docs = staged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test")
-    found = jaccard.near_duplicates(docs, "doc_id", bucket_rows=bucket_rows).collect()
+    found = jaccard.near_duplicates(docs, "doc_id", chunk_shingles=chunk_shingles).collect()
     assert {r["component_id"] for r in found} == least_of_components(texts)
 
 
@@ -91,7 +91,7 @@ def test_recall_of_candidates_at_the_threshold():
     assert met >= 1985
 
 
-def test_companies_hold_every_near_pair(spark):
+def test_links_chain_every_near_pair(spark):
     """All pairs within the radius of either word and the total of both, against brute force; buckets dealt out too."""
     rng = np.random.default_rng(10)
     base = rng.integers(0, 2**64, (60, 2), np.uint64)
@@ -105,18 +105,23 @@ def test_companies_hold_every_near_pair(spark):
         rows.append((x, y))
     signed = lambda v: v - (v >> 63 << 64)
     number = {(signed(x), signed(y)): k for k, (x, y) in enumerate(rows)}
-    marks = staged(spark.createDataFrame(list(number), "w0 long, w1 long"), "test")
     rows = [(x % 2**64, y % 2**64) for x, y in number]
-    number = {(signed(x), signed(y)): k for k, (x, y) in enumerate(rows)}
+    marks = staged(spark.createDataFrame([(k, signed(x), signed(y)) for k, (x, y) in enumerate(rows)], "mark long, w0 long, w1 long"), "test")
     near = set()
     for i, (a, b) in enumerate(rows):
         for j, (c, d) in enumerate(rows[:i]):
             u, v = (a ^ c).bit_count(), (b ^ d).bit_count()
             if min(u, v) <= 14 and u + v <= 34:
                 near.add((j, i))
+    root = list(range(len(rows)))
+    for a, b in near:
+        lo, hi = sorted((root[a], root[b]))
+        root = [lo if r == hi else r for r in root]
     for bucket_rows in (1 << 16, 20):
-        members = {}
-        for r in companies(marks, ("w0", "w1"), 14, 34, bucket_rows).collect():
-            members.setdefault(r["bucket"], []).append(number[r["w0"], r["w1"]])
-        together = {(a, b) for own in members.values() for a in own for b in own if a < b}
-        assert len(near) > 300 and near <= together
+        found = [(r["a"], r["b"]) for r in wide_links(marks, ("w0", "w1"), 14, 34, bucket_rows).collect()]
+        assert len(near) > 300 and {(min(p), max(p)) for p in found} <= near
+        joined = list(range(len(rows)))
+        for a, b in found:
+            lo, hi = sorted((joined[a], joined[b]))
+            joined = [lo if r == hi else r for r in joined]
+        assert joined == root

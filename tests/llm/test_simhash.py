@@ -78,6 +78,25 @@ def test_links_connect_what_all_pairs_connect(spark, radius, bucket_rows):
         assert len(found) < len(pairs) / 2  # a forest, not the cluster's pairs
 
 
+def test_cells_of_a_hot_bucket_hold_two_chunks_at_the_most(spark):
+    """One bucket of many chunks of stored and of probing rows, beside a small one."""
+    rows = [(7, k, k % 3 == 0) for k in range(900)] + [(8, k, False) for k in range(5)]
+    keys = spark.createDataFrame(rows, "bucket long, fp long, probing boolean").repartition(5)
+    cells = {}
+    for r in simhash._cells(keys, 60, ["fp"]).collect():
+        cells.setdefault(r["cell"], []).append((r["fp"], r["probing"]))
+    assert max(map(len, cells.values())) <= 2 * 60 * 1.6 and len(cells) > 60  # hashed chunks are of about a size
+    stored = [k for k in range(900) if k % 3]
+    met = {}
+    for own in cells.values():
+        first, second = [k for k, p in own if not p], [k for k, p in own if p]
+        for i, a in enumerate(first):
+            for b in [*first[i + 1 :], *second]:
+                met[min(a, b), max(a, b)] = met.get((min(a, b), max(a, b)), 0) + 1
+    hot = {(min(a, b), max(a, b)) for a in stored for b in range(900) if a != b}
+    assert hot <= set(met)
+
+
 def test_allocations_keep_the_pigeonhole():
     rng = np.random.default_rng(1)
     fps = rng.integers(0, 2**63, 500, dtype=np.uint64)
