@@ -13,7 +13,7 @@ from ..operators.filters import Budget
 from ..operators.filters import Query as Constraints
 from ..operators.store import Store
 from ..sources import catalogue as source
-from ..sources import chips, crawl, html, keyed, places, schemas
+from ..sources import chips, crawl, html, keyed, listings, places, schemas
 from . import adapter, conversation, planner
 from .adapter import table
 
@@ -23,7 +23,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 WEIGHTS = {"batteryEndurance": 0.2, "displayQuality": 0.2, "cpuPerformance": 0.15, "gpuPerformance": 0.15, "cameraQuality": 0.1, "ramCapacity": 0.1, "romCapacity": 0.1}
-SHOP, LAYOUT = planner.Shop("https://shop.test/search", "tyy,4io", "SHOP"), html.ListingLayout("https://shop.test")
+SHOP, LAYOUT = planner.Shop("https://shop.test/search", "tyy,4io", "SHOP"), listings.ListingLayout("https://shop.test")
 WINDOW = Constraints("parts", 915.0, 900.5)
 
 
@@ -443,18 +443,18 @@ def html_links(spark, sf_dir):
 
 
 def _outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.records(table(spark, sf_dir, "pages"), html.outline, "title string, heading string, links array<struct<href: string, text: string>>")
+    return html.records(table(spark, sf_dir, "pages"), listings.outline, "title string, heading string, links array<struct<href: string, text: string>>")
 
 
 @query("listing_cards", """SELECT p_partkey // 10 AS page_id, CASE WHEN p_partkey % 5 <> 0 THEN p_name || ' & case' END AS title, CASE WHEN p_partkey % 2 = 0 THEN 'http://shop.test' ELSE 'https://shop.test' END || '/item/' || p_partkey AS link,
   p_type || ' | size ' || p_size AS description, (p_partkey % 5) || '.5' AS rating, '/i.png' AS image FROM part""")
 def listing_cards(spark, sf_dir):
-    return html.listing(adapter.listing_pages(spark, sf_dir), LAYOUT).select("page_id", "title", "link", "description", "rating", "image")
+    return listings.listing(adapter.listing_pages(spark, sf_dir), LAYOUT).select("page_id", "title", "link", "description", "rating", "image")
 
 
 @query("listing_cards_capped", "SELECT p_partkey // 10 AS page_id, count(*)::BIGINT AS n FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) AS k FROM part) WHERE k <= 3 GROUP BY 1")
 def listing_cards_capped(spark, sf_dir):
-    return html.listing(adapter.listing_pages(spark, sf_dir), LAYOUT, cap=3).groupBy("page_id").agg(F.count("*").alias("n"))
+    return listings.listing(adapter.listing_pages(spark, sf_dir), LAYOUT, cap=3).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 @query("last_n_messages", "SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3")
@@ -652,7 +652,7 @@ def resolved_links(spark, sf_dir):
 def page_links(spark, sf_dir):
     """Links of pages, which start at their hosts' roots, extracted where the pages lie and resolved in columns."""
     rows = table(spark, sf_dir, "pages").select("page_id", "url", F.col("html"))
-    found = html.records(rows.select(F.struct("page_id", "url").alias("page"), "html"), html.outline, "links array<struct<href: string, text: string>>", id_col="page")
+    found = html.records(rows.select(F.struct("page_id", "url").alias("page"), "html"), listings.outline, "links array<struct<href: string, text: string>>", id_col="page")
     flat = found.select(F.col("page_id.page_id").alias("id"), F.col("page_id.url").alias("url"), "links")
     return flat.select(F.col("id").alias("page_id"), F.array_join(F.transform("links", lambda a: text.resolved(F.col("url"), a["href"])), " ").alias("links"))
 

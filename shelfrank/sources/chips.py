@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import schemas
 from .html import Element, first_attr, first_text, parse, records, select
+from .selectors import Pick, Reader
 
 #: Headings of the sections that are kept, and of recent results.
 SECTIONS = ("Graphics", "AI Accelerator", "Memory", "Multimedia (ISP)", "Connectivity", "Info", "Specifications")
@@ -26,14 +27,14 @@ RANKING_CELLS = {
     "clock": "td:eq(6)",
     "gpu": "td:eq(7)",
 }
+_RANKING = Reader("table.table-list.sortable tbody tr", {f: Pick(s) for f, s in RANKING_CELLS.items()} | {"href": Pick("td:eq(1) a", ("href",))})
 #: Fixed value: detail pages read by default.
 MOST_DETAILS = 20
 
 
 def ranking_rows(html: str | None) -> list[dict]:
     """A record for each row of the ranking table; cells by place."""
-    rows = select(parse(html), "table.table-list.sortable tbody tr")
-    return [{f: first_text(row, s) for f, s in RANKING_CELLS.items()} | {"href": first_attr(row, "td:eq(1) a", "href")} for row in rows]
+    return _RANKING.read(html)
 
 
 def _pairs(card: Element) -> dict[str, str]:
@@ -76,6 +77,7 @@ def _phone(row: list[Element]) -> dict:
     return {"name": first_text(own, "td:eq(0) a") or first_text(own, "td:eq(0)") or "", "url": first_attr(own, "td:eq(0) a", "href"), "score": first_text(own, "td:eq(1)")}
 
 
+#: A detail page's cards, and, above and below, the selectors of what stands in them.
 CARDS = (
     Card("reviewScores", "#review", "", _bars),
     Card("antutu", "#antutu", "", lambda card: {"total": first_text(card, ".score-bar-result-number"), "breakdown": _pairs(card)}),

@@ -30,7 +30,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from ..operators.dedup import first_models
-from .html import ListingLayout, listing, parse, select
+from .listings import ListingLayout, listing
+from .selectors import Reader
 
 #: Pages that are read, and how often a listing without cards is tried again.
 MOST_PAGES, RETRIES = 4, 2
@@ -112,7 +113,7 @@ class Crawl:
 
     def __init__(self, options: dict[str, str]):
         number = lambda name, kind, usual: kind(options.get(name, usual))
-        self.most, self.retries, self.card = number("most", int, MOST_PAGES), number("retries", int, RETRIES), options.get("card", ListingLayout("").card)
+        self.most, self.retries, self.card = number("most", int, MOST_PAGES), number("retries", int, RETRIES), Reader(options.get("card", ListingLayout("").card), {})
         if "address" in options:
             self.pages = AddressedPages(options["address"], number("seconds", float, 30))
             self.names = json.loads(options["listings"])
@@ -133,7 +134,7 @@ class Crawl:
                 except Exception as e:  # noqa: BLE001  whatever a page fails with, the next may do
                     yield part.name, page, attempt, "failed", f"{type(e).__name__}: {e}", None
                     continue
-                has_cards = bool(select(parse(html), self.card))
+                has_cards = bool(self.card.read(html))
                 some |= has_cards
                 yield part.name, page, attempt, "ok" if has_cards else "empty", None, html
             if some:

@@ -15,8 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.dedup import first_n_each
-from . import schemas
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Tags that end an open one of the same group.
@@ -172,33 +170,6 @@ def first_attr(root: Element, selector: str, *names: str) -> str | None:
     return next((v for n in names if (v := found[0].attrs.get(n))), None) if found else None
 
 
-@dataclass(frozen=True)
-class ListingLayout:
-    """A shop's host, which relative links go to, and selectors of a listing's cards. The defaults."""
-
-    host: str
-    card: str = "div[data-id]"
-    title: str = "div.RG5Slk"
-    link: str = "a.k7wcnx"
-    image: str = "img.UCc1lI"
-    price: str = "div.hZ3P6w.DeU9vF"
-    rating: str = "div.MKiFS6"
-    bullets: str = "ul.HwRTzP li.DTBslk"
-
-
-def cards(html: str | None, layout: ListingLayout) -> list[dict]:
-    """A record for each card that has a title or a link."""
-    out = []
-    for card in select(parse(html), layout.card):
-        href = first_attr(card, layout.link, "href")
-        rating = re.match(r"\d+\.?\d*", first_text(card, layout.rating) or "")
-        bullets = [t for li in select(card, layout.bullets) if (t := li.text())]
-        own = {"title": first_text(card, layout.title), "price": first_text(card, layout.price), "description": " | ".join(bullets) or None, "link": None if not href else href if href.startswith("http") else layout.host + href, "image": first_attr(card, layout.image, "src", "data-src"), "rating": rating[0] if rating else None}
-        if own["title"] or own["link"]:
-            out.append(own)
-    return out
-
-
 def records(pages: DataFrame, read, fields: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, at, fields...): what read() makes of each page's HTML, numbered within the page.
 
@@ -225,16 +196,3 @@ def _top_level(ddl: str) -> list[str]:
         else:
             parts[-1] += c
     return parts
-
-
-def listing(pages: DataFrame, layout: ListingLayout, cap: int | None = None, **columns: str) -> DataFrame:
-    """Cards of listing pages; cap keeps the first so many cards of each page."""
-    found = records(pages, lambda html: cards(html, layout), schemas.LISTING, **columns)
-    return found if cap is None else first_n_each(found, "page_id", "at", cap)
-
-
-def outline(html: str | None) -> list[dict]:
-    """A page's title, first heading and links."""
-    root = parse(html)
-    links = [{"href": a.attrs["href"], "text": a.text()} for a in select(root, "a[href]")]
-    return [{"title": first_text(root, "title"), "heading": first_text(root, "h1"), "links": links}]

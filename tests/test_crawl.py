@@ -5,7 +5,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
-from shelfrank.sources import crawl, html
+from shelfrank.sources import crawl, listings as shop
 
 from .test_sources import CARD, LAYOUT
 
@@ -47,7 +47,7 @@ def test_cards_of_a_crawl(spark, tmp_path, listings):
     stored(spark, tmp_path, {"a": [CARD, other("A &amp; B (Blue)") + other("C"), "<p>"], "b": [other("c"), other("D")]})
     found = crawl.listed(listings.load(str(tmp_path)), LAYOUT).orderBy("_ordinal").collect()
     assert [r["title"] for r in found] == ["A & B", "C", "D"]
-    assert html.cards(CARD, LAYOUT)[0]["title"] == "A & B"
+    assert shop.cards(CARD, LAYOUT)[0]["title"] == "A & B"
 
 
 class Shop(BaseHTTPRequestHandler):

@@ -8,25 +8,25 @@ from pyspark.sql import functions as F
 from shelfrank.operators import dedup, threads
 from shelfrank.operators.store import Store
 from shelfrank.plans import conversation, planner
-from shelfrank.sources import catalogue, chips, html, schemas
+from shelfrank.sources import catalogue, chips, listings, schemas
 from shelfrank.streaming.threads import append_stream
 
-LAYOUT = html.ListingLayout("https://shop.test")
+LAYOUT = listings.ListingLayout("https://shop.test")
 CARD = '<div data-id="1"><a class="k7wcnx" href="/p/1"><div class="RG5Slk"> A &amp; B </div></a><img class="UCc1lI z" src="" data-src="i.png"><div class="hZ3P6w DeU9vF">₹9</div><div class="MKiFS6">4.6<img src=s></div><ul class="HwRTzP"><li class="DTBslk">x<li class="DTBslk"> <li class="DTBslk">y</ul></div>'
 
 
 def test_cards():
     page = CARD + '<div data-id="2"><a class="k7wcnx" href="http://h/2">t</a></div><div data-id="3">nothing</div>'
-    assert html.cards(page, LAYOUT) == [
+    assert listings.cards(page, LAYOUT) == [
         {"title": "A & B", "price": "₹9", "description": "x | y", "link": "https://shop.test/p/1", "image": "i.png", "rating": "4.6"},
         {"title": None, "price": None, "description": None, "link": "http://h/2", "image": None, "rating": None},
     ]
-    assert html.cards(None, LAYOUT) == html.cards("", LAYOUT) == html.cards("<p>text", LAYOUT) == []
+    assert listings.cards(None, LAYOUT) == listings.cards("", LAYOUT) == listings.cards("<p>text", LAYOUT) == []
 
 
 def test_listing_caps_each_page(spark):
     pages = spark.createDataFrame([(1, CARD * 35), (2, CARD), (3, None)], "page_id long, html string")
-    assert {r["page_id"]: r["count"] for r in html.listing(pages, LAYOUT, cap=30).groupBy("page_id").count().collect()} == {1: 30, 2: 1}
+    assert {r["page_id"]: r["count"] for r in listings.listing(pages, LAYOUT, cap=30).groupBy("page_id").count().collect()} == {1: 30, 2: 1}
 
 
 RANKING = """<table class="table-list sortable"><thead><tr><th>n</th></tr></thead><tbody>
