@@ -14,13 +14,17 @@ histories. The text's start stands before its first word; each text ends with on
 Counting: each task sums its own events in arrays and sends packed blocks to the owners of the segments of the hash
 space; an owner adds them up, keeps the words' exact counts and fills the segment's part of the filter. Segments are as
 many as the training text's size asks for. Where there are more than BLOCKS of them, blocks go by way of groups of
-segments, so that tasks times blocks grows like the input and not like its square. A frequent event is one entry a task,
-so no key is hot. Events go by 64-bit hashes; words are never gathered.
+segments, in which the blocks of ROUTED_TASKS tasks are added up first: blocks are then as many as tasks times segments
+over ROUTED_TASKS, which still grows faster than the input, so many times later. A frequent event is one entry a task, so
+no key is hot. Events go by 64-bit hashes; words are never gathered.
 
 The segments are broadcast as long as they fit in BROADCAST_BYTES together. A larger model can't be in every worker's
 memory; its segments stay where they are: each run of texts sends its distinct events to the segments' owners, who probe
-their part of the filter, and gets counts and levels back, in two shuffles of packed blocks, however large the model is.
-Scores are the same on both ways.
+their part of the filter, and gets counts and levels back, in two shuffles of packed blocks. An owner holds one segment and
+goes through what is asked of it batch by batch, however much that is. The commonest events, which every run would ask
+for, are answered from a broadcast table of COMMON_EVENTS events a kind at the most. What grows with the model is the
+number of blocks: the more segments, the fewer events of a run go to the same one, down to a row for each event (26 events
+a row with 4,096 segments, 1.2 with 400,000). Scores are the same on both ways.
 """
 
 from __future__ import annotations
@@ -48,6 +52,8 @@ BROADCAST_BYTES = 160 << 20
 SEGMENTS, SEGMENT_BYTES = 64, 16 << 20
 #: Blocks of a kind that a task sends at once, and the tasks whose blocks for a group of segments are added up together.
 BLOCKS, ROUTED_TASKS = 4096, 64
+#: Events of a kind that are answered from a broadcast table, at the most, where the model itself is too large for one.
+COMMON_EVENTS = 400_000
 #: Distinct events that a task sums before it sends them on.
 KEPT_EVENTS = 1_500_000
 START, END = b" start", b""  # neither can be a word
@@ -194,8 +200,9 @@ def _added(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     return summed(*(np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint64) for c in ("keys", "ns")))
 
 
-def count_events(docs: DataFrame, segments: int, text_col: str = "text", bits_per_entry: int = BITS_PER_ENTRY, blocks: int = BLOCKS, kinds: int = 2) -> DataFrame:
-    """(seg, words, ns, bits, tokens): exact word counts and the filter of every segment, over the texts of docs."""
+def count_events(docs: DataFrame, segments: int, text_col: str = "text", bits_per_entry: int = BITS_PER_ENTRY, blocks: int = BLOCKS, kinds: int = 2, common: int | None = None) -> DataFrame:
+    """(seg, words, ns, bits, tokens, often): exact word counts and the filter of every segment, over the texts of docs.
+    often: its events of any kind that occur so often as `common` says; none without it."""
     groups = min(segments, blocks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,13 +243,21 @@ def count_events(docs: DataFrame, segments: int, text_col: str = "text", bits_pe
         got = [_added(table, kind) for kind in range(kinds)]
         words, ns = got[0]
         bits = filter_bits(*(np.concatenate(x) for x in zip(*got, strict=True)), bits_per_entry)
-        return pa.table({"seg": pa.array([table.column("seg")[0].as_py()], pa.int32()), "words": [words.tobytes()], "ns": [ns.tobytes()], "bits": [bits.tobytes()], "tokens": pa.array([int(ns.sum())], pa.int64())})
+        often = np.concatenate([np.empty(0, _U), *(keys[n >= np.uint64(common)] for keys, n in got if common is not None)])
+        return pa.table({"seg": pa.array([table.column("seg")[0].as_py()], pa.int32()), "words": [words.tobytes()], "ns": [ns.tobytes()], "bits": [bits.tobytes()], "tokens": pa.array([int(ns.sum())], pa.int64()), "often": [often.tobytes()]})
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
     sent = rows.mapInArrow(count, _SENT)
     if groups < segments:
         sent = sent.groupBy("seg", "salt").applyInArrow(route, _SENT)
-    return sent.groupBy("seg").applyInArrow(own, "seg int, words binary, ns binary, bits binary, tokens long")
+    return sent.groupBy("seg").applyInArrow(own, "seg int, words binary, ns binary, bits binary, tokens long, often binary")
+
+
+@dataclass
+class _Table:
+    """What is broadcast of common events."""
+
+    rows: np.ndarray
 
 
 @dataclass
@@ -273,7 +288,7 @@ class Settings:
 def _by_broadcast(rows: DataFrame, out, model: DataFrame, segments: int, settings: Settings) -> DataFrame:
     """Scores where the texts lie, with the whole model on every worker."""
     kinds = len(settings.mus) + 1
-    held = Shared(rows.sparkSession, Shard([tuple(r) for r in model.toLocalIterator()], segments))
+    held = Shared(rows.sparkSession, Shard([tuple(r) for r in model.select("seg", "words", "ns", "bits").toLocalIterator()], segments))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,12 +303,32 @@ def _by_broadcast(rows: DataFrame, out, model: DataFrame, segments: int, setting
     return rows.mapInArrow(over, out)
 
 
+def _common(model: DataFrame, segments: int) -> np.ndarray:
+    """(event, level, exact count) of the commonest events, by event: as the segments answer."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys = np.frombuffer(r["often"], _U)
+                shard = Shard([(r["seg"], r["words"], r["ns"], r["bits"])], segments)
+                columns = [keys.tobytes(), shard.levels(keys).tobytes(), shard.exact(keys).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], ["keys", "levels", "counts"])
+
+    rows = model.where(F.octet_length("often") > 0).mapInArrow(told, "keys binary, levels binary, counts binary").collect()  # bounded: COMMON_EVENTS a kind
+    kind = [("key", _U), ("level", np.uint8), ("count", np.uint64)]
+    found = np.zeros(sum(len(r["levels"]) for r in rows), kind)
+    for name, column, of in (("key", "keys", _U), ("level", "levels", np.uint8), ("count", "counts", np.uint64)):
+        found[name] = np.frombuffer(b"".join(r[column] for r in rows), of)
+    return np.sort(found, order="key")
+
+
 def _by_segments(rows: DataFrame, out, model: DataFrame, segments: int, settings: Settings) -> DataFrame:
-    """Scores by asking each segment's owner: the distinct events of every run of texts go to their segments in packed
-    blocks, counts and levels come back, and each run is scored from its answers. No task holds more than a run, or a
-    segment and what is asked of it."""
+    """Scores by asking each segment's owner: the distinct events of every run of texts, but for the commonest, go to their
+    segments in packed blocks, counts and levels come back, and each run is scored from its answers. No task holds more
+    than a run with its answers, or a segment and a batch of what is asked of it."""
     kinds = len(settings.mus) + 1
     numbered = rows.drop("run").selectExpr("*", "0L run").schema
+    common = Shared(rows.sparkSession, _Table(_common(model, segments)))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
@@ -311,20 +346,33 @@ def _by_segments(rows: DataFrame, out, model: DataFrame, segments: int, settings
             for a, b in zip(cuts, cuts[1:], strict=False):
                 tokens, starts = token_hashes(texts_of(batch.slice(a, b - a), "text"))
                 for kind, keys in enumerate(map(np.unique, event_hashes(tokens, starts, kinds))):
+                    keys = keys[~np.isin(keys, common.value.rows["key"])]
+                    if not len(keys):
+                        continue
                     seg = (keys % _U(segments)).astype(np.int32)
                     order = np.argsort(seg, kind="stable")
                     at = np.flatnonzero(np.r_[True, np.diff(seg[order]) != 0, True])
                     blocks = [keys[order[x:y]].tobytes() for x, y in zip(at, at[1:], strict=False)]
                     yield pa.RecordBatch.from_arrays([pa.array(seg[order][at[:-1]]), pa.array([number[a]] * len(blocks), pa.int64()), pa.array([kind] * len(blocks), pa.int32()), pa.array(blocks, pa.binary())], ["seg", "run", "kind", "keys"])
 
-    def answer(own: pa.Table, asked: pa.Table) -> pa.Table:
-        shard = Shard([tuple(r[c] for c in ("seg", "words", "ns", "bits")) for r in own.to_pylist()], segments)
-        counts, levels = [], []
-        for kind, block in zip(asked.column("kind").to_pylist(), asked.column("keys").to_pylist(), strict=True):
-            keys = np.frombuffer(block, _U)
-            counts.append(shard.exact(keys).tobytes() if kind == 0 else b"")
-            levels.append(shard.levels(keys).tobytes())
-        return pa.table({"run": asked.column("run"), "kind": asked.column("kind"), "keys": asked.column("keys"), "counts": pa.array(counts, pa.binary()), "levels": pa.array(levels, pa.binary())})
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by segment, each segment's own row before what is asked of it. One that learned nothing has none."""
+        seg, shard = None, None
+        for batch in batches:
+            for run in pieces(batch):
+                found: dict[str, list] = {"run": [], "kind": [], "keys": [], "counts": [], "levels": []}
+                for r in run.to_pylist():
+                    if r["seg"] != seg:
+                        seg, shard = r["seg"], Shard([], segments)
+                    if r["keys"] is None:
+                        shard = Shard([(seg, r["words"], r["ns"], r["bits"])], segments)
+                        continue
+                    keys = np.frombuffer(r["keys"], _U)
+                    told = {"run": r["run"], "kind": r["kind"], "keys": r["keys"], "counts": shard.exact(keys).tobytes() if r["kind"] == 0 else b"", "levels": shard.levels(keys).tobytes()}
+                    for c, v in told.items():
+                        found[c].append(v)
+                kinds_of = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found.values(), kinds_of, strict=True)], list(found))
 
     def score(own: pa.Table, told: pa.Table) -> pa.Table:
         if not len(own):
@@ -333,8 +381,9 @@ def _by_segments(rows: DataFrame, out, model: DataFrame, segments: int, settings
         for kind in range(kinds):
             part = told.filter(pa.compute.equal(told.column("kind"), kind))
             joined = lambda c, t: np.frombuffer(b"".join(part.column(c).to_pylist()), t)  # noqa: E731, B023
-            keys, order = np.unique(joined("keys", _U), return_index=True)
-            known[kind] = keys, joined("levels", np.uint8)[order], joined("counts", np.uint64)[order] if kind == 0 else None
+            often = common.value.rows
+            keys, order = np.unique(np.r_[joined("keys", _U), often["key"]], return_index=True)
+            known[kind] = keys, np.r_[joined("levels", np.uint8), often["level"]][order], np.r_[joined("counts", np.uint64), often["count"]][order] if kind == 0 else None
         tokens, starts = token_hashes(own.column("text").cast(pa.binary()).to_pylist())
         words, back = np.unique(tokens, return_inverse=True)
         at = np.searchsorted(known[0][0], words)
@@ -344,7 +393,9 @@ def _by_segments(rows: DataFrame, out, model: DataFrame, segments: int, settings
 
     out_schema = to_arrow_schema(out)
     asked = texts.select("run", "text").mapInArrow(ask, "seg int, run long, kind int, keys binary")
-    told = model.groupBy("seg").cogroup(asked.groupBy("seg")).applyInArrow(answer, "run long, kind int, keys binary, counts binary, levels binary")
+    both = model.select("seg", "words", "ns", "bits").unionByName(asked, allowMissingColumns=True)
+    dealt = both.repartition("seg").sortWithinPartitions("seg", F.col("keys").isNotNull())
+    told = dealt.mapInArrow(answer, "run long, kind int, keys binary, counts binary, levels binary")
     return texts.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(score, out)
 
 
@@ -360,14 +411,16 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     keep = carried(keep, "id", "text", "run", *own)
     n_docs, size = training.agg(F.count("*"), F.sum(F.octet_length(F.col(text_col).cast("string")))).first()
     segments = max(SEGMENTS, -(-int(size or 0) // SEGMENT_BYTES))
-    model = staged(count_events(training, segments, text_col, bits_per_entry, kinds=len(mus) + 1), "lm-segments")
+    # A token takes two bytes of text at the least, so events of such a count are COMMON_EVENTS a kind at the most.
+    common = max(2, -(-int(size or 0) // (2 * COMMON_EVENTS)))
+    model = staged(count_events(training, segments, text_col, bits_per_entry, kinds=len(mus) + 1, common=common), "lm-segments")
     n, distinct, size = model.agg(F.sum("tokens"), F.sum(F.octet_length("words") / 8), F.sum(F.octet_length("words") * 2 + F.octet_length("bits"))).first()
     n, distinct = int(n or 0), int(distinct or 0)
     settings = Settings(n, n + 0.5 * (distinct + 1), n_docs, mus)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
     out = rows.drop("text").selectExpr("*", "0L n_tokens", "0L n_known", "0L train_tokens", "0D base_score", "0D score").schema
     route = _by_broadcast if int(size or 0) <= broadcast_bytes else _by_segments
-    return route(rows, out, model.select("seg", "words", "ns", "bits"), segments, settings)
+    return route(rows, out, model, segments, settings)
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", held: int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from shelfrank.llm import lm
+from shelfrank.llm.shared import staged
 
 
 def tokens(t):
@@ -88,6 +89,23 @@ def test_held_out_texts_score_better_than_words_alone(spark):
     assert sum(r["score"] for r in triples) > sum(r["score"] for r in found) > sum(r["base_score"] for r in found)
 
 
+def test_what_every_run_asks_for_is_answered_from_a_table(spark, monkeypatch):
+    """A word in all texts, and many segments: scores as by broadcast, and nothing asked of the common word's segment."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(["the"] * 5 + [f"w{rng.randrange(4000)}" for _ in range(40)])) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(lm, "SEGMENT_BYTES", 40)
+    monkeypatch.setattr(lm, "COMMON_EVENTS", 2000)
+    key = lambda r: r["id"]
+    one, two = (sorted(lm.score_texts(docs, docs, broadcast_bytes=b).collect(), key=key) for b in (1 << 30, 0))
+    assert [r["score"] for r in one] == pytest.approx([r["score"] for r in two]) and [tuple(r)[:5] for r in one] == [tuple(r)[:5] for r in two]
+    size = sum(len(t) for _, t in rows)
+    model = staged(lm.count_events(docs, size // 40, common=max(2, size // 4000)), "test")
+    often = lm._common(model, size // 40)
+    the = lm.token_hashes([b"the"])[0][0]
+    assert 0 < len(often) <= 2 * 2000 and often[np.searchsorted(often["key"], the)]["count"] == 1500 * 5
+
+
 def test_names_of_its_own_are_refused(docs):
     with pytest.raises(ValueError):
         lm.score_texts(docs, docs, keep=["score"])
