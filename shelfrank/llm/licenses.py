@@ -152,6 +152,187 @@ BODIES: list[tuple[str, str, str]] = [
     ("warranty-disclaimer", "warranty of any kind", "the software is provided as is without warranty of any kind express or implied"),
     ("warranty-disclaimer", "merchantability", "without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("warranty-disclaimer", "consequential damages", "be liable for any direct indirect incidental special exemplary or consequential damages"),
+    # MIT and its kin
+    ("mit", "no event shall", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("mit", "released under", "(?:is )?released under (?:the )?mit(?: licen[cs]e)?(?: see licen[cs]e| licen[cs]e)"),
+    ("mit", "mit", "distributed under the mit licen[cs]e see (?:the )?(?:accompanying )?(?:file )?(?:licen[cs]e|copying)"),
+    ("mit", "mit", "(?:use of this source code is governed by|licensed under) an mit style licen[cs]e"),
+    ("mit", "mit", "dual licensed under (?:the )?mit (?:and|or) (?:the )?(?:gpl|bsd|apache)"),
+    ("x11", "x consortium", "except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    ("x11", "in advertising", "except as contained in this notice the name(?:s)? of the(?: above)? (?:authors or )?copyright holder(?:s)? shall not be used in advertising"),
+    ("isc", "consortium disclaims", "the internet (?:software|systems) consortium disclaims all warranties"),
+    ("isc", "action of contract", "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software provided that the above copyright"),
+    ("curl", "daniel stenberg", "copyright(?: c)? [0-9][0-9][0-9][0-9](?: [0-9][0-9][0-9][0-9])? daniel stenberg"),
+    ("curl", "above copyright", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software"),
+    ("hpnd", "historical permission", "historical permission notice and disclaimer"),
+    ("hpnd", "distribute this software", "permission to use copy modify and distribute this software and its documentation for any purpose (?:and without fee )?is hereby granted"),
+    ("hpnd", "publicity pertaining", "not be used in advertising or publicity pertaining to distribution of the software without specific(?: written)? prior(?: written)? permission"),
+    ("postgresql", "written agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("postgresql", "california specifically", "the university of california specifically disclaims any warranties"),
+    ("tcl", "authors hereby grant", "the authors hereby grant permission to use copy modify distribute and license this software and its documentation for any purpose"),
+    ("tcl", "verbatim in any", "provided that existing copyright notices are retained in all copies and that this notice is included verbatim in any distributions"),
+    ("ncsa", "illinois", "university of illinois ncsa open source licen[cs]e"),
+    ("unicode", "unicode", "unicode (?:inc )?licen[cs]e agreement data files and software"),
+    ("icu", "icu licen", "icu licen[cs]e icu 1 8 1 and later"),
+    ("libpng", "png reference", "the png reference library is supplied as is the contributing authors and group 42 inc disclaim all warranties"),
+    ("ijg", "independent jpeg", "this software is based in part on the work of the independent jpeg group the copyright"),
+    ("ijg", "thomas g", "this software is copyright c [0-9][0-9][0-9][0-9](?: [0-9][0-9][0-9][0-9])? thomas g lane"),
+    ("libtiff", "sam leffler", "the name(?:s)? of sam leffler and silicon graphics may not be used in any advertising"),
+    ("ftl", "freetype", "the freetype project licen[cs]e"),
+    ("ftl", "freetype", "portions of this software are copyright the freetype project"),
+    ("bzip2", "associated library", "this program bzip2 the associated library libbzip2 and all documentation are copyright"),
+    ("info-zip", "info zip", "info zip licen[cs]e"),
+    ("info-zip", "info zip", "copyright c [0-9][0-9][0-9][0-9](?: [0-9][0-9][0-9][0-9])? info zip all rights reserved"),
+    ("openssl", "openssl", "redistributions of any form whatsoever must retain the following acknowledgment this product includes software developed by the openssl project"),
+    ("openssl", "eric young", "copyright remains eric young s and as such any copyright notices in the code are not to be removed"),
+    ("openldap", "openldap", "the openldap public licen[cs]e"),
+    ("openldap", "verbatim copy", "redistributions must contain a verbatim copy of this document"),
+    # BSD
+    ("bsd", "governed by a bsd", "use of this source code is governed by a bsd style licen[cs]e that can be found in the licen[cs]e file"),
+    ("bsd", "documentation and or", "redistributions in binary form must reproduce the above copyright notice in the documentation and or other materials"),
+    ("bsd", "regents", "this software is provided by the regents and contributors as is and any express or implied warranties"),
+    ("bsd", "by the author", "this software is provided by the author(?:s)? (?:and contributors )?as is and any express or implied warranties"),
+    ("bsd-2", "reserved redistribution", "all rights reserved redistribution and use in source and binary forms with or without modification are permitted provided that the following two conditions"),
+    ("bsd-3", "university nor", "neither the name of the university nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-3", "may not be used", "the name(?:s)? of the (?:author|authors|copyright holder|copyright holders) may not be used to endorse or promote products derived from this software"),
+    ("bsd-3", "google inc", "neither the name of google inc nor the names of its contributors may be used to endorse"),
+    ("bsd-4", "university of california", "this product includes software developed by the university of california berkeley and its contributors 4 neither the name of the university nor the names of its contributors may be used to endorse"),
+    ("bsd-3-clear", "patent rights", "no express or implied licen[cs]es to any party s patent rights are granted by this licen[cs]e"),
+    ("0bsd", "with or without fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is and the author disclaims"),
+    ("bsd-patent", "perpetual worldwide", "subject to the terms and conditions of this licen[cs]e each copyright holder and contributor hereby grants to those receiving rights under this licen[cs]e a perpetual worldwide"),
+    # Apache
+    ("apache-2", "grant of copyright", "grant of copyright licen[cs]e subject to the terms and conditions of this licen[cs]e each contributor hereby grants"),
+    ("apache-2", "distribution 1", "terms and conditions for use reproduction and distribution 1 definitions licen[cs]e shall mean"),
+    ("apache-2", "apache licen", "apache licen[cs]e version 2 0 january 2004"),
+    ("apache-2", "attribution notices", "you must retain in the source form of any derivative works that you distribute all copyright patent trademark and attribution notices"),
+    ("apache-2", "additional attribution", "attribution notices within derivative works that you distribute alongside or as an addendum to the notice text from the work provided that such additional attribution notices cannot be construed as modifying the licen[cs]e"),
+    ("apache-2", "more contributor", "licensed to the apache software foundation asf under one or more contributor licen[cs]e agreements"),
+    ("apache-2", "licenses this file", "the asf licenses this file to you under the apache licen[cs]e"),
+    ("apache-2", "limitations under", "see the licen[cs]e for the specific language governing permissions and limitations under the licen[cs]e"),
+    ("apache-2", "applicable law", "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e"),
+    ("apache-1.1", "apache software foundation", "the names apache and apache software foundation must not be used to endorse or promote products"),
+    ("apache-1.1", "may not be called apache", "endorse or promote products derived from this software without prior written permission products derived from this software may not be called apache"),
+    # GNU
+    ("gpl-2", "version 2 of the", "gnu general public licen[cs]e as published by the free software foundation(?: either)? version 2 of the licen[cs]e"),
+    ("gpl-2-only", "version 2 as", "under the terms of the gnu general public licen[cs]e version 2 as published by the free software foundation"),
+    ("gpl-3", "version 3 of the", "gnu general public licen[cs]e as published by the free software foundation(?: either)? version 3 of the licen[cs]e"),
+    ("gpl", "any later version", "of the licen[cs]e or at your option any later version"),
+    ("lgpl-2.1", "version 2 1 of the", "gnu lesser general public licen[cs]e as published by the free software foundation either version 2 1 of the licen[cs]e"),
+    ("lgpl-3", "version 3 of the", "gnu lesser general public licen[cs]e as published by the free software foundation either version 3 of the licen[cs]e"),
+    ("lgpl-2", "library general public", "gnu library general public licen[cs]e as published by the free software foundation either version 2 of the licen[cs]e"),
+    ("agpl-3", "affero general public", "gnu affero general public licen[cs]e as published by the free software foundation either version 3 of the licen[cs]e"),
+    ("lgpl", "general public", "you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e along with this (?:library|program)"),
+    ("agpl", "affero general public", "you should have received a copy of the gnu affero general public licen[cs]e along with this program"),
+    ("gpl", "franklin", "gnu general public licen[cs]e along with this program if not write to the free software foundation inc 51 franklin"),
+    ("gpl-2", "activities other than", "activities other than copying distribution and modification are not covered by this licen[cs]e they are outside its scope"),
+    ("gpl-2", "accept this license", "you are not required to accept this license since you have not signed it"),
+    ("gpl-2", "work based on the program", "a work based on the program means either the program or any derivative work under copyright law"),
+    ("gpl-3", "propagate or modify", "you may not propagate or modify a covered work except as expressly provided under this licen[cs]e"),
+    ("gpl-3", "unlimited permission", "this licen[cs]e explicitly affirms your unlimited permission to run the unmodified program"),
+    ("gpl-3", "are irrevocable", "all rights granted under this licen[cs]e are granted for the term of copyright on the program and are irrevocable"),
+    ("gpl-3", "technological measure", "no covered work shall be deemed part of an effective technological measure under any applicable law fulfilling obligations under article 11 of the wipo copyright treaty"),
+    ("gpl-3", "installation information", "a requirement to provide installation information does not include a requirement to continue to provide support service warranty or updates"),
+    ("gpl-classpath", "special exception", "as a special exception the copyright holders of this library give you permission to link this library"),
+    ("gpl-exception", "special exception", "as a special exception to the gnu general public licen[cs]e"),
+    ("lgpl-2.1", "derivative work", "such a work in isolation is not a derivative work of the library and therefore falls outside the scope of this licen[cs]e"),
+    ("lgpl-3", "lesser general", "this version of the gnu lesser general public licen[cs]e incorporates the terms and conditions of version 3 of the gnu general public licen[cs]e"),
+    ("fdl", "other functional", "the purpose of this licen[cs]e is to make a manual textbook or other functional and useful document free in the sense of freedom"),
+    ("fdl", "document numbering", "if you publish printed copies of the document numbering more than 100 and the document s licen[cs]e notice requires cover texts"),
+    # Mozilla, Eclipse, Sun, IBM, CPL, OSL
+    ("mpl-1.1", "alternatively the contents", "alternatively the contents of this file may be used under the terms of either the gnu general public licen[cs]e"),
+    ("mpl-1.1", "software distributed under", "software distributed under the licen[cs]e is distributed on an as is basis without warranty of any kind either express or implied see the licen[cs]e for the specific language governing rights"),
+    ("mpl-2", "incompatible with secondary", "this source code form is incompatible with secondary licen[cs]es as defined by the mozilla public licen[cs]e"),
+    ("mpl-2", "covered software", "covered software is provided under this licen[cs]e on an as is basis without warranty of any kind"),
+    ("mpl-2", "modifications", "all distribution of covered software in source code form including any modifications that you create or to which you contribute must be under the terms of this licen[cs]e"),
+    ("npl-1.1", "netscape", "the contents of this file are subject to the netscape public licen[cs]e"),
+    ("epl-2", "following secondary", "this source code may also be made available under the following secondary licen[cs]es when the conditions for such availability set forth in the eclipse public licen[cs]e"),
+    ("epl-1", "accompanying program", "the accompanying program is provided under the terms of this eclipse public licen[cs]e"),
+    ("edl-1", "eclipse distribution", "eclipse distribution licen[cs]e(?: v(?:ersion)?)? 1 0"),
+    ("cpl-1", "common public", "the accompanying program is provided under the terms of this common public licen[cs]e"),
+    ("cpl-1", "common public", "common public licen[cs]e(?: version| v)? ?(?:1 0|0 5)"),
+    ("ipl-1", "ibm public", "ibm public licen[cs]e(?: version)? 1 0"),
+    ("cddl", "covered software", "covered software is provided under this licen[cs]e on an as is basis without warranty of any kind either expressed or implied including without limitation warranties that the covered software is free of defects"),
+    ("cddl", "cddl header", "cddl header start the contents of this file are subject to the terms"),
+    ("sissl", "sun industry", "sun industry standards source licen[cs]e"),
+    ("osl-3", "open software licen", "licensed under the open software licen[cs]e version 3 0"),
+    ("afl-3", "academic free", "licensed under the academic free licen[cs]e version 3 0"),
+    ("afl", "academic free", "academic free licen[cs]e(?: v(?:ersion)? ?| )?(?:1 1|1 2|2 0|2 1)"),
+    ("qpl-1", "q public", "the q public licen[cs]e version 1 0"),
+    ("sleepycat", "redistributions in", "redistributions in any form must be accompanied by information on how to obtain complete source code for the db software"),
+    ("rpl", "reciprocal public", "reciprocal public licen[cs]e(?: version)?(?: 1 [15])?"),
+    ("apsl-2", "apple public source", "apple public source licen[cs]e(?: version)?(?: 2 0)?"),
+    ("ncgl", "information licensed", "contains public sector information licensed under the open government licen[cs]e"),
+    ("ogl-uk", "open government", "open government licen[cs]e(?: v(?:ersion)? ?)?(?:[123] 0)?"),
+    ("etalab", "licence ouverte", "licence ouverte open licence(?: etalab)?"),
+    ("eupl", "european union public", "this european union public licen[cs]e the eupl applies to the work"),
+    ("cecill", "cecill", "this software is governed by the cecill(?: b| c)? licen[cs]e under french law"),
+    # languages and projects
+    ("psf-2", "python software", "this licen[cs]e agreement is between the python software foundation"),
+    ("psf-2", "licensee hereby", "licensee hereby agrees to include in any such work a brief summary of the changes made to python"),
+    ("psf-2", "cnri", "cnri licen[cs]e agreement for python"),
+    ("ruby", "redistribute it", "you (?:can|may) redistribute it and or modify it under either the terms of the (?:2 clause bsdl|gpl version 2) (?:see the file|or the conditions below)"),
+    ("ruby", "same terms as ruby", "licensed under the same terms as ruby"),
+    ("perl", "same terms as perl", "you can redistribute it and or modify it under the same terms as perl itself"),
+    ("artistic-1", "restriction provided", "you may make and give away verbatim copies of the source form of the standard version of this package without restriction provided that you duplicate all of the original copyright notices"),
+    ("artistic-2", "distribute verbatim", "everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document but changing it is not allowed preamble this licen[cs]e establishes the terms under which a given free software package"),
+    ("php-3", "promote products", "the name php must not be used to endorse or promote products derived from this software"),
+    ("vim", "vim licen", "the vim licen[cs]e applies to"),
+    ("vim", "vim licen", "vim licen[cs]e"),
+    ("zpl-2", "zope public", "this software is subject to the provisions of the zope public licen[cs]e"),
+    ("lppl", "latex project public", "latex project public licen[cs]e"),
+    ("w3c", "w3c", "w3c software(?: and document)? notice and licen[cs]e"),
+    ("nvidia", "nvidia corporation", "nvidia corporation and its licensors retain all intellectual property and proprietary rights in and to this software"),
+    ("ms-rl", "reciprocal licen", "microsoft reciprocal licen[cs]e"),
+    ("ms-pl", "contributors name", "this licen[cs]e does not grant you rights to use any contributors name logo or trademarks"),
+    ("ms-pl", "you accept", "if you use the software you accept this licen[cs]e if you do not accept the licen[cs]e do not use the software"),
+    ("oracle-bcl", "oracle", "oracle binary code licen[cs]e agreement"),
+    ("otn", "technology network", "oracle technology network licen[cs]e agreement"),
+    # fonts, data and content
+    ("ofl-1.1", "collaborative font", "the goals of the open font licen[cs]e ofl are to stimulate worldwide development of collaborative font projects"),
+    ("gust-font", "gust font", "gust font licen[cs]e"),
+    ("ubuntu-font", "ubuntu font", "ubuntu font licen[cs]e(?: version)?(?: 1 0)?"),
+    ("odc-by", "attribution licen", "open data commons attribution licen[cs]e"),
+    ("pddl", "public domain dedication", "open data commons public domain dedication and licen[cs]e"),
+    ("cdla", "community data", "community data licen[cs]e agreement (?:permissive|sharing)"),
+    ("cc-by-4", "attribution 4 0", "creative commons attribution 4 0 international (?:public )?licen[cs]e"),
+    ("cc-by-sa-4", "sharealike 4 0", "creative commons attribution sharealike 4 0 international (?:public )?licen[cs]e"),
+    ("cc-by-nc-4", "noncommercial 4 0", "creative commons attribution noncommercial 4 0 international (?:public )?licen[cs]e"),
+    ("cc-by-nd-4", "noderivatives 4 0", "creative commons attribution noderivatives 4 0 international (?:public )?licen[cs]e"),
+    ("cc-by-sa-3", "unported", "creative commons attribution share ?alike 3 0 unported(?: licen[cs]e)?"),
+    ("cc-by-3", "unported", "creative commons attribution 3 0 unported(?: licen[cs]e)?"),
+    ("cc", "exercising any rights", "by exercising any rights to the work provided here you accept and agree to be bound by the terms of this licen[cs]e"),
+    ("cc", "creative commons", "the work as defined below is provided under the terms of this creative commons public licen[cs]e"),
+    ("cc", "creative commons", "creative commons corporation is not a law firm and does not provide legal (?:services or legal advice|advice)"),
+    ("cc", "licensed rights", "the licensor hereby grants you a worldwide royalty free non sublicensable non exclusive irrevocable licen[cs]e to exercise the licensed rights"),
+    ("cc0", "affirmer", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright"),
+    ("cc0", "public domain", "dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
+    ("public-domain", "source code", "the author(?:s)? (?:hereby )?disclaim(?:s)? copyright to this source code"),
+    ("sqlite-blessing", "author disclaims copyright", "the author disclaims copyright to this source code in place of a legal notice here is a blessing"),
+    ("gutenberg", "project gutenberg", "under the terms of the project gutenberg licen[cs]e included with this ebook"),
+    ("wikipedia", "text is available", "text is available under the creative commons attribution share ?alike licen[cs]e"),
+    # source available and models
+    ("sspl-1", "server side public", "server side public licen[cs]e(?: version 1)?"),
+    ("busl-1.1", "business source", "business source licen[cs]e(?: 1 1)?"),
+    ("busl-1.1", "change date", "effective on the change date or the fourth anniversary of the first publicly available distribution of a specific version of the licensed work"),
+    ("elastic-2", "elastic licen", "elastic licen[cs]e(?: 2 0| v2)?"),
+    ("commons-clause", "commons clause", "commons clause licen[cs]e condition"),
+    ("commons-clause", "right to sell", "the grant of rights under the licen[cs]e will not include and the licen[cs]e does not grant to you the right to sell the software"),
+    ("polyform", "polyform", "polyform (?:noncommercial|small business|strict|shield|perimeter|internal use) licen[cs]e"),
+    ("openrail", "rail", "(?:creativeml|bigscience|bigcode)(?: open)? ?(?:open )?rail (?:m )?(?:m )?licen[cs]e"),
+    ("llama", "llama", "llama [0-9](?: [0-9])? community licen[cs]e(?: agreement)?"),
+    ("gemma", "gemma", "use of gemma is subject to the gemma licen[cs]e"),
+    ("ai2-impact", "impact licen", "ai2 impact licen[cs]e (?:low|medium|high) risk"),
+    # proprietary notices
+    ("proprietary", "licensed not sold", "(?:the software|this software|the program) is licensed not sold"),
+    ("proprietary", "agreement", "end user licen[cs]e agreement"),
+    ("proprietary", "not for redistribution", "for (?:internal|evaluation|personal) use only not for redistribution"),
+    ("proprietary", "unpublished", "unpublished rights reserved under the copyright laws of the united states"),
+    ("evaluation", "evaluation licen", "evaluation licen[cs]e agreement"),
+    # words of notices that many licenses share
+    ("warranty-disclaimer", "implied warranties", "disclaim(?:s)? all (?:express or implied )?warranties (?:with regard to this software )?including(?: without limitation| but not limited to)?(?: all| any)? (?:the )?implied warranties"),
+    ("warranty-disclaimer", "no warranty", "(?:comes with|there is) (?:absolutely )?no warranty(?: for the program)? (?:to the extent permitted by applicable law|for details)"),
+    ("permissive", "any purpose", "permission is (?:hereby )?granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("non-commercial", "commercial use", "(?:any )?commercial use (?:of this (?:software|work|data) )?is (?:strictly )?prohibited(?: without (?:prior )?(?:written )?(?:permission|consent|a licen[cs]e))?"),
 ]
 #: Addresses of licenses as words: label, keyword, the address.
 ADDRESSES: list[tuple[str, str, str]] = [

@@ -60,6 +60,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables staged since a `Stage` began, as long as one is open.
+_SINCE: list[list[DataFrame]] = []
+
+
+class Stage:
+    """What is staged within it, so that it can go when its result has been staged: `discard(*stage.made)`."""
+
+    def __enter__(self) -> Stage:
+        self.made: list[DataFrame] = []
+        _SINCE.append(self.made)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _SINCE.remove(self.made)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back.
 
@@ -72,7 +88,10 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    for made in _SINCE:
+        made.append(out)
+    return out
 
 
 def discard(*tables: DataFrame) -> None:

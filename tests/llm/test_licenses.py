@@ -106,6 +106,15 @@ def test_bodies_without_a_name(spark):
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even": "gpl",
         "see https://www.gnu.org/licenses/gpl-3.0.html": "gpl-3", "http://www.apache.org/licenses/LICENSE-2.0": "apache-2", "https://creativecommons.org/licenses/by-nc/4.0/": "cc-by-nc-4",
         "The Software shall be used for Good, not Evil.": "json",
+        "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file.": "bsd",
+        "See the License for the specific language governing permissions and\n limitations under the License.": "apache-2",
+        "As a special exception, the copyright holders of this library give you\npermission to link this library with independent modules": "gpl-classpath",
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted": "postgresql",
+        "You can redistribute it and/or modify it under the same terms as Perl itself": "perl", "Licensed under the Open Software License version 3.0": "osl-3",
+        "The author disclaims copyright to this source code. In place of a legal notice, here is a blessing:": "sqlite-blessing",
+        "Business Source License 1.1": "busl-1.1", "Server Side Public License, version 1": "sspl-1", "Llama 3.1 Community License Agreement": "llama",
+        "THE SOFTWARE IS LICENSED, NOT SOLD: this software is licensed, not sold.": "proprietary",
+        "Creative Commons Attribution-ShareAlike 3.0 Unported License": "cc-by-sa-3",
     }
     rows = spark.createDataFrame([(x,) for x in texts], "text string")
     found = {r["text"]: r["labels"].split(",") for r in licenses.summary(licenses.scan(rows)).collect()}
