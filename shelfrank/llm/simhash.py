@@ -411,34 +411,42 @@ def _thinned(found: DataFrame) -> DataFrame:
     return found.repartition(max(1, -(-found.count() // LINKS_A_TASK))).mapInArrow(thin, "a long, b long")
 
 
-def wide_links(marks: DataFrame, words: tuple[str, str], radius: int, total: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def wide_plans(marks: DataFrame, words: tuple[str, str], radius: int) -> list[Shared]:
+    """A plan of the search for each word; a few KB, whatever the input."""
+    return [Shared(marks.sparkSession, plan_search(marks.select(F.col(w).alias("fp")), radius, WIDE_PROBE_COST)) for w in words]
+
+
+def wide_links(marks: DataFrame, words: tuple[str, str], plans: list[Shared], radius: int, total: int, probes: bool = True, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b): links among fingerprints of two words, enough of them to connect all that is linked: what differs in at most
-    `radius` bits of either word, and in at most `total` bits of both.
+    `radius` bits of either word, and in at most `total` bits of both. Without probes those alone that also agree in a
+    partition of a word.
 
-    marks: a staged table of distinct fingerprints, two words each as longs, and a long, mark, that names them.
+    marks: a staged table of distinct fingerprints: two words each as longs, a long, mark, that names them, and another, root,
+    that fingerprints have in common that need no link with each other.
     """
-    plans = [Shared(marks.sparkSession, plan_search(marks.select(F.col(w).alias("fp")), radius, WIDE_PROBE_COST)) for w in words]
 
     def deal(batches):
         for batch in batches:
-            marked, *both = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("mark", *words))
+            marked, roots, *both = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("mark", "root", *words))
             for at in range(0, len(marked), 4096):
                 for k, plan in enumerate(plans):
                     own, other = (x[at : at + 4096].view(np.uint64) for x in (both[k], both[1 - k]))
                     buckets, owners, probing = plan.value.keys(own)
-                    cols = [buckets | k << 50, own[owners].view(np.int64), other[owners].view(np.int64), marked[at : at + 4096][owners], probing]
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["bucket", "own", "other", "mark", "probing"])
+                    if not probes:
+                        buckets, owners, probing = (x[~probing] for x in (buckets, owners, probing))
+                    cols = [buckets | k << 50, own[owners].view(np.int64), other[owners].view(np.int64), marked[at : at + 4096][owners], roots[at : at + 4096][owners], probing]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["bucket", "own", "other", "mark", "root", "probing"])
 
     def compare(batches):
         joined = _Joined()
-        for cells, own, other, marked, probing in _whole_runs(batches, ["cell", "own", "other", "mark", "probing"]):
-            a, b = (marked[i] for i in _links(cells, own.view(np.uint64), probing, radius, other.view(np.uint64), total))
-            new = joined.new(a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+        for cells, own, other, marked, roots, probing in _whole_runs(batches, ["cell", "own", "other", "mark", "root", "probing"]):
+            a, b = _links(cells, own.view(np.uint64), probing, radius, other.view(np.uint64), total)
+            new = joined.new(roots[a], roots[b])
+            yield pa.RecordBatch.from_arrays([pa.array(marked[a[new]]), pa.array(marked[b[new]])], ["a", "b"])
 
     # Dealt twice, to count and to compare, as keys take more room than the words that they are made from.
-    keys = marks.select("mark", *words).mapInArrow(deal, "bucket long, own long, other long, mark long, probing boolean")
-    found = staged(_cells(keys, bucket_rows, ["own", "other", "mark"]).mapInArrow(compare, "a long, b long"), "simhash-wide")
+    keys = marks.select("mark", "root", *words).mapInArrow(deal, "bucket long, own long, other long, mark long, root long, probing boolean")
+    found = staged(_cells(keys, bucket_rows, ["own", "other", "mark", "root"]).mapInArrow(compare, "a long, b long"), "simhash-wide")
     return _thinned(found)
 
 

@@ -7,7 +7,7 @@ import pytest
 
 from shelfrank.llm import jaccard
 from shelfrank.llm.shared import space_words, staged
-from shelfrank.llm.simhash import wide_links
+from shelfrank.llm.simhash import wide_links, wide_plans
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -106,7 +106,8 @@ def test_links_chain_every_near_pair(spark):
     signed = lambda v: v - (v >> 63 << 64)
     number = {(signed(x), signed(y)): k for k, (x, y) in enumerate(rows)}
     rows = [(x % 2**64, y % 2**64) for x, y in number]
-    marks = staged(spark.createDataFrame([(k, signed(x), signed(y)) for k, (x, y) in enumerate(rows)], "mark long, w0 long, w1 long"), "test")
+    marks = staged(spark.createDataFrame([(k, signed(x), signed(y)) for k, (x, y) in enumerate(rows)], "mark long, w0 long, w1 long").selectExpr("*", "mark AS root"), "test")
+    plans = wide_plans(marks, ("w0", "w1"), 14)
     near = set()
     for i, (a, b) in enumerate(rows):
         for j, (c, d) in enumerate(rows[:i]):
@@ -118,10 +119,38 @@ def test_links_chain_every_near_pair(spark):
         lo, hi = sorted((root[a], root[b]))
         root = [lo if r == hi else r for r in root]
     for bucket_rows in (1 << 16, 20):
-        found = [(r["a"], r["b"]) for r in wide_links(marks, ("w0", "w1"), 14, 34, bucket_rows).collect()]
+        found = [(r["a"], r["b"]) for r in wide_links(marks, ("w0", "w1"), plans, 14, 34, bucket_rows=bucket_rows).collect()]
         assert len(near) > 300 and {(min(p), max(p)) for p in found} <= near
         joined = list(range(len(rows)))
         for a, b in found:
             lo, hi = sorted((joined[a], joined[b]))
             joined = [lo if r == hi else r for r in joined]
         assert joined == root
+    # What agrees in a partition is found without probes, and what shares a root needs no link.
+    some = [(r["a"], r["b"]) for r in wide_links(marks, ("w0", "w1"), plans, 14, 34, False).collect()]
+    assert some and {(min(p), max(p)) for p in some} <= near
+    one = staged(marks.drop("root").selectExpr("*", "0L AS root"), "test")
+    assert wide_links(one, ("w0", "w1"), plans, 14, 34).count() == 0
+
+
+def test_a_large_group_of_near_copies_gives_few_links(spark, monkeypatch):
+    """Hundreds of copies of one text, each changed in places: links of the whole search stay near the documents' number."""
+    rng = random.Random(11)
+    base = words(rng, 300)
+    texts = []
+    for _ in range(400):
+        own = list(base)
+        for k in rng.sample(range(300), 3):
+            own[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    found, counts = jaccard.wide_links, []
+
+    def counted(*args):
+        links = staged(found(*args), "test")
+        counts.append(links.count())
+        return links
+
+    monkeypatch.setattr(jaccard, "wide_links", counted)
+    docs = staged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test")
+    assert {r["component_id"] for r in jaccard.near_duplicates(docs, "doc_id").collect()} == {0}
+    assert len(counts) == 2 and sum(counts) <= 3 * len(texts)
