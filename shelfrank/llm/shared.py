@@ -73,7 +73,7 @@ class Stage:
         return self
 
     def __exit__(self, *_) -> None:
-        _SINCE.remove(self.made)
+        _SINCE[:] = [made for made in _SINCE if made is not self.made]
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

@@ -59,6 +59,18 @@ def test_repeated_and_missing_ids_are_rows_of_their_own(spark):
     assert sorted(kept, key=repr) == sorted(rows[:4], key=repr)
 
 
+def test_a_run_leaves_its_last_staged_table_alone(spark, corpus):
+    from shelfrank.llm.shared import Stage
+
+    place, _ = corpus
+    with Stage() as own:
+        out = corpus_pipeline.run(spark, place)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    exists = lambda f: jvm.org.apache.hadoop.fs.Path(f).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(f))
+    left = {f.rsplit("/", 1)[0] for t in own.made for f in t.inputFiles() if exists(f)}
+    assert len(left) == 1 and "staged-pii" in next(iter(left)) and out.count() > 0
+
+
 def test_no_rows(spark, corpus):
     place, _ = corpus
     docs = spark.read.parquet(f"{place}/documents.parquet").where("false")
@@ -96,6 +108,7 @@ def test_columns_of_any_name_may_stand_beside(spark, corpus):
         assert out.where(" or ".join(f"`{c}` <> 'kept'" for c in extra)).count() == 0, name
         assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in narrow.collect()), name
     last = corpus_pipeline.STAGES[-1][1](spark, wide, place)
+    assert last.where("ids_before <> 'kept' or n_tokens_before <> 'kept'").count() == 0
     assert {"margin", "label", "source", "n_chars"} <= set(last.columns) and len(set(last.columns)) == len(last.columns)
     assert all(len(r["ids"]) == r["n_tokens"] for r in last.collect())
 
