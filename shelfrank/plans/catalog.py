@@ -707,3 +707,35 @@ def crawled_pages(spark, sf_dir):
     spark.dataSource.register(crawl.Listings)
     found = spark.read.format("listings").option("most", str(10**6)).option("card", "article").load(path)
     return found.select("listing", "page", "attempt", "status", F.length("html").alias("n_chars"))
+
+
+@query("json_export", f"WITH {CAT} SELECT id::VARCHAR AS id, title, CASE p_size % 3 WHEN 0 THEN 'unknown' ELSE 'considerable' END AS lifecycle, price FROM cat WHERE p_size % 3 < 2")
+def json_export(spark, sf_dir):
+    """Records of a wanted life cycle, exported as JSON by many tasks and read back."""
+    path = places.scratch(spark, "export")
+    source.export(source.exportable(adapter.catalogue(spark, sf_dir)), path)
+    return source.read_catalogue(spark, path, "lines").select(F.col("_id").alias("id"), "title", F.col("parseHtmlSpec.meta.lifecycle").alias("lifecycle"), "price")
+
+
+@query("report_written", f"WITH {CAT}, f AS ({BY_VALUE}) {_chunks('processor, value', 'FROM f')}")
+def report_written(spark, sf_dir):
+    """The second of two whole reports written to one folder."""
+    folder, devices = places.scratch(spark, "reports"), adapter.catalogue(spark, sf_dir)
+    report.write_whole(devices.limit(0), folder, chunk=_CHUNK)
+    path = report.write_whole(devices, folder, chunk=_CHUNK)
+    if not path.endswith(f"{report.STEM}-2"):
+        raise ValueError(f"{path} isn't the second report")
+    kind = "processor string, value string, failed_count bigint, first_seen bigint, chunk int, document_ids array<string>"
+    return spark.read.schema(kind).json(f"{path}/by_value").select("processor", "value", "failed_count", "chunk", F.array_join("document_ids", ",").alias("document_ids"))
+
+
+@query("stream_appended", "SELECT conv_id::VARCHAR AS thread_id, (n - 1)::BIGINT AS seq, content FROM (SELECT conv_id, text AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations) WHERE n <= 4")
+def stream_appended(spark, sf_dir):
+    """Conversations as a stream, appended to threads that hold four messages each."""
+    from ..streaming.threads import append_stream
+
+    path = places.scratch(spark, "stream")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("thread_id"), F.timestamp_seconds(F.col("turn")).alias("arrived"), "role", F.col("text").alias("content"))
+    rows.write.parquet(f"{path}/in")
+    append_stream(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/state", most=4).awaitTermination()
+    return spark.read.schema("thread_id string, arrived timestamp, role string, content string, seq bigint").parquet(f"{path}/out").select("thread_id", "seq", "content")
