@@ -739,3 +739,13 @@ def stream_appended(spark, sf_dir):
     rows.write.parquet(f"{path}/in")
     append_stream(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/state", most=4).awaitTermination()
     return spark.read.schema("thread_id string, arrived timestamp, role string, content string, seq bigint").parquet(f"{path}/out").select("thread_id", "seq", "content")
+
+
+_NEED = "CASE p_partkey % 6 WHEN 0 THEN 'A Gaming phone with a big battery' WHEN 1 THEN 'camera and selfie video' WHEN 2 THEN p_name WHEN 3 THEN 'fast, bright, long lasting, space for photos' WHEN 4 THEN ' ' ELSE 'multitask on ' || p_brand END"
+_PARTS_OF = {c: "(1 + 2 * (" + " + ".join(f"contains(s, '{w}')::INT" for w in words) + "))" for c, words in planner.SIGNALS.items()}
+
+
+@query("request_weights", f"WITH r AS (SELECT p_partkey AS id, lower({_NEED}) AS s FROM part) SELECT id, " + ", ".join(f"CASE WHEN trim(s) <> '' THEN {p}::DOUBLE / ({' + '.join(_PARTS_OF.values())}) END AS \"{c}\"" for c, p in _PARTS_OF.items()) + " FROM r")
+def request_weights(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").withColumn("w", planner.weight_phrases(F.expr(_NEED)))
+    return rows.select(F.col("p_partkey").alias("id"), *(F.col(f"w.{c}").alias(c) for c in planner.SIGNALS))

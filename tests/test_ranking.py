@@ -417,3 +417,11 @@ def test_a_title_of_one_word_many_times_is_a_class_of_its_own(spark):
     frame = lambda ts: spark.createDataFrame(list(enumerate(ts)), "_ordinal long, title string")
     found = {r["left_id"]: (r["right_id"], r["score"]) for r in matching.best_matches(frame(left), frame(right)).collect()}
     assert found == all_pairs(left, right)
+
+
+def test_weights_in_columns_are_those_of_requests(spark):
+    said = ["A Gaming phone", "camera, fast GPU and storage", "nothing of it", "OLED screen for movies"]
+    rows = spark.createDataFrame([(x,) for x in [*said, " "]], "x string").select("x", planner.weight_phrases("x").alias("w")).collect()
+    for r in rows[:-1]:
+        assert scoring.checked_weights(r["w"].asDict()) == pytest.approx(planner.keyword_weights(r["x"]))
+    assert rows[-1]["w"] is None
