@@ -105,7 +105,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     """(id, keep..., n_tokens, ids_sha256, decoded_sha256), and with real the ids and the decoded text as well.
 
     A row for each row of docs; a null text is empty. path: the rank file, read on the driver only. keep: columns to
-    carry along; one named like those or "text" is an error. Repeated rows are repeated; an empty table gives no row.
+    carry along; one named like those or "text" is an error. Repeated rows are repeated; texts of any length are encoded whole; an empty
+    table gives no row.
     """
     ranks, keep = read_ranks(path), carried(keep, "id", "text", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if real else []))
     held = docs.sparkSession.sparkContext.broadcast({"ranks": ranks, "model": model_bytes(ranks)})  # fixed by the rank file

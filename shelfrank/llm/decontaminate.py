@@ -165,7 +165,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Words are runs of letters, digits and non-ASCII characters with A-Z lower-cased. A text that is null or holds no
     word has no hits; an item without words has no window; an item whose id is null marks words but isn't listed;
-    repeated items count once, repeated rows of docs are rows. Empty tables give no rows or no hits.
+    repeated items count once, repeated rows of docs are rows. Texts of any length are searched whole, one at a time; items
+    of any length are cut into pieces. Empty tables give no rows or no hits. Beyond block_bytes of benchmark text the rows are
+    staged once for each block, which costs their size in the shared folder.
     """
     spark = docs.sparkSession
     items = item_pieces(benchmark, item_col, item_text, window)

@@ -486,7 +486,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     A-Z alone are lower-cased. A null text is empty: no words, no detections. Rows, repeated ones too, and other columns
     pass as they are; columns of these three names are replaced, and names in _OWN are refused. An empty table gives
-    none. Every match of every text is kept.
+    none. Every match of every text is kept, and texts of any length are read whole.
     """
     carried(docs.columns, *_OWN)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -184,7 +184,7 @@ def replacement() -> str:
 
 def pseudonymised(text: str) -> Column:
     """struct(text, kinds): the text with every valid candidate replaced, and the replaced ones' kinds in order, beside
-    a column KEY_COL with the key. A null text gives a null text and no kinds.
+    a column KEY_COL with the key. A null text gives a null text and no kinds; texts of any length are read whole.
     """
     body = f"cast(`{text}` AS string)"
     secrets = f"IF({body} RLIKE {_lit(SECRET_TRACE)}, regexp_extract_all({body}, {_lit(ANY)}, 1), cast(array() AS array<string>))"

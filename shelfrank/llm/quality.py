@@ -207,6 +207,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, ensemble: Ensemble, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id, keep..., score): a row for each row of docs; a null or empty text has statistics of 0 and a score too. An
-    empty table gives no row. For keep see with_statistics."""
+    """(id, keep..., score): a row for each row of docs; a null or empty text has statistics of 0 and a score too.
+    Texts of any length are read whole. An empty table gives no row. For keep see with_statistics."""
     return with_statistics(docs, id_col, text_col, keep).withColumn("score", ensemble.column()).drop(*STATS)
