@@ -12,7 +12,10 @@ all its pairs. The rows of a bucket that outgrows BUCKET_ROWS, stored and probin
 chunks meet in pairs, so no task holds more than two chunks and no link is lost.
 
 `wide_links` is the same search over fingerprints of two words each, for radii at which one word's worth of bits tells too
-little: near in one word, found by its partitions, and near in both together.
+little: near in one word, found by its partitions, and near in both together. Its partitions are of 8 bits at such radii,
+so their buckets grow with the input and comparisons with its square. For many fingerprints `Tables` take their place:
+samples of the bits of both words, longer ones the more fingerprints there are, and so many of them that near pairs agree
+in one.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -38,6 +41,8 @@ BUCKET_ROWS = 1 << 16
 PROBE_COST = 1000.0
 #: The same for fingerprints of two words, whose rows are wider and whose radius asks for many more of them.
 WIDE_PROBE_COST = 20_000.0
+#: What a row of a table costs, in comparisons, and what a bit of a sample is worth, as bits are neither fair nor independent.
+TABLE_ROW_COST, BIT_WORTH = 2000.0, 0.85
 #: Links that one task thins out.
 LINKS_A_TASK = 500_000
 _CHUNK = 1 << 15
@@ -170,6 +175,57 @@ class Plan:
         out = np.concatenate(buckets)
         return out, np.concatenate(owners), np.arange(len(out)) >= n_stored
 
+    def dealt(self, own: np.ndarray, other: np.ndarray, probes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The keys of one word, those alone that a fingerprint is stored under without probes."""
+        found = self.keys(own)
+        return found if probes else tuple(x[~found[2]] for x in found)
+
+
+class Tables:
+    """Samples of the 128 bits of two words. A fingerprint is stored in every table, under what it has at the sample's bits."""
+
+    def __init__(self, bits: int, tables: int):
+        rng = np.random.default_rng(1)
+        #: A column a table: what each of the 128 bits adds to its value.
+        self.weights = np.zeros((128, tables))
+        for t in range(tables):
+            self.weights[rng.choice(128, bits, replace=False), t] = 2.0 ** np.arange(bits)
+        #: Tables that are searched first, alone; they chain most of what is near.
+        self.first = max(1, tables // 6)
+
+    def dealt(self, own: np.ndarray, other: np.ndarray, probes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket, position, probing), nothing probing: in the first tables, or in the rest of them."""
+        chosen = np.arange(self.weights.shape[1])[slice(self.first, None) if probes else slice(0, self.first)]
+        values = np.hstack([_bits(own), _bits(other)]).astype(np.float64) @ self.weights[:, chosen]  # whole numbers below 2^53
+        buckets = values.astype(np.int64) | chosen << 40
+        owners = np.repeat(np.arange(len(own)), len(chosen))
+        return buckets.ravel(), owners, np.zeros(len(owners), bool)
+
+
+def met_in_tables(bits: int, tables: int, apart: float, total: int) -> float:
+    """How many of the pairs whose bits differ with a probability of `apart` are within `total` and agree in a table."""
+    out = 0.0
+    for d in range(total + 1):
+        agree = comb(128 - d, bits) / comb(128, bits)
+        out += comb(128, d) * apart**d * (1 - apart) ** (128 - d) * (1 - (1 - agree) ** tables)
+    return out
+
+
+def how_many_tables(n: int, apart: float, total: int, recall: float) -> tuple[int, int]:
+    """(bits, tables) that are cheapest for n fingerprints and meet so many pairs. Bits grow with the logarithm of n, so
+    that buckets hardly grow."""
+
+    def enough(bits: int) -> int:
+        tables = 1
+        while met_in_tables(bits, tables, apart, total) < recall:
+            tables += max(1, tables // 16)
+        return tables
+
+    found = {bits: enough(bits) for bits in range(8, 19, 2)}
+    cost = lambda bits: found[bits] * (TABLE_ROW_COST + n / 2 ** (1 + BIT_WORTH * bits))
+    best = min(found, key=cost)
+    return best, found[best]
+
 
 def sub_blocks(parts: list[list[int]]) -> list[list[tuple[int, list[int]]]]:
     """Numbered runs of at most 8 bits of each partition, small enough for an exact histogram."""
@@ -237,7 +293,7 @@ def forest(stored: np.ndarray, probing: np.ndarray, radius: int, others: np.ndar
 
     Positions count on from stored into probing. Two probing fingerprints are never compared: they meet where one of
     them is stored. Few links are all returned; many are reduced to at most one a fingerprint. others: a second word of
-    every fingerprint, in whose light a link has at most `total` differing bits in both words.
+    every fingerprint, in whose light a link has at most `total` differing bits in both words; a radius of 64 leaves it at that.
     """
     both = np.concatenate([stored, probing])
     n, m = len(stored), len(both)
@@ -245,9 +301,13 @@ def forest(stored: np.ndarray, probing: np.ndarray, radius: int, others: np.ndar
     count, in_rows, in_cols = 0, np.zeros(n, bool), np.zeros(m, bool)
     found: list[np.ndarray] = []
     for at in range(0, n, step):
-        near = apart(stored[at : at + step, None], both[None, :]) <= radius
+        near = apart(stored[at : at + step, None], both[None, :])
+        if alone := others is not None and radius >= 64:  # the total alone decides
+            near = near + apart(others[at : at + step, None], others[None, :]) <= total
+        else:
+            near = near <= radius
         near[np.arange(len(near)), at + np.arange(len(near))] = False
-        if others is not None and near.any():
+        if others is not None and not alone and near.any():
             i, j = np.nonzero(near)
             far = apart(both[at + i], both[j]) + apart(others[at + i], others[j]) > total
             near[i[far], j[far]] = False
@@ -416,11 +476,19 @@ def wide_plans(marks: DataFrame, words: tuple[str, str], radius: int) -> list[Sh
     return [Shared(marks.sparkSession, plan_search(marks.select(F.col(w).alias("fp")), radius, WIDE_PROBE_COST)) for w in words]
 
 
+def wide_tables(spark: SparkSession, n: int, apart: float, total: int, recall: float) -> list[Shared]:
+    """Tables instead of plans, for many fingerprints; a few 100 KB, whatever the input."""
+    return [Shared(spark, Tables(*how_many_tables(n, apart, total, recall)))]
+
+
 def wide_links(marks: DataFrame, words: tuple[str, str], plans: list[Shared], radius: int, total: int, probes: bool = True, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b): links among fingerprints of two words, enough of them to connect all that is linked: what differs in at most
     `radius` bits of either word, and in at most `total` bits of both. Without probes those alone that also agree in a
     partition of a word.
 
+    With tables, links are what agrees in a table and differs in at most `total` bits of both, whatever the word (a radius
+    of 64). Without probes these are the first tables', with them those of the rest.
+
     marks: a staged table of distinct fingerprints: two words each as longs, a long, mark, that names them, and another, root,
     that fingerprints have in common that need no link with each other.
     """
@@ -428,13 +496,11 @@ def wide_links(marks: DataFrame, words: tuple[str, str], plans: list[Shared], ra
     def deal(batches):
         for batch in batches:
             marked, roots, *both = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("mark", "root", *words))
-            for at in range(0, len(marked), 4096):
+            for at in range(0, len(marked), 1024):
                 for k, plan in enumerate(plans):
-                    own, other = (x[at : at + 4096].view(np.uint64) for x in (both[k], both[1 - k]))
-                    buckets, owners, probing = plan.value.keys(own)
-                    if not probes:
-                        buckets, owners, probing = (x[~probing] for x in (buckets, owners, probing))
-                    cols = [buckets | k << 50, own[owners].view(np.int64), other[owners].view(np.int64), marked[at : at + 4096][owners], roots[at : at + 4096][owners], probing]
+                    own, other = (x[at : at + 1024].view(np.uint64) for x in (both[k], both[1 - k]))
+                    buckets, owners, probing = plan.value.dealt(own, other, probes)
+                    cols = [buckets | k << 50, own[owners].view(np.int64), other[owners].view(np.int64), marked[at : at + 1024][owners], roots[at : at + 1024][owners], probing]
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["bucket", "own", "other", "mark", "root", "probing"])
 
     def compare(batches):

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from shelfrank.llm import jaccard
+from shelfrank.llm import jaccard, simhash
 from shelfrank.llm.shared import space_words, staged
 from shelfrank.llm.simhash import wide_links, wide_plans
 
@@ -154,3 +154,59 @@ def test_a_large_group_of_near_copies_gives_few_links(spark, monkeypatch):
     docs = staged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test")
     assert {r["component_id"] for r in jaccard.near_duplicates(docs, "doc_id").collect()} == {0}
     assert len(counts) == 2 and sum(counts) <= 3 * len(texts)
+
+
+def test_tables_keep_pairs_and_their_buckets_small(spark):
+    """Of pairs at the threshold 0.998 agree in a table; what a fingerprint is compared with hardly grows with their number."""
+    for n in (10**5, 10**7):
+        bits, tables = simhash.how_many_tables(n, jaccard.APART, jaccard.TOTAL, jaccard.RECALL)
+        assert tables * n / 2 ** (bits + 1) < 0.1 * n  # two words' partitions: half of n
+    few, many = (tables * n / 2**bits for n in (10**6, 10**8) for bits, tables in [simhash.how_many_tables(n, jaccard.APART, jaccard.TOTAL, jaccard.RECALL)])
+    assert many < 20 * few
+    rng = np.random.default_rng(12)
+    made = simhash.Tables(*simhash.how_many_tables(10**6, jaccard.APART, jaccard.TOTAL, jaccard.RECALL))
+    met = 0
+    for _ in range(2000):
+        pool = rng.integers(-(2**63), 2**63, 224)  # 180 of 224
+        a, b = (np.array(jaccard.words_of(np.sort(x)), np.int64).view(np.uint64) for x in (pool[:202], pool[22:]))
+        own, other = np.array([a[0], b[0]]), np.array([a[1], b[1]])
+        buckets = np.concatenate([made.dealt(own, other, probes)[0].reshape(2, -1) for probes in (False, True)], 1)
+        met += bool((buckets[0] == buckets[1]).any() and simhash.apart(a, b).sum() <= jaccard.TOTAL)
+    assert met >= 1990
+
+
+def test_tables_find_what_brute_force_finds(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PIGEONHOLE_ROWS", 0)
+    rng = random.Random(13)
+    texts = [t for _ in range(60) for t in pair(rng, 178)] + [t for _ in range(30) for t in pair(rng, 170)]
+    base = words(rng, 300)
+    for _ in range(200):  # a group of near copies
+        own = list(base)
+        own[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    texts += ["", None, "one two", "One two"]
+    docs = staged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test")
+    assert {r["component_id"] for r in jaccard.near_duplicates(docs, "doc_id").collect()} == least_of_components(texts)
+
+
+@pytest.mark.parametrize("bucket_rows", [1 << 16, 20])
+def test_links_of_tables_lie_within_the_total(spark, bucket_rows):
+    rng = np.random.default_rng(14)
+    rows = [tuple(int(x) for x in r) for r in rng.integers(0, 2**64, (40, 2), np.uint64)]
+    for k in range(300):
+        x, y = rows[k % 40]
+        for b in rng.integers(0, 64, 8):
+            x ^= 1 << int(b)
+        for b in rng.integers(0, 64, 8):
+            y ^= 1 << int(b)
+        rows.append((x, y))
+    signed = lambda v: v - (v >> 63 << 64)
+    marks = staged(spark.createDataFrame([(k, signed(x), signed(y)) for k, (x, y) in enumerate(rows)], "mark long, w0 long, w1 long").selectExpr("*", "mark AS root"), "test")
+    plans = simhash.wide_tables(spark, len(rows), jaccard.APART, jaccard.TOTAL, jaccard.RECALL)
+    found = [(r["a"], r["b"]) for probes in (False, True) for r in simhash.wide_links(marks, ("w0", "w1"), plans, 64, 34, probes, bucket_rows).collect()]
+    assert all(sum((u ^ v).bit_count() for u, v in zip(rows[a], rows[b], strict=True)) <= 34 for a, b in found)
+    root = list(range(len(rows)))
+    for a, b in found:
+        lo, hi = sorted((root[a], root[b]))
+        root = [lo if r == hi else r for r in root]
+    assert root == [*range(40), *(k % 40 for k in range(300))]
