@@ -11,6 +11,9 @@ made of a word grows like its length and not like the square. Two near words mee
 two letters' powers are equal.
 
 Sums are taken modulo a prime, so that no word is too long for them; what meets is verified in any case.
+
+Joins are sort-merge joins by hint. A staged table's size on disk, from which Spark would estimate, tells little of what its
+words take once they stand under each of their letters, and a broadcast passes through the driver.
 """
 
 from __future__ import annotations
@@ -69,15 +72,20 @@ def near_words(words: DataFrame) -> DataFrame:
     less = keyed.select("word", "n", "size", "key", F.explode(places).alias("p")).select("word", "n", "size", _mod(F.col("key") - _power(F.col("p.letter"))).alias("key"), "p.at", "p.letter")
     a, b = less.alias("a"), less.alias("b")
     # Inside the join, so that no more leaves it than pairs of near words.
-    swapped = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.letter") != F.col("b.letter")) & _one_edit("a.word", "b.word"))
+    swapped = a.join(_merged(b), (F.col("a.key") == F.col("b.key")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.letter") != F.col("b.letter")) & _one_edit("a.word", "b.word"))
     # Once for each letter of a word, as it may be removed from any place of a run of equal ones.
     first = less.where((F.col("at") < 0) | (F.instr("word", F.col("letter")) == F.col("at") + 1))
     c, d = first.alias("c"), keyed.alias("d")
-    removed = c.join(d, (F.col("c.key") == F.col("d.key")) & (F.col("c.size") == F.col("d.size") + 1) & _one_edit("c.word", "d.word"))
+    removed = c.join(_merged(d), (F.col("c.key") == F.col("d.key")) & (F.col("c.size") == F.col("d.size") + 1) & _one_edit("c.word", "d.word"))
     told = lambda df, x, y: df.select(F.col(f"{x}.word").alias("word"), F.col(f"{x}.n").alias("n"), F.col(f"{y}.word").alias("other"), F.col(f"{y}.n").alias("other_n"))
     return told(swapped, "a", "b").union(told(removed, "c", "d")).union(told(removed, "d", "c"))
 
 
+def _merged(side: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast."""
+    return side.hint("merge")
+
+
 def _one_edit(v: str, w: str) -> Column:
     return F.levenshtein(F.col(v), F.col(w), 1) == 1
 
@@ -93,11 +101,11 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     words = staged(vocabulary(docs, id_col, text_col, shortest, least), "words")
     best = F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("word"))).alias("b")
     near = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), best)
-    joined = words.join(near, "word", "left")
+    joined = words.join(_merged(near), "word", "left")
     leads = -F.col("b.less") >= lead * F.col("n")
     told = staged(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(leads, F.col("b.word")).alias("form"), F.when(leads, -F.col("b.less")).alias("form_n")), "forms")
     roots = _roots(told)
-    return told.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return told.join(_merged(roots), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def _roots(told: DataFrame) -> DataFrame:
@@ -106,7 +114,7 @@ def _roots(told: DataFrame) -> DataFrame:
     now = staged(told.where("form IS NOT NULL").select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        after = staged(now.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        after = staged(now.join(_merged(ahead), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         moved = after.where("moved").limit(1).count()
         discard(now)
         now = after.drop("moved")

@@ -8,6 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from shelfrank.llm import spelling
+from shelfrank.llm.shared import staged
 
 from ..conftest import plan_of
 
@@ -101,3 +102,11 @@ def test_words_are_joined_by_key_and_not_crossed(spark):
     words = spark.createDataFrame([("abcdefg", 3), ("abcdefh", 4)], "word string, n long")
     plan = plan_of(spelling.near_words(words))
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_no_join_is_broadcast(spark):
+    """Words go through no driver, however small Spark takes their tables for."""
+    words = staged(spark.createDataFrame([("abcdefg", 3), ("abcdefh", 40)], "word string, n long"), "test")
+    docs = spark.createDataFrame([(0, "abcdefg abcdefg abcdefh abcdefh")], "doc_id long, text string")
+    for found in (spelling.near_words(words), spelling.variants(docs)):
+        assert "Join" in plan_of(found) and "Broadcast" not in plan_of(found)
