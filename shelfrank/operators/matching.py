@@ -7,6 +7,9 @@ title has nothing rarer, and titles are never crossed.
 The best of what shares any word at all, below any threshold, is found by bounds. Of the titles that share one word alone
 the best is known beforehand: for a word and the number of its repeats, the shortest title of the smallest id. Its score
 is a title's own threshold, and a partner that beats it shares two words or more, so many more the longer it is.
+
+Sides of joins that grow with the titles are never broadcast: Spark would estimate them from the size of files that hold
+far less than what is made of them, and what is broadcast passes through the driver.
 """
 
 from __future__ import annotations
@@ -20,13 +23,18 @@ from ..functions import text
 THRESHOLD = 0.4
 
 
+def _merged(side: DataFrame) -> DataFrame:
+    """A side of a join that is sorted and merged, whatever its estimated size."""
+    return side.hint("merge")
+
+
 def _scores(a: DataFrame, b: DataFrame) -> DataFrame:
     """(left_id, right_id, score) from a: (l, ws), distinct words, and b: (r, ws), words with repeats."""
     words_a = a.select("l", F.size("ws").alias("nl"), F.explode("ws").alias("w"))
     # A title's repeats are counted inside its row, without a shuffle.
     counted = F.transform(F.array_distinct("ws"), lambda w: F.struct(w.alias("w"), F.size(F.filter("ws", lambda x: x == w)).alias("c")))
     words_b = b.select("r", F.explode(counted).alias("t"), F.size(F.array_distinct("ws")).alias("nr")).select("r", "nr", "t.w", "t.c")
-    shared = words_a.join(words_b, "w").groupBy("l", "r", "nl", "nr").agg(F.sum("c").alias("bag"), F.count("*").alias("both"))
+    shared = words_a.join(_merged(words_b), "w").groupBy("l", "r", "nl", "nr").agg(F.sum("c").alias("bag"), F.count("*").alias("both"))
     score = F.col("bag").cast("double") / (F.col("nl") + F.col("nr") - F.col("both"))
     return shared.select(F.col("l").alias("left_id"), F.col("r").alias("right_id"), score.alias("score"))
 
@@ -59,7 +67,7 @@ def _placed(titles: DataFrame, rank: DataFrame) -> DataFrame:
     the title's words from the rarest on, and n, how many they are. Words that no right title has are the rarest."""
     rest = [c for c in titles.columns if c != "ws"]
     words = titles.withColumn("__t", F.explode(F.array_distinct("ws")))
-    ranked = words.join(rank, words["__t"] == rank["word"], "left").select("ws", *rest, F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), F.col("__t").alias("w")).alias("__r"))
+    ranked = words.join(_merged(rank), F.col("__t") == F.col("word"), "left").select("ws", *rest, F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), F.col("__t").alias("w")).alias("__r"))
     lists = ranked.groupBy("ws", *rest).agg(F.array_sort(F.collect_list("__r")).alias("__rs"))  # one title's words
     return lists.select("ws", *rest, F.size("__rs").alias("n"), F.posexplode("__rs").alias("at", "__p")).where("__p.seen > 0").select("ws", *rest, "n", "at", F.col("__p.w").alias("w"))
 
@@ -98,7 +106,7 @@ def _above(lefts: DataFrame, offers: DataFrame, threshold: float) -> DataFrame:
     kept = lambda x: F.col("at") < F.col("n") - F.floor(threshold * F.col("n") / x).cast("int")
     left = _placed(lefts, rank).select("*", _each(0, POWERS - 1).alias("k")).join(F.broadcast(classes), "k").where(kept(F.col("most"))).select(F.col("ws").alias("l"), "n", "w", "k")
     right = _placed(classed, rank).where(kept(F.col("x"))).select(F.col("ws").alias("r_ws"), "r", "counts", "x", "m", "w", "k")
-    return _scored(left.join(right, ["w", "k"])).where(F.col("score") > threshold)
+    return _scored(left.join(_merged(right), ["w", "k"])).where(F.col("score") > threshold)
 
 
 def _singles(placed: DataFrame, classed: DataFrame) -> DataFrame:
@@ -106,7 +114,7 @@ def _singles(placed: DataFrame, classed: DataFrame) -> DataFrame:
     words = classed.select("r", "m", F.explode("counts").alias("t")).select("r", "m", "t.w", "t.c")
     shortest = words.groupBy("w", "c").agg(F.min(F.struct("m", "r")).alias("s"))  # a word's numbers are few
     score = F.col("c").cast("double") / (F.col("n") + F.col("s.m") - 1)
-    best = placed.join(shortest, "w").groupBy("ws").agg(F.min(F.struct((-score).alias("lower"), F.col("s.r").alias("r"))).alias("b"))
+    best = placed.join(_merged(shortest), "w").groupBy("ws").agg(F.min(F.struct((-score).alias("lower"), F.col("s.r").alias("r"))).alias("b"))
     return best.select("ws", F.col("b.r").alias("right_id"), (-F.col("b.lower")).alias("score"))
 
 
@@ -123,11 +131,11 @@ def _beating(placed: DataFrame, classed: DataFrame, rank: DataFrame, singles: Da
     t = F.col("t")
     needed = F.greatest(F.lit(2), F.ceil(t * (F.col("n") + F.col("least")) / (F.col("most") + t) - 1e-9).cast("int"))
     known = placed.groupBy("ws").agg(F.count("*").alias("known"))
-    own = placed.join(singles.select("ws", F.col("score").alias("t")), "ws").join(known, "ws").where("known > 1")
+    own = placed.join(_merged(singles.select("ws", F.col("score").alias("t"))), "ws").join(_merged(known), "ws").where("known > 1")
     left = own.select("*", _each(1, ALONE + POWERS - 1).alias("of")).join(F.broadcast(lengths), "of").withColumn("c", needed).where((F.col("c") <= F.col("known")) & (F.col("at") <= F.col("n") - F.col("c")))
     left = left.select(F.col("ws").alias("l"), "n", "c", "w", "k", "of")
     right = _placed(long, rank).select(F.col("ws").alias("r_ws"), "r", "counts", "x", "m", "k", "of", "w", F.col("at").alias("r_at"))
-    return left.join(right, ["w", "k", "of"]).where(F.col("r_at") <= F.col("m") - F.col("c"))
+    return left.join(_merged(right), ["w", "k", "of"]).where(F.col("r_at") <= F.col("m") - F.col("c"))
 
 
 def best_matches(left: DataFrame, right: DataFrame, left_id: str = "_ordinal", left_title: str = "title", right_id: str = "_ordinal", right_title: str = "title", threshold: float = THRESHOLD) -> DataFrame:
@@ -147,7 +155,7 @@ def _sides(left: DataFrame, right: DataFrame, left_id: str, left_title: str, rig
 
 def _best(rows: DataFrame, found: DataFrame) -> DataFrame:
     best = found.groupBy("ws").agg(F.min(F.struct((-F.col("score")).alias("lower"), "right_id")).alias("b"))
-    return rows.join(best, "ws").select("left_id", "b.right_id", (-F.col("b.lower")).alias("score"))
+    return rows.join(_merged(best), "ws").select("left_id", "b.right_id", (-F.col("b.lower")).alias("score"))
 
 
 def nearest(left: DataFrame, right: DataFrame, left_id: str = "_ordinal", left_title: str = "title", right_id: str = "_ordinal", right_title: str = "title") -> DataFrame:
@@ -167,7 +175,7 @@ def enriched_matches(listings: DataFrame, devices: DataFrame, threshold: float =
     null and dbRecordId. _ordinal is the listing's, so later ties keep the listings' order."""
     found = best_matches(listings, devices, threshold=threshold)
     titles = listings.select(F.col("_ordinal").alias("left_id"), F.col("title").alias("realTitle"))
-    rows = found.join(titles, "left_id").join(devices.withColumnRenamed("_ordinal", "right_id"), "right_id")
+    rows = found.join(_merged(titles), "left_id").join(_merged(devices.withColumnRenamed("_ordinal", "right_id")), "right_id")
     rest = [c for c in devices.columns if c not in ("_ordinal", "images")]
     return rows.select(*rest, F.coalesce("images", F.array().cast("array<string>")).alias("images"), "realTitle", F.col("_id").alias("dbRecordId"), F.col("left_id").alias("_ordinal"))
 
@@ -176,9 +184,9 @@ def match_steps(listings: DataFrame, devices: DataFrame, threshold: float = THRE
     """(_ordinal, title, step): for each listing whether it matched, its best score, the device and, if not, why. Only
     listings without a match are looked at again, for the best of what shares any word with them."""
     above = best_matches(listings, devices, threshold=threshold)
-    rest = listings.join(above.select(F.col("left_id").alias("_ordinal")), "_ordinal", "left_anti")
+    rest = listings.join(_merged(above.select(F.col("left_id").alias("_ordinal"))), "_ordinal", "left_anti")
     best = above.union(nearest(rest, devices)).withColumnRenamed("left_id", "_ordinal")
-    rows = listings.select("_ordinal", "title").join(best, "_ordinal", "left")
+    rows = listings.select("_ordinal", "title").join(_merged(best), "_ordinal", "left")
     matched = F.coalesce(F.col("score") > threshold, F.lit(False))
     score = F.coalesce("score", F.lit(0.0))
     reason = F.when(~matched, F.concat(F.lit("Match score "), text.number_text(score), F.lit(f" below threshold {threshold}")))

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,6 +254,16 @@ def test_match_equals_all_pairs(spark):
     assert "CartesianProduct" not in plan_of(found) and "NestedLoop" not in plan_of(found)
 
 
+def test_titles_are_never_broadcast(spark):
+    """What grows with the titles is sorted and merged; classes by powers of two and lengths, a few rows, are broadcast."""
+    devices = spark.createDataFrame([(k, str(k), f"note {k}", None) for k in range(9)], "_ordinal long, _id string, title string, images array<string>")
+    listings = devices.select("_ordinal", "title")
+    for found in (matching.best_matches(listings, devices), matching.match_steps(listings, devices), matching.enriched_matches(listings, devices)):
+        plan = plan_of(found)
+        built = [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
+        assert "SortMergeJoin" in plan and all(re.search(r"BroadcastHashJoin \[(k|of)#", line) for line in built), built
+
+
 def test_recommendation(devices):
     found = recommend.recommend(devices, "camera phone between 6k and 30k")
     rows = recommend.with_verdicts(found).collect()
