@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Where a session on one machine stages tables if it names no folder.
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
+#: Rows of whole documents that are given to Python at once.
+BATCH_ROWS = 1000
+
 #: Deletes ASCII case and turns every byte outside [0-9a-z\x80-\xff] into a space, so that
 #: bytes.split() yields the words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the lower-cased text.
 ALNUM_TABLE = bytes(
@@ -38,6 +41,14 @@ def crc_fold(id_col: str) -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % 5
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Has the session give Python BATCH_ROWS rows at once instead of 10,000, unless it gives fewer: whole texts beside whole
+    rows fill an executor otherwise, once in the JVM and twice in each of its workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def carried(keep: list[str] | None, *own: str) -> list[str]:
     """keep, unless it names one of an operator's own columns: then an error, as one of the two would be lost."""
     clash = {c.lower() for c in own} & {c.lower() for c in keep or []}

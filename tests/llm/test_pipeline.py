@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from .conftest import prose
@@ -124,3 +125,15 @@ def test_stages_take_awkward_rows(spark, awkward, corpus):
     assert order(rows["benchmark decontamination"]) == order(awkward)
     kept = rows["simhash near-dedup"]
     assert len(kept) == len(set(kept)) and sum(not (t or "").strip() for _, t in kept) == 1  # wordless texts are copies of each other
+
+
+def test_whole_documents_reach_python_in_short_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(5000).selectExpr("id doc_id", "'the text' text", "'en' lang")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        beside = corpus_pipeline._beside(docs).coalesce(1)
+        assert max(r["n"] for r in beside.mapInArrow(sizes, "n long").collect()) <= 1000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
