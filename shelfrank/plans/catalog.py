@@ -659,14 +659,14 @@ def page_links(spark, sf_dir):
 
 @query("catalogue_array", f"WITH {CAT} SELECT (row_number() OVER (ORDER BY id) - 1)::BIGINT AS place, id::VARCHAR AS id, title, price, v_rear AS rear, v_cpu AS cpu, p_size || CASE WHEN p_size % 5 = 0 THEN ' TB' ELSE 'GB' END AS storage FROM cat")
 def catalogue_array(spark, sf_dir):
-    """The catalogue written as one array, whose places the numbers are, and read by splits."""
+    """The catalogue written in order, an array a task, and read by splits; the numbers are places over all arrays."""
     path = places.scratch(spark, "catalogue")
-    source.export(adapter.catalogue(spark, sf_dir).orderBy("_ordinal").drop("_ordinal"), path, single=True, layout="array")
-    rows = source.read_catalogue(spark, path)
+    source.export(adapter.catalogue(spark, sf_dir).orderBy("_ordinal").drop("_ordinal"), path, layout="array")
+    rows = source.numbered(source.read_catalogue(spark, path))
     rear = F.filter("normalizedSpecs.extracted.camera.rearCamera", lambda c: c["position"] == "main")
     cpu = F.col("normalizedSpecs.extracted.technical.benchmark.antutu.breakdown")["CPU"]
     best = numbers.largest(F.transform("normalizedSpecs.extracted.camera.rearCamera", lambda c: c["megapixel"]))
-    return rows.select(F.col("_ordinal").alias("place"), F.col("_id").alias("id"), "title", "price", F.when(F.size(rear) > 0, best).alias("rear"), text.number_prefix(cpu).alias("cpu"), F.col("normalizedSpecs.specs")["memory"]["storage"].alias("storage"))
+    return rows.select("place", F.col("_id").alias("id"), "title", "price", F.when(F.size(rear) > 0, best).alias("rear"), text.number_prefix(cpu).alias("cpu"), F.col("normalizedSpecs.specs")["memory"]["storage"].alias("storage"))
 
 
 @query("typed_validation", f"WITH {CAT} SELECT id, concat_ws(',', CASE WHEN v_capacity IS NULL OR id % 5 = 0 THEN 'batteryEndurance' END, {', '.join(f"CASE WHEN {test}{' OR id % 3 = 0' if c == 'cpuPerformance' else ''} THEN '{c}' END" for c, test in _FAILED.items() if c != 'batteryEndurance')}) AS failed, CASE WHEN id % 7 <> 0 THEN price END AS price FROM cat")

@@ -64,6 +64,16 @@ def read_catalogue(spark: SparkSession, path: str, layout: str = "array") -> Dat
     return _placed(reader.json(path), path)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows of arrays or Parquet, as `read_catalogue` reads them, with `place`: numbered from 0 on over all files, in the
+    order of their names. Rows are read twice; what is broadcast is a row a file."""
+    rank, within = F.shiftright("_ordinal", FILE_BITS), F.col("_ordinal").bitwiseAND(F.lit((1 << FILE_BITS) - 1))
+    lengths = rows.groupBy(rank.alias("__rank")).agg((F.max(within) + 1).alias("__n"))
+    before = Window.orderBy("__rank").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(lengths.select("__rank", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")))
+    return rows.join(starts, rank == F.col("__rank")).withColumn("place", F.col("__start") + within).drop("__rank", "__start")
+
+
 def read_variants(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
     """(_ordinal, record) of JSON arrays or lines, a variant each, placed as by `read_catalogue`: keeps whether a value was
     a number, a text, null or absent. What isn't JSON is a null record."""

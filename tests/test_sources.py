@@ -245,3 +245,12 @@ def test_stream_orders_ties_and_refuses_another_streams_table(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out-rejected")).where("seq is null").count() == 10
     with pytest.raises(ValueError):
         append_stream(stream, str(tmp_path / "out"), str(tmp_path / "other"))
+
+
+def test_places_count_over_arrays_of_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "arrays")
+    rows = spark.range(500).selectExpr("cast(id as string) _id", "concat('t', id) title").repartitionByRange(6, F.col("_id").cast("int"))
+    catalogue.export(rows, path, layout="array")
+    assert len(list((tmp_path / "arrays").glob("part-*"))) > 1
+    found = catalogue.numbered(catalogue.read_catalogue(spark, path))
+    assert sorted((r["place"], r["_id"]) for r in found.select("place", "_id").collect()) == [(k, str(k)) for k in range(500)]
