@@ -71,3 +71,14 @@ def test_moves_are_remembered():
     reader = Reader("tr", {"a": Pick("td:eq(1)"), "b": Pick("td b")})
     reader.read("<table>" + "<tr><td>1<td><b>2</b></tr>" * 500 + "</table>")
     assert len(reader.inner.moves) < 20
+
+
+def test_ids_that_no_selector_asks_for_are_not_remembered():
+    """A page's own ids and classes don't fill the memory of a reader that asks for tags alone."""
+    from shelfrank.sources import listings
+
+    listings.outline("<title>t</title>")
+    machine = listings._READERS["outline"].inner
+    before = len(machine.moves)
+    listings.outline("".join(f'<div id="i{k}" class="c{k}"><a href="/{k}">x</a></div>' for k in range(500)))
+    assert len(machine.moves) <= before + 8
