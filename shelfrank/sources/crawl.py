@@ -19,6 +19,7 @@ import json
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -38,6 +39,9 @@ MOST_PAGES, RETRIES = 4, 2
 #: ok: the page has cards; empty: it has none; failed: it couldn't be read.
 SCHEMA = "listing string, page int, attempt int, status string, error string, html string"
 
+#: Pages of a group of stored ones, which is what a reader decodes at once, and the most compressed bytes of one.
+GROUP_PAGES, GROUP_BYTES = 256, 4 << 20
+
 
 class NoSuchPage(Exception):
     """The listing has no page of that number."""
@@ -54,6 +58,7 @@ class StoredPages:
         uri = path if "://" in path or not path.startswith("file:") else "file://" + path.removeprefix("file:")
         self.files, self.root = pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
         self.held: tuple[str, int, dict[int, str | None]] = ("", 0, {})
+        self.open: tuple[str, ds.Dataset] | None = None
 
     def folders(self) -> dict[str, str]:
         """Folders by listing, as names are escaped in them."""
@@ -75,9 +80,13 @@ class StoredPages:
     def fetch(self, name: str, page: int) -> str:
         first = (page - 1) // self.BLOCK * self.BLOCK + 1
         if self.held[:2] != (name, first):
-            at = ds.field("page")
-            rows = self._table(name).to_table(filter=(at >= first) & (at < first + self.BLOCK))
-            self.held = (name, first, dict(zip(rows["page"].to_pylist(), rows["html"].to_pylist(), strict=True)))
+            if self.open is None or self.open[0] != name:
+                self.open = name, self._table(name)
+            at, found = ds.field("page"), {}
+            # Only groups of rows that hold such pages are read, one after another, and given in short batches.
+            for rows in self.open[1].to_batches(filter=(at >= first) & (at < first + self.BLOCK), batch_size=self.BLOCK, batch_readahead=1, fragment_readahead=1, use_threads=False):
+                found.update(zip(rows["page"].to_pylist(), rows["html"].to_pylist(), strict=True))
+            self.held = (name, first, found)
         if page not in self.held[2]:
             raise NoSuchPage
         if self.held[2][page] is None:
@@ -141,6 +150,13 @@ class Crawl:
                 return
 
 
+def _batches(rows: Iterator[tuple], most: int = 64) -> Iterator[pa.RecordBatch]:
+    """Rows a few at a time, as a reader that gives rows has Spark hold thousands of pages before any is handed on."""
+    kinds = pa.schema([("listing", pa.string()), ("page", pa.int32()), ("attempt", pa.int32()), ("status", pa.string()), ("error", pa.string()), ("html", pa.string())])
+    while some := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(values, f.type) for values, f in zip(zip(*some, strict=True), kinds, strict=True)], schema=kinds)
+
+
 class Listings(DataSource):
     """The source "listings". Options: path (stored pages) or address, listings (a JSON array of names; by default all
     that are stored), most (pages a listing), retries, card (a selector), seconds (until an address fails)."""
@@ -166,8 +182,8 @@ class ListingsReader(DataSourceReader):
     def partitions(self) -> list[Part]:
         return [Part(n, 0, self.crawl.most) for n in self.crawl.names] or [Part("", 0, 0)]
 
-    def read(self, partition: Part) -> Iterator[tuple]:
-        return self.crawl.rows(partition)
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        return _batches(self.crawl.rows(partition))
 
 
 class ListingsStream(DataSourceStreamReader):
@@ -187,13 +203,15 @@ class ListingsStream(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Part]:
         return [Part(n, start.get(n, 0), last) for n, last in end.items() if last > start.get(n, 0)]
 
-    def read(self, partition: Part) -> Iterator[tuple]:
-        return self.crawl.rows(partition)
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        return _batches(self.crawl.rows(partition))
 
 
 def store_pages(pages: DataFrame, path: str) -> None:
-    """Adds (listing, page, html) rows to a folder of stored pages. A listing's pages are few and go to one file."""
-    pages.select("listing", F.col("page").cast("int").alias("page"), "html").repartition("listing").write.mode("append").partitionBy("listing").parquet(path)
+    """Adds (listing, page, html) rows to a folder of stored pages. A listing's pages go to one file, in their order and in
+    groups of GROUP_PAGES, so that a reader takes some of them without the rest."""
+    rows = pages.select("listing", F.col("page").cast("int").alias("page"), "html").repartition("listing").sortWithinPartitions("listing", "page")
+    rows.write.mode("append").option("parquet.block.row.count.limit", GROUP_PAGES).option("parquet.block.size", GROUP_BYTES).partitionBy("listing").parquet(path)
 
 
 def listed(crawled: DataFrame, layout: ListingLayout) -> DataFrame:

@@ -98,3 +98,17 @@ def test_what_is_missing(spark, tmp_path, listings):
         listings.load().collect()
     (tmp_path / "none").mkdir()
     assert spark.read.format("listings").load(str(tmp_path / "none")).collect() == []
+
+
+def test_a_reader_holds_few_pages(spark, tmp_path):
+    """Pages are stored in small groups, in order, and leave the reader a few at a time."""
+    import pyarrow.parquet as pq
+
+    rows = spark.range(3000).selectExpr("'a' listing", "cast(3000 - id as int) page", "concat('<article>', id, repeat(cast(rand(1) as string), 200)) html")
+    crawl.store_pages(rows, str(tmp_path / "kept"))
+    (file,) = (tmp_path / "kept").glob("listing=a/*.parquet")
+    assert pq.ParquetFile(file).num_row_groups >= 10
+    reader = crawl.ListingsReader(crawl.Crawl({"path": str(tmp_path / "kept"), "most": "10000", "card": "article"}))
+    (part,) = reader.partitions()
+    batches = list(reader.read(part))
+    assert max(b.num_rows for b in batches) <= 64 and [p for b in batches for p in b["page"].to_pylist()] == list(range(1, 3001))
